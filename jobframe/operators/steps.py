@@ -71,19 +71,19 @@ def _false() -> Column:
     return F.lit(False)
 
 
-def compile_map(step: MapStep) -> StepColumns:
+def compile_map(step: MapStep, values: list[Column] | None = None) -> StepColumns:
     updates = []
-    for target, expr in step.set:
+    for i, (target, expr) in enumerate(step.set):
         path = target[len("job.payload."):]
-        updates.append((path, F.expr(expr)))
+        updates.append((path, values[i] if values is not None else F.expr(expr)))
     failed = F.col("job.payload").isNull()
     result = F.when(failed, failure_result(F.lit(PIPELINE_ERROR + "job.payload is not an object"))).otherwise(ok_result())
     return StepColumns(result, failed, _false(), F.lit(None).cast("int"),
                        failed & F.lit(step.failure.action == "stop"), updates)
 
 
-def compile_condition(step: ConditionStep, skip_level: int | None, df_schema_check=None) -> StepColumns:
-    c = F.expr(step.expr)
+def compile_condition(step: ConditionStep, skip_level: int | None, c: Column | None = None) -> StepColumns:
+    c = F.expr(step.expr) if c is None else c
     # NULL (missing key / null operand) is an evaluation error, not false.
     err_null = F.lit(f"{EXPRESSION_ERROR}Condition '{step.expr}' did not evaluate to a boolean")
     if step.action == "fail":
@@ -111,7 +111,7 @@ def _json_path(key: str) -> str:
     return "$" + "".join("['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']" for p in parts)
 
 
-def extract_outputs(stdout: Column, outputs: Outputs | None) -> Column:
+def extract_outputs(stdout: Column, outputs: Outputs | None, doc: Column | None = None) -> Column:
     """Build the outputs map (values as JSON text) from captured stdout."""
     if outputs is None or not outputs.fields:
         return empty_outputs()
@@ -119,7 +119,7 @@ def extract_outputs(stdout: Column, outputs: Outputs | None) -> Column:
         return F.when(stdout.isNull(), empty_outputs()).otherwise(_text_outputs(stdout, outputs))
     if outputs.format != "json":
         raise SpecError(f"unknown outputs format {outputs.format!r}")
-    doc = F.try_parse_json(stdout)
+    doc = F.try_parse_json(stdout) if doc is None else doc
     entries = []
     for f_ in outputs.fields:
         if f_.key == "":
@@ -142,8 +142,8 @@ def _rust_list(codes) -> str:
     return "[" + ", ".join(str(c) for c in codes) + "]"
 
 
-def compile_transform(step: TransformStep, expr_type: T.DataType) -> StepColumns:
-    """T1 + T5 + T6 + T8 over a SQL-expression transform."""
+def transform_raw(step: TransformStep, expr_type: T.DataType) -> Column:
+    """Normalise the transform expression to struct(stdout, stderr, exit_code, duration_ms)."""
     r = F.expr(step.expr)
     if isinstance(expr_type, T.StructType):
         names = set(expr_type.fieldNames())
@@ -153,8 +153,14 @@ def compile_transform(step: TransformStep, expr_type: T.DataType) -> StepColumns
         duration = r["duration_ms"].cast("bigint") if "duration_ms" in names else F.lit(0).cast("bigint")
     else:
         stdout, stderr, exit_code, duration = r.cast("string"), F.lit(None).cast("string"), F.lit(0), F.lit(0).cast("bigint")
-    exit_code = F.coalesce(exit_code, F.lit(-1))
-    duration = F.coalesce(duration, F.lit(0).cast("bigint"))
+    return F.struct(stdout.alias("stdout"), stderr.alias("stderr"),
+                    F.coalesce(exit_code, F.lit(-1)).alias("exit_code"),
+                    F.coalesce(duration, F.lit(0).cast("bigint")).alias("duration_ms"))
+
+
+def compile_transform(step: TransformStep, raw: Column, doc: Column | None = None) -> StepColumns:
+    """T3–T6, T8 on the normalised transform result ``raw``."""
+    stdout, stderr, exit_code, duration = raw["stdout"], raw["stderr"], raw["exit_code"], raw["duration_ms"]
     checks: list[tuple[Column, Column]] = []
     if step.timeout_secs > 0:
         checks.append((duration > step.timeout_secs * 1000,
@@ -175,7 +181,7 @@ def compile_transform(step: TransformStep, expr_type: T.DataType) -> StepColumns
         error = F.when(cond, msg) if error is None else F.when(cond, msg).otherwise(error)
     error = error if error is not None else F.lit(None).cast("string")
     failed = error.isNotNull()
-    good = step_result(stdout, stderr, exit_code, duration, F.lit(1), extract_outputs(stdout, step.outputs))
+    good = step_result(stdout, stderr, exit_code, duration, F.lit(1), extract_outputs(stdout, step.outputs, doc))
     result = F.when(failed, failure_result(error)).otherwise(good)
     return StepColumns(result, failed, _false(), F.lit(None).cast("int"),
                        failed & F.lit(step.failure.action == "stop"), [])

@@ -24,9 +24,26 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one driver table.
+
+    A scan that yields fewer splits than the cluster has cores (one small file,
+    one row group) is spread round-robin so row-local pipeline work uses every
+    core. Large inputs already split into many scan partitions and are left
+    alone: no extra shuffle at scale. Projections and filters are pushed below
+    the repartition by Catalyst, so only the needed columns move.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from jobframe.plans import queries_core  # noqa: F401
+    from jobframe.plans import queries_admit, queries_core  # noqa: F401

@@ -72,24 +72,50 @@ def _payload_type(df: DataFrame) -> T.DataType:
 
 def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str]) -> DataFrame:
     run = (~F.col("_done")) & (F.col("_level") == F.lit(level_idx))
-    compiled: list[tuple[str, S.StepColumns]] = []
+    # Pass 1: evaluate each user expression once into a temp column, so the checks
+    # below reference it instead of re-evaluating it (CollapseProject keeps
+    # non-cheap expressions that are referenced more than once).
+    pre: list[Column] = []
+    pre2: list[Column] = []
+    tmp: list[str] = []
     for sid in level:
         step = spec.step(sid)
         if isinstance(step, MapStep):
             if not isinstance(_payload_type(df), T.StructType):
                 raise SpecError(f"map step {sid}: declare payload_schema to update the payload")
-            sc = S.compile_map(step)
+            for i, (_, e) in enumerate(step.set):
+                pre.append(F.expr(e).alias(f"_m_{sid}_{i}"))
+                tmp.append(f"_m_{sid}_{i}")
         elif isinstance(step, ConditionStep):
             t = df.select(F.expr(step.expr).alias("c")).schema["c"].dataType
             if not isinstance(t, (T.BooleanType, T.NullType)):  # A12 at plan time
                 raise SpecError(f"condition {sid}: expression type {t.simpleString()} is not boolean")
-            target = spec.level_of(step.skip_to) if step.action == "skip_to" else None
-            sc = S.compile_condition(step, target)
+            pre.append(F.expr(step.expr).alias(f"_c_{sid}"))
+            tmp.append(f"_c_{sid}")
         elif isinstance(step, TransformStep):
             t = df.select(F.expr(step.expr).alias("r")).schema["r"].dataType
-            sc = S.compile_transform(step, t)
+            pre.append(S.transform_raw(step, t).alias(f"_t_{sid}"))
+            tmp.append(f"_t_{sid}")
+            if step.outputs is not None and step.outputs.format == "json" and step.outputs.fields:
+                pre2.append(F.try_parse_json(F.col(f"_t_{sid}.stdout")).alias(f"_d_{sid}"))
+                tmp.append(f"_d_{sid}")
         else:
             raise SpecError(f"unknown step type {type(step)}")
+    df = df.select("*", *pre)
+    if pre2:
+        df = df.select("*", *pre2)
+
+    compiled: list[tuple[str, S.StepColumns]] = []
+    for sid in level:
+        step = spec.step(sid)
+        if isinstance(step, MapStep):
+            sc = S.compile_map(step, [F.col(f"_m_{sid}_{i}") for i in range(len(step.set))])
+        elif isinstance(step, ConditionStep):
+            target = spec.level_of(step.skip_to) if step.action == "skip_to" else None
+            sc = S.compile_condition(step, target, F.col(f"_c_{sid}"))
+        else:
+            doc = F.col(f"_d_{sid}") if f"_d_{sid}" in tmp else None
+            sc = S.compile_transform(step, F.col(f"_t_{sid}"), doc)
         compiled.append((sid, sc))
 
     any_failed = F.lit(False)
@@ -125,7 +151,8 @@ def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str
     status = F.when(run & any_failed, F.lit("failure")).otherwise(F.col("_status"))
     held = F.col("_held") | (run & any_failed & (F.lit(spec.failure.action == "stop") | any_held))
 
-    keep = [c for c in df.columns if c not in ("job", "_steps_raw", "_level", "_done", "_status", "_held", "steps")]
+    keep = [c for c in df.columns
+            if c not in ("job", "_steps_raw", "_level", "_done", "_status", "_held", "steps", *tmp)]
     out = df.select(
         *keep,
         _job_struct(payload).alias("job") if updates else F.col("job"),
