@@ -46,4 +46,4 @@ def spread(df: DataFrame) -> DataFrame:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from jobframe.plans import queries_admit, queries_core, queries_flow  # noqa: F401
+    from jobframe.plans import queries_admit, queries_core, queries_flow, queries_steps  # noqa: F401
