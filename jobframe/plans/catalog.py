@@ -46,4 +46,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from jobframe.plans import queries_admit, queries_core, queries_flow, queries_policy, queries_steps  # noqa: F401
+    from jobframe.plans import (  # noqa: F401
+        queries_admit,
+        queries_core,
+        queries_flow,
+        queries_policy,
+        queries_sinks,
+        queries_steps,
+    )
