@@ -52,5 +52,6 @@ def load_all() -> None:
         queries_flow,
         queries_policy,
         queries_sinks,
+        queries_state,
         queries_steps,
     )
