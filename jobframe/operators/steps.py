@@ -19,7 +19,14 @@ STEP_RESULT_DDL = (
     "struct<stdout:string,stderr:string,exit_code:int,duration_ms:bigint,attempt:int,"
     "outputs:map<string,string>>"
 )
-STEP_RESULT_TYPE = T._parse_datatype_string(STEP_RESULT_DDL)
+STEP_RESULT_TYPE = T.StructType([
+    T.StructField("stdout", T.StringType()),
+    T.StructField("stderr", T.StringType()),
+    T.StructField("exit_code", T.IntegerType()),
+    T.StructField("duration_ms", T.LongType()),
+    T.StructField("attempt", T.IntegerType()),
+    T.StructField("outputs", T.MapType(T.StringType(), T.StringType())),
+])
 
 # Fixed message formats of the orchestrator being re-expressed (error kind prefixes).
 PIPELINE_ERROR = "Pipeline error: "

@@ -21,11 +21,20 @@ JOB_COLS = ["id", "source", "payload", "correlation_key", "labels"]
 LEVELS_PER_CHECKPOINT = 20
 
 
-def _steps_view(spec: PipelineSpec, raw: Column) -> Column:
+def _step_col(sid: str) -> str:
+    return f"_s_{sid}"
+
+
+def _raw_struct(spec: PipelineSpec) -> Column:
+    """All step results as one struct (assembled once, at the end)."""
+    return F.struct(*[F.col(_step_col(s.id)).alias(s.id) for s in spec.steps])
+
+
+def _steps_view(spec: PipelineSpec, raw: Column | None = None) -> Column:
     """Expressions read NULL stdout/stderr of a step that ran as ''."""
     fields = []
     for s in spec.steps:
-        r = raw[s.id]
+        r = raw[s.id] if raw is not None else F.col(_step_col(s.id))
         v = F.when(r.isNull(), F.lit(None).cast(S.STEP_RESULT_TYPE)).otherwise(
             r.withField("stdout", F.coalesce(r["stdout"], F.lit(""))).withField(
                 "stderr", F.coalesce(r["stderr"], F.lit(""))))
@@ -33,6 +42,29 @@ def _steps_view(spec: PipelineSpec, raw: Column) -> Column:
     return F.struct(*fields)
 
 
+def _needs_view(spec: PipelineSpec) -> bool:
+    """Step expressions that read ``steps.<id>`` need the E1 view column."""
+    texts = []
+    for st in spec.steps:
+        if isinstance(st, MapStep):
+            texts += [e for _, e in st.set]
+        elif isinstance(st, (ConditionStep, TransformStep)):
+            texts.append(st.expr)
+    return any("steps" in t for t in texts)
+
+
+def _with_view(df: DataFrame, spec: PipelineSpec) -> DataFrame:
+    if _needs_view(spec):
+        return df.withColumn("steps", _steps_view(spec))
+    return df
+
+
+def _probe(df: DataFrame) -> DataFrame:
+    """An empty relation with the same columns: resolving expression types on it
+    costs nothing, unlike re-analysing the full plan of ``df``."""
+    return df.sparkSession.createDataFrame([], df.schema)
+
+
 def _job_struct(payload: Column) -> Column:
     return F.struct(
         F.col("id").alias("id"),
@@ -52,18 +84,17 @@ def prepare(jobs: DataFrame, spec: PipelineSpec) -> DataFrame:
         work = F.from_json(F.col("payload"), spec.payload_schema)
     else:
         work = F.try_parse_json(F.col("payload"))
-    empty_steps = F.struct(*[F.lit(None).cast(S.STEP_RESULT_TYPE).alias(s.id) for s in spec.steps])
     return jobs.select(
         *[c for c in jobs.columns],
         F.lit(spec.id).alias("pipeline_id"),
         _job_struct(work).alias("job"),
-        empty_steps.alias("_steps_raw"),
+        *[F.lit(None).cast(S.STEP_RESULT_TYPE).alias(_step_col(s.id)) for s in spec.steps],
         F.struct(F.lit(spec.id).alias("id")).alias("pipeline"),
         F.lit(0).alias("_level"),
         F.lit(False).alias("_done"),
         F.lit("success").alias("_status"),
         F.lit(False).alias("_held"),
-    ).withColumn("steps", _steps_view(spec, F.col("_steps_raw")))
+    ).transform(lambda d: _with_view(d, spec))
 
 
 def _payload_type(df: DataFrame) -> T.DataType:
@@ -78,6 +109,7 @@ def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str
     pre: list[Column] = []
     pre2: list[Column] = []
     tmp: list[str] = []
+    probe = _probe(df)
     for sid in level:
         step = spec.step(sid)
         if isinstance(step, MapStep):
@@ -87,13 +119,13 @@ def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str
                 pre.append(F.expr(e).alias(f"_m_{sid}_{i}"))
                 tmp.append(f"_m_{sid}_{i}")
         elif isinstance(step, ConditionStep):
-            t = df.select(F.expr(step.expr).alias("c")).schema["c"].dataType
+            t = probe.select(F.expr(step.expr).alias("c")).schema["c"].dataType
             if not isinstance(t, (T.BooleanType, T.NullType)):  # A12 at plan time
                 raise SpecError(f"condition {sid}: expression type {t.simpleString()} is not boolean")
             pre.append(F.expr(step.expr).alias(f"_c_{sid}"))
             tmp.append(f"_c_{sid}")
         elif isinstance(step, TransformStep):
-            t = df.select(F.expr(step.expr).alias("r")).schema["r"].dataType
+            t = probe.select(F.expr(step.expr).alias("r")).schema["r"].dataType
             pre.append(S.transform_raw(step, t).alias(f"_t_{sid}"))
             tmp.append(f"_t_{sid}")
             if step.outputs is not None and step.outputs.format == "json" and step.outputs.fields:
@@ -104,6 +136,7 @@ def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str
     df = df.select("*", *pre)
     if pre2:
         df = df.select("*", *pre2)
+    probe = _probe(df)
 
     compiled: list[tuple[str, S.StepColumns]] = []
     for sid in level:
@@ -128,9 +161,9 @@ def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str
         any_held = any_held | sc.held
         last_skip = F.coalesce(sc.skip_level, last_skip)  # later declared wins
 
-    raw = F.col("_steps_raw")
-    for sid, sc in compiled:
-        raw = raw.withField(sid, F.when(run, sc.result).otherwise(F.col("_steps_raw")[sid]))
+    results = [F.when(run, sc.result).otherwise(F.col(_step_col(sid))).alias(_step_col(sid))
+               for sid, sc in compiled]
+    written = {_step_col(sid) for sid, _ in compiled}
 
     # D-3: map targets of the level applied in declared order onto the entry payload
     payload = F.col("job.payload")
@@ -139,7 +172,7 @@ def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str
     apply = run & ~any_failed
     for path, value in updates:
         payload = S.set_path(payload, ptype, path, value, apply)
-        ptype = df.select(payload.alias("p")).schema["p"].dataType
+        ptype = probe.select(payload.alias("p")).schema["p"].dataType
 
     next_level = (
         F.when(~run, F.col("_level"))
@@ -152,30 +185,31 @@ def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str
     held = F.col("_held") | (run & any_failed & (F.lit(spec.failure.action == "stop") | any_held))
 
     keep = [c for c in df.columns
-            if c not in ("job", "_steps_raw", "_level", "_done", "_status", "_held", "steps", *tmp)]
+            if c not in ("job", "_level", "_done", "_status", "_held", "steps", *tmp, *written)]
     out = df.select(
         *keep,
         _job_struct(payload).alias("job") if updates else F.col("job"),
-        raw.alias("_steps_raw"),
+        *results,
         next_level.alias("_level"),
         (F.col("_done") | stop).alias("_done"),
         status.alias("_status"),
         held.alias("_held"),
     )
-    return out.withColumn("steps", _steps_view(spec, F.col("_steps_raw")))
+    return _with_view(out, spec)
 
 
 def finish(df: DataFrame, spec: PipelineSpec) -> DataFrame:
     """PipelineResult rows: the original job (P7), status, held flag and steps."""
     work = F.col("job.payload")
     work_json = F.to_json(work) if not isinstance(_payload_type(df), T.VariantType) else F.to_json(work)
-    extra = [c for c in df.columns if c not in JOB_COLS + ["pipeline_id", "job", "_steps_raw", "pipeline",
-                                                            "_level", "_done", "_status", "_held", "steps"]]
+    internal = {"pipeline_id", "job", "pipeline", "_level", "_done", "_status", "_held", "steps",
+                *[_step_col(s.id) for s in spec.steps]}
+    extra = [c for c in df.columns if c not in set(JOB_COLS) | internal]
     return df.select(
         "pipeline_id", *JOB_COLS, *extra,
         F.col("_status").alias("status"),
         F.col("_held").alias("held"),
-        F.col("_steps_raw").alias("steps"),
+        _raw_struct(spec).alias("steps"),
         work_json.alias("work_payload"),
     )
 

@@ -21,6 +21,10 @@ _DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
     # Broadcast only under an explicit, checked bound (see jobframe.functions.sizing).
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # A compiled pipeline level is one wide projection. Generated methods above the
+    # JVM's 8000-bytecode JIT limit would run interpreted; at this limit Spark splits
+    # such stages into per-expression code instead (measured ~2x faster on deep DAGs).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
