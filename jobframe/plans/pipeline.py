@@ -81,7 +81,9 @@ def prepare(jobs: DataFrame, spec: PipelineSpec) -> DataFrame:
         if c not in jobs.columns:
             raise SpecError(f"job DataFrame lacks column {c}")
     if spec.payload_schema:
-        work = F.from_json(F.col("payload"), spec.payload_schema)
+        # only a JSON object maps onto the payload struct; anything else is NULL
+        # (a map step then fails with "job.payload is not an object")
+        work = F.when(F.ltrim(F.col("payload")).startswith("{"), F.from_json(F.col("payload"), spec.payload_schema))
     else:
         work = F.try_parse_json(F.col("payload"))
     return jobs.select(

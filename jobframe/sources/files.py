@@ -79,9 +79,18 @@ def read_csv(spark: SparkSession, path: str, source: str, glob: str | None = "*.
     df = r.schema(ddl).option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
     df = df.select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_mid"))
     fields = [c for c in df.columns if c not in ("_corrupt_record", "file", "_mid")]
-    good = df.where(F.col("_corrupt_record").isNull())
-    bad = df.where(F.col("_corrupt_record").isNotNull()).select(
-        "file", F.col("_corrupt_record").alias("record"), F.lit("wrong number of fields").alias("reason"))
+    # the parsed fields travel with the raw record (Spark refuses queries that read
+    # only the corrupt-record column of a raw file)
+    # reference every field: with CSV column pruning a width error is only seen when
+    # all columns are parsed (and Spark refuses a query of the corrupt column alone)
+    keep_field = F.lit(0)
+    for c in fields:
+        keep_field = keep_field + F.coalesce(F.length(F.col(f"`{c}`")), F.lit(0))
+    keep_field = keep_field >= 0
+    good = df.where(F.col("_corrupt_record").isNull() & keep_field)
+    bad = df.where(F.col("_corrupt_record").isNotNull() & keep_field).select(
+        "file", F.col("_corrupt_record").alias("record"), F.lit("wrong number of fields").alias("reason"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields])).alias("fields"))
     payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields]))
     return _jobs(good.withColumn("line", payload), source, F.col("line"), id_field), bad
 
@@ -112,7 +121,7 @@ def read_directory(spark: SparkSession, path: str, source: str, id_field: str |
         return empty, spark.createDataFrame([], "file string, record string, reason string")
     out_j, out_r = jobs[0], rejects[0]
     for j, r in zip(jobs[1:], rejects[1:]):
-        out_j, out_r = out_j.unionByName(j), out_r.unionByName(r)
+        out_j, out_r = out_j.unionByName(j), out_r.unionByName(r, allowMissingColumns=True)
     return out_j, out_r
 
 
