@@ -282,3 +282,198 @@ def merged_jobs(groups: DataFrame, pipeline_id: str, key: str | None) -> DataFra
         (corr if corr is not None else F.lit(None).cast("string")).alias("merged_correlation_key"),
         labels.alias("merged_labels"),
     )
+
+
+# ── exact rounds with a time limit: the same scan, time-aware summaries ──────
+#
+# State of a key = (open source mask, first-arrival time t0, groups started).
+# A segment's effect on an entry state depends on t0 only through e = the first
+# row later than t0 + timeout, and t0 ≤ the segment's first time, so e never lies
+# beyond the first row later than (first time + timeout). A summary therefore
+# ships: the times of those rows, the completion row for every entry mask, and
+# the exit state of a fresh start at each index that can be reached. Fresh-start
+# exits are computed backwards in one pass (a fresh start at i ends at its
+# completion or expiry, after which the next fresh start is determined).
+
+def _fresh_tables(t: np.ndarray, bits: np.ndarray, n: int, limit: int):
+    m = len(t)
+    full = (1 << n) - 1
+    idx = np.arange(m)
+    nxt = []
+    for s in range(n):
+        pos = np.where((bits & (1 << s)) != 0, idx, m)
+        nxt.append(np.minimum.accumulate(pos[::-1])[::-1])  # first index ≥ i with source s
+    nxt = np.array(nxt)                                      # n × m
+    comp = nxt.max(axis=0)                                   # completion row of a fresh start (m = none)
+    exp = np.searchsorted(t, t + limit, side="right")        # first row later than t_i + limit
+    suffix_or = np.bitwise_or.accumulate(bits[::-1])[::-1]
+    gm = np.zeros(m + 1, dtype=np.int64)
+    gt = np.full(m + 1, -1, dtype=np.int64)
+    gc = np.zeros(m + 1, dtype=np.int64)
+    for i in range(m - 1, -1, -1):
+        c, e = comp[i], exp[i]
+        if e < m and e <= c:
+            ns = e
+        elif c < m:
+            ns = c + 1
+        else:
+            ns = m + 1
+        if ns <= m:
+            gm[i], gt[i], gc[i] = gm[ns], gt[ns], 1 + gc[ns]
+        else:
+            gc[i] = 1
+            if c < m:  # completed on the last row
+                gm[i], gt[i] = 0, -1
+            else:
+                gm[i], gt[i] = suffix_or[i], t[i]
+    return nxt, gm, gt, gc, full
+
+
+def _summaries_t(n: int, limit: int):
+    def summarise(pid, key, t, bits):
+        m = len(t)
+        nxt, gm, gt, gc, full = _fresh_tables(t, bits, n, limit)
+        e_max = int(np.searchsorted(t, t[0] + limit, side="right")) if m else 0  # 0-based first row beyond
+        cont = []
+        for mask in range(full + 1):
+            need = [s for s in range(n) if not mask & (1 << s)]
+            cont.append(int(max(nxt[s][0] for s in need)) if need and m else m)
+        reach = sorted(set(range(0, min(e_max, m) + 1)) | {min(c + 1, m) for c in cont} | {m})
+        return (pid, key, t[: e_max + 1].tolist(), cont, reach,
+                [int(gm[i]) for i in reach], [int(gt[i]) for i in reach], [int(gc[i]) for i in reach],
+                int(np.bitwise_or.reduce(bits)) if m else 0, m)
+
+    def run(it):
+        out = []
+        segs = []  # (pid, key, t list, bits list) of the current partition
+        for pdf in it:
+            if pdf.empty:
+                continue
+            for pid, key, tt, b in zip(pdf["_pid"], pdf["_key"], pdf["_t"], pdf["_bit"]):
+                if segs and segs[-1][1] == key:
+                    segs[-1][2].append(tt)
+                    segs[-1][3].append(b)
+                else:
+                    if len(segs) >= 2:
+                        segs.pop()  # a middle segment never carries state across partitions
+                    segs.append((int(pid), key, [tt], [b]))
+        for pid, key, tt, b in segs:
+            out.append(summarise(pid, key, np.array(tt, dtype=np.int64), np.array(b, dtype=np.int64)))
+        if out:
+            yield pd.DataFrame(out, columns=["_pid", "_key", "t", "cont", "reach", "gm", "gt", "gc", "orall", "m"])
+
+    return run
+
+
+def _compose_t(limit: int):
+    def apply(row, mask, t0, starts):
+        m = int(row["m"])
+        lookup = {int(i): (int(a), int(b), int(c)) for i, a, b, c in
+                  zip(row["reach"], row["gm"], row["gt"], row["gc"])}
+        if mask == 0:
+            gmv, gtv, gcv = lookup[0]
+            return gmv, gtv, starts + gcv
+        ts = np.array(row["t"], dtype=np.int64)
+        e = int(np.searchsorted(ts, t0 + limit, side="right"))
+        e = e if e < len(ts) and e < m else m
+        c = int(row["cont"][mask])
+        if e < m and e <= c:
+            gmv, gtv, gcv = lookup[e]
+            return gmv, gtv, starts + gcv
+        if c < m:
+            gmv, gtv, gcv = lookup[min(c + 1, m)] if c + 1 < m else (0, -1, 0)
+            return gmv, gtv, starts + gcv
+        return mask | int(row["orall"]), t0, starts
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pid")
+        mask, t0, starts = 0, -1, 0
+        rows = []
+        for _, row in pdf.iterrows():
+            rows.append((int(row["_pid"]), row["_key"], mask, t0, starts))
+            mask, t0, starts = apply(row, mask, t0, starts)
+        return pd.DataFrame(rows, columns=["_pid", "_key", "_entry_state", "_entry_t0", "_entry_count"])
+
+    return run
+
+
+def _replay_t(n: int, limit: int):
+    full = (1 << n) - 1
+
+    def run(it):
+        cur = None
+        mask, t0, starts = 0, -1, 0
+        for pdf in it:
+            if pdf.empty:
+                continue
+            keys = pdf["_key"].to_numpy()
+            bits = pdf["_bit"].to_numpy().astype(np.int64)
+            ts = pdf["_t"].to_numpy().astype(np.int64)
+            es, et, ec = pdf["_entry_state"].to_numpy(), pdf["_entry_t0"].to_numpy(), pdf["_entry_count"].to_numpy()
+            rounds = np.empty(len(pdf), dtype=np.int64)
+            kept = np.empty(len(pdf), dtype=bool)
+            for i in range(len(pdf)):
+                if keys[i] != cur:
+                    cur = keys[i]
+                    if pd.isna(es[i]):
+                        mask, t0, starts = 0, -1, 0
+                    else:
+                        mask, t0, starts = int(es[i]), int(et[i]), int(ec[i])
+                t = ts[i]
+                if mask and t - t0 > limit:
+                    mask = 0  # the open group expired: discarded
+                if not mask:
+                    t0 = t
+                    starts += 1
+                rounds[i] = starts - 1
+                b = bits[i]
+                if mask & b:
+                    kept[i] = False
+                    continue
+                kept[i] = True
+                mask |= b
+                if mask == full:
+                    mask = 0
+            yield pdf.drop(columns=["_entry_state", "_entry_t0", "_entry_count", "_t"]).assign(
+                round=rounds, kept=kept)
+
+    return run
+
+
+def assign_rounds_timeout(jobs: DataFrame, sources: list[str], timeout_secs: int, key: str = "correlation_key",
+                          order: tuple[str, ...] = ("arrival_ts", "arrival_seq"),
+                          num_partitions: int | None = None) -> DataFrame:
+    """Like ``assign_rounds`` with the group time limit (J6): a group lives
+    ``timeout_secs`` (at least 1) from its first job, inclusive; a job arriving
+    later finds it expired and opens a new group. ``round`` numbers the groups
+    started within the key; groups with fewer than N kept jobs never completed.
+
+    The per-partition summary of a boundary key holds the key's rows within one
+    timeout of the partition's first row for that key (bounded by the arrival rate
+    times the timeout, not by the key's size)."""
+    n = len(sources)
+    if not 1 <= n <= MAX_SOURCES:
+        raise ValueError(f"merge over {n} sources is not supported (1..{MAX_SOURCES})")
+    limit = int(max(timeout_secs, 1)) * 1_000_000
+    spark = jobs.sparkSession
+    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = (jobs.where(F.col(key).isNotNull() & F.col("source").isin(sources))
+            .withColumn("_key", F.col(key).cast("string"))
+            .withColumn("_bit", _source_bit(sources))
+            .withColumn("_t", F.unix_micros(F.col(order[0]).cast("timestamp"))))
+    ranged = (base.repartitionByRange(parts, "_key", *order)
+              .withColumn("_pid", F.spark_partition_id())
+              .sortWithinPartitions("_key", *order))
+    checkpoint_dir(spark)
+    ranged = ranged.checkpoint(eager=True)
+    summ = ranged.select("_pid", "_key", "_t", "_bit").mapInPandas(
+        _summaries_t(n, limit),
+        "_pid int, _key string, t array<bigint>, cont array<bigint>, reach array<bigint>, gm array<bigint>, "
+        "gt array<bigint>, gc array<bigint>, orall bigint, m bigint")
+    entries = summ.groupBy("_key").applyInPandas(
+        _compose_t(limit), "_pid int, _key string, _entry_state bigint, _entry_t0 bigint, _entry_count bigint")
+    joined = ranged.join(F.broadcast(entries), ["_pid", "_key"], "left").sortWithinPartitions(
+        "_pid", "_key", *order)
+    schema = (joined.drop("_entry_state", "_entry_t0", "_entry_count", "_t").schema
+              .add("round", T.LongType()).add("kept", T.BooleanType()))
+    return joined.mapInPandas(_replay_t(n, limit), schema).drop("_bit", "_pid", "_key")

@@ -221,3 +221,47 @@ def merge_all_rounds(spark, sf_dir):
     labelled = assign_rounds(jobs, ROUND_SOURCES, key="correlation_key")
     g = rounds_groups(labelled, ROUND_SOURCES, key="correlation_key")
     return _flat_groups(merged_jobs(g, "p_rounds", "user_id"), ROUND_SOURCES)
+
+
+# ── J6 (with timeout) ────────────────────────────────────────────────────────
+
+TIMEOUT_SOURCES = ["click", "purchase", "signup"]
+TIMEOUT_SECS = 6 * 3600
+_L = TIMEOUT_SECS * 1_000_000
+_M1 = f"(CASE WHEN w.mask <> 0 AND e.t - w.t0 > {_L} THEN 0 ELSE w.mask END)"
+
+
+@query("merge_all_rounds_timeout", sql=f"""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_type, event_id, ts, value, epoch_us(ts) AS t,
+         CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 4 END AS b,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events WHERE event_type IN ('click', 'purchase', 'signup')
+), w(user_id, rn, round, kept, mask, t0, starts) AS (
+  SELECT user_id, rn, 0, true, b, t, 1 FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn,
+    CASE WHEN {_M1} = 0 THEN w.starts + 1 ELSE w.starts END - 1,
+    ({_M1} & e.b) = 0,
+    CASE WHEN ({_M1} & e.b) <> 0 THEN {_M1} WHEN ({_M1} | e.b) = 7 THEN 0 ELSE ({_M1} | e.b) END,
+    CASE WHEN {_M1} = 0 THEN e.t ELSE w.t0 END,
+    CASE WHEN {_M1} = 0 THEN w.starts + 1 ELSE w.starts END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1
+), k AS (SELECT e.*, w.round FROM w JOIN e USING (user_id, rn) WHERE w.kept)
+SELECT CAST(user_id AS VARCHAR) AS key, CAST(round AS BIGINT) AS round,
+  'ev-' || CAST(max(CASE WHEN event_type = 'click' THEN event_id END) AS VARCHAR) AS click_id,
+  'ev-' || CAST(max(CASE WHEN event_type = 'purchase' THEN event_id END) AS VARCHAR) AS purchase_id,
+  'ev-' || CAST(max(CASE WHEN event_type = 'signup' THEN event_id END) AS VARCHAR) AS signup_id,
+  sha256(string_agg('ev-' || CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id)) AS merged_id,
+  arg_min(value, (ts, event_id)) AS first_value,
+  CAST(user_id AS VARCHAR) AS correlation_key,
+  'merge:p_timeout' AS merged_source
+FROM k GROUP BY user_id, round HAVING count(*) = 3
+""")
+def merge_all_rounds_timeout(spark, sf_dir):
+    from jobframe.operators.merge import assign_rounds_timeout
+
+    jobs = event_source_jobs(spark, sf_dir)
+    labelled = assign_rounds_timeout(jobs, TIMEOUT_SOURCES, TIMEOUT_SECS, key="correlation_key")
+    g = rounds_groups(labelled, TIMEOUT_SOURCES, key="correlation_key")
+    return _flat_groups(merged_jobs(g, "p_timeout", "user_id"), TIMEOUT_SOURCES)

@@ -64,3 +64,45 @@ def test_merged_payload_rules(spark):
     assert set(p["sources"]) == {"a", "b"}
     assert row.merged_source == "merge:pipe"
     assert row.merged_labels == {"env": "a", "t": "b"}
+
+
+def brute_timeout(rows, sources, limit_s):
+    full = (1 << len(sources)) - 1
+    out, state = {}, {}
+    for key, seq, src, ts in sorted(rows, key=lambda r: (r[0], r[3], r[1])):
+        mask, t0, starts = state.get(key, (0, None, 0))
+        if mask and ts - t0 > limit_s:
+            mask = 0
+        if not mask:
+            t0, starts = ts, starts + 1
+        b = 1 << sources.index(src)
+        if mask & b:
+            out[seq] = (starts - 1, False)
+        else:
+            out[seq] = (starts - 1, True)
+            mask |= b
+            if mask == full:
+                mask = 0
+        state[key] = (mask, t0, starts)
+    return out
+
+
+@pytest.mark.parametrize("seed,limit", [(11, 30), (12, 5), (13, 200)])
+def test_rounds_with_timeout_match_sequential_fold(spark, seed, limit):
+    from jobframe.operators.merge import assign_rounds_timeout
+
+    rnd = random.Random(seed)
+    sources = ["a", "b", "c"]
+    rows, t = [], 0
+    for seq in range(2500):
+        t += rnd.choice([0, 1, 2, 5, 20])
+        key = "hot" if rnd.random() < 0.6 else f"k{rnd.randint(0, 30)}"
+        rows.append((key, seq, rnd.choice(sources), t))
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame(
+        [(k, s, src, f"id{s}", "{}", {}, base + dt.timedelta(seconds=ts)) for k, s, src, ts in rows],
+        "correlation_key string, arrival_seq long, source string, id string, payload string, "
+        "labels map<string,string>, arrival_ts timestamp")
+    got = {r.arrival_seq: (r["round"], r.kept) for r in
+           assign_rounds_timeout(df, sources, limit, num_partitions=8).select("arrival_seq", "round", "kept").collect()}
+    assert got == brute_timeout(rows, sources, limit)
