@@ -265,3 +265,22 @@ def merge_all_rounds_timeout(spark, sf_dir):
     labelled = assign_rounds_timeout(jobs, TIMEOUT_SOURCES, TIMEOUT_SECS, key="correlation_key")
     g = rounds_groups(labelled, TIMEOUT_SOURCES, key="correlation_key")
     return _flat_groups(merged_jobs(g, "p_timeout", "user_id"), TIMEOUT_SOURCES)
+
+
+# ── C5 ───────────────────────────────────────────────────────────────────────
+
+@query("cancel_consumed", sql="""
+SELECT l_orderkey AS job_id, l_shipdate AS signal_ts
+FROM lineitem l
+WHERE NOT EXISTS (
+  SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey
+    AND o.o_orderdate + INTERVAL 120 DAY >= l.l_shipdate)
+""")
+def cancel_consumed(spark, sf_dir):
+    from jobframe.operators.cancel import live_signals
+
+    sig = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"),
+                                                  F.col("l_shipdate").alias("signal_ts"))
+    done = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), (F.col("o_orderdate") + F.expr("INTERVAL 120 DAYS")).alias("completed_ts"))
+    return live_signals(sig, done)

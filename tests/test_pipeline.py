@@ -149,3 +149,20 @@ def test_stop_policy_marks_held(spark):
     ))
     rows = {r.id: r for r in run_pipeline(jobs(spark, ['{"v":1}', '{"v":2}']), spec).collect()}
     assert rows["j0"].held and not rows["j1"].held
+
+
+def test_file_sink_lines_partitioned_by_sink(spark, tmp_path):
+    from jobframe.operators.sinks import result_json, write_lines
+
+    spec = PipelineSpec(id="p", payload_schema="v int", steps=(TransformStep(id="t", expr="'x'"),),
+                        sinks=("a", "b"))
+    d = deliveries(run_pipeline(jobs(spark, ['{"v":1}', '{"v":2}']), spec), spec)
+    out = str(tmp_path / "lines")
+    write_lines(d, out, result_json(d, "2026-01-01T00:00:00Z"))
+    back = spark.read.text(out)
+    assert sorted((r.sink_id, r.n) for r in back.groupBy("sink_id").agg(F.count("*").alias("n")).collect()) == \
+        [("a", 2), ("b", 2)]
+    import json
+
+    line = json.loads(back.first().value)
+    assert line["pipeline_id"] == "p" and line["steps"]["t"]["stdout"] == "x" and "correlation_key" not in line["job"]
