@@ -1,16 +1,16 @@
-"""Step operators (P4–P6, A7–A12, T1–T6, T8, F1) as column expressions.
+"""Step operators (P4–P6, A7–A12, T1–T6, T8, F1) as SQL expressions.
 
-Every function returns Spark ``Column`` objects evaluated against the step-entry
-row, so a whole DAG level compiles into a single projection (no shuffle, one
-whole-stage-codegen span).
+Every function returns Spark SQL expression text evaluated against the
+step-entry row, so a whole DAG level compiles into a single projection (no
+shuffle, one code-generated stage). Building the level as SQL text and handing it
+to the JVM once (``selectExpr``) keeps driver-side planning cheap even for wide
+pipelines.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobframe.spec import ConditionStep, MapStep, Outputs, SpecError, TransformStep
@@ -34,194 +34,199 @@ TASK_ERROR = "Task execution error: "
 TIMEOUT_ERROR = "Timeout error: "
 EXPRESSION_ERROR = "Expression evaluation error: "
 
+NULL_STR = "CAST(NULL AS STRING)"
+EMPTY_MAP = "CAST(map() AS MAP<STRING,STRING>)"
 
-def empty_outputs() -> Column:
-    return F.create_map().cast("map<string,string>")
 
+def lit(s: str) -> str:
+    """SQL string literal (backslash escapes are processed by the Spark parser)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def step_result(stdout: Column, stderr: Column, exit_code: Column, duration_ms: Column, attempt: Column,
-                outputs: Column) -> Column:
-    return F.struct(
-        stdout.cast("string").alias("stdout"),
-        stderr.cast("string").alias("stderr"),
-        exit_code.cast("int").alias("exit_code"),
-        duration_ms.cast("bigint").alias("duration_ms"),
-        attempt.cast("int").alias("attempt"),
-        outputs.alias("outputs"),
-    )
 
+def ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-def ok_result(stdout: Column | None = None) -> Column:
+
+def step_result(stdout: str, stderr: str, exit_code: str, duration_ms: str, attempt: str, outputs: str) -> str:
+    return (f"named_struct('stdout', CAST({stdout} AS STRING), 'stderr', CAST({stderr} AS STRING), "
+            f"'exit_code', CAST({exit_code} AS INT), 'duration_ms', CAST({duration_ms} AS BIGINT), "
+            f"'attempt', CAST({attempt} AS INT), 'outputs', {outputs})")
+
+
+def ok_result(stdout: str = NULL_STR) -> str:
     """map/condition result – exit 0, attempt 1, no stderr, empty outputs."""
-    return step_result(stdout if stdout is not None else F.lit(None), F.lit(None), F.lit(0), F.lit(0),
-                       F.lit(1), empty_outputs())
+    return step_result(stdout, NULL_STR, "0", "0", "1", EMPTY_MAP)
 
 
-def failure_result(error: Column) -> Column:
+def failure_result(error: str) -> str:
     """a failed step keeps only the error text; exit -1, attempt 0, duration 0."""
-    return step_result(F.lit(None), error, F.lit(-1), F.lit(0), F.lit(0), empty_outputs())
+    return step_result(NULL_STR, error, "-1", "0", "0", EMPTY_MAP)
 
 
 @dataclass
-class StepColumns:
-    """What one step contributes to its level."""
+class StepSQL:
+    """What one step contributes to its level (all SQL text)."""
 
-    result: Column           # STEP_RESULT struct
-    failed: Column           # boolean, never NULL
-    emit: Column             # boolean, never NULL
-    skip_level: Column       # int level index or NULL
-    held: Column             # failed and step failure action is stop
-    updates: list[tuple[str, Column]]  # map-step (payload path, value)
+    result: str               # STEP_RESULT struct
+    failed: str               # boolean, never NULL
+    emit: str                 # boolean, never NULL
+    skip_level: str           # int level index or NULL
+    held: str                 # failed and the step's failure action is stop
+    updates: list[tuple[str, str]]  # map-step (payload path, value)
 
 
-def _false() -> Column:
-    return F.lit(False)
+def _stop(step, failed: str) -> str:
+    return f"({failed})" if step.failure.action == "stop" else "false"
 
 
-def compile_map(step: MapStep, values: list[Column] | None = None) -> StepColumns:
-    updates = []
-    for i, (target, expr) in enumerate(step.set):
-        path = target[len("job.payload."):]
-        updates.append((path, values[i] if values is not None else F.expr(expr)))
-    failed = F.col("job.payload").isNull()
-    result = F.when(failed, failure_result(F.lit(PIPELINE_ERROR + "job.payload is not an object"))).otherwise(ok_result())
-    return StepColumns(result, failed, _false(), F.lit(None).cast("int"),
-                       failed & F.lit(step.failure.action == "stop"), updates)
+def compile_map(step: MapStep, values: list[str]) -> StepSQL:
+    updates = [(target[len("job.payload."):], values[i]) for i, (target, _) in enumerate(step.set)]
+    failed = "(job.payload IS NULL)"
+    result = (f"CASE WHEN {failed} THEN {failure_result(lit(PIPELINE_ERROR + 'job.payload is not an object'))} "
+              f"ELSE {ok_result()} END")
+    return StepSQL(result, failed, "false", "CAST(NULL AS INT)", _stop(step, failed), updates)
 
 
-def compile_condition(step: ConditionStep, skip_level: int | None, c: Column | None = None) -> StepColumns:
-    c = F.expr(step.expr) if c is None else c
+def compile_condition(step: ConditionStep, skip_level: int | None, c: str) -> StepSQL:
     # NULL (missing key / null operand) is an evaluation error, not false.
-    err_null = F.lit(f"{EXPRESSION_ERROR}Condition '{step.expr}' did not evaluate to a boolean")
+    err_null = lit(f"{EXPRESSION_ERROR}Condition '{step.expr}' did not evaluate to a boolean")
     if step.action == "fail":
         reason = step.reason if step.reason is not None else f"Condition '{step.expr}' evaluated to false"
-        failed = c.isNull() | ~c
-        error = F.when(c.isNull(), err_null).otherwise(F.lit(PIPELINE_ERROR + reason))
-        result = F.when(failed, failure_result(error)).otherwise(ok_result())
-        return StepColumns(result, failed, _false(), F.lit(None).cast("int"),
-                           failed & F.lit(step.failure.action == "stop"), [])
-    failed = c.isNull()
+        failed = f"({c} IS NULL OR NOT {c})"
+        error = f"CASE WHEN {c} IS NULL THEN {err_null} ELSE {lit(PIPELINE_ERROR + reason)} END"
+        result = f"CASE WHEN {failed} THEN {failure_result(error)} ELSE {ok_result()} END"
+        return StepSQL(result, failed, "false", "CAST(NULL AS INT)", _stop(step, failed), [])
+    failed = f"({c} IS NULL)"
     if step.action == "emit":
-        stdout = F.when(~c, F.lit("emitted"))
-        emit = F.coalesce(~c, _false())
-        skip = F.lit(None).cast("int")
+        stdout = f"CASE WHEN NOT {c} THEN 'emitted' END"
+        emit = f"(coalesce(NOT {c}, false))"
+        skip = "CAST(NULL AS INT)"
     else:  # skip_to
-        stdout = F.when(~c, F.lit(f"skipped_to: {step.skip_to}"))
-        emit = _false()
-        skip = F.when(~c, F.lit(skip_level)).cast("int")
-    result = F.when(failed, failure_result(err_null)).otherwise(ok_result(stdout))
-    return StepColumns(result, failed, emit & ~failed, F.when(~failed, skip), failed & F.lit(step.failure.action == "stop"), [])
+        stdout = f"CASE WHEN NOT {c} THEN {lit('skipped_to: ' + str(step.skip_to))} END"
+        emit = "false"
+        skip = f"CASE WHEN {c} IS NOT NULL AND NOT {c} THEN {int(skip_level)} END"
+    result = f"CASE WHEN {failed} THEN {failure_result(err_null)} ELSE {ok_result(stdout)} END"
+    return StepSQL(result, failed, emit, skip, _stop(step, failed), [])
 
 
-def _json_path(key: str) -> str:
-    parts = key.split(".")
-    return "$" + "".join("['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']" for p in parts)
+def json_path(key: str) -> str:
+    return "$" + "".join("['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']" for p in key.split("."))
 
 
-def extract_outputs(stdout: Column, outputs: Outputs | None, doc: Column | None = None) -> Column:
-    """Build the outputs map (values as JSON text) from captured stdout."""
+def extract_outputs(stdout: str, outputs: Outputs | None, doc: str | None = None) -> str:
+    """The outputs map (values as JSON text) from captured stdout."""
     if outputs is None or not outputs.fields:
-        return empty_outputs()
+        return EMPTY_MAP
     if outputs.format == "text":
-        return F.when(stdout.isNull(), empty_outputs()).otherwise(_text_outputs(stdout, outputs))
+        j = f"to_json(array({stdout}))"
+        as_json = f"substring({j}, 2, length({j}) - 2)"  # JSON text of the string value
+        entries = ", ".join(f"{lit(f.name)}, {as_json}" for f in outputs.fields)
+        return f"CASE WHEN {stdout} IS NULL THEN {EMPTY_MAP} ELSE map({entries}) END"
     if outputs.format != "json":
         raise SpecError(f"unknown outputs format {outputs.format!r}")
-    doc = F.try_parse_json(stdout) if doc is None else doc
+    doc = doc or f"try_parse_json({stdout})"
     entries = []
-    for f_ in outputs.fields:
-        if f_.key == "":
-            val = F.to_json(doc)
+    for f in outputs.fields:
+        if f.key == "":
+            val = f"to_json({doc})"
         else:
-            val = F.coalesce(F.to_json(F.try_variant_get(doc, _json_path(f_.key), "variant")), F.lit("null"))
-        entries += [F.lit(f_.name), val]
-    return F.when(doc.isNull(), empty_outputs()).otherwise(F.create_map(*entries))
-
-
-def _text_outputs(stdout: Column, outputs: Outputs) -> Column:
-    as_json = F.regexp_extract(F.to_json(F.array(stdout)), r"^\[(.*)\]$", 1)
-    entries = []
-    for f_ in outputs.fields:
-        entries += [F.lit(f_.name), as_json]
-    return F.create_map(*entries)
-
-
-def _rust_list(codes) -> str:
-    return "[" + ", ".join(str(c) for c in codes) + "]"
+            val = f"coalesce(to_json(try_variant_get({doc}, {lit(json_path(f.key))}, 'variant')), 'null')"
+        entries.append(f"{lit(f.name)}, {val}")
+    return f"CASE WHEN {doc} IS NULL THEN {EMPTY_MAP} ELSE map({', '.join(entries)}) END"
 
 
-def transform_raw(step: TransformStep, expr_type: T.DataType) -> Column:
+def transform_raw(step: TransformStep, expr_type: T.DataType) -> str:
     """Normalise the transform expression to struct(stdout, stderr, exit_code, duration_ms)."""
-    r = F.expr(step.expr)
+    r = f"({step.expr})"
     if isinstance(expr_type, T.StructType):
         names = set(expr_type.fieldNames())
-        stdout = r["stdout"].cast("string") if "stdout" in names else F.lit(None).cast("string")
-        stderr = r["stderr"].cast("string") if "stderr" in names else F.lit(None).cast("string")
-        exit_code = r["exit_code"].cast("int") if "exit_code" in names else F.lit(0)
-        duration = r["duration_ms"].cast("bigint") if "duration_ms" in names else F.lit(0).cast("bigint")
+        stdout = f"CAST({r}.stdout AS STRING)" if "stdout" in names else NULL_STR
+        stderr = f"CAST({r}.stderr AS STRING)" if "stderr" in names else NULL_STR
+        exit_code = f"CAST({r}.exit_code AS INT)" if "exit_code" in names else "0"
+        duration = f"CAST({r}.duration_ms AS BIGINT)" if "duration_ms" in names else "CAST(0 AS BIGINT)"
     else:
-        stdout, stderr, exit_code, duration = r.cast("string"), F.lit(None).cast("string"), F.lit(0), F.lit(0).cast("bigint")
-    return F.struct(stdout.alias("stdout"), stderr.alias("stderr"),
-                    F.coalesce(exit_code, F.lit(-1)).alias("exit_code"),
-                    F.coalesce(duration, F.lit(0).cast("bigint")).alias("duration_ms"))
+        stdout, stderr, exit_code, duration = f"CAST({r} AS STRING)", NULL_STR, "0", "CAST(0 AS BIGINT)"
+    return (f"named_struct('stdout', {stdout}, 'stderr', {stderr}, 'exit_code', coalesce({exit_code}, -1), "
+            f"'duration_ms', coalesce({duration}, CAST(0 AS BIGINT)))")
 
 
-def compile_transform(step: TransformStep, raw: Column, doc: Column | None = None) -> StepColumns:
-    """T3–T6, T8 on the normalised transform result ``raw``."""
-    stdout, stderr, exit_code, duration = raw["stdout"], raw["stderr"], raw["exit_code"], raw["duration_ms"]
-    checks: list[tuple[Column, Column]] = []
+def _rust_list(codes) -> str:
+    return "[" + ", ".join(str(c) for c in codes) + "]"
+
+
+def compile_transform(step: TransformStep, raw: str, doc: str | None = None) -> StepSQL:
+    """T3–T6, T8 on the normalised transform result column ``raw``."""
+    stdout, stderr, exit_code, duration = f"{raw}.stdout", f"{raw}.stderr", f"{raw}.exit_code", f"{raw}.duration_ms"
+    checks: list[tuple[str, str]] = []
     if step.timeout_secs > 0:
-        checks.append((duration > step.timeout_secs * 1000,
-                       F.lit(f"{TIMEOUT_ERROR}Task timed out after {step.timeout_secs}s")))
+        checks.append((f"{duration} > {step.timeout_secs * 1000}",
+                       lit(f"{TIMEOUT_ERROR}Task timed out after {step.timeout_secs}s")))
     if step.stdout_max_bytes > 0:
-        checks.append((F.coalesce(F.octet_length(stdout), F.lit(0)) > step.stdout_max_bytes,
-                       F.lit(f"{TASK_ERROR}stdout exceeded max_bytes limit of {step.stdout_max_bytes}")))
+        checks.append((f"coalesce(octet_length({stdout}), 0) > {step.stdout_max_bytes}",
+                       lit(f"{TASK_ERROR}stdout exceeded max_bytes limit of {step.stdout_max_bytes}")))
     if step.stderr_max_bytes > 0:
-        checks.append((F.coalesce(F.octet_length(stderr), F.lit(0)) > step.stderr_max_bytes,
-                       F.lit(f"{TASK_ERROR}stderr exceeded max_bytes limit of {step.stderr_max_bytes}")))
+        checks.append((f"coalesce(octet_length({stderr}), 0) > {step.stderr_max_bytes}",
+                       lit(f"{TASK_ERROR}stderr exceeded max_bytes limit of {step.stderr_max_bytes}")))
     if step.success_exit_codes:
         codes = list(step.success_exit_codes)
-        checks.append((~exit_code.isin(codes),
-                       F.concat(F.lit(f"{TASK_ERROR}Exit code "), exit_code.cast("string"),
-                                F.lit(f" is not in success_exit_codes {_rust_list(codes)}"))))
-    error = None
-    for cond, msg in reversed(checks):
-        error = F.when(cond, msg) if error is None else F.when(cond, msg).otherwise(error)
-    error = error if error is not None else F.lit(None).cast("string")
-    failed = error.isNotNull()
-    good = step_result(stdout, stderr, exit_code, duration, F.lit(1), extract_outputs(stdout, step.outputs, doc))
-    result = F.when(failed, failure_result(error)).otherwise(good)
-    return StepColumns(result, failed, _false(), F.lit(None).cast("int"),
-                       failed & F.lit(step.failure.action == "stop"), [])
-
-
-def set_path(payload: Column, payload_type: T.StructType, path: str, value: Column, cond: Column) -> Column:
-    """P5 nested set on a struct payload, applied where ``cond`` holds.
-
-    Creates missing parents and replaces a non-object (or NULL) parent with a new
-    object, like setting a dotted path in a JSON document. Rows where ``cond`` is
-    false keep their values (new fields are NULL there, which JSON output omits).
+        checks.append((f"NOT ({exit_code} IN ({', '.join(str(c) for c in codes)}))",
+                       f"concat({lit(TASK_ERROR + 'Exit code ')}, CAST({exit_code} AS STRING), "
+                       f"{lit(' is not in success_exit_codes ' + _rust_list(codes))})"))
+    if checks:
+        error = "CASE " + " ".join(f"WHEN {c} THEN {m}" for c, m in checks) + " END"
+    else:
+        error = NULL_STR
+    failed = f"({error} IS NOT NULL)"
+    good = step_result(stdout, stderr, exit_code, duration, "1", extract_outputs(stdout, step.outputs, doc))
+    result = f"CASE WHEN {failed} THEN {failure_result(error)} ELSE {good} END"
+    return StepSQL(result, failed, "false", "CAST(NULL AS INT)", _stop(step, failed), [])
+
+
+def apply_updates(payload: str, payload_type: T.StructType, updates: list[tuple[str, str]], cond: str) -> str:
+    """P4 + P5: all map targets of a level applied to the payload struct in one rebuild.
+
+    Targets are dotted paths; later targets win (declared order). A missing
+    parent is created; a non-object parent is replaced by a new object, as when
+    setting a path in a JSON document. Rows where ``cond`` is false keep their
+    values (new fields are NULL there, which JSON output omits). A NULL payload
+    stays NULL. Each value expression appears once in the result.
     """
-    parts = path.split(".")
-    head = parts[0]
-    field = next((f for f in payload_type.fields if f.name == head), None)
-    if len(parts) == 1:
-        new = F.when(cond, value)
-        if field is not None:
-            new = new.otherwise(payload[head])
-        return payload.withField(head, new)
-    rest = ".".join(parts[1:])
-    if field is not None and isinstance(field.dataType, T.StructType):
-        parent = payload[head]
-        # rebuild the parent so a NULL parent becomes an object, not NULL
-        base = F.struct(*[parent[f.name].alias(f.name) for f in field.dataType.fields])
-        child = set_path(base, field.dataType, rest, value, cond)
-        return payload.withField(head, F.when(cond | parent.isNotNull(), child))
-    return payload.withField(head, F.when(cond, _fresh(rest, value)))
-
-
-def _fresh(path: str, value: Column) -> Column:
-    parts = path.split(".")
-    col = value
-    for p in reversed(parts[1:]):
-        col = F.struct(col.alias(p))
-    return F.struct(col.alias(parts[0]))
+    tree: dict = {}
+    for path, value in updates:
+        node = tree
+        parts = path.split(".")
+        for p in parts[:-1]:
+            if not isinstance(node.get(p), dict):
+                node[p] = {}
+            node = node[p]
+        node[parts[-1]] = value
+    body = _rebuild(payload, payload_type, tree, cond)
+    return f"CASE WHEN {payload} IS NULL THEN NULL ELSE {body} END"
+
+
+def _rebuild(base: str, base_type: T.StructType, tree: dict, cond: str) -> str:
+    items = []
+    names = [f.name for f in base_type.fields]
+    for f in base_type.fields:
+        ref = f"{base}.{ident(f.name)}"
+        node = tree.get(f.name)
+        if node is None:
+            items.append(f"{lit(f.name)}, {ref}")
+        elif not isinstance(node, dict):
+            items.append(f"{lit(f.name)}, CASE WHEN {cond} THEN {node} ELSE {ref} END")
+        elif isinstance(f.dataType, T.StructType):
+            child = _rebuild(ref, f.dataType, node, cond)  # a NULL parent becomes an object
+            items.append(f"{lit(f.name)}, CASE WHEN {cond} OR {ref} IS NOT NULL THEN {child} END")
+        else:
+            items.append(f"{lit(f.name)}, CASE WHEN {cond} THEN {_fresh(node)} END")
+    for name, node in tree.items():
+        if name in names:
+            continue
+        val = _fresh(node) if isinstance(node, dict) else node
+        items.append(f"{lit(name)}, CASE WHEN {cond} THEN {val} END")
+    return f"named_struct({', '.join(items)})"
+
+
+def _fresh(tree: dict) -> str:
+    return "named_struct(" + ", ".join(
+        f"{lit(k)}, {_fresh(v) if isinstance(v, dict) else v}" for k, v in tree.items()) + ")"

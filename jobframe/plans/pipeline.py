@@ -53,9 +53,21 @@ def _needs_view(spec: PipelineSpec) -> bool:
     return any("steps" in t for t in texts)
 
 
+def _view_sql(spec: PipelineSpec) -> str:
+    parts = []
+    for s in spec.steps:
+        c = S.ident(_step_col(s.id))
+        parts.append(f"{S.lit(s.id)}, CASE WHEN {c} IS NULL THEN NULL ELSE named_struct("
+                     f"'stdout', coalesce({c}.stdout, ''), 'stderr', coalesce({c}.stderr, ''), "
+                     f"'exit_code', {c}.exit_code, 'duration_ms', {c}.duration_ms, 'attempt', {c}.attempt, "
+                     f"'outputs', {c}.outputs) END")
+    return f"named_struct({', '.join(parts)})"
+
+
 def _with_view(df: DataFrame, spec: PipelineSpec) -> DataFrame:
     if _needs_view(spec):
-        return df.withColumn("steps", _steps_view(spec))
+        cols = [S.ident(c) for c in df.columns if c != "steps"]
+        return df.selectExpr(*cols, f"{_view_sql(spec)} AS steps")
     return df
 
 
@@ -65,14 +77,8 @@ def _probe(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], df.schema)
 
 
-def _job_struct(payload: Column) -> Column:
-    return F.struct(
-        F.col("id").alias("id"),
-        F.col("source").alias("source"),
-        payload.alias("payload"),
-        F.col("labels").alias("labels"),
-        F.col("correlation_key").alias("correlation_key"),
-    )
+JOB_STRUCT = ("named_struct('id', id, 'source', source, 'payload', {payload}, 'labels', labels, "
+              "'correlation_key', correlation_key)")
 
 
 def prepare(jobs: DataFrame, spec: PipelineSpec) -> DataFrame:
@@ -83,20 +89,20 @@ def prepare(jobs: DataFrame, spec: PipelineSpec) -> DataFrame:
     if spec.payload_schema:
         # only a JSON object maps onto the payload struct; anything else is NULL
         # (a map step then fails with "job.payload is not an object")
-        work = F.when(F.ltrim(F.col("payload")).startswith("{"), F.from_json(F.col("payload"), spec.payload_schema))
+        work = (f"CASE WHEN startswith(ltrim(payload), '{{') THEN from_json(payload, "
+                f"{S.lit(spec.payload_schema)}) END")
     else:
-        work = F.try_parse_json(F.col("payload"))
-    return jobs.select(
-        *[c for c in jobs.columns],
-        F.lit(spec.id).alias("pipeline_id"),
-        _job_struct(work).alias("job"),
-        *[F.lit(None).cast(S.STEP_RESULT_TYPE).alias(_step_col(s.id)) for s in spec.steps],
-        F.struct(F.lit(spec.id).alias("id")).alias("pipeline"),
-        F.lit(0).alias("_level"),
-        F.lit(False).alias("_done"),
-        F.lit("success").alias("_status"),
-        F.lit(False).alias("_held"),
-    ).transform(lambda d: _with_view(d, spec))
+        work = "try_parse_json(payload)"
+    empty = f"CAST(NULL AS {S.STEP_RESULT_DDL})"
+    df = jobs.selectExpr(
+        *[S.ident(c) for c in jobs.columns],
+        f"{S.lit(spec.id)} AS pipeline_id",
+        JOB_STRUCT.format(payload=work) + " AS job",
+        *[f"{empty} AS {S.ident(_step_col(s.id))}" for s in spec.steps],
+        f"named_struct('id', {S.lit(spec.id)}) AS pipeline",
+        "0 AS _level", "false AS _done", "'success' AS _status", "false AS _held",
+    )
+    return _with_view(df, spec)
 
 
 def _payload_type(df: DataFrame) -> T.DataType:
@@ -104,98 +110,88 @@ def _payload_type(df: DataFrame) -> T.DataType:
 
 
 def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str]) -> DataFrame:
-    run = (~F.col("_done")) & (F.col("_level") == F.lit(level_idx))
-    # Pass 1: evaluate each user expression once into a temp column, so the checks
-    # below reference it instead of re-evaluating it (CollapseProject keeps
-    # non-cheap expressions that are referenced more than once).
-    pre: list[Column] = []
-    pre2: list[Column] = []
-    tmp: list[str] = []
+    """One DAG level = three projections: user expressions, per-step results and
+    flags, then the fold into the row's level state. Each user expression is
+    evaluated once; later projections only reference columns."""
     probe = _probe(df)
+    pre: list[str] = []
+    pre2: list[str] = []
+    tmp: list[str] = []
     for sid in level:
         step = spec.step(sid)
         if isinstance(step, MapStep):
             if not isinstance(_payload_type(df), T.StructType):
                 raise SpecError(f"map step {sid}: declare payload_schema to update the payload")
             for i, (_, e) in enumerate(step.set):
-                pre.append(F.expr(e).alias(f"_m_{sid}_{i}"))
+                pre.append(f"({e}) AS `_m_{sid}_{i}`")
                 tmp.append(f"_m_{sid}_{i}")
         elif isinstance(step, ConditionStep):
-            t = probe.select(F.expr(step.expr).alias("c")).schema["c"].dataType
+            t = probe.selectExpr(f"({step.expr}) AS c").schema["c"].dataType
             if not isinstance(t, (T.BooleanType, T.NullType)):  # A12 at plan time
                 raise SpecError(f"condition {sid}: expression type {t.simpleString()} is not boolean")
-            pre.append(F.expr(step.expr).alias(f"_c_{sid}"))
+            pre.append(f"CAST(({step.expr}) AS BOOLEAN) AS `_c_{sid}`")
             tmp.append(f"_c_{sid}")
         elif isinstance(step, TransformStep):
-            t = probe.select(F.expr(step.expr).alias("r")).schema["r"].dataType
-            pre.append(S.transform_raw(step, t).alias(f"_t_{sid}"))
+            t = probe.selectExpr(f"({step.expr}) AS r").schema["r"].dataType
+            pre.append(f"{S.transform_raw(step, t)} AS `_t_{sid}`")
             tmp.append(f"_t_{sid}")
             if step.outputs is not None and step.outputs.format == "json" and step.outputs.fields:
-                pre2.append(F.try_parse_json(F.col(f"_t_{sid}.stdout")).alias(f"_d_{sid}"))
+                pre2.append(f"try_parse_json(`_t_{sid}`.stdout) AS `_d_{sid}`")
                 tmp.append(f"_d_{sid}")
         else:
             raise SpecError(f"unknown step type {type(step)}")
-    df = df.select("*", *pre)
+    df = df.selectExpr("*", *pre)
     if pre2:
-        df = df.select("*", *pre2)
-    probe = _probe(df)
+        df = df.selectExpr("*", *pre2)
 
-    compiled: list[tuple[str, S.StepColumns]] = []
+    flags: list[str] = []
+    compiled: list[tuple[str, S.StepSQL]] = []
     for sid in level:
         step = spec.step(sid)
         if isinstance(step, MapStep):
-            sc = S.compile_map(step, [F.col(f"_m_{sid}_{i}") for i in range(len(step.set))])
+            sc = S.compile_map(step, [f"`_m_{sid}_{i}`" for i in range(len(step.set))])
         elif isinstance(step, ConditionStep):
             target = spec.level_of(step.skip_to) if step.action == "skip_to" else None
-            sc = S.compile_condition(step, target, F.col(f"_c_{sid}"))
+            sc = S.compile_condition(step, target, f"`_c_{sid}`")
         else:
-            doc = F.col(f"_d_{sid}") if f"_d_{sid}" in tmp else None
-            sc = S.compile_transform(step, F.col(f"_t_{sid}"), doc)
+            doc = f"`_d_{sid}`" if f"_d_{sid}" in tmp else None
+            sc = S.compile_transform(step, f"`_t_{sid}`", doc)
         compiled.append((sid, sc))
-
-    any_failed = F.lit(False)
-    any_emit = F.lit(False)
-    any_held = F.lit(False)
-    last_skip = F.lit(None).cast("int")
-    for _, sc in compiled:
-        any_failed = any_failed | sc.failed
-        any_emit = any_emit | sc.emit
-        any_held = any_held | sc.held
-        last_skip = F.coalesce(sc.skip_level, last_skip)  # later declared wins
-
-    results = [F.when(run, sc.result).otherwise(F.col(_step_col(sid))).alias(_step_col(sid))
-               for sid, sc in compiled]
-    written = {_step_col(sid) for sid, _ in compiled}
+        flags += [f"{sc.result} AS `_r_{sid}`", f"{sc.failed} AS `_f_{sid}`", f"{sc.emit} AS `_e_{sid}`",
+                  f"{sc.skip_level} AS `_k_{sid}`", f"{sc.held} AS `_h_{sid}`"]
+        tmp += [f"_r_{sid}", f"_f_{sid}", f"_e_{sid}", f"_k_{sid}", f"_h_{sid}"]
+    df = df.selectExpr("*", *flags)
+
+    run = f"(NOT _done AND _level = {level_idx})"
+    ids = [sid for sid, _ in compiled]
+    any_failed = "(" + " OR ".join(f"`_f_{i}`" for i in ids) + ")"
+    any_emit = "(" + " OR ".join(f"`_e_{i}`" for i in ids) + ")"
+    any_held = "(" + " OR ".join(f"`_h_{i}`" for i in ids) + ")"
+    last_skip = "coalesce(" + ", ".join(f"`_k_{i}`" for i in reversed(ids)) + ", CAST(NULL AS INT))"
+    results = [f"CASE WHEN {run} THEN `_r_{sid}` ELSE {S.ident(_step_col(sid))} END AS {S.ident(_step_col(sid))}"
+               for sid in ids]
+    written = {_step_col(sid) for sid in ids}
 
     # D-3: map targets of the level applied in declared order onto the entry payload
-    payload = F.col("job.payload")
-    ptype = _payload_type(df)
     updates = [u for _, sc in compiled for u in sc.updates]
-    apply = run & ~any_failed
-    for path, value in updates:
-        payload = S.set_path(payload, ptype, path, value, apply)
-        ptype = probe.select(payload.alias("p")).schema["p"].dataType
-
-    next_level = (
-        F.when(~run, F.col("_level"))
-        .when(any_failed | any_emit, F.col("_level"))
-        .when(last_skip.isNotNull() & (last_skip > F.lit(level_idx)), last_skip)
-        .otherwise(F.lit(level_idx + 1))
-    )
-    stop = run & (any_failed | any_emit)
-    status = F.when(run & any_failed, F.lit("failure")).otherwise(F.col("_status"))
-    held = F.col("_held") | (run & any_failed & (F.lit(spec.failure.action == "stop") | any_held))
-
-    keep = [c for c in df.columns
+    job_col = "job"
+    if updates:
+        payload = S.apply_updates("job.payload", _payload_type(df), updates, f"({run} AND NOT {any_failed})")
+        job_col = JOB_STRUCT.format(payload=payload) + " AS job"
+
+    next_level = (f"CASE WHEN NOT {run} THEN _level WHEN {any_failed} OR {any_emit} THEN _level "
+                  f"WHEN {last_skip} > {level_idx} THEN {last_skip} ELSE {level_idx + 1} END AS _level")
+    keep = [S.ident(c) for c in df.columns
             if c not in ("job", "_level", "_done", "_status", "_held", "steps", *tmp, *written)]
-    out = df.select(
+    out = df.selectExpr(
         *keep,
-        _job_struct(payload).alias("job") if updates else F.col("job"),
+        job_col,
         *results,
-        next_level.alias("_level"),
-        (F.col("_done") | stop).alias("_done"),
-        status.alias("_status"),
-        held.alias("_held"),
+        next_level,
+        f"(_done OR ({run} AND ({any_failed} OR {any_emit}))) AS _done",
+        f"CASE WHEN {run} AND {any_failed} THEN 'failure' ELSE _status END AS _status",
+        f"(_held OR ({run} AND {any_failed} AND ({'true' if spec.failure.action == 'stop' else 'false'} "
+        f"OR {any_held}))) AS _held",
     )
     return _with_view(out, spec)
 
