@@ -94,3 +94,99 @@ def merge_rounds_stream(jobs: DataFrame, sources: list[str], timeout_secs: int,
     return src.groupBy("key").applyInPandasWithState(
         _fold(sources, float(max(timeout_secs, 1))), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
+
+
+# ── J5: correlation by expression (greedy first matching group) ──────────────
+
+THETA_STATE = "groups string"
+
+
+def _theta_fold(sources: list[str], timeout_s: float, match):
+    limit = pd.Timedelta(seconds=timeout_s)
+    need = set(sources)
+
+    def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        k = key[0]
+        out = []
+        groups = json.loads(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            # only the groups whose deadline the watermark passed expire
+            wm = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+            live = []
+            for g in groups:
+                if pd.Timestamp(g["t0"]) + limit < wm:
+                    out.append((k, pd.Timestamp(g["t0"]), "expired", ",".join(m["id"] for m in g["members"]),
+                                ",".join(m["source"] for m in g["members"]), json.dumps(g["members"])))
+                else:
+                    live.append(g)
+            if live:
+                state.update((json.dumps(live),))
+                state.setTimeoutTimestamp(int((min(pd.Timestamp(g["t0"]) for g in live) + limit).timestamp() * 1000))
+            else:
+                state.remove()
+            yield pd.DataFrame(out, columns=["key", "group_start", "status", "member_ids", "member_sources",
+                                             "members"])
+            return
+        batch = pd.concat(list(pdfs)).sort_values(["ts", "seq"])
+        for ts, src, jid, payload in zip(batch["ts"], batch["source"], batch["id"], batch["payload"]):
+            ts = pd.Timestamp(ts)
+            live = []
+            for g in groups:  # groups older than the limit are discarded on arrival
+                if ts - pd.Timestamp(g["t0"]) > limit:
+                    out.append((k, pd.Timestamp(g["t0"]), "expired", ",".join(m["id"] for m in g["members"]),
+                                ",".join(m["source"] for m in g["members"]), json.dumps(g["members"])))
+                else:
+                    live.append(g)
+            groups = live
+            job = {"id": jid, "source": src, "payload": payload, "ts": ts.isoformat()}
+            body = json.loads(payload) if payload else None
+            target = None
+            for g in groups:  # the first group (creation order) with any matching member
+                try:
+                    if any(match(json.loads(m["payload"]) if m["payload"] else None, body) for m in g["members"]):
+                        target = g
+                        break
+                except Exception:  # an evaluation error drops the job
+                    target = "error"
+                    break
+            if target == "error":
+                continue
+            if target is None:
+                target = {"t0": ts.isoformat(), "members": []}
+                groups.append(target)
+            if any(m["source"] == src for m in target["members"]):
+                continue  # duplicate source while the group is open
+            target["members"].append(job)
+            if {m["source"] for m in target["members"]} >= need:
+                out.append((k, pd.Timestamp(target["t0"]), "complete",
+                            ",".join(m["id"] for m in target["members"]),
+                            ",".join(m["source"] for m in target["members"]), json.dumps(target["members"])))
+                groups.remove(target)
+        if groups:
+            state.update((json.dumps(groups),))
+            first = min(pd.Timestamp(g["t0"]) for g in groups)
+            state.setTimeoutTimestamp(int((first + limit).timestamp() * 1000))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["key", "group_start", "status", "member_ids", "member_sources", "members"])
+
+    return fn
+
+
+def merge_theta_stream(jobs: DataFrame, sources: list[str], match, timeout_secs: int, block_key: str,
+                       ts: str = "arrival_ts", seq: str = "arrival_seq", watermark: str = "1 minute") -> DataFrame:
+    """Join each arriving job to the first open group (creation order) holding a
+    member ``a`` with ``match(a_payload, b_payload)``; otherwise open a new group.
+
+    ``block_key`` is the equality part of the correlation expression (required at
+    scale: groups only match inside a block); ``match`` is the residual predicate on
+    the two payloads (dicts). State per block is the open groups, each living at
+    most ``timeout_secs`` from its first job, so it is bounded by the block's jobs
+    within one timeout."""
+    src = (jobs.where(F.col(block_key).isNotNull() & F.col("source").isin(sources))
+           .select(F.col(block_key).cast("string").alias("key"), "source", "id", "payload",
+                   F.col(ts).cast("timestamp").alias("ts"), F.col(seq).alias("seq"))
+           .withWatermark("ts", watermark))
+    return src.groupBy("key").applyInPandasWithState(
+        _theta_fold(sources, float(max(timeout_secs, 1)), match), OUTPUT_SCHEMA, THETA_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)

@@ -93,3 +93,28 @@ def test_stream_merge_with_timeout(spark, tmp_path):
     assert ("k2", "expired", "k2-a-0") in rows
     assert ("k3", "expired", "k3-b-0") in rows
     assert not any(r[0] == "k1" and r[1] == "expired" for r in rows)
+
+
+def test_stream_theta_merge_greedy_first_group(spark, tmp_path):
+    from jobframe.streaming.merge import merge_theta_stream
+
+    src = tmp_path / "theta"
+    src.mkdir()
+    base = dt.datetime(2024, 1, 1)
+    # block k: a(q=5)@0, a(q=20)@1, b(q=10)@2 → b matches the first group whose member has q >= b.q: a(q=20)
+    # b(q=1)@3 → first group a(q=5) matches; b(q=50)@4 → no match → new group (open until timeout)
+    rows = [("k", "a", 5, 0), ("k", "a", 20, 1), ("k", "b", 10, 2), ("k", "b", 1, 3), ("k", "b", 50, 4),
+            ("z", "a", 1, 500)]
+    recs = [json.dumps({"blk": k, "source": s, "id": f"{s}{q}", "payload": json.dumps({"q": q}),
+                        "arrival_ts": (base + dt.timedelta(seconds=o)).isoformat(), "arrival_seq": i})
+            for i, (k, s, q, o) in enumerate(rows)]
+    (src / "all.json").write_text("\n".join(recs) + "\n")
+    jobs = spark.readStream.schema("blk string, source string, id string, payload string, "
+                                   "arrival_ts timestamp, arrival_seq long").json(str(src))
+    out = merge_theta_stream(jobs, ["a", "b"], lambda a, b: a["q"] >= b["q"], 60, "blk", watermark="0 seconds")
+    q = out.writeStream.format("memory").queryName("theta_out").outputMode("append").option(
+        "checkpointLocation", str(tmp_path / "tck")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    rows = {(r.key, r.status, r.member_ids) for r in spark.table("theta_out").collect()}
+    assert ("k", "complete", "a20,b10") in rows
+    assert ("k", "complete", "a5,b1") in rows
