@@ -3,102 +3,110 @@
 All deliveries of a result are built in one projection as an
 ``array<struct<sink_id, scope, step_id, status, steps>>`` and exploded, so
 fan-out to k sinks is a single pass with no shuffle. Writing per sink is then a
-``partitionBy(sink_id)`` (see ``jobframe.operators.sinks``).
+``partitionBy(sink_id)`` (see ``jobframe.operators.sinks``). The projection is
+generated as SQL text and handed to the JVM once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobframe.plans.pipeline import _steps_view
+from jobframe.operators.steps import ident, lit
 from jobframe.spec import PipelineSpec
 
 DELIVERY_SCOPES = ("route", "step", "pipeline", "dead_letter", "step_dead_letter")
+ELEM_TYPE = "struct<sink_id:string,scope:string,step_id:string,status:string,steps:array<string>>"
 
 
-def _elem(sink: str, scope: str, step_id: str | None, status: Column, steps: Column) -> Column:
-    return F.struct(
-        F.lit(sink).alias("sink_id"),
-        F.lit(scope).alias("scope"),
-        F.lit(step_id).cast("string").alias("step_id"),
-        status.alias("status"),
-        steps.alias("steps"),
-    )
+def _elem(sink: str, scope: str, step_id: str | None, status: str, steps: str) -> str:
+    sid = lit(step_id) if step_id is not None else "CAST(NULL AS STRING)"
+    return (f"named_struct('sink_id', {lit(sink)}, 'scope', {lit(scope)}, 'step_id', {sid}, "
+            f"'status', {status}, 'steps', {steps})")
+
+
+def _view(spec: PipelineSpec) -> str:
+    parts = []
+    for s in spec.steps:
+        c = f"_steps_raw.{ident(s.id)}"
+        parts.append(f"{lit(s.id)}, CASE WHEN {c} IS NULL THEN NULL ELSE named_struct("
+                     f"'stdout', coalesce({c}.stdout, ''), 'stderr', coalesce({c}.stderr, ''), "
+                     f"'exit_code', {c}.exit_code, 'duration_ms', {c}.duration_ms, 'attempt', {c}.attempt, "
+                     f"'outputs', {c}.outputs) END")
+    return f"named_struct({', '.join(parts)})"
 
 
 def sink_context(results: DataFrame, spec: PipelineSpec) -> DataFrame:
     """Routing sees the original job (P7) and the final steps (E1 view)."""
-    payload = (F.from_json(F.col("payload"), spec.payload_schema) if spec.payload_schema
-               else F.try_parse_json(F.col("payload")))
-    return results.withColumnRenamed("steps", "_steps_raw").select(
-        "*",
-        F.struct(F.col("id").alias("id"), F.col("source").alias("source"), payload.alias("payload"),
-                 F.col("labels").alias("labels"), F.col("correlation_key").alias("correlation_key")).alias("job"),
-        F.struct(F.col("pipeline_id").alias("id")).alias("pipeline"),
-    ).withColumn("steps", _steps_view(spec, F.col("_steps_raw")))
+    payload = (f"from_json(payload, {lit(spec.payload_schema)})" if spec.payload_schema
+               else "try_parse_json(payload)")
+    cols = [ident(c) for c in results.columns if c != "steps"]
+    return results.selectExpr(
+        *cols, "steps AS _steps_raw",
+        f"named_struct('id', id, 'source', source, 'payload', {payload}, 'labels', labels, "
+        f"'correlation_key', correlation_key) AS job",
+        "named_struct('id', pipeline_id) AS pipeline",
+    ).selectExpr("*", f"{_view(spec)} AS steps")
 
 
-def delivery_array(spec: PipelineSpec, enabled_sinks: set[str] | None = None) -> Column:
-    raw = F.col("_steps_raw")
-    elems: list[Column] = []
-    handled: dict[str, Column] = {s.id: F.lit(False) for s in spec.steps}
-    present = {s.id: raw[s.id].isNotNull() for s in spec.steps}
+def delivery_array(spec: PipelineSpec, enabled_sinks: set[str] | None = None) -> str:
+    """SQL text of the delivery array over a sink-context row."""
+    elems: list[str] = []
+    present = {s.id: f"(_steps_raw.{ident(s.id)} IS NOT NULL)" for s in spec.steps}
+    handled: dict[str, str] = {s.id: "false" for s in spec.steps}
 
-    def step_status(sid: str) -> Column:
-        return F.when(raw[sid]["exit_code"] == 0, F.lit("success")).otherwise(F.lit("failure"))
+    def step_status(sid: str) -> str:
+        return f"CASE WHEN _steps_raw.{ident(sid)}.exit_code = 0 THEN 'success' ELSE 'failure' END"
 
     # K1: every matching rule fires; NULL / error counts as no match
     for s in spec.steps:
         if not s.routing:
             continue
-        routed = F.lit(False)
+        hits = []
         for rule in s.routing:
-            hit = present[s.id] & F.coalesce(F.expr(rule.condition), F.lit(False))
+            hit = f"({present[s.id]} AND coalesce(({rule.condition}), false))"
+            hits.append(hit)
             for sink in rule.sinks:
-                elems.append(F.when(hit, _elem(sink, "route", s.id, step_status(s.id), F.array(F.lit(s.id)))))
-            routed = routed | hit
-        handled[s.id] = routed
+                elems.append(f"CASE WHEN {hit} THEN {_elem(sink, 'route', s.id, step_status(s.id), 'array(' + lit(s.id) + ')')} END")
+        handled[s.id] = "(" + " OR ".join(hits) + ")"
     # K2: step sinks for steps not handled by routing
     for s in spec.steps:
         if not s.sinks:
             continue
-        fire = present[s.id] & ~handled[s.id]
+        fire = f"({present[s.id]} AND NOT {handled[s.id]})"
         for sink in s.sinks:
-            elems.append(F.when(fire, _elem(sink, "step", s.id, step_status(s.id), F.array(F.lit(s.id)))))
-        handled[s.id] = handled[s.id] | present[s.id]
+            elems.append(f"CASE WHEN {fire} THEN {_elem(sink, 'step', s.id, step_status(s.id), 'array(' + lit(s.id) + ')')} END")
+        handled[s.id] = f"({handled[s.id]} OR {present[s.id]})"
     # K3: one pipeline message with the remaining steps, only if some remain
-    remaining = F.filter(
-        F.array(*[F.when(present[s.id] & ~handled[s.id], F.lit(s.id)) for s in spec.steps]),
-        lambda x: x.isNotNull())
+    remaining = ("filter(array(" + ", ".join(
+        f"CASE WHEN {present[s.id]} AND NOT {handled[s.id]} THEN {lit(s.id)} END" for s in spec.steps)
+        + "), x -> x IS NOT NULL)")
     for sink in spec.sinks:
-        elems.append(F.when(F.size(remaining) > 0, _elem(sink, "pipeline", None, F.col("status"), remaining)))
+        elems.append(f"CASE WHEN size({remaining}) > 0 THEN {_elem(sink, 'pipeline', None, 'status', remaining)} END")
     # K4: pipeline dead letter carries the full result, in addition to K1–K3
-    all_steps = F.filter(F.array(*[F.when(present[s.id], F.lit(s.id)) for s in spec.steps]),
-                         lambda x: x.isNotNull())
+    all_steps = ("filter(array(" + ", ".join(f"CASE WHEN {present[s.id]} THEN {lit(s.id)} END" for s in spec.steps)
+                 + "), x -> x IS NOT NULL)")
     if spec.failure.action == "dead_letter" and spec.failure.sink:
-        elems.append(F.when(F.col("status") == "failure",
-                            _elem(spec.failure.sink, "dead_letter", None, F.col("status"), all_steps)))
+        elems.append(f"CASE WHEN status = 'failure' THEN "
+                     f"{_elem(spec.failure.sink, 'dead_letter', None, 'status', all_steps)} END")
     # K5: step dead letters for failed steps with that action
     for s in spec.steps:
         if s.failure.action == "dead_letter" and s.failure.sink:
-            fire = (F.col("status") == "failure") & present[s.id] & (raw[s.id]["exit_code"] != 0)
-            elems.append(F.when(fire, _elem(s.failure.sink, "step_dead_letter", s.id, step_status(s.id),
-                                            F.array(F.lit(s.id)))))
+            fire = f"(status = 'failure' AND {present[s.id]} AND _steps_raw.{ident(s.id)}.exit_code <> 0)"
+            elems.append(f"CASE WHEN {fire} THEN {_elem(s.failure.sink, 'step_dead_letter', s.id, step_status(s.id), 'array(' + lit(s.id) + ')')} END")
     if not elems:
-        return F.array().cast("array<struct<sink_id:string,scope:string,step_id:string,status:string,"
-                              "steps:array<string>>>")
-    arr = F.filter(F.array(*elems), lambda e: e.isNotNull())
+        return f"CAST(array() AS ARRAY<{ELEM_TYPE}>)"
+    arr = f"filter(array({', '.join(elems)}), e -> e IS NOT NULL)"
     if enabled_sinks is not None:  # K7: disabled or unknown sinks are skipped silently
-        allowed = sorted(enabled_sinks)
-        arr = F.filter(arr, lambda e: e["sink_id"].isin(allowed))
+        allowed = ", ".join(lit(x) for x in sorted(enabled_sinks)) or "CAST(NULL AS STRING)"
+        arr = f"filter({arr}, e -> e.sink_id IN ({allowed}))"
     return arr
 
 
 def deliveries(results: DataFrame, spec: PipelineSpec, enabled_sinks: set[str] | None = None) -> DataFrame:
     """K8: one row per (result, sink message)."""
     ctx = sink_context(results, spec)
-    out = ctx.select("*", F.explode(delivery_array(spec, enabled_sinks)).alias("d"))
+    out = ctx.selectExpr("*", f"explode({delivery_array(spec, enabled_sinks)}) AS d")
     return out.select(
         "pipeline_id",
         F.col("id").alias("job_id"),
