@@ -46,6 +46,8 @@ def top_level_string(payload_text: Column, key: str) -> Column:
 
 
 def scalar_as_string(v: Column) -> Column:
-    """String / number / bool → text; null, array, object → NULL."""
-    kind = variant_kind(v)
-    return F.when(kind.isin("STRING", "NUMBER", "BOOLEAN"), F.try_variant_get(v, "$", "string"))
+    """String / number / bool → text; null, array, object → NULL.
+
+    One ``schema_of_variant`` per value (it builds a type string, so it is the
+    expensive part and is not repeated per branch)."""
+    return F.when(~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|NULL)"), F.try_variant_get(v, "$", "string"))

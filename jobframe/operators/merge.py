@@ -242,46 +242,54 @@ def _json_str(c: Column) -> Column:
 def merged_jobs(groups: DataFrame, pipeline_id: str, key: str | None) -> DataFrame:
     """J7 + J8: merged payload (first value wins per field, in arrival order; key
     field and ``correlation_key`` as strings; ``sources`` and ``jobs`` last) and
-    envelope (content-derived id, source ``merge:<pipeline>``, first-wins labels)."""
+    envelope (content-derived id, source ``merge:<pipeline>``, first-wins labels).
+
+    Built in stages so that each higher-order sub-result (parsed member maps, the
+    correlation value, the first-wins field map) is evaluated once per group."""
+    empty = F.create_map().cast("map<string,string>")
     maps = F.transform("members", lambda m: F.coalesce(
         F.try_variant_get(F.try_parse_json(m["payload"]), "$", "map<string,variant>"),
         F.create_map().cast("map<string,variant>")))
+    corr = F.lit(None).cast("string")
+    if key:
+        vals = F.transform("members", lambda m: correlation_value(m["payload"], key))
+        corr = F.element_at(F.filter(vals, lambda v: v.isNotNull()), 1)
+    g1 = groups.select("*", maps.alias("_maps"), corr.alias("_corr"))
     first_wins = F.aggregate(
-        maps, F.create_map().cast("map<string,string>"),
+        "_maps", empty,
         lambda acc, m: F.map_concat(acc, F.transform_values(
             F.map_filter(m, lambda k, v: ~F.array_contains(F.map_keys(acc), k)), lambda k, v: F.to_json(v))))
+    g2 = g1.select("*", first_wins.alias("_fw"))
     reserved = ["sources", "jobs"] + ([key, "correlation_key"] if key else [])
-    base = F.map_filter(first_wins, lambda k, v: ~k.isin(reserved))
-    corr = None
-    if key:
-        vals = F.transform("members", lambda m: correlation_value(m["payload"], key))
-        corr = F.element_at(F.filter(vals, lambda v: v.isNotNull()), 1)
+    base = F.map_filter("_fw", lambda k, v: ~k.isin(reserved))
     fields = F.transform(F.map_entries(base), lambda e: F.concat(_json_str(e["key"]), F.lit(":"), e["value"]))
-    extra = []
+    extra = F.array().cast("array<string>")
     if key:
-        extra.append(F.when(corr.isNotNull(), F.concat(_json_str(F.lit(key)), F.lit(":"), _json_str(corr))))
-        extra.append(F.when(corr.isNotNull(), F.concat(F.lit('"correlation_key":'), _json_str(corr))))
+        cj = _json_str(F.col("_corr"))
+        extra = F.when(F.col("_corr").isNotNull(), F.array(
+            F.concat(_json_str(F.lit(key)), F.lit(":"), cj),
+            F.concat(F.lit('"correlation_key":'), cj))).otherwise(F.array().cast("array<string>"))
     src_obj = F.concat(F.lit('"sources":{'), F.array_join(F.transform(
         F.array_distinct(F.transform("members", lambda m: m["source"])),
-        lambda s: F.concat(_json_str(s), F.lit(":"), F.element_at(F.filter("members", lambda m: m["source"] == s), 1)["payload"])),
+        lambda s: F.concat(_json_str(s), F.lit(":"),
+                           F.element_at(F.filter("members", lambda m: m["source"] == s), 1)["payload"])),
         ","), F.lit("}"))
     jobs_arr = F.concat(F.lit('"jobs":['), F.array_join(F.transform("members", lambda m: F.concat(
         F.lit('{"id":'), _json_str(m["id"]), F.lit(',"source":'), _json_str(m["source"]),
         F.lit(',"payload":'), F.coalesce(m["payload"], F.lit("null")), F.lit("}"))), ","), F.lit("]"))
-    parts = F.concat(fields, F.filter(F.array(*extra), lambda x: x.isNotNull()) if extra else F.array().cast("array<string>"),
-                     F.array(src_obj, jobs_arr))
-    payload = F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
-    labels = F.aggregate(F.transform("members", lambda m: F.coalesce(m["labels"], F.create_map().cast("map<string,string>"))),
-                         F.create_map().cast("map<string,string>"),
+    payload = F.concat(F.lit("{"), F.array_join(F.concat(fields, extra, F.array(src_obj, jobs_arr)), ","),
+                       F.lit("}"))
+    labels = F.aggregate(F.transform("members", lambda m: F.coalesce(m["labels"], empty)), empty,
                          lambda acc, m: F.map_concat(acc, F.map_filter(m, lambda k, v: ~F.array_contains(F.map_keys(acc), k))))
-    return groups.select(
+    out = g2.select(
         "*",
         F.sha2(F.array_join(F.transform("members", lambda m: m["id"]), ","), 256).alias("merged_id"),
         F.lit(f"merge:{pipeline_id}").alias("merged_source"),
         payload.alias("merged_payload"),
-        (corr if corr is not None else F.lit(None).cast("string")).alias("merged_correlation_key"),
+        F.col("_corr").alias("merged_correlation_key"),
         labels.alias("merged_labels"),
     )
+    return out.drop("_maps", "_corr", "_fw")
 
 
 # ── exact rounds with a time limit: the same scan, time-aware summaries ──────

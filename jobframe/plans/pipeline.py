@@ -1,10 +1,11 @@
 """Compile a ``PipelineSpec`` into DataFrame projections (D-1 … D-4, P7, E1).
 
-Each DAG level becomes one ``select``: every step of the level is evaluated on the
-same entry row, then the level's signals are folded (failure > emit > last
-skip_to). A per-row ``_level`` column is the gate, so rows that jumped or stopped
-pass through untouched. There is no shuffle anywhere in a pipeline run; the plan is
-a chain of projections that Catalyst collapses into whole-stage codegen.
+Each DAG level becomes three projections generated as SQL text: the user
+expressions (each evaluated once), the per-step results and signal flags, and the
+fold of the level's signals (failure > emit > last skip_to) into the row's state.
+Every step of a level reads the same entry row. A per-row ``_level`` column is
+the gate, so rows that jumped or stopped pass through untouched. There is no
+shuffle anywhere in a pipeline run; the plan is a chain of projections.
 """
 
 from __future__ import annotations
@@ -30,18 +31,6 @@ def _raw_struct(spec: PipelineSpec) -> Column:
     return F.struct(*[F.col(_step_col(s.id)).alias(s.id) for s in spec.steps])
 
 
-def _steps_view(spec: PipelineSpec, raw: Column | None = None) -> Column:
-    """Expressions read NULL stdout/stderr of a step that ran as ''."""
-    fields = []
-    for s in spec.steps:
-        r = raw[s.id] if raw is not None else F.col(_step_col(s.id))
-        v = F.when(r.isNull(), F.lit(None).cast(S.STEP_RESULT_TYPE)).otherwise(
-            r.withField("stdout", F.coalesce(r["stdout"], F.lit(""))).withField(
-                "stderr", F.coalesce(r["stderr"], F.lit(""))))
-        fields.append(v.alias(s.id))
-    return F.struct(*fields)
-
-
 def _needs_view(spec: PipelineSpec) -> bool:
     """Step expressions that read ``steps.<id>`` need the E1 view column."""
     texts = []
