@@ -23,7 +23,7 @@ def removed_ids(prev: DataFrame, cur: DataFrame, keys=("file", "id")) -> DataFra
     An empty current snapshot cancels everything (divergence D5: the
     orchestrator ignored zero-byte snapshots)."""
     keys = list(keys)
-    return prev.select(*keys).distinct().join(cur.select(*keys).distinct(), keys, "left_anti")
+    return prev.select(*keys).distinct().join(cur.select(*keys), keys, "left_anti")
 
 
 def deleted_file_ids(prev: DataFrame, current_files: DataFrame, file_col: str = "file") -> DataFrame:
@@ -53,17 +53,30 @@ def apply_cancellations(jobs: DataFrame, signals: DataFrame, ttl_secs: int = DEF
     Signals are keyed by job id only, so they hit every pipeline the job fans
     out to (divergence D4).
     """
+    marked = mark_cancellations(jobs, signals, ttl_secs, job_id, start_col, sig_id, sig_ts)
+    return (marked.where(~F.col("cancelled")).drop("cancelled"),
+            marked.where(F.col("cancelled")).drop("cancelled"))
+
+
+def mark_cancellations(jobs: DataFrame, signals: DataFrame, ttl_secs: int = DEFAULT_CANCEL_TTL_SECS,
+                       job_id: str = "id", start_col: str = "start_ts", sig_id: str = "job_id",
+                       sig_ts: str = "signal_ts") -> DataFrame:
+    """C4 in one pass: ``jobs`` plus a boolean ``cancelled`` column.
+
+    Signals are joined to the start time of their job and reduced to distinct
+    (job, start) hits with a partial aggregate, so a job id with very many
+    signals shuffles one row per map partition into the final join."""
     ttl = max(int(ttl_secs), 1)
-    starts = jobs.select(F.col(job_id).alias("_jid"), F.col(start_col).alias("_start")).distinct()
+    starts = jobs.select(F.col(job_id).alias("_jid"), F.col(start_col).alias("_start"))
     sig = signals.select(F.col(sig_id).alias("_jid"), F.col(sig_ts).alias("_sts"))
     hit = (sig.join(starts, "_jid")
            .where((F.col("_sts") <= F.col("_start")) &
                   (F.col("_sts") >= F.col("_start") - F.expr(f"INTERVAL {ttl} SECONDS")))
-           .select("_jid", "_start").distinct())
+           .select("_jid", "_start").distinct().withColumn("_hit", F.lit(True)))
     cond = [F.col(job_id) == F.col("_jid"), F.col(start_col) == F.col("_start")]
-    cancelled = jobs.join(hit, cond, "left_semi")
-    runnable = jobs.join(hit, cond, "left_anti")
-    return runnable, cancelled
+    return (jobs.join(hit, cond, "left")
+            .withColumn("cancelled", F.coalesce(F.col("_hit"), F.lit(False)))
+            .drop("_jid", "_start", "_hit"))
 
 
 def live_signals(signals: DataFrame, completions: DataFrame, sig_id: str = "job_id", sig_ts: str = "signal_ts",

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobframe.session import checkpoint_dir
+
 ORDER = ("_ts", "_kind", "_id")
 
 
@@ -35,12 +37,19 @@ def release_holds(holds: DataFrame, resumes: DataFrame, pipeline: str = "pipelin
     """``holds`` gets ``released_ts`` (NULL while still held) and ``released_by``."""
     spark = holds.sparkSession
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the hold rows travel with their events, so the result needs no join back
     h = holds.select(F.col(pipeline).alias("_p"), F.col(hold_ts).alias("_ts"), F.lit(0).alias("_kind"),
-                     F.col(hold_id).cast("string").alias("_id"), F.lit(1).alias("_d"))
+                     F.col(hold_id).cast("string").alias("_id"), F.lit(1).alias("_d"),
+                     F.struct(*[F.col(c) for c in holds.columns]).alias("_row"))
     r = resumes.select(F.col(pipeline).alias("_p"), F.col(resume_ts).alias("_ts"), F.lit(1).alias("_kind"),
-                       F.lit(None).cast("string").alias("_id"), F.lit(-1).alias("_d"))
+                       F.lit(None).cast("string").alias("_id"), F.lit(-1).alias("_d"),
+                       F.lit(None).cast(h.schema["_row"].dataType).alias("_row"))
     ev = (h.unionByName(r).repartitionByRange(parts, "_p", *ORDER)
           .withColumn("_pid", F.spark_partition_id()))
+    # the segment offsets and the local running values must see the same partition
+    # ids: materialise once (range bounds come from sampling, and AQE may coalesce)
+    checkpoint_dir(spark)
+    ev = ev.checkpoint(eager=True)
 
     # local running values inside each (pipeline, partition) segment: bounded by the partition
     w = Window.partitionBy("_p", "_pid").orderBy(*ORDER)
@@ -82,7 +91,5 @@ def release_holds(holds: DataFrame, resumes: DataFrame, pipeline: str = "pipelin
     fire = ev.where(F.col("_rel") > F.col("_relp")).select(
         "_p", F.col("_rel").alias("_n"), F.col("_ts").alias("released_ts"),
         F.when(F.col("_kind") == 0, F.lit("flag")).otherwise(F.lit("resume")).alias("released_by"))
-    numbered = ev.where(F.col("_kind") == 0).select("_p", "_id", "_n")
-    rel = numbered.join(fire, ["_p", "_n"], "left").select("_p", "_id", "released_ts", "released_by")
-    keyed = holds.withColumn("_p", F.col(pipeline)).withColumn("_id", F.col(hold_id).cast("string"))
-    return keyed.join(rel, ["_p", "_id"], "left").drop("_p", "_id")
+    numbered = ev.where(F.col("_kind") == 0).select("_p", "_n", "_row")
+    return numbered.join(fire, ["_p", "_n"], "left").select("_row.*", "released_ts", "released_by")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobframe.operators.cancel import apply_cancellations, cancellations, deleted_file_ids, removed_ids
+from jobframe.operators.cancel import cancellations, deleted_file_ids, mark_cancellations, removed_ids
 from jobframe.operators.fanout import fan_out, route_table, unrouted
 from jobframe.operators.merge import (
     assign_rounds,
@@ -114,9 +114,7 @@ def cancel_ttl(spark, sf_dir):
         F.col("o_orderkey").alias("id"), (F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS")).alias("start_ts"))
     sig = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"),
                                                   F.col("l_shipdate").alias("signal_ts"))
-    runnable, cancelled = apply_cancellations(o, sig, TTL_SECS)
-    return (cancelled.select(F.col("id").alias("o_orderkey"), F.lit(True).alias("cancelled"))
-            .unionByName(runnable.select(F.col("id").alias("o_orderkey"), F.lit(False).alias("cancelled"))))
+    return mark_cancellations(o, sig, TTL_SECS).select(F.col("id").alias("o_orderkey"), "cancelled")
 
 
 # ── J2 / J4 ──────────────────────────────────────────────────────────────────
