@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobframe.operators.envelope import envelope
 from jobframe.plans.catalog import query, table
 from jobframe.plans.pipeline import run_pipeline
-from jobframe.spec import ConditionStep, MapStep, OutputField, Outputs, PipelineSpec, TransformStep
+from jobframe.spec import ConditionStep, FailurePolicy, MapStep, OutputField, Outputs, PipelineSpec, TransformStep
 
 ORDER_SCHEMA = "order bigint, cust bigint, status string, total double, priority string, x double"
 LINE_SCHEMA = "order bigint, line int, qty double, price double, disc double, flag string, status string"
@@ -92,7 +92,8 @@ FAIL_SPEC = PipelineSpec(
     steps=(
         MapStep(id="root", set=(("job.payload.x", "job.payload.total / 1000"),)),
         ConditionStep(id="check", depends_on=("root",), expr="job.payload.total > 100000"),
-        ConditionStep(id="check2", depends_on=("root",), expr="job.payload.status <> 'P'", reason="pending order"),
+        ConditionStep(id="check2", depends_on=("root",), expr="job.payload.status <> 'P'", reason="pending order",
+                      failure=FailurePolicy("stop")),
         TransformStep(id="side", depends_on=("root",), expr="concat('order ', CAST(job.payload.order AS STRING))"),
         MapStep(id="after", depends_on=("check", "check2", "side"), set=(("job.payload.y", "1"),)),
     ),
@@ -108,7 +109,8 @@ SELECT o_orderkey,
   CASE WHEN o_orderstatus <> 'P' THEN NULL ELSE 'Pipeline error: pending order' END AS check2_stderr,
   'order ' || CAST(o_orderkey AS VARCHAR) AS side_stdout, 0 AS side_exit,
   CASE WHEN o_totalprice > 100000 AND o_orderstatus <> 'P' THEN 'root,check,check2,side,after'
-       ELSE 'root,check,check2,side' END AS ran
+       ELSE 'root,check,check2,side' END AS ran,
+  o_orderstatus = 'P' AS held
 FROM orders
 """)
 def condition_fail(spark, sf_dir):
@@ -117,7 +119,7 @@ def condition_fail(spark, sf_dir):
     return res.select("o_orderkey", "status", s["check"]["exit_code"].alias("check_exit"),
                       s["check"]["stderr"].alias("check_stderr"), s["check2"]["stderr"].alias("check2_stderr"),
                       s["side"]["stdout"].alias("side_stdout"), s["side"]["exit_code"].alias("side_exit"),
-                      ran_steps(FAIL_SPEC).alias("ran"))
+                      ran_steps(FAIL_SPEC).alias("ran"), "held")
 
 
 # ── A9 / D-4 ─────────────────────────────────────────────────────────────────

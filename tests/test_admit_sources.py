@@ -86,3 +86,34 @@ def test_unknown_extension_yields_nothing(spark, tmp_path):
     (d / "readme.txt").write_text("hello")
     jobs, _ = read_directory(spark, str(d), "src")
     assert jobs.count() == 0
+
+
+def test_request_verdict_order_and_accepted_jobs(spark):
+    from jobframe.functions.hmac import hmac_sha256_hex  # noqa: F401
+    from jobframe.operators.admit import HttpSource, accepted_jobs, request_verdict
+
+    srcs = [HttpSource(id="hook", path="/h", kind="webhook", hmac_secret="s", max_body_bytes=20, id_field="id",
+                       labels=(("env", "t"),)),
+            HttpSource(id="api", path="/a", kind="http")]
+    good = '{"id":"x1"}'
+    sig = hmac.new(b"s", good.encode(), hashlib.sha256).hexdigest()
+    big = '{"id":"' + "y" * 30 + '"}'
+    big_sig = hmac.new(b"s", big.encode(), hashlib.sha256).hexdigest()
+    rows = [
+        (1, "/nope", {}, good),                                   # 404
+        (2, "/h", {}, good),                                      # 401 missing header
+        (3, "/h", {"x-signature": sig.upper()}, good),            # 401 upper-case hex
+        (4, "/h", {"x-signature": big_sig}, big),                 # 413 after signature
+        (5, "/a", {}, "not json"),                                # 400
+        (6, "/a", {"idempotency-key": "a", "x-correlation-id": "b"}, good),  # 400 mismatch
+        (7, "/h", {"x-signature": "sha256=" + sig, "x-correlation-id": " k "}, good),  # 202
+        (8, "/a", {}, "[1]"),                                     # 201, generated id
+    ]
+    df = spark.createDataFrame(rows, "request_seq long, path string, headers map<string,string>, body string")
+    v = {r.request_seq: r for r in request_verdict(df, srcs).collect()}
+    assert [v[i].code for i in range(1, 9)] == [404, 401, 401, 413, 400, 400, 202, 201]
+    assert v[7].job_id == "x1" and v[7].correlation_key == "k"
+    assert len(v[8].job_id) == 64
+    jobs = {r.id: r for r in accepted_jobs(request_verdict(df, srcs), srcs).collect()}
+    assert set(jobs) == {"x1", v[8].job_id}
+    assert jobs["x1"].labels == {"env": "t"} and jobs["x1"].source == "hook"
