@@ -26,15 +26,21 @@ def generated_id(*parts: Column) -> Column:
 
 def envelope(df: DataFrame, source: str | Column, payload: Column, ordinal: Column,
              id_field: str | None = "id", labels: Mapping[str, str] | None = None,
-             keep: list[str] | None = None) -> DataFrame:
+             keep: list[str] | None = None, payload_struct: Column | None = None) -> DataFrame:
     """P1 + P2: wrap rows as jobs ``(id, source, payload, correlation_key, labels)``.
 
-    ``payload`` is JSON text. The id is the top-level ``id_field`` only when it is a
-    JSON string (an empty string is kept); otherwise a content-derived id from
-    (source, ordinal, payload).
+    ``payload`` is JSON text. The id is the top-level ``id_field`` only when it is
+    a JSON string (an empty string is kept); otherwise a content-derived id from
+    (source, ordinal, payload). A columnar source may also pass the same payload
+    as ``payload_struct``; pipelines with a declared schema then read it directly
+    instead of parsing the text (the text stays the job's payload of record).
     """
     src = F.lit(source) if isinstance(source, str) else source
-    base = df.select(*(keep or []), src.alias("source"), payload.alias("payload"), ordinal.alias("_ordinal"))
+    keep = list(keep or [])
+    extra = [payload_struct.alias("payload_struct")] if payload_struct is not None else []
+    base = df.select(*keep, src.alias("source"), payload.alias("payload"), ordinal.alias("_ordinal"), *extra)
+    if extra:
+        keep.append("payload_struct")
     gen = generated_id(F.col("source"), F.col("_ordinal"), F.col("payload"))
     jid = F.coalesce(top_level_string(F.col("payload"), id_field), gen) if id_field else gen
     return base.select(

@@ -75,7 +75,20 @@ def prepare(jobs: DataFrame, spec: PipelineSpec) -> DataFrame:
     for c in JOB_COLS:
         if c not in jobs.columns:
             raise SpecError(f"job DataFrame lacks column {c}")
-    if spec.payload_schema:
+    if spec.payload_schema and "payload_struct" in jobs.columns:
+        # columnar sources hand the payload over as a struct: project it onto the
+        # declared schema by field name instead of parsing the JSON text again
+        target = jobs.sparkSession.createDataFrame([], f"p struct<{_ddl_fields(spec.payload_schema)}>") \
+            .schema["p"].dataType
+        have = {f.name: f.dataType for f in jobs.schema["payload_struct"].dataType.fields}
+        items = []
+        for f in target.fields:
+            if f.name in have:
+                items.append(f"{S.lit(f.name)}, CAST(payload_struct.{S.ident(f.name)} AS {f.dataType.simpleString()})")
+            else:
+                items.append(f"{S.lit(f.name)}, CAST(NULL AS {f.dataType.simpleString()})")
+        work = f"CASE WHEN payload_struct IS NULL THEN NULL ELSE named_struct({', '.join(items)}) END"
+    elif spec.payload_schema:
         # only a JSON object maps onto the payload struct; anything else is NULL
         # (a map step then fails with "job.payload is not an object")
         work = (f"CASE WHEN startswith(ltrim(payload), '{{') THEN from_json(payload, "
@@ -94,6 +107,29 @@ def prepare(jobs: DataFrame, spec: PipelineSpec) -> DataFrame:
     return _with_view(df, spec)
 
 
+def _ddl_fields(ddl: str) -> str:
+    """``a int, b string`` → ``a: int, b: string`` for a struct type literal."""
+    out = []
+    depth = 0
+    cur = ""
+    for ch in ddl:
+        if ch in "<(":
+            depth += 1
+        elif ch in ">)":
+            depth -= 1
+        if ch == "," and depth == 0:
+            out.append(cur)
+            cur = ""
+        else:
+            cur += ch
+    out.append(cur)
+    fields = []
+    for part in out:
+        name, typ = part.strip().split(None, 1)
+        fields.append(f"{name}: {typ}")
+    return ", ".join(fields)
+
+
 def _payload_type(df: DataFrame) -> T.DataType:
     return df.schema["job"].dataType["payload"].dataType
 
@@ -189,7 +225,7 @@ def finish(df: DataFrame, spec: PipelineSpec) -> DataFrame:
     """PipelineResult rows: the original job (P7), status, held flag and steps."""
     work = F.col("job.payload")
     work_json = F.to_json(work) if not isinstance(_payload_type(df), T.VariantType) else F.to_json(work)
-    internal = {"pipeline_id", "job", "pipeline", "_level", "_done", "_status", "_held", "steps",
+    internal = {"pipeline_id", "job", "pipeline", "_level", "_done", "_status", "_held", "steps", "payload_struct",
                 *[_step_col(s.id) for s in spec.steps]}
     extra = [c for c in df.columns if c not in set(JOB_COLS) | internal]
     return df.select(

@@ -22,21 +22,22 @@ def ran_steps(spec: PipelineSpec) -> Column:
 
 def order_jobs(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    payload = F.to_json(F.struct(F.col("o_orderkey").alias("order"), F.col("o_custkey").alias("cust"),
-                                 F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"),
-                                 F.col("o_orderpriority").alias("priority")))
-    return envelope(o, "orders", payload, F.col("o_orderkey"), id_field=None, keep=["o_orderkey"])
+    st = F.struct(F.col("o_orderkey").alias("order"), F.col("o_custkey").alias("cust"),
+                  F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"),
+                  F.col("o_orderpriority").alias("priority"))
+    return envelope(o, "orders", F.to_json(st), F.col("o_orderkey"), id_field=None, keep=["o_orderkey"],
+                    payload_struct=st)
 
 
 def line_jobs(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    payload = F.to_json(F.struct(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"),
-                                 F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"),
-                                 F.col("l_discount").alias("disc"), F.col("l_returnflag").alias("flag"),
-                                 F.col("l_linestatus").alias("status")))
-    return envelope(li, "lines", payload, F.monotonically_increasing_id(), id_field=None,
+    st = F.struct(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"),
+                  F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"),
+                  F.col("l_discount").alias("disc"), F.col("l_returnflag").alias("flag"),
+                  F.col("l_linestatus").alias("status"))
+    return envelope(li, "lines", F.to_json(st), F.monotonically_increasing_id(), id_field=None,
                     keep=["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag",
-                          "l_linestatus"])
+                          "l_linestatus"], payload_struct=st)
 
 
 # ── P4 / P5 / D-3 ────────────────────────────────────────────────────────────
