@@ -233,7 +233,7 @@ def file_roundtrip_csv(spark, sf_dir):
     line = F.when(F.col("c_acctbal") < 0, F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name",
                                                        "c_mktsegment", F.lit("extra")))\
         .otherwise(F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment"))
-    files = 3
+    files = max(3, c.rdd.getNumPartitions())  # one CSV file per input partition
     data = c.select(F.pmod(F.xxhash64("c_custkey"), F.lit(files)).alias("_p"), F.lit(1).alias("_o"),
                     line.alias("value"))
     headers = spark.range(files).select(F.col("id").alias("_p"), F.lit(0).alias("_o"),

@@ -28,6 +28,23 @@ _DEFAULTS = {
 }
 
 
+# SQL settings the operators rely on; they are runtime settings, so they are also
+# applied to a session created elsewhere (e.g. by a platform) before a query runs.
+RUNTIME = {
+    # driver tables store naive timestamps meant as UTC
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def ensure_runtime(spark: SparkSession) -> None:
+    for k, v in RUNTIME.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+
+
 def get_spark(master: str | None = None, partitions: int | None = None, app: str = "jobframe") -> SparkSession:
     active = SparkSession.getActiveSession()
     if active is not None:
