@@ -81,10 +81,11 @@ def mark_cancellations(jobs: DataFrame, signals: DataFrame, ttl_secs: int = DEFA
 
 def live_signals(signals: DataFrame, completions: DataFrame, sig_id: str = "job_id", sig_ts: str = "signal_ts",
                  done_id: str = "job_id", done_ts: str = "completed_ts") -> DataFrame:
-    """A signal is consumed once a job with that id completes after it was sent."""
-    done = completions.select(F.col(done_id).alias("_jid"), F.col(done_ts).alias("_dts"))
-    consumed = (signals.join(done, signals[sig_id] == done["_jid"])
-                .where(F.col("_dts") >= F.col(sig_ts))
-                .select(F.col(sig_id).alias("_cid"), F.col(sig_ts).alias("_cts")).distinct())
-    return signals.join(consumed, (signals[sig_id] == consumed["_cid"]) & (signals[sig_ts] == consumed["_cts"]),
-                        "left_anti")
+    """A signal is consumed once a job with that id completes at or after it.
+
+    "Some completion is at or after the signal" is "the latest completion is", so
+    completions reduce to one row per job id with a partial aggregate before the
+    single join (a job id with very many completions costs one row per map task)."""
+    latest = completions.groupBy(F.col(done_id).alias("_jid")).agg(F.max(done_ts).alias("_last"))
+    j = signals.join(latest, signals[sig_id] == latest["_jid"], "left")
+    return j.where(F.col("_last").isNull() | (F.col("_last") < F.col(sig_ts))).drop("_jid", "_last")
