@@ -83,54 +83,62 @@ def sort_members(arr: Column, order: tuple[str, ...]) -> Column:
 
 # ── exact rounds: distributed prefix scan ─────────────────────────────────────
 
-def _step_table(states: np.ndarray, counts: np.ndarray, bits: np.ndarray, full: int):
-    for b in bits:
-        has = (states & b) != 0
-        s2 = states | b
-        comp = (~has) & (s2 == full)
-        counts = counts + comp
-        states = np.where(has, states, np.where(comp, 0, s2))
-    return states, counts
+def _row_tables(bits: np.ndarray, full: int):
+    """Per-row transition table T[i, s] (state after row i when the state before
+    it is s) and completion flags K[i, s], for all 2^N states at once."""
+    states = np.arange(full + 1, dtype=np.int64)[None, :]
+    b = bits.astype(np.int64)[:, None]
+    has = (states & b) != 0
+    s2 = states | b
+    comp = (~has) & (s2 == full)
+    return np.where(has, states, np.where(comp, 0, s2)), comp.astype(np.int64)
+
+
+def _compose_all(t: np.ndarray, k: np.ndarray):
+    """Reduce row tables to one segment table (state map, completion counts) by
+    pairwise composition: log2(m) vectorised levels, no per-row Python."""
+    while len(t) > 1:
+        if len(t) % 2:
+            ident = np.arange(t.shape[1], dtype=np.int64)[None, :]
+            t = np.vstack([t, ident])
+            k = np.vstack([k, np.zeros((1, k.shape[1]), dtype=np.int64)])
+        first_t, second_t = t[0::2], t[1::2]
+        first_k, second_k = k[0::2], k[1::2]
+        k = first_k + np.take_along_axis(second_k, first_t, axis=1)
+        t = np.take_along_axis(second_t, first_t, axis=1)
+    return t[0], k[0]
 
 
 def _summaries(n: int):
     full = (1 << n) - 1
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
-        cur_key = None
-        cur_pid = None
-        bits: list[np.ndarray] = []
-        seg_index = 0
-
-        def flush(is_last: bool):
-            if cur_key is None:
-                return
-            if seg_index == 0 or is_last:
-                st, ct = _step_table(np.arange(full + 1), np.zeros(full + 1, dtype=np.int64),
-                                     np.concatenate(bits) if bits else np.array([], dtype=np.int64), full)
-                out.append((cur_pid, cur_key, st.tolist(), ct.tolist()))
+    def summarise(pid, key, bits):
+        if len(bits) == 0:
+            return (pid, key, list(range(full + 1)), [0] * (full + 1))
+        t, k = _row_tables(np.asarray(bits, dtype=np.int64), full)
+        st, ct = _compose_all(t, k)
+        return (pid, key, st.tolist(), ct.tolist())
 
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segs: list[list] = []  # [pid, key, [bit arrays]] of the first and the current segment
         for pdf in it:
             if pdf.empty:
                 continue
             keys = pdf["_key"].to_numpy()
             pids = pdf["_pid"].to_numpy()
             bvals = pdf["_bit"].to_numpy().astype(np.int64)
-            # segment starts inside this batch
             change = np.ones(len(pdf), dtype=bool)
             change[1:] = keys[1:] != keys[:-1]
-            if cur_key is not None:
-                change[0] = keys[0] != cur_key
+            if segs:
+                change[0] = keys[0] != segs[-1][1]
             starts = np.flatnonzero(change).tolist() + [len(pdf)]
             if starts[0] != 0:  # continuation of the open segment
-                bits.append(bvals[: starts[0]])
+                segs[-1][2].append(bvals[: starts[0]])
             for a, b in zip(starts[:-1], starts[1:]):
-                flush(False)
-                if cur_key is not None:
-                    seg_index += 1
-                cur_key, cur_pid, bits = keys[a], int(pids[a]), [bvals[a:b]]
-        flush(True)
+                if len(segs) >= 2:
+                    segs.pop()  # a middle segment never carries state across partitions
+                segs.append([int(pids[a]), keys[a], [bvals[a:b]]])
+        out = [summarise(p, k, np.concatenate(bl)) for p, k, bl in segs]
         if out:
             yield pd.DataFrame(out, columns=["_pid", "_key", "f", "c"])
 
@@ -149,36 +157,56 @@ def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _replay(n: int):
+    """Per batch: states before every row by a prefix composition of the row
+    tables (Hillis-Steele doubling, segment starts act as constant maps to the
+    segment's entry state), then kept flags and round numbers vectorised."""
     full = (1 << n) - 1
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur = None
-        state = 0
-        count = 0
+        carry_key, carry_state, carry_count = None, 0, 0
         for pdf in it:
             if pdf.empty:
                 continue
+            m = len(pdf)
             keys = pdf["_key"].to_numpy()
             bits = pdf["_bit"].to_numpy().astype(np.int64)
-            es = pdf["_entry_state"].to_numpy()
-            ec = pdf["_entry_count"].to_numpy()
-            rounds = np.empty(len(pdf), dtype=np.int64)
-            kept = np.empty(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                if keys[i] != cur:
-                    cur = keys[i]
-                    state = 0 if pd.isna(es[i]) else int(es[i])
-                    count = 0 if pd.isna(ec[i]) else int(ec[i])
-                b = bits[i]
-                rounds[i] = count
-                if state & b:
-                    kept[i] = False
-                    continue
-                kept[i] = True
-                state |= b
-                if state == full:
-                    count += 1
-                    state = 0
+            es = pdf["_entry_state"].fillna(0).to_numpy().astype(np.int64)
+            ec = pdf["_entry_count"].fillna(0).to_numpy().astype(np.int64)
+            start = np.ones(m, dtype=bool)
+            start[1:] = keys[1:] != keys[:-1]
+            cont0 = keys[0] == carry_key
+            start[0] = not cont0
+            # state before each row: G_i maps the batch-entry state to the state before row i+1
+            t, kflag = _row_tables(bits, full)
+            entry = np.where(start, es, 0)
+            pre = np.where(start[:, None], entry[:, None], np.arange(full + 1, dtype=np.int64)[None, :])
+            g = np.take_along_axis(t, pre, axis=1)  # row function including the reset
+            d = 1
+            while d < m:
+                g_new = g.copy()
+                g_new[d:] = np.take_along_axis(g[d:], g[:-d], axis=1)
+                g = g_new
+                d *= 2
+            s_in = carry_state if cont0 else 0
+            after = g[:, s_in]
+            before = np.empty(m, dtype=np.int64)
+            before[0] = es[0] if start[0] else s_in
+            before[1:] = np.where(start[1:], es[1:], after[:-1])
+            kept = (before & bits) == 0
+            comp = kept & ((before | bits) == full)
+            # rounds: completions before the row within its segment, plus the segment's entry count
+            seg_id = np.cumsum(start) - 1
+            base = np.where(start, ec, 0)
+            if cont0:
+                base[0] = carry_count
+            seg_base = base[start] if start[0] else np.concatenate([[carry_count], base[start]])
+            cum = np.cumsum(comp) - comp
+            seg_first = np.flatnonzero(start)
+            if not start[0]:
+                seg_first = np.concatenate([[0], seg_first])
+            rounds = seg_base[seg_id + (0 if start[0] else 1)] + cum - cum[seg_first][seg_id + (0 if start[0] else 1)]
+            carry_key, carry_state = keys[-1], int(after[-1])
+            carry_count = int(rounds[-1] + comp[-1])
             yield pdf.drop(columns=["_entry_state", "_entry_count"]).assign(round=rounds, kept=kept)
 
     return run

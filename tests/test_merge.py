@@ -106,3 +106,14 @@ def test_rounds_with_timeout_match_sequential_fold(spark, seed, limit):
     got = {r.arrival_seq: (r["round"], r.kept) for r in
            assign_rounds_timeout(df, sources, limit, num_partitions=8).select("arrival_seq", "round", "kept").collect()}
     assert got == brute_timeout(rows, sources, limit)
+
+
+def test_rounds_across_small_arrow_batches(spark):
+    """Segments that continue across Arrow batches inside one partition."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        test_rounds_match_sequential_fold_with_hot_key(spark, 4)
+        test_rounds_with_timeout_match_sequential_fold(spark, 14, 20)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
