@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import types as T
 
 from jobframe.spec import ConditionStep, MapStep, Outputs, SpecError, TransformStep
@@ -150,14 +151,58 @@ def transform_raw(step: TransformStep, expr_type: T.DataType) -> str:
             f"'duration_ms', coalesce({duration}, CAST(0 AS BIGINT)))")
 
 
+UDF_SCHEMA = "stdout string, stderr string, exit_code int, duration_ms bigint"
+
+
+def python_transform_udf(fn):
+    """Wrap a user function (Series of inputs → DataFrame) as a pandas UDF."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf(UDF_SCHEMA)
+    def run(stdin: pd.Series) -> pd.DataFrame:
+        out = fn(stdin)
+        if isinstance(out, pd.Series):
+            out = pd.DataFrame({"stdout": out})
+        out = out.reset_index(drop=True)
+        n = len(stdin)
+        return pd.DataFrame({
+            "stdout": out["stdout"] if "stdout" in out else pd.Series([None] * n, dtype=object),
+            "stderr": out["stderr"] if "stderr" in out else pd.Series([None] * n, dtype=object),
+            "exit_code": (out["exit_code"] if "exit_code" in out else pd.Series([0] * n)).astype("int32"),
+            "duration_ms": (out["duration_ms"] if "duration_ms" in out else pd.Series([0] * n)).astype("int64"),
+        })
+
+    return run
+
+
+def stdin_sql(step: TransformStep) -> str:
+    """The step input as SQL text."""
+    if step.stdin == "payload":
+        return "to_json(job.payload)"
+    if step.stdin == "template":
+        from jobframe.functions.render import parts
+
+        pieces = [lit(v) if kind == "text" else f"CAST(({v}) AS STRING)" for kind, v in parts(step.template)]
+        return f"concat({', '.join(pieces)})" if pieces else "''"
+    return NULL_STR
+
+
+def udf_raw(udf_name: str, stdin_col: str) -> str:
+    r = f"{udf_name}({stdin_col})"
+    return (f"named_struct('stdout', {r}.stdout, 'stderr', {r}.stderr, 'exit_code', coalesce({r}.exit_code, -1), "
+            f"'duration_ms', coalesce({r}.duration_ms, CAST(0 AS BIGINT)))")
+
+
 def _rust_list(codes) -> str:
     return "[" + ", ".join(str(c) for c in codes) + "]"
 
 
-def compile_transform(step: TransformStep, raw: str, doc: str | None = None) -> StepSQL:
+def compile_transform(step: TransformStep, raw: str, doc: str | None = None, stdin: str | None = None) -> StepSQL:
     """T3–T6, T8 on the normalised transform result column ``raw``."""
     stdout, stderr, exit_code, duration = f"{raw}.stdout", f"{raw}.stderr", f"{raw}.exit_code", f"{raw}.duration_ms"
     checks: list[tuple[str, str]] = []
+    if stdin is not None and step.stdin == "template":  # E3: strict rendering, before the task runs
+        checks.append((f"{stdin} IS NULL", lit(f"Template render error: undefined value in template {step.template!r}")))
     if step.timeout_secs > 0:
         checks.append((f"{duration} > {step.timeout_secs * 1000}",
                        lit(f"{TIMEOUT_ERROR}Task timed out after {step.timeout_secs}s")))

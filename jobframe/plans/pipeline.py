@@ -139,6 +139,7 @@ def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str
     flags, then the fold into the row's level state. Each user expression is
     evaluated once; later projections only reference columns."""
     probe = _probe(df)
+    pre0: list[str] = []
     pre: list[str] = []
     pre2: list[str] = []
     tmp: list[str] = []
@@ -156,6 +157,16 @@ def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str
                 raise SpecError(f"condition {sid}: expression type {t.simpleString()} is not boolean")
             pre.append(f"CAST(({step.expr}) AS BOOLEAN) AS `_c_{sid}`")
             tmp.append(f"_c_{sid}")
+        elif isinstance(step, TransformStep) and step.fn is not None:
+            # Python transform: input column first, then the Arrow-batched UDF over it
+            name = f"jobframe_{spec.id}_{sid}"
+            df.sparkSession.udf.register(name, S.python_transform_udf(step.fn))
+            pre0.append(f"{S.stdin_sql(step)} AS `_in_{sid}`")
+            pre.append(f"{S.udf_raw(name, f'`_in_{sid}`')} AS `_t_{sid}`")
+            tmp += [f"_in_{sid}", f"_t_{sid}"]
+            if step.outputs is not None and step.outputs.format == "json" and step.outputs.fields:
+                pre2.append(f"try_parse_json(`_t_{sid}`.stdout) AS `_d_{sid}`")
+                tmp.append(f"_d_{sid}")
         elif isinstance(step, TransformStep):
             t = probe.selectExpr(f"({step.expr}) AS r").schema["r"].dataType
             pre.append(f"{S.transform_raw(step, t)} AS `_t_{sid}`")
@@ -165,6 +176,8 @@ def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str
                 tmp.append(f"_d_{sid}")
         else:
             raise SpecError(f"unknown step type {type(step)}")
+    if pre0:
+        df = df.selectExpr("*", *pre0)
     df = df.selectExpr("*", *pre)
     if pre2:
         df = df.selectExpr("*", *pre2)
@@ -180,7 +193,8 @@ def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str
             sc = S.compile_condition(step, target, f"`_c_{sid}`")
         else:
             doc = f"`_d_{sid}`" if f"_d_{sid}" in tmp else None
-            sc = S.compile_transform(step, f"`_t_{sid}`", doc)
+            stdin = f"`_in_{sid}`" if f"_in_{sid}" in tmp else None
+            sc = S.compile_transform(step, f"`_t_{sid}`", doc, stdin)
         compiled.append((sid, sc))
         flags += [f"{sc.result} AS `_r_{sid}`", f"{sc.failed} AS `_f_{sid}`", f"{sc.emit} AS `_e_{sid}`",
                   f"{sc.skip_level} AS `_k_{sid}`", f"{sc.held} AS `_h_{sid}`"]

@@ -374,3 +374,46 @@ def time_limit(spark, sf_dir):
     s = F.col("steps")["slow"]
     return res.select("l_orderkey", "l_linenumber", "status", s["stderr"].alias("error"),
                       s["duration_ms"].alias("duration_ms"))
+
+
+# ── T1 (Python transform) / T2 (stdin modes) ─────────────────────────────────
+
+def _measure(stdin):
+    """Per-row helper: '<LANG>:<characters of the whole text>', exit 3 for long texts."""
+    import pandas as pd
+
+    lang = stdin.str.split("|", n=1).str[0]
+    text = stdin.str.split("|", n=1).str[1]
+    n = text.str.len()
+    return pd.DataFrame({"stdout": lang.str.upper() + ":" + n.astype(str),
+                         "exit_code": (n >= 5000).astype(int) * 3})
+
+
+PY_SPEC = PipelineSpec(
+    id="python_transform",
+    payload_schema="lang string, text string",
+    steps=(
+        TransformStep(id="measure", fn=_measure, stdin="template",
+                      template="{{ job.payload.lang }}|{{ job.payload.text }}"),
+        TransformStep(id="echo", fn=lambda s: s, stdin="payload", depends_on=(), stdout_max_bytes=0),
+    ),
+)
+
+
+@query("python_transform", sql="""
+SELECT doc_id,
+  CASE WHEN length(text) < 5000 THEN upper(lang) || ':' || CAST(length(text) AS VARCHAR) END AS measure_stdout,
+  CASE WHEN length(text) < 5000 THEN 0 ELSE -1 END AS measure_exit,
+  CASE WHEN length(text) < 5000 THEN 'success' ELSE 'failure' END AS status,
+  octet_length(encode(to_json(struct_pack(lang := lang, text := text)))) AS echo_bytes
+FROM documents
+""")
+def python_transform(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    st = F.struct("lang", "text")
+    jobs = envelope(d, "documents", F.to_json(st), F.col("doc_id"), id_field=None, keep=["doc_id"])
+    res = run_pipeline(jobs, PY_SPEC)
+    s = F.col("steps")
+    return res.select("doc_id", s["measure"]["stdout"].alias("measure_stdout"),
+                      s["measure"]["exit_code"].alias("measure_exit"), "status",
+                      F.octet_length(s["echo"]["stdout"]).alias("echo_bytes"))

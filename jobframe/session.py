@@ -43,6 +43,37 @@ def ensure_runtime(spark: SparkSession) -> None:
     for k, v in RUNTIME.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``jobframe`` importable by the Python workers of a local session.
+
+    The pandas-based operators (merge scan, stateful streams, Python transforms)
+    run functions of this package inside Python workers. On a cluster the
+    deployment ships the package (``--py-files`` or an installed wheel); a local
+    session started from any working directory gets a zip via ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED or not sc.master.startswith("local"):
+        return
+    import zipfile
+
+    import jobframe
+
+    pkg = os.path.dirname(os.path.abspath(jobframe.__file__))
+    dest = os.path.join(tempfile.mkdtemp(prefix="jobframe-pyfiles-"), "jobframe.zip")
+    with zipfile.ZipFile(dest, "w") as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(dest)
+    _SHIPPED.add(id(sc))
 
 
 def get_spark(master: str | None = None, partitions: int | None = None, app: str = "jobframe") -> SparkSession:
@@ -57,6 +88,7 @@ def get_spark(master: str | None = None, partitions: int | None = None, app: str
     b = b.config("spark.driver.memory", os.environ.get("JOBFRAME_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 

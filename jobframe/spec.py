@@ -95,9 +95,18 @@ class TransformStep(_Step):
 
     ``expr`` is a SQL expression returning either a string (stdout, exit code 0)
     or a struct with any of ``stdout, stderr, exit_code, duration_ms``.
+
+    Alternatively ``fn`` is a Python function run as an Arrow-batched pandas UDF:
+    it receives the step input (a ``pd.Series`` of strings, T2) and returns a
+    ``pd.DataFrame`` with any of those four columns. ``stdin`` chooses the input:
+    ``none`` (NULL), ``payload`` (the working payload as compact JSON) or
+    ``template`` (``template`` rendered strictly: a NULL part fails the step).
     """
 
     expr: str = "CAST(NULL AS STRING)"
+    fn: object = None
+    stdin: str = "none"  # none | payload | template
+    template: str | None = None
     outputs: Outputs | None = None
     success_exit_codes: tuple[int, ...] = DEFAULT_SUCCESS_EXIT_CODES
     stdout_max_bytes: int = DEFAULT_STDOUT_MAX_BYTES
@@ -142,6 +151,11 @@ class PipelineSpec:
                     raise SpecError(f"step {s.id}: unknown action {s.action}")
                 if s.action == "skip_to" and s.skip_to not in deps:
                     raise SpecError(f"step {s.id}: skip_to target {s.skip_to!r} not found")
+            if isinstance(s, TransformStep):
+                if s.stdin not in ("none", "payload", "template"):
+                    raise SpecError(f"step {s.id}: unknown stdin mode {s.stdin!r}")
+                if s.stdin == "template" and not s.template:
+                    raise SpecError(f"step {s.id}: stdin 'template' needs a template")
             if isinstance(s, MapStep):
                 for target, _ in s.set:
                     if not target.startswith("job.payload.") or len(target) <= len("job.payload."):

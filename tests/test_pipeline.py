@@ -166,3 +166,25 @@ def test_file_sink_lines_partitioned_by_sink(spark, tmp_path):
 
     line = json.loads(back.first().value)
     assert line["pipeline_id"] == "p" and line["steps"]["t"]["stdout"] == "x" and "correlation_key" not in line["job"]
+
+
+def test_python_transform_with_stdin_modes(spark):
+    def _shout(stdin):  # defined here so the workers receive it by value
+        import pandas as pd
+
+        return pd.DataFrame({"stdout": stdin.str.upper(),
+                             "exit_code": stdin.str.len().fillna(0).astype(int).map(lambda n: 0 if n < 12 else 4)})
+
+    spec = PipelineSpec(id="py", payload_schema="name string, n int", steps=(
+        TransformStep(id="tpl", fn=_shout, stdin="template", template="hi {{ job.payload.name }}",
+                      outputs=Outputs("text", (OutputField("said"),))),
+        TransformStep(id="pay", fn=_shout, stdin="payload", depends_on=(), success_exit_codes=()),
+        TransformStep(id="nothing", fn=lambda s: s.fillna("empty"), stdin="none", depends_on=()),
+    ))
+    rows = {r.id: r for r in run_pipeline(jobs(spark, ['{"name":"ann","n":1}', '{"n":2}',
+                                                        '{"name":"bartholomew","n":3}']), spec).collect()}
+    assert rows["j0"].steps.tpl.stdout == "HI ANN" and rows["j0"].steps.tpl.outputs == {"said": '"HI ANN"'}
+    assert rows["j0"].steps.pay.stdout == '{"NAME":"ANN","N":1}' and rows["j0"].steps.pay.exit_code == 4
+    assert rows["j0"].steps.nothing.stdout == "empty"
+    assert rows["j1"].status == "failure" and rows["j1"].steps.tpl.stderr.startswith("Template render error")
+    assert rows["j2"].steps.tpl.exit_code == -1 and "Exit code 4" in rows["j2"].steps.tpl.stderr
