@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobframe.operators.cancel import apply_cancellations
+from jobframe.operators.cancel import mark_cancellations
 from jobframe.operators.dispatch import deliveries
 from jobframe.plans.pipeline import run_pipeline
 from jobframe.spec import DEFAULT_CANCEL_TTL_SECS, PipelineSpec
@@ -21,18 +21,29 @@ from jobframe.spec import DEFAULT_CANCEL_TTL_SECS, PipelineSpec
 def pipeline_batch(jobs: DataFrame, spec: PipelineSpec, out: str, epoch_id: int,
                    enabled_sinks: set[str] | None = None, signals: DataFrame | None = None,
                    ttl_secs: int = DEFAULT_CANCEL_TTL_SECS, start_col: str = "arrival_ts") -> None:
-    """One micro-batch: cancel (W4), run, dispatch, write per sink and epoch."""
+    """One micro-batch: cancel (W4, stream-static range join), run, dispatch, and
+    write per sink and epoch. Frames written more than once are persisted for the
+    duration of the micro-batch so each is computed once."""
+    held = []
     cancelled = None
     if signals is not None:
-        jobs, cancelled = apply_cancellations(jobs.withColumn("start_ts", F.col(start_col)), signals, ttl_secs)
-    res = run_pipeline(jobs, spec)
-    d = deliveries(res, spec, enabled_sinks)
-    d.select("sink_id", "pipeline_id", "job_id", "scope", "step_id", "status",
-             F.array_join("steps", ",").alias("steps")).write.mode("overwrite").partitionBy("sink_id").parquet(
-        f"{out}/deliveries/epoch={epoch_id}")
-    res.select("id", "pipeline_id", "status").write.mode("overwrite").parquet(f"{out}/state/epoch={epoch_id}")
-    if cancelled is not None:
-        cancelled.select("id").write.mode("overwrite").parquet(f"{out}/cancelled/epoch={epoch_id}")
+        marked = mark_cancellations(jobs.withColumn("start_ts", F.col(start_col)), signals, ttl_secs).persist()
+        held.append(marked)
+        jobs = marked.where(~F.col("cancelled")).drop("cancelled", "start_ts")
+        cancelled = marked.where(F.col("cancelled"))
+    try:
+        res = run_pipeline(jobs, spec).persist()
+        held.append(res)
+        d = deliveries(res, spec, enabled_sinks)
+        d.select("sink_id", "pipeline_id", "job_id", "scope", "step_id", "status",
+                 F.array_join("steps", ",").alias("steps")).write.mode("overwrite").partitionBy("sink_id").parquet(
+            f"{out}/deliveries/epoch={epoch_id}")
+        res.select("id", "pipeline_id", "status").write.mode("overwrite").parquet(f"{out}/state/epoch={epoch_id}")
+        if cancelled is not None:
+            cancelled.select("id").write.mode("overwrite").parquet(f"{out}/cancelled/epoch={epoch_id}")
+    finally:
+        for h in held:
+            h.unpersist()
 
 
 def start_pipeline_stream(jobs: DataFrame, spec: PipelineSpec, out: str, checkpoint: str,

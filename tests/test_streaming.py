@@ -118,3 +118,23 @@ def test_stream_theta_merge_greedy_first_group(spark, tmp_path):
     rows = {(r.key, r.status, r.member_ids) for r in spark.table("theta_out").collect()}
     assert ("k", "complete", "a20,b10") in rows
     assert ("k", "complete", "a5,b1") in rows
+
+
+def test_stream_cancels_with_static_signals(spark, tmp_path):
+    src = tmp_path / "csrc"
+    src.mkdir()
+    base = dt.datetime(2024, 1, 1, 12, 0, 0)
+    recs = [json.dumps({"id": f"j{k}", "v": k, "arrival_ts": base.isoformat()}) for k in range(4)]
+    (src / "a.jsonl").write_text("\n".join(recs) + "\n")
+    lines = spark.readStream.schema("id string, v int, arrival_ts timestamp").json(str(src))
+    jobs = lines.select("id", F.lit("s").alias("source"), F.to_json(F.struct("v")).alias("payload"),
+                        F.lit(None).cast("string").alias("correlation_key"),
+                        F.create_map().cast("map<string,string>").alias("labels"), "arrival_ts")
+    signals = spark.createDataFrame([("j1", base - dt.timedelta(seconds=10)), ("j2", base - dt.timedelta(hours=2))],
+                                    "job_id string, signal_ts timestamp")
+    q = start_pipeline_stream(jobs, SPEC, str(tmp_path / "cout"), str(tmp_path / "cck"), signals=signals)
+    q.awaitTermination(120)
+    cancelled = {r.id for r in spark.read.parquet(str(tmp_path / "cout" / "cancelled")).collect()}
+    ran = {r.id for r in spark.read.parquet(str(tmp_path / "cout" / "state")).collect()}
+    assert cancelled == {"j1"}            # j2's signal is older than the 1 h TTL
+    assert ran == {"j0", "j2", "j3"}
