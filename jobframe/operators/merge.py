@@ -513,3 +513,41 @@ def assign_rounds_timeout(jobs: DataFrame, sources: list[str], timeout_secs: int
     schema = (joined.drop("_entry_state", "_entry_t0", "_entry_count", "_t").schema
               .add("round", T.LongType()).add("kept", T.BooleanType()))
     return joined.mapInPandas(_replay_t(n, limit), schema).drop("_bit", "_pid", "_key")
+
+
+# ── spec-driven entry point ──────────────────────────────────────────────────
+
+def merge_for_pipeline(jobs: DataFrame, spec, order: tuple[str, ...] = ("arrival_ts", "arrival_seq"),
+                       num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Apply ``spec.merge`` to the jobs routed to ``spec`` → (jobs, rejects).
+
+    * one source or no merge section: unchanged (J9);
+    * ``any``: forwarded at once, correlation key from the payload (J2);
+    * ``all`` with ``correlation_key``: exact rounds with the group time limit
+      (J3, J6) and merged envelopes (J7, J8); jobs without a key are rejected.
+    ``all`` by expression (J5) needs arrival-time state and runs as a stream
+    (``jobframe.streaming.merge.merge_theta_stream``).
+    """
+    empty_rejects = jobs.sparkSession.createDataFrame([], "id string, source string, reason string")
+    m = spec.merge
+    if m is None or len(spec.sources) <= 1:
+        return jobs, empty_rejects
+    if m.strategy == "any":
+        return merge_any(jobs, m.correlation_key), empty_rejects
+    if m.strategy != "all":
+        raise ValueError(f"unknown merge strategy {m.strategy!r}")
+    if not m.correlation_key:
+        raise ValueError("merge 'all' by expression runs on streams: use streaming.merge.merge_theta_stream")
+    keyed = jobs.withColumn("_ck", correlation_value(F.col("payload"), m.correlation_key))
+    rejects = keyed.where(F.col("_ck").isNull()).select(
+        "id", "source", F.lit(f"missing correlation key '{m.correlation_key}'").alias("reason"))
+    labelled = assign_rounds_timeout(keyed.where(F.col("_ck").isNotNull()), list(spec.sources),
+                                     m.timeout_secs, key="_ck", order=order, num_partitions=num_partitions)
+    groups = rounds_groups(labelled, list(spec.sources), key="_ck", order=order)
+    merged = merged_jobs(groups, spec.id, m.correlation_key)
+    out = merged.select(
+        F.col("merged_id").alias("id"), F.col("merged_source").alias("source"),
+        F.col("merged_payload").alias("payload"), F.col("merged_correlation_key").alias("correlation_key"),
+        F.col("merged_labels").alias("labels"),
+        F.element_at(F.col("members"), -1)[order[0]].alias(order[0]))
+    return out, rejects

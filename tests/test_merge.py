@@ -117,3 +117,35 @@ def test_rounds_across_small_arrow_batches(spark):
         test_rounds_with_timeout_match_sequential_fold(spark, 14, 20)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_merge_for_pipeline_dispatch(spark):
+    import json
+
+    from jobframe.operators.merge import merge_for_pipeline
+    from jobframe.spec import MapStep, MergeSpec, PipelineSpec
+
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([
+        ("a1", "a", '{"order": 1, "x": "a"}', base, 0),
+        ("b1", "b", '{"order": 1, "y": "b"}', base + dt.timedelta(seconds=5), 1),
+        ("a2", "a", '{"order": 2}', base, 2),
+        ("b2", "b", '{"order": 2}', base + dt.timedelta(seconds=120), 3),   # after the 60 s limit
+        ("c1", "a", '{"nokey": 1}', base, 4),
+    ], "id string, source string, payload string, arrival_ts timestamp, arrival_seq long") \
+        .withColumn("correlation_key", F.lit(None).cast("string")) \
+        .withColumn("labels", F.create_map().cast("map<string,string>"))
+    steps = (MapStep(id="m"),)
+    spec_all = PipelineSpec(id="p", steps=steps, sources=("a", "b"),
+                            merge=MergeSpec("all", correlation_key="order", timeout_secs=60))
+    out, rej = merge_for_pipeline(df, spec_all, num_partitions=2)
+    rows = out.collect()
+    assert len(rows) == 1 and rows[0].correlation_key == "1" and rows[0].source == "merge:p"
+    p = json.loads(rows[0].payload)
+    assert p["x"] == "a" and p["y"] == "b" and [j["id"] for j in p["jobs"]] == ["a1", "b1"]
+    assert [r.id for r in rej.collect()] == ["c1"]
+    spec_any = PipelineSpec(id="q", steps=steps, sources=("a", "b"), merge=MergeSpec("any", correlation_key="order"))
+    assert sorted((r.id, r.correlation_key) for r in merge_for_pipeline(df, spec_any)[0].collect())[:2] == \
+        [("a1", "1"), ("a2", "2")]
+    single = PipelineSpec(id="r", steps=steps, sources=("a",), merge=MergeSpec("all", correlation_key="order"))
+    assert merge_for_pipeline(df, single)[0].count() == 5
