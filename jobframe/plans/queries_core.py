@@ -94,3 +94,65 @@ UNION ALL
 SELECT job_id, 'dlq', 'dead_letter', NULL, 'failure', 'tag,gate,score', NULL, NULL, -1
 FROM r WHERE failed
 """)(flagship)
+
+
+# ── §3.1 end to end: gate → fan-out → cancel → DAG → dispatch ────────────────
+
+def _service_specs():
+    from jobframe.spec import ConditionStep as C
+    from jobframe.spec import PipelineSpec as P
+    from jobframe.spec import Route as R
+    from jobframe.spec import TransformStep as T
+
+    schema = "event_key string, event_id bigint, user_id bigint, event_type string, value double, k bigint"
+    clicks = P(id="p_clicks", payload_schema=schema, sources=("click", "view"), sinks=("click_sink",),
+               labels=(("tier", "gold"),), steps=(
+                   C(id="gate", expr="job.payload.k >= 50", action="emit"),
+                   T(id="t", expr="concat(job.labels['tier'], ':', CAST(job.payload.k AS STRING))",
+                     routing=(R("job.payload.value > 100", ("big_sink",)),)),
+               ))
+    money = P(id="p_money", payload_schema=schema, sources=("click", "purchase"), sinks=("money_sink",),
+              failure=FailurePolicy("dead_letter", "money_dlq"), steps=(
+                  C(id="check", expr="job.payload.value < 400", reason="too much"),
+              ))
+    return [clicks, money]
+
+
+@query("service_run", sql="""
+WITH j AS (
+  SELECT 'ev-' || CAST(event_id AS VARCHAR) AS job_id, event_id, ts, user_id, event_type, value,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+  FROM events
+), c AS (
+  SELECT j.*, EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'error' AND s.event_id + 1 = j.event_id
+                      AND s.ts <= j.ts AND s.ts >= j.ts - INTERVAL 3600 SECOND) AS cancelled
+  FROM j
+), clicks AS (SELECT * FROM c WHERE event_type IN ('click', 'view') AND NOT cancelled),
+money AS (SELECT * FROM c WHERE event_type IN ('click', 'purchase') AND NOT cancelled)
+SELECT 'p_clicks' AS pipeline_id, job_id, 'big_sink' AS sink_id, 'route' AS scope, 't' AS step_id,
+       'success' AS status, 't' AS steps FROM clicks WHERE k >= 50 AND value > 100
+UNION ALL
+SELECT 'p_clicks', job_id, 'click_sink', 'pipeline', NULL, 'success',
+       CASE WHEN k < 50 THEN 'gate' WHEN value > 100 THEN 'gate' ELSE 'gate,t' END FROM clicks
+UNION ALL
+SELECT 'p_money', job_id, 'money_sink', 'pipeline', NULL, CASE WHEN value < 400 THEN 'success' ELSE 'failure' END,
+       'check' FROM money
+UNION ALL
+SELECT 'p_money', job_id, 'money_dlq', 'dead_letter', NULL, 'failure', 'check' FROM money WHERE value >= 400
+""")
+def service_run(spark, sf_dir):
+    from jobframe.plans.service import run_batch
+
+    ev = table(spark, sf_dir, "events")
+    payload = F.to_json(F.struct(
+        F.concat(F.lit("ev-"), F.col("event_id").cast("string")).alias("event_key"),
+        F.col("event_id"), F.col("user_id"), F.col("event_type"), F.col("value"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("k")))
+    jobs = envelope(ev, F.col("event_type"), payload, F.col("event_id"), id_field="event_key",
+                    keep=["ts"]).withColumnRenamed("ts", "arrival_ts")
+    signals = ev.where(F.col("event_type") == "error").select(
+        F.concat(F.lit("ev-"), (F.col("event_id") + 1).cast("string")).alias("job_id"),
+        F.col("ts").alias("signal_ts"))
+    d, _, _ = run_batch(jobs, _service_specs(), signals=signals, ttl_secs=3600)
+    return d.select("pipeline_id", "job_id", "sink_id", "scope", "step_id", "status",
+                    F.array_join("steps", ",").alias("steps"))
