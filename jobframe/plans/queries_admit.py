@@ -59,8 +59,8 @@ LIMITED_SOURCES = [f"src{i}" for i in range(10, 20)]  # these sources set max_bo
 
 @query("size_gate", sql=f"""
 SELECT doc_id,
-       octet_length(encode(to_json(struct_pack(doc_id := doc_id, lang := lang, source := source, text := text))))
-         AS payload_bytes,
+       CAST(octet_length(encode(to_json(struct_pack(doc_id := doc_id, lang := lang, source := source, text := text))))
+            AS INTEGER) AS payload_bytes,
        CASE WHEN octet_length(encode(to_json(struct_pack(doc_id := doc_id, lang := lang, source := source, text := text))))
                  > CASE WHEN source IN ({", ".join(f"'{s}'" for s in LIMITED_SOURCES)}) THEN 6000 ELSE 1048576 END
             THEN 'source_too_large'

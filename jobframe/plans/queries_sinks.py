@@ -153,8 +153,8 @@ def _order_body():
 @query("webhook_outbox", sql=f"""
 WITH b AS (
   SELECT o_orderkey, o_orderstatus,
-    to_json(struct_pack(pipeline_id := 'orders_hook', job_id := 'o-' || CAST(o_orderkey AS VARCHAR),
-                        status := o_orderstatus, total := o_totalprice)) AS body
+    CAST(to_json(struct_pack(pipeline_id := 'orders_hook', job_id := 'o-' || CAST(o_orderkey AS VARCHAR),
+                        status := o_orderstatus, total := o_totalprice)) AS VARCHAR) AS body
   FROM orders)
 SELECT o_orderkey, 'https://hooks.example/' || lower(o_orderstatus) || '/' || CAST(o_orderkey AS VARCHAR) AS url,
   body, {hmac_sql('body', HOOK_SECRET)} AS signature, '250,500,1000,2000' AS retry_delays_ms,
@@ -174,8 +174,8 @@ def webhook_outbox_q(spark, sf_dir):
 @query("queue_outbox", sql="""
 SELECT o_orderkey,
   CASE WHEN o_orderstatus = 'F' THEN 'orders.ok.' || o_orderpriority ELSE 'orders.failed' END AS routing_key,
-  to_json(struct_pack(pipeline_id := 'orders_hook', job_id := 'o-' || CAST(o_orderkey AS VARCHAR),
-                      status := o_orderstatus, total := o_totalprice)) AS body
+  CAST(to_json(struct_pack(pipeline_id := 'orders_hook', job_id := 'o-' || CAST(o_orderkey AS VARCHAR),
+                      status := o_orderstatus, total := o_totalprice)) AS VARCHAR) AS body
 FROM orders
 """)
 def queue_outbox_q(spark, sf_dir):

@@ -120,7 +120,7 @@ t AS (
 ), l AS (SELECT t, timezone('America/New_York', t AT TIME ZONE 'UTC') AS lt FROM t),
 k AS (SELECT * FROM l WHERE minute(lt) = 0 AND hour(lt) BETWEEN 9 AND 17 AND isodow(lt) BETWEEN 1 AND 5),
 h AS (SELECT date_trunc('hour', ts) AS t, count(*) AS n FROM events GROUP BY 1)
-SELECT strftime(k.t, '%Y-%m-%d %H:%M:%S') AS tick, hour(k.lt) AS local_hour,
+SELECT strftime(k.t, '%Y-%m-%d %H:%M:%S') AS tick, CAST(hour(k.lt) AS INTEGER) AS local_hour,
        sha256(concat_ws('|', 'cron', strftime(k.t, '%Y-%m-%d %H:%M:%S'))) AS job_id, coalesce(h.n, 0) AS n_events
 FROM k LEFT JOIN h ON h.t = k.t
 """)

@@ -275,7 +275,7 @@ TEXT_SPEC = PipelineSpec(
 
 
 @query("outputs_text", sql="""
-SELECT conv_id, turn, CASE WHEN role = 'system' THEN NULL ELSE to_json(text) END AS body,
+SELECT conv_id, turn, CASE WHEN role = 'system' THEN NULL ELSE CAST(to_json(text) AS VARCHAR) END AS body,
        CASE WHEN role = 'system' THEN 0 ELSE 2 END AS n_outputs
 FROM conversations
 """)
@@ -339,7 +339,7 @@ SELECT doc_id,
        ELSE source END AS render_stderr,
   CASE WHEN octet_length(encode(text)) > 8000 OR octet_length(encode(source)) > 4 THEN 'failure' ELSE 'success' END AS status,
   CASE WHEN octet_length(encode(text)) > 8000 OR octet_length(encode(source)) > 4 THEN NULL
-       ELSE octet_length(encode(text)) END AS nocap_bytes
+       ELSE CAST(octet_length(encode(text)) AS INTEGER) END AS nocap_bytes
 FROM documents
 """)
 def byte_cap(spark, sf_dir):
@@ -405,7 +405,7 @@ SELECT doc_id,
   CASE WHEN length(text) < 5000 THEN upper(lang) || ':' || CAST(length(text) AS VARCHAR) END AS measure_stdout,
   CASE WHEN length(text) < 5000 THEN 0 ELSE -1 END AS measure_exit,
   CASE WHEN length(text) < 5000 THEN 'success' ELSE 'failure' END AS status,
-  octet_length(encode(to_json(struct_pack(lang := lang, text := text)))) AS echo_bytes
+  CAST(octet_length(encode(to_json(struct_pack(lang := lang, text := text)))) AS INTEGER) AS echo_bytes
 FROM documents
 """)
 def python_transform(spark, sf_dir):

@@ -39,9 +39,16 @@ def test_entry_smoke(spark):
     assert "sink_id" in df.columns
 
 
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "StringType()": "VARCHAR",
+                 "DoubleType()": "DOUBLE", "BooleanType()": "BOOLEAN", "TimestampNTZType()": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
+    types = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
+    rel_types = dict(zip(con.sql(E.oracle_sql()[name]).columns, map(str, con.sql(E.oracle_sql()[name]).types)))
+    assert types == rel_types
     cols = sorted(df.columns)
     got = Counter(tuple(_norm(r[c]) for c in cols) for r in df.collect())
     rel = con.sql(E.oracle_sql()[name])
