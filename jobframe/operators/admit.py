@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobframe import messages as M
 from jobframe.functions.hmac import hmac_sha256_hex
 from jobframe.functions.json import key_path
 from jobframe.operators.envelope import generated_id, labels_map
@@ -51,7 +52,7 @@ def size_verdict(payload_json: Column, source_limit_col: Column,
 def _header_check(v: Column, name: str) -> tuple[Column, Column]:
     t = strip_ws(v)
     bad = v.isNotNull() & ((t == "") | ~t.rlike(r"^[\x21-\x7E]+$"))
-    return t, F.when(bad, F.lit(f"{name} must be a non-empty visible ASCII value"))
+    return t, F.when(bad, F.lit(M.HEADER_NOT_VISIBLE.format(name=name)))
 
 
 def correlation_key(idem: Column, corr: Column) -> Column:
@@ -63,9 +64,9 @@ def correlation_key(idem: Column, corr: Column) -> Column:
     err = (F.when(ea.isNotNull(), ea)
            .when(eb.isNotNull(), eb)
            .when(idem.isNotNull() & corr.isNotNull() & (a != b),
-                 F.lit("Idempotency-Key and X-Correlation-ID must match when both are supplied"))
+                 F.lit(M.KEYS_DIFFER))
            .when(F.octet_length(key) > MAX_CORRELATION_KEY_BYTES,
-                 F.lit(f"correlation key exceeds {MAX_CORRELATION_KEY_BYTES} bytes")))
+                 F.lit(M.KEY_TOO_LONG.format(limit=MAX_CORRELATION_KEY_BYTES))))
     return F.struct(F.when(err.isNull(), key).alias("key"), err.alias("error"))
 
 
@@ -117,13 +118,13 @@ def request_verdict(requests: DataFrame, sources: list[HttpSource],
             raw = h[hdr_name]
             v = strip_ws(raw)
             expected = F.when(v.startswith("sha256="), v.substr(8, 1 << 30)).otherwise(v)
-            sig = (F.when(raw.isNull(), F.lit(f"Missing HMAC signature header: {hdr_name}"))
-                   .when(expected != hmac_sha256_hex(body, s.hmac_secret), F.lit("HMAC signature mismatch")))
+            sig = (F.when(raw.isNull(), F.lit(M.MISSING_SIGNATURE.format(header=hdr_name)))
+                   .when(expected != hmac_sha256_hex(body, s.hmac_secret), F.lit(M.SIGNATURE_MISMATCH)))
             sig_fail = F.when(on, sig).otherwise(sig_fail)
         limit = s.max_body_bytes if s.max_body_bytes > 0 else global_max
+        before, after = M.split(M.BODY_TOO_LARGE, "size", limit=limit)
         size_fail = F.when(on & (nbytes > limit), F.concat(
-            F.lit(f"Payload exceeds max_body_bytes limit of {limit} bytes (received "),
-            nbytes.cast("string"), F.lit(" bytes)"))).otherwise(size_fail)
+            F.lit(before), nbytes.cast("string"), F.lit(after))).otherwise(size_fail)
         ack = F.when(on, F.lit(_ack(s))).otherwise(ack)
         if s.id_field:
             v = F.try_variant_get(F.try_parse_json(body), key_path(s.id_field), "variant")
@@ -141,10 +142,11 @@ def request_verdict(requests: DataFrame, sources: list[HttpSource],
             .when(~F.col("_json"), F.lit(400))
             .when(F.col("_corr.error").isNotNull(), F.lit(400))
             .otherwise(F.col("_ack")))
-    reason = (F.when(F.col("_src").isNull(), F.concat(F.lit("No HTTP/webhook source found for path: "), path))
+    no_src, _ = M.split(M.NO_SOURCE, "path")
+    reason = (F.when(F.col("_src").isNull(), F.concat(F.lit(no_src), path))
               .when(F.col("_sig").isNotNull(), F.col("_sig"))
               .when(F.col("_size").isNotNull(), F.col("_size"))
-              .when(~F.col("_json"), F.lit("Invalid JSON"))
+              .when(~F.col("_json"), F.lit(M.INVALID_JSON))
               .when(F.col("_corr.error").isNotNull(), F.col("_corr.error"))
               .otherwise(F.lit("accepted")))
     accepted = code < 300

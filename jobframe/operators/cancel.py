@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from jobframe.spec import DEFAULT_CANCEL_TTL_SECS
 
-CANCEL_PREFIX = "__cancel__"  # fixed id prefix of a cancellation record
+from jobframe.messages import CANCEL_PREFIX  # noqa: E402  (fixed id prefix of a cancellation record)
 
 
 def removed_ids(prev: DataFrame, cur: DataFrame, keys=("file", "id")) -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import types as T
 
+from jobframe import messages as M
 from jobframe.spec import ConditionStep, MapStep, Outputs, SpecError, TransformStep
 
 STEP_RESULT_DDL = (
@@ -29,11 +30,10 @@ STEP_RESULT_TYPE = T.StructType([
     T.StructField("outputs", T.MapType(T.StringType(), T.StringType())),
 ])
 
-# Fixed message formats of the orchestrator being re-expressed (error kind prefixes).
-PIPELINE_ERROR = "Pipeline error: "
-TASK_ERROR = "Task execution error: "
-TIMEOUT_ERROR = "Timeout error: "
-EXPRESSION_ERROR = "Expression evaluation error: "
+PIPELINE_ERROR = M.PIPELINE_ERROR
+TASK_ERROR = M.TASK_ERROR
+TIMEOUT_ERROR = M.TIMEOUT_ERROR
+EXPRESSION_ERROR = M.EXPRESSION_ERROR
 
 NULL_STR = "CAST(NULL AS STRING)"
 EMPTY_MAP = "CAST(map() AS MAP<STRING,STRING>)"
@@ -83,27 +83,27 @@ def _stop(step, failed: str) -> str:
 def compile_map(step: MapStep, values: list[str]) -> StepSQL:
     updates = [(target[len("job.payload."):], values[i]) for i, (target, _) in enumerate(step.set)]
     failed = "(job.payload IS NULL)"
-    result = (f"CASE WHEN {failed} THEN {failure_result(lit(PIPELINE_ERROR + 'job.payload is not an object'))} "
+    result = (f"CASE WHEN {failed} THEN {failure_result(lit(PIPELINE_ERROR + M.NOT_AN_OBJECT))} "
               f"ELSE {ok_result()} END")
     return StepSQL(result, failed, "false", "CAST(NULL AS INT)", _stop(step, failed), updates)
 
 
 def compile_condition(step: ConditionStep, skip_level: int | None, c: str) -> StepSQL:
     # NULL (missing key / null operand) is an evaluation error, not false.
-    err_null = lit(f"{EXPRESSION_ERROR}Condition '{step.expr}' did not evaluate to a boolean")
+    err_null = lit(EXPRESSION_ERROR + M.NOT_BOOLEAN.format(expr=step.expr))
     if step.action == "fail":
-        reason = step.reason if step.reason is not None else f"Condition '{step.expr}' evaluated to false"
+        reason = step.reason if step.reason is not None else M.CONDITION_FALSE.format(expr=step.expr)
         failed = f"({c} IS NULL OR NOT {c})"
         error = f"CASE WHEN {c} IS NULL THEN {err_null} ELSE {lit(PIPELINE_ERROR + reason)} END"
         result = f"CASE WHEN {failed} THEN {failure_result(error)} ELSE {ok_result()} END"
         return StepSQL(result, failed, "false", "CAST(NULL AS INT)", _stop(step, failed), [])
     failed = f"({c} IS NULL)"
     if step.action == "emit":
-        stdout = f"CASE WHEN NOT {c} THEN 'emitted' END"
+        stdout = f"CASE WHEN NOT {c} THEN {lit(M.EMITTED)} END"
         emit = f"(coalesce(NOT {c}, false))"
         skip = "CAST(NULL AS INT)"
     else:  # skip_to
-        stdout = f"CASE WHEN NOT {c} THEN {lit('skipped_to: ' + str(step.skip_to))} END"
+        stdout = f"CASE WHEN NOT {c} THEN {lit(M.SKIPPED_TO.format(target=step.skip_to))} END"
         emit = "false"
         skip = f"CASE WHEN {c} IS NOT NULL AND NOT {c} THEN {int(skip_level)} END"
     result = f"CASE WHEN {failed} THEN {failure_result(err_null)} ELSE {ok_result(stdout)} END"
@@ -193,7 +193,8 @@ def udf_raw(udf_name: str, stdin_col: str) -> str:
             f"'duration_ms', coalesce({r}.duration_ms, CAST(0 AS BIGINT)))")
 
 
-def _rust_list(codes) -> str:
+def _list_text(codes) -> str:
+    """A list of codes as the orchestrator prints it: ``[0, 2]``."""
     return "[" + ", ".join(str(c) for c in codes) + "]"
 
 
@@ -202,21 +203,22 @@ def compile_transform(step: TransformStep, raw: str, doc: str | None = None, std
     stdout, stderr, exit_code, duration = f"{raw}.stdout", f"{raw}.stderr", f"{raw}.exit_code", f"{raw}.duration_ms"
     checks: list[tuple[str, str]] = []
     if stdin is not None and step.stdin == "template":  # E3: strict rendering, before the task runs
-        checks.append((f"{stdin} IS NULL", lit(f"Template render error: undefined value in template {step.template!r}")))
+        checks.append((f"{stdin} IS NULL",
+                       lit(M.TEMPLATE_ERROR + M.UNDEFINED_IN_TEMPLATE.format(template=step.template))))
     if step.timeout_secs > 0:
         checks.append((f"{duration} > {step.timeout_secs * 1000}",
-                       lit(f"{TIMEOUT_ERROR}Task timed out after {step.timeout_secs}s")))
+                       lit(TIMEOUT_ERROR + M.TIMED_OUT.format(secs=step.timeout_secs))))
     if step.stdout_max_bytes > 0:
         checks.append((f"coalesce(octet_length({stdout}), 0) > {step.stdout_max_bytes}",
-                       lit(f"{TASK_ERROR}stdout exceeded max_bytes limit of {step.stdout_max_bytes}")))
+                       lit(TASK_ERROR + M.STDOUT_CAP.format(limit=step.stdout_max_bytes))))
     if step.stderr_max_bytes > 0:
         checks.append((f"coalesce(octet_length({stderr}), 0) > {step.stderr_max_bytes}",
-                       lit(f"{TASK_ERROR}stderr exceeded max_bytes limit of {step.stderr_max_bytes}")))
+                       lit(TASK_ERROR + M.STDERR_CAP.format(limit=step.stderr_max_bytes))))
     if step.success_exit_codes:
         codes = list(step.success_exit_codes)
+        before, after = M.split(M.EXIT_CODE, "code", codes=_list_text(codes))
         checks.append((f"NOT ({exit_code} IN ({', '.join(str(c) for c in codes)}))",
-                       f"concat({lit(TASK_ERROR + 'Exit code ')}, CAST({exit_code} AS STRING), "
-                       f"{lit(' is not in success_exit_codes ' + _rust_list(codes))})"))
+                       f"concat({lit(TASK_ERROR + before)}, CAST({exit_code} AS STRING), {lit(after)})"))
     if checks:
         error = "CASE " + " ".join(f"WHEN {c} THEN {m}" for c, m in checks) + " END"
     else:
