@@ -16,29 +16,11 @@ def key_path(key: str) -> str:
     return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
-def dotted_path(key: str) -> str:
-    return "$" + "".join("['" + p.replace("\\", "\\\\").replace("'", "\\'") + "']" for p in key.split("."))
-
-
 def json_field(payload_text: Column, key: str) -> Column:
     """Top-level field as VARIANT (NULL if absent, unparsable or not an object)."""
     return F.try_variant_get(F.try_parse_json(payload_text), key_path(key), "variant")
 
 
-def variant_kind(v: Column) -> Column:
-    """Coarse JSON kind of a VARIANT: STRING, NUMBER, BOOLEAN, NULL, ARRAY, OBJECT."""
-    t = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), F.lit(None))
-        .when(t == "STRING", "STRING")
-        .when(t == "BOOLEAN", "BOOLEAN")
-        .when(t == "NULL", "NULL")
-        .when(t.startswith("ARRAY"), "ARRAY")
-        .when(t.startswith("OBJECT"), "OBJECT")
-        .otherwise("NUMBER")
-    )
-
-
 def top_level_string(payload_text: Column, key: str) -> Column:
     """Value of a top-level key only when it is a JSON string."""
     v = json_field(payload_text, key)

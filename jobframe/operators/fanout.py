@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobframe.operators.envelope import labels_map, overlay_labels
+from jobframe.operators.envelope import overlay_labels
 from jobframe.spec import PipelineSpec
 
 ROUTE_SCHEMA = T.StructType([
@@ -38,4 +38,4 @@ def unrouted(jobs: DataFrame, routes: DataFrame) -> DataFrame:
     return jobs.join(F.broadcast(routes.select("source").distinct()), "source", "left_anti")
 
 
-__all__ = ["route_table", "fan_out", "unrouted", "labels_map"]
+__all__ = ["route_table", "fan_out", "unrouted"]

@@ -38,9 +38,23 @@ def pipeline_batch(jobs: DataFrame, spec: PipelineSpec, out: str, epoch_id: int,
         d.select("sink_id", "pipeline_id", "job_id", "scope", "step_id", "status",
                  F.array_join("steps", ",").alias("steps")).write.mode("overwrite").partitionBy("sink_id").parquet(
             f"{out}/deliveries/epoch={epoch_id}")
-        res.select("id", "pipeline_id", "status").write.mode("overwrite").parquet(f"{out}/state/epoch={epoch_id}")
+        # state log (ST1/ST2): queued then the outcome, per (job, pipeline)
+        ts = F.col(start_col) if start_col in res.columns else F.current_timestamp()
+        ev = [res.select(F.col("id").alias("job_id"), "pipeline_id", F.lit("queued").alias("state"),
+                         ts.alias("updated_at"), F.lit(0).cast("bigint").alias("seq")),
+              res.select(F.col("id").alias("job_id"), "pipeline_id", F.col("status").alias("state"),
+                         ts.alias("updated_at"), F.lit(1).cast("bigint").alias("seq"))]
         if cancelled is not None:
+            cts = F.col(start_col) if start_col in cancelled.columns else F.current_timestamp()
+            for st, seq in (("queued", 0), ("cancelled", 1)):
+                ev.append(cancelled.select(F.col("id").alias("job_id"), F.lit(spec.id).alias("pipeline_id"),
+                                           F.lit(st).alias("state"), cts.alias("updated_at"),
+                                           F.lit(seq).cast("bigint").alias("seq")))
             cancelled.select("id").write.mode("overwrite").parquet(f"{out}/cancelled/epoch={epoch_id}")
+        events = ev[0]
+        for e in ev[1:]:
+            events = events.unionByName(e)
+        events.write.mode("overwrite").parquet(f"{out}/state/epoch={epoch_id}")
     finally:
         for h in held:
             h.unpersist()
