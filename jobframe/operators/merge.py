@@ -343,26 +343,20 @@ def _fresh_tables(t: np.ndarray, bits: np.ndarray, n: int, limit: int):
     comp = nxt.max(axis=0)                                   # completion row of a fresh start (m = none)
     exp = np.searchsorted(t, t + limit, side="right")        # first row later than t_i + limit
     suffix_or = np.bitwise_or.accumulate(bits[::-1])[::-1]
-    gm = np.zeros(m + 1, dtype=np.int64)
-    gt = np.full(m + 1, -1, dtype=np.int64)
-    gc = np.zeros(m + 1, dtype=np.int64)
+    # next fresh start of a fresh start at i, vectorised; then one backward pass
+    ns_arr = np.where((exp < m) & (exp <= comp), exp, np.where(comp < m, comp + 1, m + 1))
+    gm = [0] * (m + 1)
+    gt = [-1] * (m + 1)
+    gc = [0] * (m + 1)
+    ns_l, so_l, t_l = ns_arr.tolist(), suffix_or.tolist(), t.tolist()
     for i in range(m - 1, -1, -1):
-        c, e = comp[i], exp[i]
-        if e < m and e <= c:
-            ns = e
-        elif c < m:
-            ns = c + 1
-        else:
-            ns = m + 1
+        ns = ns_l[i]
         if ns <= m:
             gm[i], gt[i], gc[i] = gm[ns], gt[ns], 1 + gc[ns]
-        else:
+        else:  # still open at the segment end
             gc[i] = 1
-            if c < m:  # completed on the last row
-                gm[i], gt[i] = 0, -1
-            else:
-                gm[i], gt[i] = suffix_or[i], t[i]
-    return nxt, gm, gt, gc, full
+            gm[i], gt[i] = so_l[i], t_l[i]
+    return nxt, np.array(gm, dtype=np.int64), np.array(gt, dtype=np.int64), np.array(gc, dtype=np.int64), full
 
 
 def _summaries_t(n: int, limit: int):
@@ -442,19 +436,22 @@ def _replay_t(n: int, limit: int):
         for pdf in it:
             if pdf.empty:
                 continue
-            keys = pdf["_key"].to_numpy()
-            bits = pdf["_bit"].to_numpy().astype(np.int64)
-            ts = pdf["_t"].to_numpy().astype(np.int64)
-            es, et, ec = pdf["_entry_state"].to_numpy(), pdf["_entry_t0"].to_numpy(), pdf["_entry_count"].to_numpy()
-            rounds = np.empty(len(pdf), dtype=np.int64)
-            kept = np.empty(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
+            keys = pdf["_key"].tolist()
+            bits = pdf["_bit"].astype("int64").tolist()
+            ts = pdf["_t"].astype("int64").tolist()
+            has_entry = pdf["_entry_state"].notna().tolist()
+            es = pdf["_entry_state"].fillna(0).astype("int64").tolist()
+            et = pdf["_entry_t0"].fillna(-1).astype("int64").tolist()
+            ec = pdf["_entry_count"].fillna(0).astype("int64").tolist()
+            rounds = [0] * len(keys)
+            kept = [False] * len(keys)
+            for i in range(len(keys)):
                 if keys[i] != cur:
                     cur = keys[i]
-                    if pd.isna(es[i]):
-                        mask, t0, starts = 0, -1, 0
+                    if has_entry[i]:
+                        mask, t0, starts = es[i], et[i], ec[i]
                     else:
-                        mask, t0, starts = int(es[i]), int(et[i]), int(ec[i])
+                        mask, t0, starts = 0, -1, 0
                 t = ts[i]
                 if mask and t - t0 > limit:
                     mask = 0  # the open group expired: discarded
@@ -471,7 +468,7 @@ def _replay_t(n: int, limit: int):
                 if mask == full:
                     mask = 0
             yield pdf.drop(columns=["_entry_state", "_entry_t0", "_entry_count", "_t"]).assign(
-                round=rounds, kept=kept)
+                round=np.array(rounds, dtype=np.int64), kept=np.array(kept, dtype=bool))
 
     return run
 
