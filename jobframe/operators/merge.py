@@ -360,26 +360,49 @@ def _fresh_tables(t: np.ndarray, bits: np.ndarray, n: int, limit: int):
 
 
 def _summaries_t(n: int, limit: int):
+    """Boundary-segment summaries for the time-limited scan.
+
+    For an open entry group (mask, t0) the segment's effect depends on t0 only
+    through e = the first row later than t0 + limit, and e never lies beyond the
+    first row later than (first time + limit). Indices up to there are grouped
+    into runs with the same fresh-start outcome (exit mask, exit t0, groups
+    started), split at every completion row + 1 so that "expiry before
+    completion" is constant inside a run. A summary is the run starts with their
+    time thresholds and outcomes, the completion row of every entry mask, and the
+    OR of all sources: its size is the number of distinct outcomes, not rows."""
     def summarise(pid, key, t, bits):
         m = len(t)
         nxt, gm, gt, gc, full = _fresh_tables(t, bits, n, limit)
-        e_max = int(np.searchsorted(t, t[0] + limit, side="right")) if m else 0  # 0-based first row beyond
+        e_max = int(np.searchsorted(t, t[0] + limit, side="right")) if m else 0  # first row beyond
         cont = []
         for mask in range(full + 1):
             need = [s for s in range(n) if not mask & (1 << s)]
             cont.append(int(max(nxt[s][0] for s in need)) if need and m else m)
-        reach = sorted(set(range(0, min(e_max, m) + 1)) | {min(c + 1, m) for c in cont} | {m})
-        return (pid, key, t[: e_max + 1].tolist(), cont, reach,
-                [int(gm[i]) for i in reach], [int(gt[i]) for i in reach], [int(gc[i]) for i in reach],
-                int(np.bitwise_or.reduce(bits)) if m else 0, m)
+        last = min(e_max, m)
+        splits = {0, last} | {c + 1 for c in cont if c + 1 <= last}
+        starts, thr, om, ot, oc = [], [], [], [], []
+        prev = None
+        for i in range(0, last + 1):
+            out = (int(gm[i]), int(gt[i]), int(gc[i])) if i < m else (0, -1, 0)
+            if i in splits or out != prev:
+                starts.append(i)
+                thr.append(int(t[i - 1]) if i > 0 else -(1 << 62))
+                om.append(out[0])
+                ot.append(out[1])
+                oc.append(out[2])
+                prev = out
+        # outcome of a fresh start right after each completion row
+        after = [(int(gm[c + 1]), int(gt[c + 1]), int(gc[c + 1])) if c + 1 < m else (0, -1, 0) for c in cont]
+        return (pid, key, starts, thr, om, ot, oc, cont, [a[0] for a in after], [a[1] for a in after],
+                [a[2] for a in after], int(np.bitwise_or.reduce(bits)) if m else 0, m)
 
     def run(it):
-        out = []
-        segs = []  # (pid, key, t list, bits list) of the current partition
+        segs = []  # (pid, key, t list, bits list) of the first and the current segment
         for pdf in it:
             if pdf.empty:
                 continue
-            for pid, key, tt, b in zip(pdf["_pid"], pdf["_key"], pdf["_t"], pdf["_bit"]):
+            for pid, key, tt, b in zip(pdf["_pid"].tolist(), pdf["_key"].tolist(), pdf["_t"].tolist(),
+                                       pdf["_bit"].tolist()):
                 if segs and segs[-1][1] == key:
                     segs[-1][2].append(tt)
                     segs[-1][3].append(b)
@@ -387,10 +410,10 @@ def _summaries_t(n: int, limit: int):
                     if len(segs) >= 2:
                         segs.pop()  # a middle segment never carries state across partitions
                     segs.append((int(pid), key, [tt], [b]))
-        for pid, key, tt, b in segs:
-            out.append(summarise(pid, key, np.array(tt, dtype=np.int64), np.array(b, dtype=np.int64)))
+        out = [summarise(p, k, np.array(tt, dtype=np.int64), np.array(b, dtype=np.int64)) for p, k, tt, b in segs]
         if out:
-            yield pd.DataFrame(out, columns=["_pid", "_key", "t", "cont", "reach", "gm", "gt", "gc", "orall", "m"])
+            yield pd.DataFrame(out, columns=["_pid", "_key", "starts", "thr", "om", "ot", "oc", "cont",
+                                             "am", "at", "ac", "orall", "m"])
 
     return run
 
@@ -398,21 +421,16 @@ def _summaries_t(n: int, limit: int):
 def _compose_t(limit: int):
     def apply(row, mask, t0, starts):
         m = int(row["m"])
-        lookup = {int(i): (int(a), int(b), int(c)) for i, a, b, c in
-                  zip(row["reach"], row["gm"], row["gt"], row["gc"])}
-        if mask == 0:
-            gmv, gtv, gcv = lookup[0]
-            return gmv, gtv, starts + gcv
-        ts = np.array(row["t"], dtype=np.int64)
-        e = int(np.searchsorted(ts, t0 + limit, side="right"))
-        e = e if e < len(ts) and e < m else m
+        if mask == 0:  # fresh start at row 0: the outcome of the first run
+            return int(row["om"][0]), int(row["ot"][0]), starts + int(row["oc"][0])
         c = int(row["cont"][mask])
+        # run holding e = first row later than t0 + limit
+        r = int(np.searchsorted(np.asarray(row["thr"], dtype=np.int64), t0 + limit, side="right")) - 1
+        e = int(row["starts"][r])
         if e < m and e <= c:
-            gmv, gtv, gcv = lookup[e]
-            return gmv, gtv, starts + gcv
+            return int(row["om"][r]), int(row["ot"][r]), starts + int(row["oc"][r])
         if c < m:
-            gmv, gtv, gcv = lookup[min(c + 1, m)] if c + 1 < m else (0, -1, 0)
-            return gmv, gtv, starts + gcv
+            return int(row["am"][mask]), int(row["at"][mask]), starts + int(row["ac"][mask])
         return mask | int(row["orall"]), t0, starts
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -481,9 +499,9 @@ def assign_rounds_timeout(jobs: DataFrame, sources: list[str], timeout_secs: int
     later finds it expired and opens a new group. ``round`` numbers the groups
     started within the key; groups with fewer than N kept jobs never completed.
 
-    The per-partition summary of a boundary key holds the key's rows within one
-    timeout of the partition's first row for that key (bounded by the arrival rate
-    times the timeout, not by the key's size)."""
+    The per-partition summary of a boundary key has one entry per distinct
+    fresh-start outcome within one timeout of the partition's first row for that
+    key (plus one per entry mask), not one per row."""
     n = len(sources)
     if not 1 <= n <= MAX_SOURCES:
         raise ValueError(f"merge over {n} sources is not supported (1..{MAX_SOURCES})")
@@ -501,8 +519,9 @@ def assign_rounds_timeout(jobs: DataFrame, sources: list[str], timeout_secs: int
     ranged = ranged.checkpoint(eager=True)
     summ = ranged.select("_pid", "_key", "_t", "_bit").mapInPandas(
         _summaries_t(n, limit),
-        "_pid int, _key string, t array<bigint>, cont array<bigint>, reach array<bigint>, gm array<bigint>, "
-        "gt array<bigint>, gc array<bigint>, orall bigint, m bigint")
+        "_pid int, _key string, starts array<bigint>, thr array<bigint>, om array<bigint>, ot array<bigint>, "
+        "oc array<bigint>, cont array<bigint>, am array<bigint>, at array<bigint>, ac array<bigint>, "
+        "orall bigint, m bigint")
     entries = summ.groupBy("_key").applyInPandas(
         _compose_t(limit), "_pid int, _key string, _entry_state bigint, _entry_t0 bigint, _entry_count bigint")
     joined = ranged.join(F.broadcast(entries), ["_pid", "_key"], "left").sortWithinPartitions(
