@@ -4,7 +4,9 @@ global size gate (A2) → fan-out with label overlay (J1, P3) → merge per pipe
 (J2–J9) → cancellation by signals (C4) → compiled DAG (D-1…) → dispatch (K1–K8).
 
 Returns (deliveries, state events, rejects). All outputs are DataFrames; a
-stream runs the same function inside ``foreachBatch``.
+stream runs the same function inside ``foreachBatch``. Each pipeline reads the
+fanned-out jobs through a filter on its id; with many pipelines, persist or
+checkpoint the jobs first so the source is scanned once.
 """
 
 from __future__ import annotations
