@@ -117,3 +117,28 @@ def test_request_verdict_order_and_accepted_jobs(spark):
     jobs = {r.id: r for r in accepted_jobs(request_verdict(df, srcs), srcs).collect()}
     assert set(jobs) == {"x1", v[8].job_id}
     assert jobs["x1"].labels == {"env": "t"} and jobs["x1"].source == "hook"
+
+
+def test_json_file_that_is_not_an_array(spark, tmp_path):
+    d = tmp_path / "obj"
+    d.mkdir()
+    (d / "a.json").write_text('{"id": "x"}')
+    (d / "b.json").write_text('[{"id": "y"}, 42, "s"]')  # any JSON value is a job
+    jobs, rejects = read_json_array(spark, str(d), "src")
+    assert sorted(r.payload for r in jobs.collect()) == ['"s"', '42', '{"id":"y"}']
+    assert rejects.count() == 1
+
+
+def test_two_claim_polls(spark):
+    from jobframe.sources.tables import claim_pending
+
+    rows = spark.createDataFrame([(f"r{i:03d}", i, None if i % 7 else "done") for i in range(250)],
+                                 "id string, created_at int, status string")
+    first, after = claim_pending(rows, 100)
+    ids1 = [r.id for r in first.orderBy("created_at").collect()]
+    assert len(ids1) == 100 and all(r.status == "processing" for r in first.collect())
+    second, after2 = claim_pending(after, 100)
+    ids2 = {r.id for r in second.collect()}
+    assert not ids2 & set(ids1) and len(ids2) == 100
+    assert after2.where("status = 'processing'").count() == 200
+    assert after2.where("status = 'done'").count() == len([i for i in range(250) if i % 7 == 0])

@@ -145,3 +145,20 @@ def test_stream_cancels_with_static_signals(spark, tmp_path):
     assert {(r.job_id, r.state) for r in view.collect()} == {
         ("j0", "success"), ("j1", "cancelled"), ("j2", "success"), ("j3", "success")}
     assert recover_incomplete(view).count() == 0
+
+
+def test_tail_restarts_a_shrunk_file(spark, tmp_path):
+    d = tmp_path / "shrink"
+    d.mkdir()
+    f = d / "a.jsonl"
+    f.write_text('{"id":"one"}\n{"id":"two"}\n')
+    q = tail_jsonl(spark, str(d), "tail").writeStream.format("memory").queryName("shrink_out").option(
+        "checkpointLocation", str(tmp_path / "sk")).start()
+    try:
+        q.processAllAvailable()
+        f.write_text('{"id":"new"}\n')  # truncated and rewritten: read again from byte 0
+        time.sleep(0.5)
+        q.processAllAvailable()
+        assert sorted(r.id for r in spark.table("shrink_out").collect()) == ["new", "one", "two"]
+    finally:
+        q.stop()
