@@ -45,10 +45,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
+    """Hash-partition by a row ordinal (stable for a re-run task over the same
+    split) instead of round-robin, which sorts every partition first."""
+    from pyspark.sql import functions as F
+
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        return (df.withColumn("_spread", F.monotonically_increasing_id())
+                .repartition(cores, "_spread").drop("_spread"))
     return df
 
 

@@ -35,7 +35,9 @@ def line_jobs(spark, sf_dir):
                   F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"),
                   F.col("l_discount").alias("disc"), F.col("l_returnflag").alias("flag"),
                   F.col("l_linestatus").alias("status"))
-    return envelope(li, "lines", F.to_json(st), F.monotonically_increasing_id(), id_field=None,
+    # ordinal = the natural key (stable under task retries, unlike a post-shuffle row id);
+    # identical duplicate records get the same content-derived id
+    return envelope(li, "lines", F.to_json(st), F.concat_ws(":", "l_orderkey", "l_linenumber"), id_field=None,
                     keep=["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag",
                           "l_linestatus"], payload_struct=st)
 
