@@ -282,3 +282,75 @@ def cancel_consumed(spark, sf_dir):
     done = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("job_id"), (F.col("o_orderdate") + F.expr("INTERVAL 120 DAYS")).alias("completed_ts"))
     return live_signals(sig, done)
+
+
+# ── J5: correlation by expression (stream operator over time-ordered files) ──
+
+THETA_SOURCES = ["click", "purchase"]
+THETA_TIMEOUT = 6 * 3600
+_TL = THETA_TIMEOUT * 1_000_000
+
+
+def _theta_match(a, b):
+    """Residual of the correlation expression: the buffered job's value is at least the arriving one's."""
+    return a["value"] >= b["value"]
+
+
+_LIVE = f"list_filter(w.groups, lambda g: e.t - g.t0 <= {_TL})"
+_IDX = f"list_position(list_transform({_LIVE}, lambda g: g.v >= e.value), true)"
+
+
+@query("merge_theta", sql=f"""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_type AS src, 'ev-' || CAST(event_id AS VARCHAR) AS id, value, epoch_us(ts) AS t,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events WHERE event_type IN ('click', 'purchase')
+), w(user_id, rn, groups, emitted) AS (
+  SELECT user_id, rn, [{{'src': src, 'id': id, 'v': value, 't0': t}}], CAST(NULL AS VARCHAR) FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn,
+    CASE WHEN {_IDX} IS NULL THEN {_LIVE} || [{{'src': e.src, 'id': e.id, 'v': e.value, 't0': e.t}}]
+         WHEN {_LIVE}[{_IDX}].src = e.src THEN {_LIVE}
+         ELSE list_filter({_LIVE}, lambda g, i: i != {_IDX}) END,
+    CASE WHEN {_IDX} IS NOT NULL AND {_LIVE}[{_IDX}].src <> e.src
+         THEN {_LIVE}[{_IDX}].id || ',' || e.id END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1
+)
+SELECT CAST(user_id AS VARCHAR) AS key, emitted AS member_ids FROM w WHERE emitted IS NOT NULL
+""")
+def merge_theta(spark, sf_dir):
+    """J5 in batch: the stateful stream operator over the jobs written as time-ordered
+    files (one micro-batch per file, so per-trigger work per key is bounded by a
+    file and no row arrives behind the watermark)."""
+    from jobframe.plans.queries_state import _scratch
+    from jobframe.streaming.merge import OUTPUT_SCHEMA, merge_theta_stream
+
+    jobs = event_source_jobs(spark, sf_dir).select(
+        "id", "source", "payload", "correlation_key", "arrival_ts", "arrival_seq")
+    base = _scratch(spark, "theta")
+    # one file per scan split of the source: micro-batches grow with the split size, not the data
+    files = max(2, spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").rdd.getNumPartitions())
+    (jobs.repartitionByRange(files, "arrival_ts", "arrival_seq").sortWithinPartitions("arrival_ts", "arrival_seq")
+     .write.parquet(base + "/in"))
+    _order_by_name(spark, base + "/in")
+    stream = spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    out = merge_theta_stream(stream, THETA_SOURCES, _theta_match, THETA_TIMEOUT, "correlation_key",
+                             watermark="0 seconds")
+    q = (out.writeStream.format("parquet").option("path", base + "/out")
+         .option("checkpointLocation", base + "/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    res = spark.read.schema(OUTPUT_SCHEMA).parquet(base + "/out")
+    return res.where(F.col("status") == "complete").select("key", "member_ids")
+
+
+def _order_by_name(spark, path: str) -> None:
+    """Modification times increasing with the part number, so the file stream
+    reads the time ranges in order."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    names = sorted(st.getPath().getName() for st in fs.listStatus(p) if st.getPath().getName().startswith("part-"))
+    base = 1_600_000_000_000
+    for i, name in enumerate(names):
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(path + "/" + name), base + i * 1000, -1)
