@@ -76,3 +76,22 @@ def test_empty_snapshot_cancels_everything(spark):
     cur = spark.createDataFrame([("f", "keep")], "file string, id string")
     assert {r.id for r in removed_ids(prev, cur).collect()} == {"rm"}
     assert {r.id for r in removed_ids(prev, empty).collect()} == {"keep", "rm"}
+
+
+def test_release_with_one_hot_pipeline_across_partitions(spark):
+    rnd = random.Random(9)
+    base = dt.datetime(2024, 1, 1)
+    holds, resumes, events = [], [], []
+    for i in range(1500):
+        ts = base + dt.timedelta(seconds=rnd.randint(0, 20000))
+        if rnd.random() < 0.5:
+            holds.append((f"h{i}", "hot", ts))
+            events.append(("hot", ts, 0, f"h{i}"))
+        else:
+            resumes.append(("hot", ts))
+            events.append(("hot", ts, 1, None))
+    h = spark.createDataFrame(holds, "job_id string, pipeline_id string, hold_ts timestamp")
+    r = spark.createDataFrame(resumes, "pipeline_id string, resume_ts timestamp")
+    got = {row.job_id: (row.released_ts, row.released_by)
+           for row in release_holds(h, r, num_partitions=8).collect() if row.released_ts is not None}
+    assert got == simulate(events)
