@@ -445,6 +445,87 @@ def _compose_t(limit: int):
     return run
 
 
+def _replay_segment_loop(t, bits, full, limit, mask, t0, starts):
+    m = len(t)
+    rounds = [0] * m
+    kept = [False] * m
+    for i in range(m):
+        if mask and t[i] - t0 > limit:
+            mask = 0  # the open group expired: discarded
+        if not mask:
+            t0 = t[i]
+            starts += 1
+        rounds[i] = starts - 1
+        b = bits[i]
+        if mask & b:
+            continue
+        kept[i] = True
+        mask |= b
+        if mask == full:
+            mask = 0
+    return rounds, kept, mask, t0, starts
+
+
+def _replay_segment_vec(t: np.ndarray, bits: np.ndarray, n: int, limit: int, mask: int, t0: int, starts: int):
+    """Vectorised replay of one key segment from a known entry state.
+
+    Fresh starts form a chain i -> ns(i) (completion + 1 or expiry row); the
+    chain from the first fresh start is enumerated by doubling, then round
+    numbers are a cumulative count of starts and a row is kept when its source
+    has not occurred earlier in its group."""
+    m = len(t)
+    full = (1 << n) - 1
+    idx = np.arange(m)
+    nxt = np.array([np.minimum.accumulate(np.where((bits & (1 << s)) != 0, idx, m)[::-1])[::-1]
+                    for s in range(n)])
+    comp = nxt.max(axis=0)
+    exp = np.searchsorted(t, t + limit, side="right")
+    ns = np.where((exp < m) & (exp <= comp), exp, np.where(comp < m, comp + 1, m))
+    if mask == 0:
+        f1 = 0
+    else:
+        e = int(np.searchsorted(t, t0 + limit, side="right"))
+        need = [s for s in range(n) if not mask & (1 << s)]
+        c = int(max(nxt[s][0] for s in need)) if need else m
+        f1 = e if (e < m and e <= c) else (c + 1 if c < m else m)
+    is_start = np.zeros(m, dtype=bool)
+    if f1 < m:
+        jump = np.append(ns, m)
+        nodes = np.array([f1])
+        while True:  # nodes within depth < 2^k, then square the jump
+            step = jump[nodes]
+            step = step[step < m]
+            grown = np.union1d(nodes, step)
+            if len(step) == 0:
+                break
+            nodes = grown
+            jump = jump[jump]
+        is_start[nodes] = True
+    rounds = starts - 1 + np.cumsum(is_start)
+    last_start = np.maximum.accumulate(np.where(is_start, idx, -1))
+    prev_same = np.full(m, -1)
+    for s in range(n):
+        on = (bits & (1 << s)) != 0
+        last = np.maximum.accumulate(np.where(on, idx, -1))
+        prev = np.concatenate([[-1], last[:-1]])
+        prev_same = np.where(on, prev, prev_same)
+    in_group = last_start >= 0
+    kept = np.where(in_group, prev_same < last_start, ((bits & mask) == 0) & (prev_same < 0))
+    n_starts = int(is_start.sum())
+    if f1 >= m:
+        end = (mask | int(np.bitwise_or.reduce(bits)) if m else mask, t0, starts)
+    else:
+        g = int(np.flatnonzero(is_start)[-1])
+        if comp[g] < m:  # the last group completed on the last row
+            end = (0, -1, starts + n_starts)
+        else:
+            end = (int(np.bitwise_or.reduce(bits[g:])), int(t[g]), starts + n_starts)
+    return rounds, kept, end[0], end[1], end[2]
+
+
+VECTOR_MIN_ROWS = 64  # shorter key segments are replayed by a plain loop
+
+
 def _replay_t(n: int, limit: int):
     full = (1 << n) - 1
 
@@ -454,39 +535,39 @@ def _replay_t(n: int, limit: int):
         for pdf in it:
             if pdf.empty:
                 continue
-            keys = pdf["_key"].tolist()
-            bits = pdf["_bit"].astype("int64").tolist()
-            ts = pdf["_t"].astype("int64").tolist()
-            has_entry = pdf["_entry_state"].notna().tolist()
-            es = pdf["_entry_state"].fillna(0).astype("int64").tolist()
-            et = pdf["_entry_t0"].fillna(-1).astype("int64").tolist()
-            ec = pdf["_entry_count"].fillna(0).astype("int64").tolist()
-            rounds = [0] * len(keys)
-            kept = [False] * len(keys)
-            for i in range(len(keys)):
-                if keys[i] != cur:
-                    cur = keys[i]
-                    if has_entry[i]:
-                        mask, t0, starts = es[i], et[i], ec[i]
+            keys = pdf["_key"].to_numpy()
+            bits_a = pdf["_bit"].to_numpy().astype(np.int64)
+            ts_a = pdf["_t"].to_numpy().astype(np.int64)
+            has_entry = pdf["_entry_state"].notna().to_numpy()
+            es = pdf["_entry_state"].fillna(0).to_numpy().astype(np.int64)
+            et = pdf["_entry_t0"].fillna(-1).to_numpy().astype(np.int64)
+            ec = pdf["_entry_count"].fillna(0).to_numpy().astype(np.int64)
+            m = len(pdf)
+            change = np.ones(m, dtype=bool)
+            change[1:] = keys[1:] != keys[:-1]
+            change[0] = keys[0] != cur
+            bounds = np.flatnonzero(change).tolist()
+            if not bounds or bounds[0] != 0:
+                bounds = [0] + bounds
+            bounds.append(m)
+            rounds = np.empty(m, dtype=np.int64)
+            kept = np.empty(m, dtype=bool)
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if keys[a] != cur:
+                    cur = keys[a]
+                    if has_entry[a]:
+                        mask, t0, starts = int(es[a]), int(et[a]), int(ec[a])
                     else:
                         mask, t0, starts = 0, -1, 0
-                t = ts[i]
-                if mask and t - t0 > limit:
-                    mask = 0  # the open group expired: discarded
-                if not mask:
-                    t0 = t
-                    starts += 1
-                rounds[i] = starts - 1
-                b = bits[i]
-                if mask & b:
-                    kept[i] = False
-                    continue
-                kept[i] = True
-                mask |= b
-                if mask == full:
-                    mask = 0
+                if b - a >= VECTOR_MIN_ROWS:
+                    r, k, mask, t0, starts = _replay_segment_vec(ts_a[a:b], bits_a[a:b], n, limit, mask, t0, starts)
+                else:
+                    r, k, mask, t0, starts = _replay_segment_loop(ts_a[a:b].tolist(), bits_a[a:b].tolist(), full,
+                                                                  limit, mask, t0, starts)
+                rounds[a:b] = r
+                kept[a:b] = k
             yield pdf.drop(columns=["_entry_state", "_entry_t0", "_entry_count", "_t"]).assign(
-                round=np.array(rounds, dtype=np.int64), kept=np.array(kept, dtype=bool))
+                round=rounds, kept=kept)
 
     return run
 

@@ -149,3 +149,28 @@ def test_merge_for_pipeline_dispatch(spark):
         [("a1", "1"), ("a2", "2")]
     single = PipelineSpec(id="r", steps=steps, sources=("a",), merge=MergeSpec("all", correlation_key="order"))
     assert merge_for_pipeline(df, single)[0].count() == 5
+
+
+def test_vectorised_timeout_replay_equals_loop():
+    """The numpy segment replay and the plain loop agree on random segments."""
+    import numpy as np
+
+    from jobframe.operators.merge import _replay_segment_loop, _replay_segment_vec
+
+    rnd = random.Random(7)
+    for _ in range(1500):
+        n = rnd.choice([1, 2, 3])
+        m = rnd.randint(1, 120)
+        t = np.cumsum([rnd.choice([0, 1, 2, 5, 30]) for _ in range(m)]).astype(np.int64) + 1000
+        bits = np.array([1 << rnd.randrange(n) for _ in range(m)], dtype=np.int64)
+        limit = rnd.choice([1, 5, 20, 100])
+        full = (1 << n) - 1
+        mask = rnd.randrange(full) if rnd.random() < 0.6 else 0
+        t0 = int(t[0]) - rnd.randint(0, 40) if mask else -1
+        starts = rnd.randint(0, 5) + (1 if mask else 0)
+        a = _replay_segment_loop(t.tolist(), bits.tolist(), full, limit, mask, t0, starts)
+        b = _replay_segment_vec(t, bits, n, limit, mask, t0, starts)
+        assert list(a[0]) == list(b[0]) and list(a[1]) == list(b[1])
+        assert (a[2], a[4]) == (int(b[2]), int(b[4]))
+        if a[2]:
+            assert a[3] == int(b[3])  # the open group's start time (unused when nothing is open)
