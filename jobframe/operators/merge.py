@@ -481,6 +481,7 @@ def _replay_segment_vec(t: np.ndarray, bits: np.ndarray, n: int, limit: int, mas
     comp = nxt.max(axis=0)
     exp = np.searchsorted(t, t + limit, side="right")
     ns = np.where((exp < m) & (exp <= comp), exp, np.where(comp < m, comp + 1, m))
+    completed_last = False  # the entry group completes on the segment's last row
     if mask == 0:
         f1 = 0
     else:
@@ -488,6 +489,7 @@ def _replay_segment_vec(t: np.ndarray, bits: np.ndarray, n: int, limit: int, mas
         need = [s for s in range(n) if not mask & (1 << s)]
         c = int(max(nxt[s][0] for s in need)) if need else m
         f1 = e if (e < m and e <= c) else (c + 1 if c < m else m)
+        completed_last = f1 == m and c == m - 1
     is_start = np.zeros(m, dtype=bool)
     if f1 < m:
         jump = np.append(ns, m)
@@ -512,7 +514,9 @@ def _replay_segment_vec(t: np.ndarray, bits: np.ndarray, n: int, limit: int, mas
     in_group = last_start >= 0
     kept = np.where(in_group, prev_same < last_start, ((bits & mask) == 0) & (prev_same < 0))
     n_starts = int(is_start.sum())
-    if f1 >= m:
+    if f1 >= m and completed_last:
+        end = (0, -1, starts)
+    elif f1 >= m:
         end = (mask | int(np.bitwise_or.reduce(bits)) if m else mask, t0, starts)
     else:
         g = int(np.flatnonzero(is_start)[-1])
