@@ -8,6 +8,8 @@ and equal lengths form a bucket from which batches of equal shape are drawn, so
 from __future__ import annotations
 
 import os
+import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from jobframe.llm.common import binary_column
 
 #: Word entries that a Python worker keeps at most; a full cache starts anew, which never changes a result.
-CACHE = 300_000
+CACHE = 1_000_000
 
 
 def piece_lengths(n: int, window: int) -> list[int]:
@@ -24,33 +26,92 @@ def piece_lengths(n: int, window: int) -> list[int]:
     return [window] * (n // window) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+_LETTERS_MARKS = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")  # no apostrophe: it may start a contraction
+
+
 class WordEncoder:
     """Ids of a text from the ids of its blank-separated words.
 
-    Right for tokenizers whose pre-tokenizer drops white space and never joins across it; each distinct word is
-    encoded once. Ids come as little-endian unsigned 32-bit bytes."""
+    Right for tokenizers that lower-case, drop white space and split letters from marks before they merge; each
+    distinct word is encoded once. Ids come as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.ends = np.array([x.endswith("</w>") for x in names])
         self.known: dict[bytes, bytes] = {}
 
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
+    def _one_by_one(self, words: list[bytes]) -> None:
         import numpy as np
 
+        coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        for w, e in zip(words, coded, strict=True):
+            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _letters(self, words: list[bytes]) -> None:
+        """Words of letters only: many at a time, told apart by the tokens that end a word."""
+        import numpy as np
+
+        parts = [words[at:at + 500] for at in range(0, len(words), 500)]
+        coded = self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)
+        for part, e in zip(parts, coded, strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(part) or stops[-1] != 4 * len(ids):  # a letter that lower-cases to several tokens
+                self._one_by_one(part)
+                continue
+            raw = ids.tobytes()
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
+
+    def learn(self, words: set[bytes]) -> None:
+        known, letters, rest, split = self.known, set(), [], []
+        for w in words:
+            if w.isalpha():  # ASCII letters: case does not matter
+                small = w.lower()
+                if small != w:
+                    split.append((w, small, b""))
+                if small not in known:
+                    letters.add(small)
+                continue
+            m = _LETTERS_MARKS.fullmatch(w)
+            if m and b"<|" not in w:
+                core, marks = m[1].lower(), m[2]
+                split.append((w, core, marks))
+                if core not in known:
+                    letters.add(core)
+                if marks not in known:
+                    rest.append(marks)
+            elif w.decode().isalpha():
+                letters.add(w)
+            else:
+                rest.append(w)
+        if letters:
+            self._letters(list(letters))
+        if rest:
+            self._one_by_one(list(set(rest)))
+        for w, core, marks in split:
+            known[w] = known[core] + known[marks] if marks else known[core]
+
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         split = [t.split() if t else [] for t in texts]
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, coded, strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        new = set().union(*split) - known.keys()
+        if new:
+            self.learn(new)
+        get = known.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+
+@lru_cache(maxsize=2)
+def encoder(spec: str) -> WordEncoder:
+    """One encoder for each Python worker, kept between tasks."""
+    return WordEncoder(spec)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, keep_ids: bool = True) -> DataFrame:
@@ -76,7 +137,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
         import numpy as np
         import pyarrow as pa
 
-        encode = WordEncoder(spec.value)
+        encode = encoder(spec.value)
         end = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
