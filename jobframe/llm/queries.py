@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobframe.llm import decontam, packing, simhash, wordpiece
-from jobframe.llm.common import read
+from jobframe.llm import decontam, html_extract, knn, licenses, packing, quality, simhash, toxicity, warc, wordpiece
+from jobframe.llm.common import read, shared_folder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -20,6 +20,76 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@_query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents")).drop("spans")
+
+
+def _licenses_sql() -> str:
+    rows = ",\n  ".join(
+        f"({t}, '{label}', {str(exact).lower()}, {n_words}, {n_grams}, {at}, '{' '.join(words)}')"
+        for t, label, exact, n_words, n_grams, at, *words in licenses.template_rows())
+    return rf"""
+WITH t(template, label, exact, t_words, t_grams, at, g) AS (VALUES
+  {rows}),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+grams AS (
+  SELECT r, i, array_to_string(w[i + 1:i + 3], ' ') AS g
+  FROM (SELECT r, w, unnest(range(0, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
+per AS (
+  SELECT r, template, label, exact, t_words, t_grams, i - at AS diagonal, list(DISTINCT at) AS ats
+  FROM grams JOIN t USING (g) GROUP BY ALL),
+marked AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal)
+                      <= CASE WHEN exact THEN 0 ELSE {licenses.NEAR} END THEN 0 ELSE 1 END AS cut
+  FROM per),
+clustered AS (
+  SELECT *, sum(cut) OVER (PARTITION BY r, template ORDER BY diagonal) AS cluster FROM marked),
+merged AS (
+  SELECT r, template, label, exact, t_words, t_grams, len(list_distinct(flatten(list(ats)))) AS votes,
+         min(diagonal + list_min(ats)) AS first, max(diagonal + list_max(ats) + 2) AS last
+  FROM clustered GROUP BY r, template, label, exact, t_words, t_grams, cluster),
+found AS (
+  SELECT *, votes / t_grams AS share,
+         CASE WHEN exact THEN votes = t_grams
+              ELSE votes / t_grams >= {licenses.COVER} AND last - first + 1 <= t_words + {licenses.SLACK} END AS ok
+  FROM merged),
+each AS (
+  SELECT r, count(*) FILTER (ok AND exact) AS n_base, min(first) FILTER (ok AND exact) AS first_word,
+         max(first) FILTER (ok AND exact) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ok AND exact) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ok) AS labels,
+         max(share) FILTER (ok) AS sure, max(share) FILTER (NOT ok) AS weak
+  FROM found GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       least(1.0::DOUBLE, coalesce(sure, weak * 0.5::DOUBLE, 0.0::DOUBLE)) AS score
+FROM d LEFT JOIN each USING (r)
+"""
+
+
+ORACLE["op3_licenses"] = _licenses_sql()
+
+
+@_query
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 @_query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
@@ -73,7 +143,58 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 
+@_query
+def op8_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+ORACLE["op8_knn"] = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (
+  SELECT r, vec_id, generate_subscripts(embedding, 1) AS i, CAST(floor(64 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x
+  FROM e),
+s AS (
+  SELECT q.vec_id AS query_id, c.r, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM c AS q JOIN c ON q.i = c.i AND q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+  GROUP BY q.vec_id, c.r, c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
 @_query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = wordpiece.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     return wordpiece.token_counts(read(spark, sf_dir, "documents"), pieces)
+
+
+@_query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    folder = shared_folder(spark, "warc")
+    warc.write_archives(pages, folder, min_bytes=0)
+    kind = pages.schema["page_id"].dataType
+    found = warc.read_archives(spark, folder, payloads=False)
+    return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+#: base32: each 5 hex digits (20 bits) of the SHA-1 give 4 characters.
+ORACLE["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, strlen(body) AS payload_bytes,
+         array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((CAST('0x' || substr(hex, 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31), 1)), '')
+           AS payload_digest,
+         min(page_id) OVER (PARTITION BY body) AS first_id
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""
