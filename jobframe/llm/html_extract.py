@@ -155,8 +155,17 @@ place words links prev_words prev_links next_words next_links main
 0 6 0.8 3 1.0 4 1.0 0
 0 15 0.9 6 0.8 5 1.0 0
 0 30 0.7 12 1.0 20 0.8 0
+0 3 1.0 0 0.0 20 0.0 0
+0 4 1.0 1 0.0 60 0.0 0
+0 2 1.0 50 0.0 40 0.0 0
+0 10 1.0 90 0.0 0 0.0 0
+0 5 0.9 0 0.0 90 0.0 0
 0 2 0.0 1 1.0 1 1.0 0
 0 4 0.0 2 1.0 3 1.0 0
+0 6 0.0 40 0.0 4 0.4 0
+0 3 0.0 5 0.0 6 0.0 0
+0 5 0.2 6 0.0 3 0.0 0
+0 4 0.0 3 0.0 4 0.0 0
 0 7 0.0 0 0.0 1 1.0 0
 0 5 0.0 90 0.0 0 0.0 0
 0 9 0.1 3 0.0 0 0.0 0
@@ -184,7 +193,7 @@ def labelled_rows():
     return [r[:-1] for r in rows], [int(r[-1]) for r in rows]
 
 
-def grow(x, y, depth: int = 5):
+def grow(x, y, depth: int = 8):
     """A CART tree by Gini impurity: a 0/1 leaf, or (feature, threshold, left if <=, right)."""
     if depth == 0 or len(set(y)) == 1:
         return int(2 * sum(y) >= len(y))
@@ -220,7 +229,7 @@ def main_text(page: str | None, tree) -> str:
         if classify(tree, (place, *shape[k + 1], *shape[k], *shape[k + 2])))
 
 
-def extract(pages: DataFrame, depth: int = 5) -> DataFrame:
+def extract(pages: DataFrame, depth: int = 8) -> DataFrame:
     """Per row of ``pages``: page_id, url, text (the main text; empty if there is none), n_chars (its code points).
 
     Null and empty pages give an empty text; null ids and urls stay; repeated rows each get a row; extra columns are

@@ -40,7 +40,7 @@ def _licenses_sql() -> str:
         f"({t}, '{label}', {str(exact).lower()}, {n_words}, {n_grams}, {at}, '{' '.join(words)}')"
         for t, label, exact, n_words, n_grams, at, *words in licenses.template_rows())
     return rf"""
-WITH t(template, label, exact, t_words, t_grams, at, g) AS (VALUES
+WITH t(template, label, exact, t_words, t_grams, place, g) AS (VALUES
   {rows}),
 d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -51,7 +51,7 @@ grams AS (
   SELECT r, i, array_to_string(w[i + 1:i + 3], ' ') AS g
   FROM (SELECT r, w, unnest(range(0, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
 per AS (
-  SELECT r, template, label, exact, t_words, t_grams, i - at AS diagonal, list(DISTINCT at) AS ats
+  SELECT r, template, label, exact, t_words, t_grams, i - place AS diagonal, list(DISTINCT place) AS ats
   FROM grams JOIN t USING (g) GROUP BY ALL),
 marked AS (
   SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal)

@@ -120,7 +120,7 @@ def decode(f, start: int):
             return None
         end += len(raw) - len(d.unused_data)
         size += len(out[-1])
-        if not VERSION.startswith(out[0][:len(VERSION)]) and len(out) == 1:
+        if len(out) == 1 and not out[0].startswith(b"WARC/"[:len(out[0])]):
             return None
     return end, b"".join(out)
 
