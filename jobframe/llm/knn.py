@@ -125,6 +125,29 @@ def bounds(cells, groups, pivots, k: int):
     return need, floor
 
 
+def merge_cells(asked, pivots, query_rows: int):
+    """Query cells -> groups of neighbouring cells with about ``query_rows`` queries each. A row that several cells of
+    a group need is sent to the group once."""
+    import numpy as np
+
+    left, out, n_groups = dict(asked), {}, 0
+    while left:
+        first = max(left, key=lambda c: (left[c], -c))
+        near = sorted(left, key=lambda c: (float(np.square(pivots[c] - pivots[first]).sum()), c))
+        n = 0
+        for c in near:
+            if n and n + left[c] > query_rows:
+                break
+            n += left.pop(c)
+            out[c] = n_groups
+        n_groups += 1
+    return out
+
+
+#: Queries scored at a time inside a task.
+SCORED = 256
+
+
 def solve(k: int):
     """The k best rows of one task for each of its queries."""
 
@@ -140,19 +163,21 @@ def solve(k: int):
             width = max(len(r) // 8 for r in (*raw_q, *raw_x))
             q, x = matrix(raw_q, width), matrix(raw_x, width)[order]
             own = queries["query_id"].to_numpy()
-            if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(width, 1) < 2**53:
-                s = (q @ x.T).astype(np.int64)
-            else:
-                s = q.astype(np.int64) @ x.astype(np.int64).T
+            exact = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(width, 1) < 2**53
+            if not exact:
+                q, x = q.astype(np.int64), x.astype(np.int64)
             least = np.iinfo(np.int64).min
-            s[own[:, None] == ids[None, :]] = least
+            hashes = queries["query_hash"].to_numpy()
             for i in range(len(own)):
-                row = s[i]
+                if i % SCORED == 0:
+                    s = (q[i:i + SCORED] @ x.T).astype(np.int64)
+                row = s[i % SCORED]
+                row[np.searchsorted(ids, own[i], "left"):np.searchsorted(ids, own[i], "right")] = least
                 at = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
                 at = at[np.argsort(-row[at], kind="stable")][:k]
                 at = at[row[at] > least]
                 out["query_id"] += [own[i]] * len(at)
-                out["query_hash"] += [queries["query_hash"][i].as_py()] * len(at)
+                out["query_hash"] += [hashes[i]] * len(at)
                 out["vec_id"] += ids[at].tolist()
                 out["score"] += row[at].tolist()
         return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
@@ -161,7 +186,7 @@ def solve(k: int):
 
 
 def top_k(table: DataFrame, is_query, k: int = 20, scale: float = 64.0, sample_rows: int = 4096,
-          query_rows: int = 512, data_rows: int = 8192) -> DataFrame:
+          query_rows: int = 4096, data_rows: int = 8192) -> DataFrame:
     """For each row for which ``is_query`` (a column of vec_id) holds: query_id, rank (1 to k), vec_id, score of the
     k rows with the largest integer inner products of floor(scale * x), ties to the smaller vec_id; fewer if there
     are fewer. A query's own vec_id is no candidate of it.
@@ -197,22 +222,27 @@ def top_k(table: DataFrame, is_query, k: int = 20, scale: float = 64.0, sample_r
     wide = max(len(r) // 8 for r in sample)
     need, floor = bounds(cells, groups, pivots[:, :wide], k)
 
-    # (group, cell) pairs that may need rows, with the group's numbers of query blocks and data parts
-    plan = []
-    for g in groups:
-        some = [j for j in cells if far[j][0] >= need[g][j] and far[j][1] >= floor[g]]
-        parts = -(-sum(sizes[j] for j in some) // data_rows)
-        plan += [(int(g), int(j), float(need[g][j]), float(floor[g]), -(-asked[g] // query_rows), parts) for j in some]
-    pairs = spark.createDataFrame(
-        plan, "grp bigint, cell bigint, need double, floor double, blocks bigint, parts bigint")
+    # what each group of query cells needs of each data cell, and its numbers of query blocks and data parts
+    member = merge_cells(asked, pivots, query_rows)
+    plan, shape = [], []
+    for g in sorted(set(member.values())):
+        of = [c for c in member if member[c] == g]
+        least = min(floor[c] for c in of)
+        some = {j: min(need[c][j] for c in of) for j in cells}
+        some = {j: d for j, d in some.items() if far[j][0] >= d and far[j][1] >= least}
+        blocks = -(-sum(asked[c] for c in of) // query_rows)
+        parts = max(1, -(-sum(sizes[j] for j in some) // data_rows))
+        plan += [(g, int(j), float(d), float(least), blocks, parts) for j, d in some.items()]
+        shape += [(g, int(c), blocks, parts) for c in of]
+    # at most a row for each pair of pivots (1024 x 1024), whatever the data
+    pairs = spark.createDataFrame(plan, "grp bigint, cell bigint, need double, floor double, blocks bigint, parts bigint")
+    shapes = spark.createDataFrame(shape, "grp bigint, cell bigint, blocks bigint, parts bigint")
     steps = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-    # pairs has at most 1024 x 1024 rows, whatever the data
     sent = (data.join(F.broadcast(pairs), "cell").where("dist >= need and norm >= floor")
             .select("grp", "blocks", F.pmod(F.xxhash64("vec_id", "v"), "parts").alias("part"), "vec_id", "v")
             .withColumn("block", steps("blocks")).drop("blocks"))
-    per_group = pairs.groupBy("grp").agg(F.first("blocks").alias("blocks"), F.first("parts").alias("parts"))
     ask = (data.where("is_query").withColumn("query_hash", F.xxhash64("v")).dropDuplicates(["vec_id", "query_hash"])
-           .withColumn("grp", F.col("cell")).join(F.broadcast(per_group), "grp")
+           .join(F.broadcast(shapes), "cell")
            .select("grp", "parts", F.pmod(F.xxhash64("vec_id", "v"), "blocks").alias("block"),
                    F.col("vec_id").alias("query_id"), "query_hash", F.col("v").alias("query_v"))
            .withColumn("part", steps("parts")).drop("parts"))
