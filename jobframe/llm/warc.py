@@ -25,6 +25,7 @@ PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:x-page:"
 
 STEP = 1 << 20
+MOST_TASKS = 50_000
 RECORD = ("page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, "
           "refers_to string, payload binary")
 
@@ -185,7 +186,7 @@ def read_archives(spark: SparkSession, folder: str, split_bytes: int = 4 << 20,
     records' ids), url, payload_bytes and payload_digest (of the full payload; a response's are worked out anew and
     compared with its header), record_type, payload (null for a revisit, or without ``payloads``).
 
-    Files are listed by Spark and cut into ranges of ``split_bytes``, dealt over the tasks; a range without a member
+    Files are listed by Spark and cut into ranges of ``split_bytes``, dealt over as many tasks (at most MOST_TASKS); a range without a member
     start yields nothing. Other record types and bytes between members are passed over. An empty folder has no
     rows."""
     files = spark.read.format("binaryFile").load(folder).select("path", "length")
@@ -217,4 +218,5 @@ def read_archives(spark: SparkSession, folder: str, split_bytes: int = 4 << 20,
                     if rows:
                         yield batch(rows)
 
-    return ranges.repartition("path", "lo").mapInArrow(run, RECORD)
+    # an explicit number: the ranges' rows are tiny, and AQE would read all archives in one task
+    return ranges.repartition(min(MOST_TASKS, max(1, ranges.count()))).mapInArrow(run, RECORD)
