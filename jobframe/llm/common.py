@@ -13,8 +13,13 @@ from jobframe.session import checkpoint_dir, ship_package
 BROADCAST_ROWS = 200_000
 
 
+#: Rows of an Arrow batch: a worker holds one batch of whole texts at a time.
+BATCH_ROWS = 1000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from jobframe.llm.common import binary_column
 
 #: Word entries that a Python worker keeps at most; a full cache starts anew, which never changes a result.
-CACHE = 1_000_000
+CACHE = 600_000
 
 
 def piece_lengths(n: int, window: int) -> list[int]:

@@ -27,7 +27,9 @@ LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t",
 LOOK_COST, REPEAT_COST, MARK_COST = 2.5, 2.5, 3.0
 
 EDGE, OTHER, SIZE = 0, 27, 28
-CACHE = 300_000
+CACHE = 150_000
+#: Marks that a task counts before it passes the counts on.
+HELD_MARKS = 100_000
 #: Word beginnings of these lengths are evidence beside whole words.
 STEMS = (4, 5, 6, 7)
 
@@ -199,13 +201,21 @@ def learn_marks(sample: DataFrame, model: CharModel, least: float = 0.35, z: flo
     def run(batches):
         restore = Restorer(model, marks_of)
         counts: dict[str, list[int]] = {}
+
+        def take():
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()),
+                 pa.array([c[1] for c in counts.values()], pa.int64())], ["mark", "clean", "toxic"])
+            counts.clear()
+            return out
+
         for b in batches:
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
                 for mark in {m for ms in restore(text) for m in ms}:
                     counts.setdefault(mark, [0, 0])[label > 0] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()),
-             pa.array([c[1] for c in counts.values()], pa.int64())], ["mark", "clean", "toxic"])
+                if len(counts) > HELD_MARKS:
+                    yield take()
+        yield take()
 
     found = (sample.mapInArrow(run, "mark string, clean bigint, toxic bigint").groupBy("mark")
              .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
