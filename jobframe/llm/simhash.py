@@ -181,7 +181,8 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: int =
     found = near_duplicates(docs, shingle, max_bits, blocks)
     best = found.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("s"))
-    best = best.select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_th")).distinct()
-    d = docs.withColumn("_own", F.xxhash64("text"))
-    kept = d.join(best, d["doc_id"].eqNullSafe(best["_id"]) & (d["_own"] == best["_th"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    # one key for both steps, so the texts are shuffled once
+    key = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), h.cast("string"))
+    best = best.select(key(F.col("s.doc_id"), F.col("s.text_hash")).alias("_own")).distinct()
+    d = docs.withColumn("_own", key(F.col("doc_id"), F.xxhash64("text")))
+    return d.join(best, "_own", "left_semi").dropDuplicates(["_own"]).drop("_own")
