@@ -31,6 +31,7 @@ CANCEL_PREFIX = "__cancel__"
 
 # Texts of this library (no counterpart to match).
 NOT_BOOLEAN = "Condition '{expr}' did not evaluate to a boolean"
+NO_VALUE = "'{expr}' has no value"
 UNDEFINED_IN_TEMPLATE = "undefined value in template {template!r}"
 
 

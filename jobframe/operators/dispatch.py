@@ -13,16 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobframe.operators.steps import ident, lit
+from jobframe.session import lenient
 from jobframe.spec import PipelineSpec
 
 DELIVERY_SCOPES = ("route", "step", "pipeline", "dead_letter", "step_dead_letter")
-ELEM_TYPE = "struct<sink_id:string,scope:string,step_id:string,status:string,steps:array<string>>"
+ELEM_TYPE = "struct<sink_id:string,scope:string,step_id:string,status:string,steps:array<string>,duration_ms:bigint>"
 
 
 def _elem(sink: str, scope: str, step_id: str | None, status: str, steps: str) -> str:
+    """A message; its duration is that of its step (K6), or of the whole run."""
     sid = lit(step_id) if step_id is not None else "CAST(NULL AS STRING)"
+    duration = f"_steps_raw.{ident(step_id)}.duration_ms" if step_id is not None else "_duration_ms"
     return (f"named_struct('sink_id', {lit(sink)}, 'scope', {lit(scope)}, 'step_id', {sid}, "
-            f"'status', {status}, 'steps', {steps})")
+            f"'status', {status}, 'steps', {steps}, 'duration_ms', {duration})")
 
 
 def _view(spec: PipelineSpec) -> str:
@@ -36,6 +39,11 @@ def _view(spec: PipelineSpec) -> str:
     return f"named_struct({', '.join(parts)})"
 
 
+def run_duration(spec: PipelineSpec, steps: str) -> str:
+    """A run's duration: the sum of its steps' durations (SQL text)."""
+    return "(" + " + ".join([f"coalesce({steps}.{ident(s.id)}.duration_ms, 0L)" for s in spec.steps] or ["0L"]) + ")"
+
+
 def sink_context(results: DataFrame, spec: PipelineSpec) -> DataFrame:
     """Routing sees the original job (P7) and the final steps (E1 view)."""
     payload = (f"from_json(payload, {lit(spec.payload_schema)})" if spec.payload_schema
@@ -46,7 +54,7 @@ def sink_context(results: DataFrame, spec: PipelineSpec) -> DataFrame:
         f"named_struct('id', id, 'source', source, 'payload', {payload}, 'labels', labels, "
         f"'correlation_key', correlation_key) AS job",
         "named_struct('id', pipeline_id) AS pipeline",
-    ).selectExpr("*", f"{_view(spec)} AS steps")
+    ).selectExpr("*", f"{_view(spec)} AS steps", f"{run_duration(spec, '_steps_raw')} AS _duration_ms")
 
 
 def delivery_array(spec: PipelineSpec, enabled_sinks: set[str] | None = None) -> str:
@@ -64,7 +72,7 @@ def delivery_array(spec: PipelineSpec, enabled_sinks: set[str] | None = None) ->
             continue
         hits = []
         for rule in s.routing:
-            hit = f"({present[s.id]} AND coalesce(({rule.condition}), false))"
+            hit = f"coalesce(CASE WHEN {present[s.id]} THEN ({rule.condition}) END, false)"
             hits.append(hit)
             for sink in rule.sinks:
                 elems.append(f"CASE WHEN {hit} THEN {_elem(sink, 'route', s.id, step_status(s.id), 'array(' + lit(s.id) + ')')} END")
@@ -106,7 +114,8 @@ def delivery_array(spec: PipelineSpec, enabled_sinks: set[str] | None = None) ->
 def deliveries(results: DataFrame, spec: PipelineSpec, enabled_sinks: set[str] | None = None) -> DataFrame:
     """K8: one row per (result, sink message)."""
     ctx = sink_context(results, spec)
-    out = ctx.selectExpr("*", f"explode({delivery_array(spec, enabled_sinks)}) AS d")
+    with lenient(results.sparkSession):  # K1: a rule that fails on a record does not match
+        out = ctx.selectExpr("*", f"explode({delivery_array(spec, enabled_sinks)}) AS d")
     return out.select(
         "pipeline_id",
         F.col("id").alias("job_id"),
@@ -115,6 +124,7 @@ def deliveries(results: DataFrame, spec: PipelineSpec, enabled_sinks: set[str] |
         F.col("d.step_id").alias("step_id"),
         F.col("d.status").alias("status"),
         F.col("d.steps").alias("steps"),
+        F.col("d.duration_ms").alias("duration_ms"),
         F.col("_steps_raw").alias("step_results"),
         "payload", "source", "labels", "correlation_key",
         F.col("status").alias("pipeline_status"),

@@ -81,10 +81,15 @@ def _stop(step, failed: str) -> str:
 
 
 def compile_map(step: MapStep, values: list[str]) -> StepSQL:
+    """An entry without a value (absent or NULL operand, failed operation) fails the step, in the order
+    of the entries; the payload is checked when the first value is set."""
     updates = [(target[len("job.payload."):], values[i]) for i, (target, _) in enumerate(step.set)]
-    failed = "(job.payload IS NULL)"
-    result = (f"CASE WHEN {failed} THEN {failure_result(lit(PIPELINE_ERROR + M.NOT_AN_OBJECT))} "
-              f"ELSE {ok_result()} END")
+    checks = [(f"{values[i]} IS NULL", lit(EXPRESSION_ERROR + M.NO_VALUE.format(expr=e)))
+              for i, (_, e) in enumerate(step.set)]
+    checks.insert(1, ("job.payload IS NULL", lit(PIPELINE_ERROR + M.NOT_AN_OBJECT)))
+    failed = "(" + " OR ".join(c for c, _ in checks) + ")"
+    error = "CASE " + " ".join(f"WHEN {c} THEN {m}" for c, m in checks) + " END"
+    result = f"CASE WHEN {failed} THEN {failure_result(error)} ELSE {ok_result()} END"
     return StepSQL(result, failed, "false", "CAST(NULL AS INT)", _stop(step, failed), updates)
 
 
@@ -136,9 +141,8 @@ def extract_outputs(stdout: str, outputs: Outputs | None, doc: str | None = None
     return f"CASE WHEN {doc} IS NULL THEN {EMPTY_MAP} ELSE map({', '.join(entries)}) END"
 
 
-def transform_raw(step: TransformStep, expr_type: T.DataType) -> str:
-    """Normalise the transform expression to struct(stdout, stderr, exit_code, duration_ms)."""
-    r = f"({step.expr})"
+def transform_raw(r: str, expr_type: T.DataType) -> str:
+    """Normalise the transform's value ``r`` to struct(stdout, stderr, exit_code, duration_ms)."""
     if isinstance(expr_type, T.StructType):
         names = set(expr_type.fieldNames())
         stdout = f"CAST({r}.stdout AS STRING)" if "stdout" in names else NULL_STR
@@ -155,22 +159,33 @@ UDF_SCHEMA = "stdout string, stderr string, exit_code int, duration_ms bigint"
 
 
 def python_transform_udf(fn):
-    """Wrap a user function (Series of inputs → DataFrame) as a pandas UDF."""
+    """Wrap a user function (Series of inputs → DataFrame) as a pandas UDF of (input, due); the function sees the
+    due rows only."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf(UDF_SCHEMA)
-    def run(stdin: pd.Series) -> pd.DataFrame:
-        out = fn(stdin)
+    def run(stdin: pd.Series, due: pd.Series) -> pd.DataFrame:
+        due = due.to_numpy(dtype=bool)
+        n = int(due.sum())
+        out = fn(stdin[due].reset_index(drop=True)) if n else pd.DataFrame()
         if isinstance(out, pd.Series):
             out = pd.DataFrame({"stdout": out})
         out = out.reset_index(drop=True)
-        n = len(stdin)
-        return pd.DataFrame({
+        found = pd.DataFrame({
             "stdout": out["stdout"] if "stdout" in out else pd.Series([None] * n, dtype=object),
             "stderr": out["stderr"] if "stderr" in out else pd.Series([None] * n, dtype=object),
             "exit_code": (out["exit_code"] if "exit_code" in out else pd.Series([0] * n)).astype("int32"),
             "duration_ms": (out["duration_ms"] if "duration_ms" in out else pd.Series([0] * n)).astype("int64"),
         })
+        if n == len(due):
+            return found
+        every = pd.DataFrame({"stdout": pd.Series([None] * len(due), dtype=object),
+                              "stderr": pd.Series([None] * len(due), dtype=object),
+                              "exit_code": pd.Series([0] * len(due), dtype="int32"),
+                              "duration_ms": pd.Series([0] * len(due), dtype="int64")})
+        for c in every.columns:
+            every.loc[due, c] = found[c].to_numpy()
+        return every
 
     return run
 
@@ -187,8 +202,8 @@ def stdin_sql(step: TransformStep) -> str:
     return NULL_STR
 
 
-def udf_raw(udf_name: str, stdin_col: str) -> str:
-    r = f"{udf_name}({stdin_col})"
+def udf_raw(udf_name: str, stdin_col: str, due: str) -> str:
+    r = f"{udf_name}({stdin_col}, {due})"
     return (f"named_struct('stdout', {r}.stdout, 'stderr', {r}.stderr, 'exit_code', coalesce({r}.exit_code, -1), "
             f"'duration_ms', coalesce({r}.duration_ms, CAST(0 AS BIGINT)))")
 

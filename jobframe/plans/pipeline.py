@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobframe.operators import steps as S
+from jobframe.session import lenient
 from jobframe.spec import ConditionStep, MapStep, PipelineSpec, SpecError, TransformStep
 
 JOB_COLS = ["id", "source", "payload", "correlation_key", "labels"]
@@ -137,8 +138,11 @@ def _payload_type(df: DataFrame) -> T.DataType:
 def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str]) -> DataFrame:
     """One DAG level = three projections: user expressions, per-step results and
     flags, then the fold into the row's level state. Each user expression is
-    evaluated once; later projections only reference columns."""
+    evaluated once and gives NULL where it fails, so what it does on a row that is
+    not due has no effect; a Python transform gets the due rows only. Later
+    projections only reference columns."""
     probe = _probe(df)
+    run = f"(NOT _done AND _level = {level_idx})"  # rows that are due at this level
     pre0: list[str] = []
     pre: list[str] = []
     pre2: list[str] = []
@@ -152,7 +156,8 @@ def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str
                 pre.append(f"({e}) AS `_m_{sid}_{i}`")
                 tmp.append(f"_m_{sid}_{i}")
         elif isinstance(step, ConditionStep):
-            t = probe.selectExpr(f"({step.expr}) AS c").schema["c"].dataType
+            with lenient(df.sparkSession):
+                t = probe.selectExpr(f"({step.expr}) AS c").schema["c"].dataType
             if not isinstance(t, (T.BooleanType, T.NullType)):  # A12 at plan time
                 raise SpecError(f"condition {sid}: expression type {t.simpleString()} is not boolean")
             pre.append(f"CAST(({step.expr}) AS BOOLEAN) AS `_c_{sid}`")
@@ -162,23 +167,25 @@ def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str
             name = f"jobframe_{spec.id}_{sid}"
             df.sparkSession.udf.register(name, S.python_transform_udf(step.fn))
             pre0.append(f"{S.stdin_sql(step)} AS `_in_{sid}`")
-            pre.append(f"{S.udf_raw(name, f'`_in_{sid}`')} AS `_t_{sid}`")
+            pre.append(f"{S.udf_raw(name, f'`_in_{sid}`', run)} AS `_t_{sid}`")
             tmp += [f"_in_{sid}", f"_t_{sid}"]
             if step.outputs is not None and step.outputs.format == "json" and step.outputs.fields:
                 pre2.append(f"try_parse_json(`_t_{sid}`.stdout) AS `_d_{sid}`")
                 tmp.append(f"_d_{sid}")
         elif isinstance(step, TransformStep):
-            t = probe.selectExpr(f"({step.expr}) AS r").schema["r"].dataType
-            pre.append(f"{S.transform_raw(step, t)} AS `_t_{sid}`")
+            with lenient(df.sparkSession):
+                t = probe.selectExpr(f"({step.expr}) AS r").schema["r"].dataType
+            pre.append(f"{S.transform_raw(f'({step.expr})', t)} AS `_t_{sid}`")
             tmp.append(f"_t_{sid}")
             if step.outputs is not None and step.outputs.format == "json" and step.outputs.fields:
                 pre2.append(f"try_parse_json(`_t_{sid}`.stdout) AS `_d_{sid}`")
                 tmp.append(f"_d_{sid}")
         else:
             raise SpecError(f"unknown step type {type(step)}")
-    if pre0:
-        df = df.selectExpr("*", *pre0)
-    df = df.selectExpr("*", *pre)
+    with lenient(df.sparkSession):  # A12: an operation that fails on a record gives NULL
+        if pre0:
+            df = df.selectExpr("*", *pre0)
+        df = df.selectExpr("*", *pre)
     if pre2:
         df = df.selectExpr("*", *pre2)
 
@@ -201,7 +208,6 @@ def run_level(df: DataFrame, spec: PipelineSpec, level_idx: int, level: list[str
         tmp += [f"_r_{sid}", f"_f_{sid}", f"_e_{sid}", f"_k_{sid}", f"_h_{sid}"]
     df = df.selectExpr("*", *flags)
 
-    run = f"(NOT _done AND _level = {level_idx})"
     ids = [sid for sid, _ in compiled]
     any_failed = "(" + " OR ".join(f"`_f_{i}`" for i in ids) + ")"
     any_emit = "(" + " OR ".join(f"`_e_{i}`" for i in ids) + ")"

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobframe.operators.dispatch import deliveries
 from jobframe.operators.envelope import envelope
 from jobframe.plans.catalog import query, table
 from jobframe.plans.pipeline import run_pipeline
-from jobframe.spec import ConditionStep, FailurePolicy, MapStep, OutputField, Outputs, PipelineSpec, TransformStep
+from jobframe.spec import ConditionStep, FailurePolicy, MapStep, OutputField, Outputs, PipelineSpec, Route, TransformStep
 
 ORDER_SCHEMA = "order bigint, cust bigint, status string, total double, priority string, x double"
 LINE_SCHEMA = "order bigint, line int, qty double, price double, disc double, flag string, status string"
@@ -58,7 +59,7 @@ MAP_SPEC = PipelineSpec(
         )),
         MapStep(id="m3", depends_on=("m1", "m2"), set=(
             ("job.payload.x", "job.payload.total * 2"),
-            ("job.payload.y", "job.payload.x"),
+            ("job.payload.y", "coalesce(job.payload.x, -1)"),  # reads the step's entry: x is not set yet
             ("job.payload.meta.tag", "concat(job.payload.status, '#', CAST(job.payload.meta.rank AS STRING))"),
         )),
     ),
@@ -68,7 +69,7 @@ MAP_SPEC = PipelineSpec(
 @query("map_nested", sql="""
 SELECT o_orderkey, o_orderstatus || '!' AS status_out,
        CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS rank, o_totalprice AS abc,
-       o_totalprice * 2 AS x, CAST(NULL AS DOUBLE) AS y,
+       o_totalprice * 2 AS x, CAST(-1 AS DOUBLE) AS y,
        o_orderstatus || '!#' || substr(o_orderpriority, 1, 1) AS tag, 'm1,m2,m3' AS ran
 FROM orders
 """)
@@ -225,6 +226,93 @@ def condition_emit(spark, sf_dir):
                       s["work"]["stdout"].alias("work_stdout"), ran_steps(EMIT_SPEC).alias("ran"))
 
 
+# ── A12 / P4 / D-1 / E2: errors of single records ────────────────────────────
+
+MAP_ERR_SPEC = PipelineSpec(
+    id="map_errors",
+    payload_schema=LINE_SCHEMA,
+    steps=(
+        MapStep(id="ratio", set=(("job.payload.ratio", "job.payload.qty / job.payload.disc"),
+                                 ("job.payload.code", "CAST(concat('1', job.payload.flag) AS INT)"))),
+        MapStep(id="after", set=(("job.payload.seen", "true"),)),
+    ),
+)
+
+
+@query("map_errors", sql="""
+SELECT l_orderkey, l_linenumber, 'failure' AS status, -1 AS ratio_exit,
+  CASE WHEN l_discount = 0 THEN 'Expression evaluation error: ''job.payload.qty / job.payload.disc'' has no value'
+       ELSE 'Expression evaluation error: ''CAST(concat(''1'', job.payload.flag) AS INT)'' has no value' END AS ratio_error,
+  'ratio' AS ran
+FROM lineitem
+""")
+def map_errors(spark, sf_dir):
+    """Zero divisors and a cast that never works: each fails its step (F1), none the job."""
+    res = run_pipeline(line_jobs(spark, sf_dir), MAP_ERR_SPEC)
+    s = F.col("steps")["ratio"]
+    return res.select("l_orderkey", "l_linenumber", "status", s["exit_code"].alias("ratio_exit"),
+                      s["stderr"].alias("ratio_error"), ran_steps(MAP_ERR_SPEC).alias("ran"))
+
+
+COND_ERR_SPEC = PipelineSpec(
+    id="condition_errors",
+    payload_schema=LINE_SCHEMA,
+    steps=(
+        ConditionStep(id="gate", expr="job.payload.disc <> 0 OR job.payload.line % 2 = 0", action="emit"),
+        ConditionStep(id="share", expr="job.payload.qty / job.payload.disc > 100"),
+        MapStep(id="mark", set=(("job.payload.ratio", "job.payload.qty / job.payload.disc"),)),
+    ),
+)
+
+
+@query("condition_errors", sql="""
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_discount = 0 AND l_linenumber % 2 <> 0 THEN 'success'
+       WHEN l_discount = 0 OR NOT l_quantity / l_discount > 100 THEN 'failure' ELSE 'success' END AS status,
+  CASE WHEN l_discount = 0 AND l_linenumber % 2 <> 0 THEN NULL
+       WHEN l_discount = 0 THEN 'Expression evaluation error: Condition ''job.payload.qty / job.payload.disc > 100'' did not evaluate to a boolean'
+       WHEN NOT l_quantity / l_discount > 100 THEN 'Pipeline error: Condition ''job.payload.qty / job.payload.disc > 100'' evaluated to false'
+  END AS share_error,
+  CASE WHEN l_discount = 0 AND l_linenumber % 2 <> 0 THEN 'gate'
+       WHEN l_discount = 0 OR NOT l_quantity / l_discount > 100 THEN 'gate,share' ELSE 'gate,share,mark' END AS ran
+FROM lineitem
+""")
+def condition_errors(spark, sf_dir):
+    """A gate keeps half of the zero divisors away (their later steps never run); the others fail their step."""
+    res = run_pipeline(line_jobs(spark, sf_dir), COND_ERR_SPEC)
+    return res.select("l_orderkey", "l_linenumber", "status", F.col("steps")["share"]["stderr"].alias("share_error"),
+                      ran_steps(COND_ERR_SPEC).alias("ran"))
+
+
+ROUTE_ERR_SPEC = PipelineSpec(
+    id="route_errors",
+    payload_schema=LINE_SCHEMA,
+    sinks=("rest",),
+    steps=(
+        TransformStep(id="say", expr="job.payload.flag", routing=(
+            Route("job.payload.qty / job.payload.disc > 500", ("high",)),
+            Route("job.payload.line / job.payload.disc > 20", ("first", "second")),
+        )),
+    ),
+)
+
+
+@query("route_errors", sql="""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_discount <> 0 AND l_quantity / nullif(l_discount, 0) > 500 AS a,
+                  l_discount <> 0 AND l_linenumber / nullif(l_discount, 0) > 20 AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, 'high' AS sink_id, 'route' AS scope FROM l WHERE a
+UNION ALL SELECT l_orderkey, l_linenumber, unnest(['first', 'second']), 'route' FROM l WHERE b
+UNION ALL SELECT l_orderkey, l_linenumber, 'rest', 'pipeline' FROM l WHERE NOT coalesce(a, false) AND NOT coalesce(b, false)
+""")
+def route_errors(spark, sf_dir):
+    """A rule that divides by zero does not match; the step then goes to the pipeline's sink."""
+    jobs = line_jobs(spark, sf_dir)
+    out = deliveries(run_pipeline(jobs, ROUTE_ERR_SPEC), ROUTE_ERR_SPEC)
+    p = F.col("payload")
+    return out.select(F.get_json_object(p, "$.order").cast("bigint").alias("l_orderkey"),
+                      F.get_json_object(p, "$.line").cast("int").alias("l_linenumber"), "sink_id", "scope")
+
+
 # ── T3 / T4 ──────────────────────────────────────────────────────────────────
 
 OUT_SPEC = PipelineSpec(

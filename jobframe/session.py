@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +26,7 @@ _DEFAULTS = {
     # JVM's 8000-bytecode JIT limit would run interpreted; at this limit Spark splits
     # such stages into per-expression code instead (measured ~2x faster on deep DAGs).
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -36,6 +38,8 @@ RUNTIME = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # of a repeated JSON key the last value holds, as in the reference's parser
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -46,6 +50,24 @@ def ensure_runtime(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+@contextmanager
+def lenient(spark: SparkSession):
+    """Resolve user expressions so that a failing operation on a record is NULL instead of ending the job.
+
+    Spark fixes at resolution whether an operation throws (division by zero, a bad cast, an index out of range), so
+    the setting is only changed while the projection is built and is put back at once."""
+    key = "spark.sql.ansi.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 _SHIPPED: set[int] = set()
 
 
