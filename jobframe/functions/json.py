@@ -27,9 +27,42 @@ def top_level_string(payload_text: Column, key: str) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def scalar_as_string(v: Column) -> Column:
-    """String / number / bool → text; null, array, object → NULL.
+def compact_json(text: Column) -> Column:
+    """JSON text without the white space outside its strings; numbers and strings stay as written."""
+    return F.regexp_replace(text, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|\s++', "$1")
 
-    One ``schema_of_variant`` per value (it builds a type string, so it is the
-    expensive part and is not repeated per branch)."""
-    return F.when(~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|NULL)"), F.try_variant_get(v, "$", "string"))
+
+def float_text(d: Column) -> Column:
+    """A double as the reference prints it: shortest digits, plain from 1e-5 up to 1e16 (always with a fraction),
+    else with a bare exponent (``1.0``, ``1e300``, ``1.5e-7``)."""
+    s = d.cast("string")
+    parts = F.split(s, "E")
+    mantissa, exp = F.element_at(parts, 1), F.element_at(parts, 2).cast("int")
+    sign = F.when(mantissa.startswith("-"), "-").otherwise("")
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(mantissa, "^-", ""), r"\.0$", ""), r"\.", "")
+    padded = F.rpad(digits, F.greatest(F.length(digits), exp + 1), "0")
+    rest = F.substr(padded, exp + 2)
+    plain = F.concat(sign, F.substr(padded, F.lit(1), exp + 1), F.lit("."), F.when(rest == "", "0").otherwise(rest))
+    tiny = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+    tail = F.substr(digits, F.lit(2))
+    science = F.concat(sign, F.substr(digits, F.lit(1), F.lit(1)), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""),
+                       F.lit("e"), exp.cast("string"))
+    return (F.when(~s.contains("E"), s).when(exp.between(7, 15), plain).when(exp.between(-5, -1), tiny)
+            .otherwise(science))
+
+
+def raw_field(payload_text: Column, key: str) -> Column:
+    """Text of a top-level field as written (a string without its quotes); NULL if absent or no object."""
+    name = "`" + key.replace("`", "``") + "`"
+    return F.from_json(payload_text, f"struct<{name}: string>")[key]
+
+
+def scalar_as_string(payload_text: Column, key: str) -> Column:
+    """A top-level string / number / bool as text, a float as the reference prints it; null, array, object and
+    absent → NULL."""
+    v = json_field(payload_text, key)
+    kind = F.schema_of_variant(v)
+    raw = raw_field(payload_text, key)
+    number = F.when(raw.rlike("[.eE]"), float_text(raw.cast("double"))).otherwise(raw)
+    return (F.when(kind.rlike("^(OBJECT|ARRAY|VOID|NULL)"), F.lit(None).cast("string"))
+            .when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind == "BOOLEAN", raw).otherwise(number))

@@ -18,13 +18,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobframe.functions.json import compact_json
 from jobframe.operators.envelope import generated_id
 
 EXTENSIONS = ("json", "jsonl", "csv")
 
 
-def _lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    r = spark.read.option("recursiveFileLookup", "false")
+def _lines(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
+    r = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.text(path).select(F.col("value"), F.input_file_name().alias("file"))
@@ -34,9 +35,9 @@ def _lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame
 
 
 def read_jsonl(spark: SparkSession, path: str, source: str, glob: str | None = "*.jsonl",
-               id_field: str | None = "id") -> tuple[DataFrame, DataFrame]:
+               id_field: str | None = "id", recursive: bool = False) -> tuple[DataFrame, DataFrame]:
     """S1 → (jobs, rejects)."""
-    df = _lines(spark, path, glob).withColumn("line", F.trim(F.col("value")))
+    df = _lines(spark, path, glob, recursive).withColumn("line", F.trim(F.col("value")))
     df = df.where(F.col("line") != "")
     parsed = df.withColumn("_ok", F.try_parse_json(F.col("line")).isNotNull())
     good = parsed.where("_ok")
@@ -46,53 +47,77 @@ def read_jsonl(spark: SparkSession, path: str, source: str, glob: str | None = "
 
 
 def read_json_array(spark: SparkSession, path: str, source: str, glob: str | None = "*.json",
-                    id_field: str | None = "id") -> tuple[DataFrame, DataFrame]:
-    """S2 → (jobs, rejects). A file that is not a JSON array yields no jobs."""
-    r = spark.read.option("wholetext", "true").option("recursiveFileLookup", "false")
+                    id_field: str | None = "id", recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S2 → (jobs, rejects). A file that is not a JSON array yields no jobs.
+
+    The array is parsed element by element into their texts (fields as written, a float stays a float); only single
+    elements are VARIANT values, so a file's size has no limit but that of one text value (2 GB)."""
+    r = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if glob:
         r = r.option("pathGlobFilter", glob)
-    whole = r.text(path).select(F.input_file_name().alias("file"), F.try_parse_json(F.trim("value")).alias("v"))
-    is_array = F.schema_of_variant(F.col("v")).startswith("ARRAY")
-    arrays = whole.where(is_array)
-    rejects = whole.where(~is_array | F.col("v").isNull()).select(
+    whole = r.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("t"))
+    whole = whole.withColumn("texts", F.when(F.col("t").startswith("["), F.from_json("t", "array<string>")))
+    rejects = whole.where(F.col("texts").isNull()).select(
         "file", F.lit(None).cast("string").alias("record"), F.lit("not a JSON array").alias("reason"))
-    elems = arrays.select("file", F.posexplode(F.try_variant_get(F.col("v"), "$", "array<variant>"))
-                          .alias("pos", "value"))
-    out = elems.select("file", F.col("pos").alias("ordinal"), F.to_json(F.col("value")).alias("line"))
+    values = F.from_json("t", "array<variant>")
+    elems = whole.where(F.col("texts").isNotNull()).select(
+        "file", F.posexplode(F.arrays_zip("texts", values.alias("values"))).alias("pos", "e"))
+    text = F.when(F.schema_of_variant(F.col("e.values")) == "STRING", F.to_json(F.col("e.values"))).otherwise(
+        F.coalesce(compact_json(F.col("e.texts")), F.lit("null")))
+    out = elems.select("file", F.col("pos").alias("ordinal"), text.alias("line"))
     return _jobs(out, source, F.col("line"), id_field, ordinal=F.col("ordinal")), rejects
 
 
+def _csv_records(batches):
+    """Records of whole CSV files: (file, ordinal, payload) of those as wide as their file's header, else the record
+    and its fields."""
+    import csv
+    import io
+    import json
+
+    import pandas as pd
+
+    csv.field_size_limit(2**31 - 1)
+    text = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    for files in batches:
+        for file, value in zip(files["file"], files["value"]):
+            rows, head, n = [], None, 0
+            for record in csv.reader(io.StringIO(value, newline="")):
+                if not record:
+                    continue
+                if head is None:
+                    head = record
+                elif len(record) == len(head):
+                    rows.append((file, n, text(dict(zip(head, record))), None, None))
+                else:
+                    rows.append((file, n, None, ",".join(record), text(record)))
+                n += 1
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=["file", "ordinal", "line", "record", "fields"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["file", "ordinal", "line", "record", "fields"])
+
+
 def read_csv(spark: SparkSession, path: str, source: str, glob: str | None = "*.csv",
-             id_field: str | None = "id", schema: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """S3 → (jobs, rejects): header row, every field a string, wrong-width rows rejected.
+             id_field: str | None = "id", schema: str | None = None, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S3 → (jobs, rejects): each file's first record is its header; every field is a string, an empty one "";
+    of columns of one name the last holds; records of another width than their header are rejected.
+
+    Files may differ in their headers, and a record may hold line ends in quotes, so a file is read by one task (files
+    are read in parallel, in one scan). ``schema`` (DDL) only selects files with those columns."""
+    from jobframe.session import ship_package
 
-    ``schema`` lists the header columns (DDL, all strings); when omitted the
-    header of the files is used (all strings, no type inference)."""
-    r = (spark.read.option("header", "true").option("inferSchema", "false").option("mode", "PERMISSIVE")
-         .option("enforceSchema", "false").option("recursiveFileLookup", "false"))
+    ship_package(spark)
+    r = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if glob:
         r = r.option("pathGlobFilter", glob)
-    if schema is None:
-        cols = r.csv(path).columns
-        schema = ", ".join(f"`{c}` string" for c in cols)
-    ddl = schema + ", _corrupt_record string"
-    df = r.schema(ddl).option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
-    df = df.select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_mid"))
-    fields = [c for c in df.columns if c not in ("_corrupt_record", "file", "_mid")]
-    # the parsed fields travel with the raw record (Spark refuses queries that read
-    # only the corrupt-record column of a raw file)
-    # reference every field: with CSV column pruning a width error is only seen when
-    # all columns are parsed (and Spark refuses a query of the corrupt column alone)
-    keep_field = F.lit(0)
-    for c in fields:
-        keep_field = keep_field + F.coalesce(F.length(F.col(f"`{c}`")), F.lit(0))
-    keep_field = keep_field >= 0
-    good = df.where(F.col("_corrupt_record").isNull() & keep_field)
-    bad = df.where(F.col("_corrupt_record").isNotNull() & keep_field).select(
-        "file", F.col("_corrupt_record").alias("record"), F.lit("wrong number of fields").alias("reason"),
-        F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields])).alias("fields"))
-    payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields]))
-    return _jobs(good.withColumn("line", payload), source, F.col("line"), id_field), bad
+    files = r.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    if schema is not None:
+        head = ",".join(x.strip().split()[0].strip("`") for x in schema.split(","))
+        files = files.where(F.regexp_extract("value", r"\A([^\r\n]*)", 1) == head)
+    rows = files.mapInPandas(_csv_records, "file string, ordinal bigint, line string, record string, fields string")
+    bad = rows.where("line IS NULL").select("file", "record", F.lit("wrong number of fields").alias("reason"), "fields")
+    return _jobs(rows.where("line IS NOT NULL"), source, F.col("line"), id_field, ordinal=F.col("ordinal")), bad
 
 
 def _jobs(df: DataFrame, source: str, payload, id_field: str | None, ordinal=None) -> DataFrame:

@@ -26,13 +26,14 @@ def pending(rows: DataFrame, status: str = "status", processing: str = STATUS_PR
 
 
 def claim_pending(rows: DataFrame, batch: int = POLL_BATCH, id_col: str = "id", created: str = "created_at",
-                  status: str = "status", processing: str = STATUS_PROCESSING) -> tuple[DataFrame, DataFrame]:
+                  status: str = "status", processing: str = STATUS_PROCESSING, done: str = STATUS_DONE,
+                  failed: str = STATUS_FAILED) -> tuple[DataFrame, DataFrame]:
     """One poll: (claimed rows with status = processing, the table after the claim).
 
     The claim is written as a new version of the table (a left join of the
     claimed ids + ``when``), not an in-place update; the payload is parsed by the
     caller (a bad payload goes to rejects instead of stopping the source)."""
-    claimed = (pending(rows, status).orderBy(F.col(created), F.col(id_col)).limit(batch)
+    claimed = (pending(rows, status, processing, done, failed).orderBy(F.col(created), F.col(id_col)).limit(batch)
                .withColumn(status, F.lit(processing)))
     ids = claimed.select(F.col(id_col).alias("_cid"))
     after = (rows.join(ids, rows[id_col] == ids["_cid"], "left")
