@@ -1,10 +1,8 @@
 """Removal detection and cancellation.
 
-All of these are joins: anti joins between snapshots, and a range semi join of
+All of these are joins: anti joins between snapshots, and an existence join of
 jobs against time-stamped signals. Keys are job ids, so no key is hot on the job
-side; a job id that receives very many signals is reduced before the final
-semi join (the signals side is joined to the single start time of its job and
-then de-duplicated with a partial aggregate).
+side.
 """
 
 from __future__ import annotations
@@ -63,20 +61,14 @@ def mark_cancellations(jobs: DataFrame, signals: DataFrame, ttl_secs: int = DEFA
                        sig_ts: str = "signal_ts") -> DataFrame:
     """C4 in one pass: ``jobs`` plus a boolean ``cancelled`` column.
 
-    Signals are joined to the start time of their job and reduced to distinct
-    (job, start) hits with a partial aggregate, so a job id with very many
-    signals shuffles one row per map partition into the final join."""
+    One existence join on the job id with the time range as its condition: each side is shuffled once, a job with
+    many signals keeps one row, and a NULL id or time is never cancelled."""
     ttl = max(int(ttl_secs), 1)
-    starts = jobs.select(F.col(job_id).alias("_jid"), F.col(start_col).alias("_start"))
-    sig = signals.select(F.col(sig_id).alias("_jid"), F.col(sig_ts).alias("_sts"))
-    hit = (sig.join(starts, "_jid")
-           .where((F.col("_sts") <= F.col("_start")) &
-                  (F.col("_sts") >= F.col("_start") - F.expr(f"INTERVAL {ttl} SECONDS")))
-           .select("_jid", "_start").distinct().withColumn("_hit", F.lit(True)))
-    cond = [F.col(job_id) == F.col("_jid"), F.col(start_col) == F.col("_start")]
-    return (jobs.join(hit, cond, "left")
-            .withColumn("cancelled", F.coalesce(F.col("_hit"), F.lit(False)))
-            .drop("_jid", "_start", "_hit"))
+    sent = signals.select(F.col(sig_id).alias("_sid"), F.col(sig_ts).alias("_sts"))
+    start = F.col(start_col).outer()
+    hit = sent.where((F.col("_sid") == F.col(job_id).outer()) & (F.col("_sts") <= start)
+                     & (F.col("_sts") >= start - F.expr(f"INTERVAL {ttl} SECONDS"))).exists()
+    return jobs.select("*", hit.alias("cancelled"))
 
 
 def live_signals(signals: DataFrame, completions: DataFrame, sig_id: str = "job_id", sig_ts: str = "signal_ts",

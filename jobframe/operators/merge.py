@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobframe.functions.json import json_field, scalar_as_string
+from jobframe.functions.json import compact_json, scalar_as_string
 from jobframe.session import checkpoint_dir
 
 MAX_SOURCES = 12  # transition tables have 2^N entries
@@ -34,7 +34,7 @@ MAX_SOURCES = 12  # transition tables have 2^N entries
 
 def correlation_value(payload: Column, key: str) -> Column:
     """Top-level field; string/number/bool → string; else NULL."""
-    return scalar_as_string(json_field(payload, key))
+    return scalar_as_string(payload, key)
 
 
 def merge_any(jobs: DataFrame, key: str | None = None) -> DataFrame:
@@ -275,9 +275,16 @@ def merged_jobs(groups: DataFrame, pipeline_id: str, key: str | None) -> DataFra
     Built in stages so that each higher-order sub-result (parsed member maps, the
     correlation value, the first-wins field map) is evaluated once per group."""
     empty = F.create_map().cast("map<string,string>")
-    maps = F.transform("members", lambda m: F.coalesce(
-        F.try_variant_get(F.try_parse_json(m["payload"]), "$", "map<string,variant>"),
-        F.create_map().cast("map<string,variant>")))
+    # which fields there are (the last of a repeated key) and which are strings comes from the parsed value, the text
+    # of all others from the payload as written, so numbers keep their form
+    def texts(m):
+        typed = F.try_variant_get(F.try_parse_json(m["payload"]), "$", "map<string,variant>")
+        raw = F.map_entries(F.from_json(m["payload"], "map<string,string>"))
+        return F.coalesce(F.transform_values(typed, lambda k, v: F.when(
+            F.schema_of_variant(v) == "STRING", F.to_json(v)).otherwise(F.coalesce(compact_json(
+                F.element_at(F.filter(raw, lambda e: e["key"] == k), -1)["value"]), F.lit("null")))), empty)
+
+    maps = F.transform("members", texts)
     corr = F.lit(None).cast("string")
     if key:
         vals = F.transform("members", lambda m: correlation_value(m["payload"], key))
@@ -286,7 +293,7 @@ def merged_jobs(groups: DataFrame, pipeline_id: str, key: str | None) -> DataFra
     first_wins = F.aggregate(
         "_maps", empty,
         lambda acc, m: F.map_concat(acc, F.transform_values(
-            F.map_filter(m, lambda k, v: ~F.array_contains(F.map_keys(acc), k)), lambda k, v: F.to_json(v))))
+            F.map_filter(m, lambda k, v: ~F.array_contains(F.map_keys(acc), k)), lambda k, v: v)))
     g2 = g1.select("*", first_wins.alias("_fw"))
     reserved = ["sources", "jobs"] + ([key, "correlation_key"] if key else [])
     base = F.map_filter("_fw", lambda k, v: ~k.isin(reserved))

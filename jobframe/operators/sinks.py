@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobframe.functions.hmac import hmac_sha256_hex
+from jobframe.functions.json import compact_json
 
 IDENT = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
@@ -65,20 +66,28 @@ def step_rows(deliveries: DataFrame, occurred_at: Column | str, columns: Mapping
 
 
 def result_json(deliveries: DataFrame, occurred_at: Column | str) -> Column:
-    """K9 default line: the result message as compact JSON (absent options omitted)."""
+    """K6, K9: the result message as compact JSON (absent options omitted), with the message's duration and time. The
+    job's payload is put in as written, so its numbers keep their form; text that is no JSON becomes a string."""
     step_names = [f.name for f in deliveries.schema["step_results"].dataType.fields]
     steps_map = F.map_from_arrays(
         F.col("steps"),
         F.transform("steps", lambda s: _pick(step_names, s)))
-    job = F.struct(
-        F.col("job_id").alias("id"), F.col("source").alias("source"),
-        F.try_parse_json(F.col("payload")).alias("payload"),
-        F.col("correlation_key").alias("correlation_key"),
-        F.when(F.size("labels") > 0, F.col("labels")).alias("labels"))
+    p = F.col("payload")
+    payload = F.when(F.try_parse_json(p).isNotNull(), compact_json(p)).otherwise(F.coalesce(_text(p), F.lit("null")))
+    labels = F.when(F.size("labels") > 0, F.concat(F.lit(',"labels":'), F.to_json("labels"))).otherwise("")
+    corr = F.coalesce(F.concat(F.lit(',"correlation_key":'), _text(F.col("correlation_key"))), F.lit(""))
     ts = F.lit(occurred_at) if isinstance(occurred_at, str) else occurred_at
-    return F.to_json(F.struct(F.col("pipeline_id"), job.alias("job"), F.col("status"),
-                              F.lit(0).cast("bigint").alias("duration_ms"), steps_map.alias("steps"),
-                              ts.alias("occurred_at")))
+    return F.concat(
+        F.lit('{"pipeline_id":'), _text(F.col("pipeline_id")), F.lit(',"job":{"id":'), _text(F.col("job_id")),
+        F.lit(',"source":'), _text(F.col("source")), F.lit(',"payload":'), payload, corr, labels,
+        F.lit('},"status":'), _text(F.col("status")), F.lit(',"duration_ms":'), F.col("duration_ms").cast("string"),
+        F.lit(',"steps":'), F.to_json(steps_map), F.lit(',"occurred_at":'), _text(ts), F.lit("}"))
+
+
+def _text(c: Column) -> Column:
+    """A string as JSON; NULL stays NULL."""
+    j = F.to_json(F.array(c))
+    return F.when(c.isNotNull(), F.substr(j, F.lit(2), F.length(j) - 2))
 
 
 def _pick(step_names: list[str], s: Column) -> Column:
@@ -99,6 +108,12 @@ def write_lines(deliveries: DataFrame, path: str, line: Column, path_key: Column
     out.write.mode(mode).partitionBy(*parts).text(path)
 
 
+def write_step_rows(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """K10 writer: the rows of ``step_rows`` as a Parquet table, one partition for each sink; with mode "overwrite" of
+    an epoch's own folder a replayed batch replaces its rows."""
+    rows.write.mode(mode).partitionBy("sink_id").parquet(path)
+
+
 def webhook_outbox(deliveries: DataFrame, url: Column, body: Column, secret: str = "",
                    headers: Mapping[str, Column] | None = None, max_retries: int = 3,
                    retry_base_ms: int = 250) -> DataFrame:

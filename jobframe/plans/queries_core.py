@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from jobframe.operators.dispatch import deliveries
 from jobframe.operators.envelope import envelope
 from jobframe.plans.catalog import query, table
+from jobframe.operators.state import latest_state, recover_incomplete
 from jobframe.plans.pipeline import run_pipeline
+from jobframe.plans.service import run_batch
 from jobframe.spec import (
     ConditionStep,
     FailurePolicy,
@@ -141,8 +143,13 @@ UNION ALL
 SELECT 'p_money', job_id, 'money_dlq', 'dead_letter', NULL, 'failure', 'check' FROM money WHERE value >= 400
 """)
 def service_run(spark, sf_dir):
-    from jobframe.plans.service import run_batch
+    jobs, signals = _service_inputs(spark, sf_dir)
+    d, _, _ = run_batch(jobs, _service_specs(), signals=signals, ttl_secs=3600)
+    return d.select("pipeline_id", "job_id", "sink_id", "scope", "step_id", "status",
+                    F.array_join("steps", ",").alias("steps"))
+
 
+def _service_inputs(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     payload = F.to_json(F.struct(
         F.concat(F.lit("ev-"), F.col("event_id").cast("string")).alias("event_key"),
@@ -153,6 +160,33 @@ def service_run(spark, sf_dir):
     signals = ev.where(F.col("event_type") == "error").select(
         F.concat(F.lit("ev-"), (F.col("event_id") + 1).cast("string")).alias("job_id"),
         F.col("ts").alias("signal_ts"))
-    d, _, _ = run_batch(jobs, _service_specs(), signals=signals, ttl_secs=3600)
-    return d.select("pipeline_id", "job_id", "sink_id", "scope", "step_id", "status",
-                    F.array_join("steps", ",").alias("steps"))
+    return jobs, signals
+
+
+# ── ST1–ST4, W7: the service's own log, cut by a crash, recovered and replayed ─
+
+SLOW_SPEC = PipelineSpec(
+    id="p_slow", payload_schema="event_id bigint, k bigint", sources=("click", "view"), sinks=("slow_sink",),
+    steps=(TransformStep(id="t", expr=("named_struct('stdout', CAST(job.payload.k AS STRING), "
+                                       "'duration_ms', job.payload.k * 600000)")),))
+
+
+@query("service_replay", sql="""
+WITH cut AS (SELECT max(ts) - INTERVAL 6 HOUR AS stop FROM events),
+j AS (SELECT 'ev-' || CAST(event_id AS VARCHAR) AS job_id, event_id, ts, CAST(props->>'$.k' AS BIGINT) AS k,
+             EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'error' AND s.event_id + 1 = e.event_id
+                     AND s.ts <= e.ts AND s.ts >= e.ts - INTERVAL 3600 SECOND) AS cancelled
+      FROM events e WHERE event_type IN ('click', 'view'))
+SELECT job_id, 'running' AS state, CAST(k AS VARCHAR) AS stdout, 'success' AS status
+FROM j, cut WHERE NOT cancelled AND ts <= stop AND ts + to_milliseconds(k * 600000) > stop
+""")
+def service_replay(spark, sf_dir):
+    """The log of a run as it stood six hours before the last event: jobs that had begun and not ended are found by
+    the latest-state view and run again from what the log holds of them."""
+    jobs, signals = _service_inputs(spark, sf_dir)
+    _, log, _ = run_batch(jobs, [SLOW_SPEC], signals=signals, ttl_secs=3600)
+    end = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    at = F.lit(end).cast("timestamp_ntz") - F.expr("INTERVAL 6 HOURS")
+    left = recover_incomplete(latest_state(log.where(F.col("updated_at") <= at)))
+    again = run_pipeline(left.withColumnRenamed("job_id", "id").drop("pipeline_id"), SLOW_SPEC)
+    return again.select(F.col("id").alias("job_id"), "state", F.col("steps.t.stdout").alias("stdout"), "status")

@@ -146,6 +146,27 @@ def merge_any_q(spark, sf_dir):
     return merge_any(o.unionByName(li), "order").select("source", "id", "correlation_key")
 
 
+@query("merge_any_numbers", sql="""
+SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id,
+  CASE l_linenumber % 4 WHEN 0 THEN CAST(l_quantity AS VARCHAR) WHEN 1 THEN '1e300'
+       WHEN 2 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE CAST(l_quantity AS VARCHAR) || '0' END AS correlation_key
+FROM lineitem
+""")
+def merge_any_numbers(spark, sf_dir):
+    """J4 on numbers: floats keep their fraction and exponent, of a repeated key the last value holds, and a string
+    stays as it is."""
+    k = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    q = F.col("l_quantity").cast("string")
+    value = (F.when(F.col("l_linenumber") % 4 == 0, F.concat(q, F.lit("0")))
+             .when(F.col("l_linenumber") % 4 == 1, F.lit("1e300"))
+             .when(F.col("l_linenumber") % 4 == 2, F.concat(F.lit('"x","q":'), F.col("l_quantity").cast("bigint").cast("string")))
+             .otherwise(F.concat(F.lit('"'), q, F.lit('0"'))))
+    li = table(spark, sf_dir, "lineitem").select(
+        F.lit("lines").alias("source"), k.alias("id"), F.concat(F.lit('{"q":'), value, F.lit("}")).alias("payload"),
+        F.lit("hdr").alias("correlation_key"))
+    return merge_any(li, "q").select("id", "correlation_key")
+
+
 # ── J3 / J7 / J8 ─────────────────────────────────────────────────────────────
 
 FIRST_SOURCES = ["click", "purchase", "signup"]
@@ -173,6 +194,28 @@ def merge_all_first(spark, sf_dir):
     return _flat_groups(m, FIRST_SOURCES).drop("round")
 
 
+@query("merged_envelope", sql="""
+WITH e AS (SELECT *, '{"user_id":' || user_id || ',"event_id":' || event_id || ',"value":' || CAST(value AS VARCHAR) || ',"k":'
+             || (props->>'$.k') || '}' AS payload FROM events WHERE event_type IN ('click', 'purchase', 'signup')),
+f AS (SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id FROM e GROUP BY user_id, event_type),
+m AS (SELECT e.* FROM f JOIN e USING (user_id, event_type, event_id))
+SELECT CAST(user_id AS VARCHAR) AS key,
+  '{"event_id":' || arg_min(event_id, (ts, event_id)) || ',"k":' || arg_min(props->>'$.k', (ts, event_id)) || ',"value":'
+    || arg_min(CAST(value AS VARCHAR), (ts, event_id)) || ',"user_id":"' || user_id || '","correlation_key":"' || user_id
+    || '","sources":{' || string_agg('"' || event_type || '":' || payload, ',' ORDER BY ts, event_id)
+    || '},"jobs":[' || string_agg('{"id":"ev-' || event_id || '","source":"' || event_type || '","payload":' || payload || '}',
+                                  ',' ORDER BY ts, event_id) || ']}' AS payload,
+  'prod,' || arg_min(event_type, (ts, event_id)) AS labels
+FROM m GROUP BY user_id HAVING count(*) = 3
+""")
+def merged_envelope(spark, sf_dir):
+    """The whole merged payload (fields of the first job that has them, key, sources, jobs) and labels."""
+    g = first_complete_groups(event_source_jobs(spark, sf_dir), FIRST_SOURCES, key="correlation_key")
+    m = merged_jobs(g, "p_first", "user_id")
+    labels = F.col("merged_labels")
+    return m.select("key", F.col("merged_payload").alias("payload"), F.concat_ws(",", labels["env"], labels["src"]).alias("labels"))
+
+
 def member_of(source):
     return F.element_at(F.filter("members", lambda x: x["source"] == F.lit(source)), 1)
 

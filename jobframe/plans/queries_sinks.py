@@ -20,7 +20,8 @@ DISPATCH_SPEC = PipelineSpec(
         TransformStep(
             id="price", success_exit_codes=(0, 2),
             expr=("named_struct('stdout', CAST(job.payload.total AS STRING), 'exit_code', "
-                  "CASE WHEN job.payload.status = 'P' THEN 2 ELSE 0 END)"),
+                  "CASE WHEN job.payload.status = 'P' THEN 2 ELSE 0 END, "
+                  "'duration_ms', CAST(job.payload.total / 1000 AS BIGINT))"),
             routing=(Route("steps.price.exit_code = 0", ("ok_sink", "audit")),
                      Route("job.payload.total > 200000", ("big_sink",)),
                      Route("CAST(NULL AS BOOLEAN)", ("never",))),
@@ -90,53 +91,78 @@ def dead_letters(spark, sf_dir):
 
 NOW = "2026-01-01T00:00:00Z"
 
-
-@query("step_rows", sql=f"""
-WITH j AS (
-  SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderpriority = '5-LOW' AS failed,
-    CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 0 END = 0 OR o_totalprice > 200000 AS handled
+#: The parts of every message over orders, as the library prints them.
+MESSAGE_SQL = """
+WITH p AS (
+  SELECT *, '{"order":' || o_orderkey || ',"cust":' || o_custkey || ',"status":"' || o_orderstatus || '","total":'
+      || CAST(o_totalprice AS VARCHAR) || ',"priority":"' || o_orderpriority || '"}' AS payload,
+    CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 0 END AS price_exit, o_orderpriority = '5-LOW' AS failed,
+    CAST(trunc(o_totalprice / 1000) AS BIGINT) AS ms
   FROM orders
-), s AS (
-  SELECT o_orderkey, 'price' AS step_id, CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 0 END AS exit_code,
-         CAST(o_totalprice AS VARCHAR) AS stdout, '' AS stderr, 1 AS attempt, failed FROM j WHERE NOT handled
+), j AS (
+  SELECT *, sha256(concat_ws('|', 'orders', CAST(o_orderkey AS VARCHAR), payload)) AS job_id,
+    price_exit = 0 OR o_totalprice > 200000 AS handled,
+    '{"stdout":"' || CAST(o_totalprice AS VARCHAR) || '","exit_code":' || price_exit || ',"duration_ms":' || ms
+      || ',"attempt":1,"outputs":{}}' AS price_json,
+    '{"exit_code":0,"duration_ms":0,"attempt":1,"outputs":{}}' AS tag_json,
+    CASE WHEN failed THEN '{"stderr":"Pipeline error: low priority","exit_code":-1,"duration_ms":0,"attempt":0,"outputs":{}}'
+         ELSE '{"exit_code":0,"duration_ms":0,"attempt":1,"outputs":{}}' END AS check_json,
+    '{"stdout":"done","exit_code":0,"duration_ms":0,"attempt":1,"outputs":{}}' AS finish_json
+  FROM p
+), m AS (
+  SELECT *, 'dlq' AS sink_id, 'failure' AS status, ms AS duration,
+         '{"price":' || price_json || ',"tag":' || tag_json || ',"check":' || check_json || '}' AS steps FROM j WHERE failed
+  UNION ALL
+  SELECT *, 'step_dlq', 'failure', 0, '{"check":' || check_json || '}' FROM j WHERE failed
+  UNION ALL
+  SELECT *, 'big_sink', CASE WHEN price_exit = 0 THEN 'success' ELSE 'failure' END, ms, '{"price":' || price_json || '}'
+  FROM j WHERE o_totalprice > 200000
   UNION ALL
-  SELECT o_orderkey, 'check', CASE WHEN failed THEN -1 ELSE 0 END, '',
-         CASE WHEN failed THEN 'Pipeline error: low priority' ELSE '' END, CASE WHEN failed THEN 0 ELSE 1 END, failed
+  SELECT *, 'all_sink', CASE WHEN failed THEN 'failure' ELSE 'success' END, ms,
+         '{' || CASE WHEN handled THEN '' ELSE '"price":' || price_json || ',' END || '"check":' || check_json
+             || CASE WHEN failed THEN '' ELSE ',"finish":' || finish_json END || '}' FROM j
+), b AS (
+  SELECT o_orderkey, o_orderpriority, job_id, sink_id, status, duration,
+         '{"pipeline_id":"orders_dispatch","job":{"id":"' || job_id || '","source":"orders","payload":' || payload
+         || '},"status":"' || status || '","duration_ms":' || duration || ',"steps":' || steps
+         || ',"occurred_at":"{NOW}"}' AS line
+  FROM m
+)
+""".replace("{NOW}", NOW)
+
+
+def _messages(spark, sf_dir, *sinks):
+    d = dispatch_deliveries(spark, sf_dir).where(F.col("sink_id").isin(*sinks))
+    return d.withColumn("o_orderkey", F.get_json_object("payload", "$.order").cast("bigint"))
+
+
+@query("step_rows", sql=MESSAGE_SQL + f"""
+, s AS (
+  SELECT j.*, 'price' AS step_id, price_exit AS exit_code, CAST(o_totalprice AS VARCHAR) AS stdout, '' AS stderr,
+         ms AS duration_ms, 1 AS attempt FROM j WHERE NOT handled
+  UNION ALL
+  SELECT j.*, 'check', CASE WHEN failed THEN -1 ELSE 0 END, '',
+         CASE WHEN failed THEN 'Pipeline error: low priority' ELSE '' END, 0, CASE WHEN failed THEN 0 ELSE 1 END
   FROM j
   UNION ALL
-  SELECT o_orderkey, 'finish', 0, 'done', '', 1, failed FROM j WHERE NOT failed
+  SELECT j.*, 'finish', 0, 'done', '', 0, 1 FROM j WHERE NOT failed
 )
-SELECT o_orderkey, step_id, exit_code, stdout, stderr, attempt,
-       CASE WHEN failed THEN 'failure' ELSE 'success' END AS status, '{NOW}' AS occurred_at,
-       'orders_dispatch' AS pipeline_id
+SELECT sha256(concat_ws('|', job_id, 'orders_dispatch', 'all_sink', 'pipeline', step_id)) AS result_id, job_id,
+       'orders_dispatch' AS pipeline_id, step_id, '{NOW}' AS occurred_at, exit_code, stdout, stderr,
+       CAST(duration_ms AS BIGINT) AS duration_ms, attempt,
+       CASE WHEN failed THEN 'failure' ELSE 'success' END AS status, o_orderkey
 FROM s
 """)
 def step_rows_q(spark, sf_dir):
-    d = dispatch_deliveries(spark, sf_dir).withColumn(
-        "o_orderkey", F.get_json_object("payload", "$.order").cast("bigint"))
-    rows = step_rows(d, NOW, sink="all_sink", keep=["o_orderkey"])
-    return rows.select("o_orderkey", "step_id", "exit_code", "stdout", "stderr", "attempt", "status",
-                        "occurred_at", "pipeline_id")
-
-
-@query("result_lines", sql="""
-SELECT o_orderkey, 'dlq' AS sink_id, 'orders_dispatch' AS line_pipeline, 'failure' AS line_status,
-       'orders' AS line_source, 3 AS line_steps, 'Pipeline error: low priority' AS line_check_stderr,
-       o_orderpriority AS line_priority
-FROM orders WHERE o_orderpriority = '5-LOW'
-""")
+    rows = step_rows(_messages(spark, sf_dir, "all_sink"), NOW, sink="all_sink", keep=["o_orderkey"])
+    return rows.drop("sink_id")
+
+
+@query("result_lines", sql=MESSAGE_SQL + "SELECT o_orderkey, sink_id, line FROM b")
 def result_lines(spark, sf_dir):
-    d = dispatch_deliveries(spark, sf_dir).where(F.col("sink_id") == "dlq")
-    line = result_json(d, NOW)
-    return d.select(F.get_json_object("payload", "$.order").cast("bigint").alias("o_orderkey"), "sink_id",
-                    line.alias("line")).select(
-        "o_orderkey", "sink_id",
-        F.get_json_object("line", "$.pipeline_id").alias("line_pipeline"),
-        F.get_json_object("line", "$.status").alias("line_status"),
-        F.get_json_object("line", "$.job.source").alias("line_source"),
-        F.size(F.json_object_keys(F.get_json_object("line", "$.steps"))).alias("line_steps"),
-        F.get_json_object("line", "$.steps.check.stderr").alias("line_check_stderr"),
-        F.get_json_object("line", "$.job.payload.priority").alias("line_priority"))
+    """K6, K9: whole messages of the pipeline, of its dead letters and of single steps."""
+    d = _messages(spark, sf_dir, "dlq", "step_dlq", "big_sink", "all_sink")
+    return d.select("o_orderkey", "sink_id", result_json(d, NOW).alias("line"))
 
 
 # ── K12 / K13 ────────────────────────────────────────────────────────────────
@@ -144,44 +170,31 @@ def result_lines(spark, sf_dir):
 HOOK_SECRET = "hook-secret"
 
 
-def _order_body():
-    return F.to_json(F.struct(F.lit("orders_hook").alias("pipeline_id"),
-                              F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("job_id"),
-                              F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total")))
-
-
-@query("webhook_outbox", sql=f"""
-WITH b AS (
-  SELECT o_orderkey, o_orderstatus,
-    CAST(to_json(struct_pack(pipeline_id := 'orders_hook', job_id := 'o-' || CAST(o_orderkey AS VARCHAR),
-                        status := o_orderstatus, total := o_totalprice)) AS VARCHAR) AS body
-  FROM orders)
-SELECT o_orderkey, 'https://hooks.example/' || lower(o_orderstatus) || '/' || CAST(o_orderkey AS VARCHAR) AS url,
-  body, {hmac_sql('body', HOOK_SECRET)} AS signature, '250,500,1000,2000' AS retry_delays_ms,
-  'o-' || CAST(o_orderkey AS VARCHAR) AS header_job
-FROM b
+@query("webhook_outbox", sql=MESSAGE_SQL + f"""
+SELECT o_orderkey, 'https://hooks.example/' || status || '/' || CAST(o_orderkey AS VARCHAR) AS url, line AS body,
+  {hmac_sql('line', HOOK_SECRET)} AS signature, '250,500,1000,2000' AS retry_delays_ms,
+  job_id || ' in ' || CAST(duration AS VARCHAR) AS header_job
+FROM b WHERE sink_id = 'all_sink'
 """)
 def webhook_outbox_q(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    url = F.concat(F.lit("https://hooks.example/"), F.lower("o_orderstatus"), F.lit("/"), F.col("o_orderkey").cast("string"))
-    out = webhook_outbox(o, url, _order_body(), HOOK_SECRET,
-                         headers={"x-job": F.concat(F.lit("o-"), F.col("o_orderkey").cast("string"))})
+    """The body is the result; url and headers are rendered strictly from it."""
+    d = _messages(spark, sf_dir, "all_sink")
+    out = webhook_outbox(d, render_checked("https://hooks.example/{{ status }}/{{ o_orderkey }}", {})["text"],
+                         result_json(d, NOW), HOOK_SECRET,
+                         headers={"x-job": render_checked("{{ job_id }} in {{ duration_ms }}", {})["text"]})
     return out.select("o_orderkey", "url", "body", "signature",
                       F.array_join(F.transform("retry_delays_ms", lambda x: x.cast("string")), ",").alias("retry_delays_ms"),
                       F.col("headers")["x-job"].alias("header_job"))
 
 
-@query("queue_outbox", sql="""
-SELECT o_orderkey,
-  CASE WHEN o_orderstatus = 'F' THEN 'orders.ok.' || o_orderpriority ELSE 'orders.failed' END AS routing_key,
-  CAST(to_json(struct_pack(pipeline_id := 'orders_hook', job_id := 'o-' || CAST(o_orderkey AS VARCHAR),
-                      status := o_orderstatus, total := o_totalprice)) AS VARCHAR) AS body
-FROM orders
+@query("queue_outbox", sql=MESSAGE_SQL + """
+SELECT o_orderkey, CASE WHEN status = 'success' THEN 'orders.ok.' || o_orderpriority ELSE 'orders.failed' END AS routing_key,
+  line AS body
+FROM b WHERE sink_id = 'big_sink'
 """)
 def queue_outbox_q(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn(
-        "status", F.when(F.col("o_orderstatus") == "F", "success").otherwise("failure"))
-    out = queue_outbox(o, _order_body(), F.concat(F.lit("orders.ok."), F.col("o_orderpriority")),
+    d = _messages(spark, sf_dir, "big_sink")
+    out = queue_outbox(d, result_json(d, NOW), F.concat(F.lit("orders.ok."), F.get_json_object("payload", "$.priority")),
                        F.lit("orders.failed"))
     return out.select("o_orderkey", "routing_key", "body")
 

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from jobframe.operators.state import latest_state, recover_incomplete, replay_routing
+from jobframe.operators.state import latest_state, recover_incomplete, route_recovered
 from jobframe.plans.catalog import query, table
 from jobframe.session import checkpoint_dir
 from jobframe.sources.files import read_csv, read_directory, read_json_array, read_jsonl
@@ -85,9 +85,8 @@ FROM latest WHERE state IN ('queued', 'running')
 def state_unknown_pipeline(spark, sf_dir):
     rec = recover_incomplete(latest_state(state_events(spark, sf_dir)))
     known = spark.createDataFrame([("fast",)], "pipeline_id string")
-    replay, rejects = replay_routing(rec, known)
-    return (replay.select("job_id", "pipeline_id", F.lit("replay").alias("routed"))
-            .unionByName(rejects.select("job_id", "pipeline_id", F.lit("discarded").alias("routed"))))
+    return route_recovered(rec, known).select("job_id", "pipeline_id", F.when(F.col("known"), "replay").otherwise(
+        "discarded").alias("routed"))
 
 
 # ── S7 ───────────────────────────────────────────────────────────────────────
@@ -107,6 +106,22 @@ def claim_pending_q(spark, sf_dir):
     return claimed.select("id", "created_at", "status", "total")
 
 
+@query("claim_pending_values", sql="""
+SELECT CAST(o_orderkey AS VARCHAR) AS id,
+       CASE WHEN id_rank <= 100 THEN 'working' WHEN o_orderstatus = 'F' THEN 'finished' WHEN o_orderstatus = 'O' THEN 'working' END AS status
+FROM (SELECT *, CASE WHEN o_orderstatus = 'P' THEN row_number() OVER (PARTITION BY o_orderstatus
+             ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR)) END AS id_rank FROM orders)
+""")
+def claim_pending_values(spark, sf_dir):
+    """A source with its own status values: rows being worked on or finished are not claimed again."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").alias("created_at"),
+                    F.when(F.col("o_orderstatus") == "F", "finished").when(F.col("o_orderstatus") == "O", "working")
+                    .alias("status"))
+    _, after = claim_pending(rows, 100, processing="working", done="finished", failed="broken")
+    return after.select("id", "status")
+
+
 # ── S10 ──────────────────────────────────────────────────────────────────────
 
 SCHED = Schedule(minutes=(0,), hours=tuple(range(9, 18)), weekdays=(1, 2, 3, 4, 5), tz="America/New_York")
@@ -171,90 +186,71 @@ def file_roundtrip_jsonl(spark, sf_dir):
     path = _scratch(spark, "jsonl")
     ev = table(spark, sf_dir, "events")
     ev.select(_event_lines().alias("value")).write.text(path)
-    _rename_ext(spark, path, "jsonl")
-    jobs, _ = read_jsonl(spark, path, "jsonl")
+    jobs, _ = read_jsonl(spark, path, "jsonl", glob="part-*")
     return jobs.select("payload", F.when(F.col("payload").startswith('{"id":'), F.col("id")).alias("named_id"),
                        "source")
 
 
-def _rename_ext(spark, path: str, ext: str) -> None:
-    """Give the Spark part files the extension the source readers look for."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("part-"):
-            fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(path + "/" + name.split(".")[0] + "." + ext))
-
-
 @query("file_roundtrip_json_array", sql="""
-SELECT r.r_name AS region, n.n_nationkey, n.n_name
-FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+SELECT c_mktsegment AS segment, CAST(c_custkey AS VARCHAR) AS id,
+       '{"id":"' || CAST(c_custkey AS VARCHAR) || '","bal":' || CAST(c_acctbal AS VARCHAR) || ',"one":1.0,"big":1.0E300}' AS payload
+FROM customer
 """)
 def file_roundtrip_json_array(spark, sf_dir):
+    """A file for each market segment, read in one scan; repeated keys (the last holds for the id) and floats."""
     path = _scratch(spark, "json")
-    n = table(spark, sf_dir, "nation")
-    r = table(spark, sf_dir, "region")
-    arr = (n.join(r, n.n_regionkey == r.r_regionkey)
-           .groupBy("r_name").agg(F.concat(F.lit("["), F.array_join(F.collect_list(
-               F.to_json(F.struct("n_nationkey", "n_name", "r_name"))), ","), F.lit("]")).alias("value")))
-    junk = spark.createDataFrame([("object", '{"not": "an array"}')], "r_name string, value string")
-    arr.unionByName(junk).repartition("r_name").write.partitionBy("r_name").text(path)
-    for d in _subdirs(spark, path):
-        _rename_ext(spark, d, "json")
-    jobs = None
-    for d in _subdirs(spark, path):
-        j, _ = read_json_array(spark, d, "json_array")
-        jobs = j if jobs is None else jobs.unionByName(j)
-    return jobs.select(F.get_json_object("payload", "$.r_name").alias("region"),
-                       F.get_json_object("payload", "$.n_nationkey").cast("int").alias("n_nationkey"),
-                       F.get_json_object("payload", "$.n_name").alias("n_name"))
-
-
-def _subdirs(spark, path):
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    return sorted(str(st.getPath().toString()) for st in fs.listStatus(p) if st.isDirectory())
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    item = F.concat(F.lit('{"id": "old", "id": "'), key, F.lit('", "bal" : '), F.col("c_acctbal").cast("string"),
+                    F.lit(', "one": 1.0, "big":1e300}'))
+    order = ["c_mktsegment", "_o", "c_custkey"]
+    ends = c.select("c_mktsegment").distinct().withColumn("c_custkey", F.lit(None).cast("bigint"))
+    rows = c.select("c_mktsegment", F.lit(1).alias("_o"), "c_custkey", F.concat(item, F.lit(",")).alias("value"))
+    frame = ends.withColumn("_o", F.lit(0)).withColumn("value", F.lit("[")).unionByName(
+        ends.withColumn("_o", F.lit(2)).withColumn("value", F.lit('"end"]')))
+    junk = spark.createDataFrame([("object", 1, 0, '{"not": "an array"}')], "c_mktsegment string, _o int, c_custkey bigint, value string")
+    (rows.unionByName(frame).unionByName(junk).repartition("c_mktsegment").sortWithinPartitions(*order)
+     .select("c_mktsegment", "value").write.partitionBy("c_mktsegment").text(path))
+    jobs, _ = read_json_array(spark, path, "json_array", glob="part-*", recursive=True)
+    return jobs.where("payload <> '\"end\"'").select(
+        F.regexp_extract(F.url_decode("file"), "c_mktsegment=([^/]*)", 1).alias("segment"), "id",
+        F.replace("payload", F.lit('"id":"old",'), F.lit("")).alias("payload"))
 
 
 @query("file_roundtrip_csv", sql="""
-SELECT CAST(c_custkey AS VARCHAR) AS custkey, c_name AS name, c_mktsegment AS segment,
-       '{"custkey":"' || CAST(c_custkey AS VARCHAR) || '","name":"' || c_name || '","segment":"' || c_mktsegment || '"}' AS payload
+SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, CAST(c_custkey AS VARCHAR) AS custkey,
+       CASE WHEN c_nationkey % 2 = 0
+            THEN '{"custkey":"' || CAST(c_custkey AS VARCHAR) || '","name":"' || c_name || '","note":""}'
+            ELSE '{"custkey":"' || CAST(c_custkey AS VARCHAR) || '","segment":"' || c_mktsegment || ', \\"x\\"\\nend"}' END AS payload
 FROM customer WHERE c_acctbal >= 0
 """)
 def file_roundtrip_csv(spark, sf_dir):
+    """Two kinds of files in one folder tree, read in one scan: empty fields, a header with a repeated name (the last
+    holds), quotes, commas and line ends in fields; rows with a negative balance have a field too many."""
     path = _scratch(spark, "csv")
     c = table(spark, sf_dir, "customer")
-    # rows with a negative balance carry an extra field: wrong width, rejected by the reader
-    line = F.when(F.col("c_acctbal") < 0, F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name",
-                                                       "c_mktsegment", F.lit("extra")))\
-        .otherwise(F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment"))
-    files = max(3, c.rdd.getNumPartitions())  # one CSV file per input partition
-    data = c.select(F.pmod(F.xxhash64("c_custkey"), F.lit(files)).alias("_p"), F.lit(1).alias("_o"),
-                    line.alias("value"))
-    headers = spark.range(files).select(F.col("id").alias("_p"), F.lit(0).alias("_o"),
-                                        F.lit("custkey,name,segment").alias("value"))
-    # one file per _p directory, header line first
-    (data.unionByName(headers).repartition("_p").sortWithinPartitions("_p", "_o")
-     .select("_p", "value").write.partitionBy("_p").text(path))
-    jobs = None
-    for d in _subdirs(spark, path):
-        _rename_ext(spark, d, "csv")
-        j, _ = read_csv(spark, d, "csv", schema="custkey string, name string, segment string")
-        jobs = j if jobs is None else jobs.unionByName(j)
-    return jobs.select(F.get_json_object("payload", "$.custkey").alias("custkey"),
-                       F.get_json_object("payload", "$.name").alias("name"),
-                       F.get_json_object("payload", "$.segment").alias("segment"), "payload")
+    even = F.col("c_nationkey") % 2 == 0
+    key = F.col("c_custkey").cast("string")
+    line = F.when(even, F.concat_ws(",", key, "c_name", F.lit(""))).otherwise(
+        F.concat(F.lit("no,"), key, F.lit(',"'), "c_mktsegment", F.lit(', ""x""\nend"')))
+    line = F.when(F.col("c_acctbal") < 0, F.concat(line, F.lit(",extra"))).otherwise(line)
+    kind = F.when(even, "even").otherwise("odd")
+    # a folder for each nation, the header line first
+    data = c.select(kind.alias("kind"), "c_nationkey", F.lit(1).alias("_o"), line.alias("value"))
+    heads = c.select(kind.alias("kind"), "c_nationkey").distinct().select(
+        "kind", "c_nationkey", F.lit(0).alias("_o"),
+        F.when(F.col("kind") == "even", "custkey,name,note").otherwise("custkey,custkey,segment").alias("value"))
+    (data.unionByName(heads).repartition("kind", "c_nationkey").sortWithinPartitions("kind", "c_nationkey", "_o")
+     .select("kind", "c_nationkey", "value").write.partitionBy("kind", "c_nationkey").text(path))
+    jobs, _ = read_csv(spark, path, "csv", glob="part-*", recursive=True)
+    return jobs.select(F.regexp_extract("file", "kind=([a-z]*)", 1).alias("kind"),
+                       F.get_json_object("payload", "$.custkey").alias("custkey"), "payload")
 
 
 @query("file_roundtrip_dir", sql="""
 SELECT payload, 'dir' AS source FROM (""" + EVENT_LINES_SQL + """) x
 UNION ALL
-SELECT '{"n_name":"' || n_name || '","n_nationkey":' || CAST(n_nationkey AS VARCHAR) || '}', 'dir' FROM nation
+SELECT '{"n_nationkey":' || CAST(n_nationkey AS VARCHAR) || ',"n_name":"' || n_name || '"}', 'dir' FROM nation
 """)
 def file_roundtrip_dir(spark, sf_dir):
     path = _scratch(spark, "dir")

@@ -30,6 +30,11 @@ OUTPUT_SCHEMA = ("key string, group_start timestamp, status string, member_ids s
 STATE_SCHEMA = "mask long, t0 timestamp, members string"
 
 
+def _set_timeout(state: GroupState, deadline: pd.Timestamp) -> None:
+    """Wake up at ``deadline``, or as soon as Spark allows if the watermark has passed it already."""
+    state.setTimeoutTimestamp(max(int(deadline.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+
+
 def _fold(sources: list[str], timeout_s: float):
     full = (1 << len(sources)) - 1
     bit = {s: 1 << i for i, s in enumerate(sources)}
@@ -73,7 +78,7 @@ def _fold(sources: list[str], timeout_s: float):
                 mask, t0, members = 0, None, []
         if mask:
             state.update((mask, t0.to_pydatetime(), json.dumps(members)))
-            state.setTimeoutTimestamp(int((t0 + limit).timestamp() * 1000))
+            _set_timeout(state, t0 + limit)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["key", "group_start", "status", "member_ids", "member_sources", "members"])
@@ -121,7 +126,7 @@ def _theta_fold(sources: list[str], timeout_s: float, match):
                     live.append(g)
             if live:
                 state.update((json.dumps(live),))
-                state.setTimeoutTimestamp(int((min(pd.Timestamp(g["t0"]) for g in live) + limit).timestamp() * 1000))
+                _set_timeout(state, min(pd.Timestamp(g["t0"]) for g in live) + limit)
             else:
                 state.remove()
             yield pd.DataFrame(out, columns=["key", "group_start", "status", "member_ids", "member_sources",
@@ -165,7 +170,7 @@ def _theta_fold(sources: list[str], timeout_s: float, match):
         if groups:
             state.update((json.dumps(groups),))
             first = min(pd.Timestamp(g["t0"]) for g in groups)
-            state.setTimeoutTimestamp(int((first + limit).timestamp() * 1000))
+            _set_timeout(state, first + limit)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["key", "group_start", "status", "member_ids", "member_sources", "members"])

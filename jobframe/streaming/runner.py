@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobframe.operators.cancel import mark_cancellations
-from jobframe.operators.dispatch import deliveries
+from jobframe.operators.dispatch import deliveries, run_duration
+from jobframe.operators.state import run_events
 from jobframe.plans.pipeline import run_pipeline
 from jobframe.spec import DEFAULT_CANCEL_TTL_SECS, PipelineSpec
 
@@ -26,11 +27,13 @@ def pipeline_batch(jobs: DataFrame, spec: PipelineSpec, out: str, epoch_id: int,
     duration of the micro-batch so each is computed once."""
     held = []
     cancelled = None
+    every = jobs
     if signals is not None:
         marked = mark_cancellations(jobs.withColumn("start_ts", F.col(start_col)), signals, ttl_secs).persist()
         held.append(marked)
         jobs = marked.where(~F.col("cancelled")).drop("cancelled", "start_ts")
         cancelled = marked.where(F.col("cancelled"))
+        every = marked
     try:
         res = run_pipeline(jobs, spec).persist()
         held.append(res)
@@ -38,22 +41,14 @@ def pipeline_batch(jobs: DataFrame, spec: PipelineSpec, out: str, epoch_id: int,
         d.select("sink_id", "pipeline_id", "job_id", "scope", "step_id", "status",
                  F.array_join("steps", ",").alias("steps")).write.mode("overwrite").partitionBy("sink_id").parquet(
             f"{out}/deliveries/epoch={epoch_id}")
-        # state log (ST1/ST2): queued then the outcome, per (job, pipeline)
-        ts = F.col(start_col) if start_col in res.columns else F.current_timestamp()
-        ev = [res.select(F.col("id").alias("job_id"), "pipeline_id", F.lit("queued").alias("state"),
-                         ts.alias("updated_at"), F.lit(0).cast("bigint").alias("seq")),
-              res.select(F.col("id").alias("job_id"), "pipeline_id", F.col("status").alias("state"),
-                         ts.alias("updated_at"), F.lit(1).cast("bigint").alias("seq"))]
         if cancelled is not None:
-            cts = F.col(start_col) if start_col in cancelled.columns else F.current_timestamp()
-            for st, seq in (("queued", 0), ("cancelled", 1)):
-                ev.append(cancelled.select(F.col("id").alias("job_id"), F.lit(spec.id).alias("pipeline_id"),
-                                           F.lit(st).alias("state"), cts.alias("updated_at"),
-                                           F.lit(seq).cast("bigint").alias("seq")))
             cancelled.select("id").write.mode("overwrite").parquet(f"{out}/cancelled/epoch={epoch_id}")
-        events = ev[0]
-        for e in ev[1:]:
-            events = events.unionByName(e)
+        # state log (ST1, ST2, W7): the same events as a batch writes
+        at = start_col if start_col in every.columns else "_now"
+        now = F.current_timestamp()
+        stamp = (lambda df: df) if at == start_col else (lambda df: df.withColumn("_now", now))
+        events = run_events(stamp(every), spec.id, at, None if cancelled is None else stamp(cancelled), stamp(res),
+                            run_duration(spec, "steps"))
         events.write.mode("overwrite").parquet(f"{out}/state/epoch={epoch_id}")
     finally:
         for h in held:

@@ -162,3 +162,24 @@ def test_tail_restarts_a_shrunk_file(spark, tmp_path):
         assert sorted(r.id for r in spark.table("shrink_out").collect()) == ["new", "one", "two"]
     finally:
         q.stop()
+
+
+def test_stream_merge_survives_a_late_row(spark, tmp_path):
+    """A group opened behind the watermark (its deadline is past) expires instead of ending the stream."""
+    import datetime as dt
+
+    from jobframe.streaming.merge import merge_rounds_stream
+
+    schema = "id string, source string, payload string, correlation_key string, arrival_ts timestamp, arrival_seq long"
+    src = str(tmp_path / "in")
+    for n, (h, m, s) in enumerate([(10, 0, 0), (12, 0, 0), (10, 0, 30), (12, 5, 0)]):
+        row = (f"j{n}", "a", "{}", "k", dt.datetime(2024, 1, 1, h, m, s), n)
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        q = (merge_rounds_stream(stream, ["a", "b"], 60, watermark="1 minute").writeStream.format("parquet")
+             .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert q.exception() is None
+    out = {r["member_ids"]: r["status"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(out.values()) == {"expired"} and {"j0", "j1"} <= set(out)
