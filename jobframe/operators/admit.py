@@ -117,7 +117,7 @@ def request_verdict(requests: DataFrame, sources: list[HttpSource],
             hdr_name = (s.hmac_header or DEFAULT_SIGNATURE_HEADER).lower()
             raw = h[hdr_name]
             v = strip_ws(raw)
-            expected = F.when(v.startswith("sha256="), v.substr(8, 1 << 30)).otherwise(v)
+            expected = F.when(v.startswith("sha256="), F.substr(v, F.lit(8))).otherwise(v)
             sig = (F.when(raw.isNull(), F.lit(M.MISSING_SIGNATURE.format(header=hdr_name)))
                    .when(expected != hmac_sha256_hex(body, s.hmac_secret), F.lit(M.SIGNATURE_MISMATCH)))
             sig_fail = F.when(on, sig).otherwise(sig_fail)

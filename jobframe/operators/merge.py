@@ -250,14 +250,15 @@ def assign_rounds(jobs: DataFrame, sources: list[str], key: str = "correlation_k
 
 
 def rounds_groups(labelled: DataFrame, sources: list[str], key: str = "correlation_key",
-                  order: tuple[str, ...] = ("arrival_ts", "arrival_seq")) -> DataFrame:
+                  order: tuple[str, ...] = ("arrival_ts", "arrival_seq"), complete: bool = True) -> DataFrame:
     """Complete groups from ``assign_rounds`` output: each has exactly one kept
-    job per source (at most N rows per group, so the group-by is bounded)."""
+    job per source (at most N rows per group, so the group-by is bounded). With
+    ``complete`` false the groups that lack a source (expired, or open at the end)."""
     member = F.struct(*[F.col(c) for c in order], F.col("source"), F.col("id"), F.col("payload"),
                       F.col("labels"))
     g = (labelled.where("kept").groupBy(F.col(key).alias("key"), "round")
          .agg(sort_members(F.collect_list(member), order).alias("members")))
-    return g.where(F.size("members") == len(sources))
+    return g.where((F.size("members") == len(sources)) == complete)
 
 
 # ── J7 / J8 ──────────────────────────────────────────────────────────────────
@@ -632,9 +633,10 @@ def merge_for_pipeline(jobs: DataFrame, spec, order: tuple[str, ...] = ("arrival
     * one source or no merge section: unchanged (J9);
     * ``any``: forwarded at once, correlation key from the payload (J2);
     * ``all`` with ``correlation_key``: exact rounds with the group time limit
-      (J3, J6) and merged envelopes (J7, J8); jobs without a key are rejected.
-    ``all`` by expression (J5) needs arrival-time state and runs as a stream
-    (``jobframe.streaming.merge.merge_theta_stream``).
+      (J3, J6) and merged envelopes (J7, J8); jobs without a key are rejected;
+    * ``all`` with ``correlation_expr`` (J5): see ``jobframe.operators.theta``.
+
+    Jobs of groups that never got all sources go to the rejects.
     """
     empty_rejects = jobs.sparkSession.createDataFrame([], "id string, source string, reason string")
     m = spec.merge
@@ -645,17 +647,33 @@ def merge_for_pipeline(jobs: DataFrame, spec, order: tuple[str, ...] = ("arrival
     if m.strategy != "all":
         raise ValueError(f"unknown merge strategy {m.strategy!r}")
     if not m.correlation_key:
-        raise ValueError("merge 'all' by expression runs on streams: use streaming.merge.merge_theta_stream")
+        if not m.correlation_expr:
+            raise ValueError("merge 'all' needs a correlation key or expression")
+        from jobframe.operators.theta import theta_groups
+
+        groups, rest = theta_groups(jobs, list(spec.sources), m.correlation_expr, m.timeout_secs,
+                                    payload_schema=spec.payload_schema, order=order)
+        rejects = rest.select("id", "source", F.lit(INCOMPLETE).alias("reason"))
+        return _merged_rows(groups, spec, None, order), rejects
     keyed = jobs.withColumn("_ck", correlation_value(F.col("payload"), m.correlation_key))
     rejects = keyed.where(F.col("_ck").isNull()).select(
         "id", "source", F.lit(f"missing correlation key '{m.correlation_key}'").alias("reason"))
     labelled = assign_rounds_timeout(keyed.where(F.col("_ck").isNotNull()), list(spec.sources),
                                      m.timeout_secs, key="_ck", order=order, num_partitions=num_partitions)
     groups = rounds_groups(labelled, list(spec.sources), key="_ck", order=order)
-    merged = merged_jobs(groups, spec.id, m.correlation_key)
-    out = merged.select(
+    rest = rounds_groups(labelled, list(spec.sources), key="_ck", order=order, complete=False)
+    rejects = rejects.unionByName(rest.select(F.explode("members").alias("m")).select(
+        "m.id", "m.source", F.lit(INCOMPLETE).alias("reason")))
+    return _merged_rows(groups, spec, m.correlation_key, order), rejects
+
+
+INCOMPLETE = "merge group never got all sources"
+
+
+def _merged_rows(groups: DataFrame, spec, key: str | None, order: tuple[str, ...]) -> DataFrame:
+    merged = merged_jobs(groups, spec.id, key)
+    return merged.select(
         F.col("merged_id").alias("id"), F.col("merged_source").alias("source"),
         F.col("merged_payload").alias("payload"), F.col("merged_correlation_key").alias("correlation_key"),
         F.col("merged_labels").alias("labels"),
         F.element_at(F.col("members"), -1)[order[0]].alias(order[0]))
-    return out, rejects

@@ -10,11 +10,13 @@ from jobframe.operators.merge import (
     assign_rounds,
     first_complete_groups,
     merge_any,
+    merge_for_pipeline,
     merged_jobs,
     rounds_groups,
 )
+from jobframe.operators.theta import theta_groups
 from jobframe.plans.catalog import query, table
-from jobframe.spec import MapStep, PipelineSpec
+from jobframe.spec import MapStep, MergeSpec, PipelineSpec
 
 # ── J1 / P3 ──────────────────────────────────────────────────────────────────
 
@@ -167,6 +169,17 @@ def merge_any_numbers(spark, sf_dir):
     return merge_any(li, "q").select("id", "correlation_key")
 
 
+@query("merge_passthrough", sql="""
+SELECT event_id, event_type AS source, CAST(user_id AS VARCHAR) AS correlation_key FROM events WHERE event_type = 'click'
+""")
+def merge_passthrough(spark, sf_dir):
+    """A pipeline of one source forwards its jobs, whatever its merge section says."""
+    spec = PipelineSpec(id="p_one", steps=_NOOP, sources=("click",), merge=MergeSpec("all", correlation_key="k"))
+    routed = fan_out(event_source_jobs(spark, sf_dir), route_table(spark, [spec]))
+    out, _ = merge_for_pipeline(routed, spec)
+    return out.select("event_id", "source", "correlation_key")
+
+
 # ── J3 / J7 / J8 ─────────────────────────────────────────────────────────────
 
 FIRST_SOURCES = ["click", "purchase", "signup"]
@@ -327,18 +340,13 @@ def cancel_consumed(spark, sf_dir):
     return live_signals(sig, done)
 
 
-# ── J5: correlation by expression (stream operator over time-ordered files) ──
+# ── J5: correlation by expression ──
 
 THETA_SOURCES = ["click", "purchase"]
 THETA_TIMEOUT = 6 * 3600
 _TL = THETA_TIMEOUT * 1_000_000
 
 
-def _theta_match(a, b):
-    """Residual of the correlation expression: the buffered job's value is at least the arriving one's."""
-    return a["value"] >= b["value"]
-
-
 _LIVE = f"list_filter(w.groups, lambda g: e.t - g.t0 <= {_TL})"
 _IDX = f"list_position(list_transform({_LIVE}, lambda g: g.v >= e.value), true)"
 
@@ -362,38 +370,23 @@ WITH RECURSIVE e AS (
 SELECT CAST(user_id AS VARCHAR) AS key, emitted AS member_ids FROM w WHERE emitted IS NOT NULL
 """)
 def merge_theta(spark, sf_dir):
-    """J5 in batch: the stateful stream operator over the jobs written as time-ordered
-    files (one micro-batch per file, so per-trigger work per key is bounded by a
-    file and no row arrives behind the watermark)."""
-    from jobframe.plans.queries_state import _scratch
-    from jobframe.streaming.merge import OUTPUT_SCHEMA, merge_theta_stream
-
-    jobs = event_source_jobs(spark, sf_dir).select(
-        "id", "source", "payload", "correlation_key", "arrival_ts", "arrival_seq")
-    base = _scratch(spark, "theta")
-    # one file per scan split of the source: micro-batches grow with the split size, not the data
-    files = max(2, spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").rdd.getNumPartitions())
-    (jobs.repartitionByRange(files, "arrival_ts", "arrival_seq").sortWithinPartitions("arrival_ts", "arrival_seq")
-     .write.parquet(base + "/in"))
-    _order_by_name(spark, base + "/in")
-    stream = spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
-    out = merge_theta_stream(stream, THETA_SOURCES, _theta_match, THETA_TIMEOUT, "correlation_key",
-                             watermark="0 seconds")
-    q = (out.writeStream.format("parquet").option("path", base + "/out")
-         .option("checkpointLocation", base + "/ck").trigger(availableNow=True).start())
-    q.awaitTermination()
-    res = spark.read.schema(OUTPUT_SCHEMA).parquet(base + "/out")
-    return res.where(F.col("status") == "complete").select("key", "member_ids")
-
-
-def _order_by_name(spark, path: str) -> None:
-    """Modification times increasing with the part number, so the file stream
-    reads the time ranges in order."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    names = sorted(st.getPath().getName() for st in fs.listStatus(p) if st.getPath().getName().startswith("part-"))
-    base = 1_600_000_000_000
-    for i, name in enumerate(names):
-        fs.setTimes(jvm.org.apache.hadoop.fs.Path(path + "/" + name), base + i * 1000, -1)
+    jobs = event_source_jobs(spark, sf_dir)
+    groups, _ = theta_groups(jobs, THETA_SOURCES, "a.payload.value >= b.payload.value", THETA_TIMEOUT,
+                             block="correlation_key", payload_schema="value double")
+    return groups.select("key", F.array_join(F.transform("members", lambda m: m["id"]), ",").alias("member_ids"))
+
+
+@query("merge_theta_rejects", sql="""
+WITH a AS (
+  SELECT 'ev-' || CAST(event_id AS VARCHAR) AS id, event_type AS source FROM events WHERE event_type IN ('click', 'purchase'))
+SELECT id, source, CASE WHEN source = 'click' THEN 'merge group never got all sources' END AS reason FROM a WHERE source = 'click'
+""")
+def merge_theta_rejects(spark, sf_dir):
+    """An expression that is false for every pair: each click opens a group that never gets its purchase (purchases
+    open their own); those jobs come back as rejects."""
+    jobs = event_source_jobs(spark, sf_dir).where(F.col("source").isin(*THETA_SOURCES))
+    spec = PipelineSpec(id="p_theta", steps=_NOOP, sources=tuple(THETA_SOURCES), payload_schema="user_id bigint, value double",
+                        merge=MergeSpec("all", correlation_expr="a.payload.user_id = b.payload.user_id AND a.payload.value < -1",
+                                        timeout_secs=60))
+    merged, rejects = merge_for_pipeline(jobs, spec)
+    return rejects.unionByName(merged.select("id", "source", F.lit("merged").alias("reason"))).where("source = 'click'")

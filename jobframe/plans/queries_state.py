@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from jobframe.operators.cancel import cancellations, removed_ids
 from jobframe.operators.state import latest_state, recover_incomplete, route_recovered
 from jobframe.plans.catalog import query, table
 from jobframe.session import checkpoint_dir
-from jobframe.sources.files import read_csv, read_directory, read_json_array, read_jsonl
+from jobframe.sources.files import read_csv, read_directory, read_json_array, read_jsonl, snapshot
 from jobframe.sources.tables import claim_pending
 from jobframe.sources.ticks import Schedule, ticks
 
@@ -265,6 +266,22 @@ def file_roundtrip_dir(spark, sf_dir):
     return jobs.select(F.regexp_replace("payload", r"^\s+|\s+$", "").alias("payload"), "source")
 
 
+@query("snapshot_diff", sql="""
+SELECT 'o-' || CAST(o_orderkey AS VARCHAR) AS id, '__cancel__o-' || CAST(o_orderkey AS VARCHAR) AS cancel_id
+FROM orders WHERE o_orderstatus = 'F'
+""")
+def snapshot_diff(spark, sf_dir):
+    """Two full reads of a folder, before and after its finished orders were taken out."""
+    o = table(spark, sf_dir, "orders")
+    line = F.concat(F.lit('{"id":"o-'), F.col("o_orderkey").cast("string"), F.lit('"}'))
+    before, after = _scratch(spark, "before"), _scratch(spark, "after")
+    for path, rows in ((before, o), (after, o.where("o_orderstatus <> 'F'"))):
+        rows.select(line.alias("value")).write.text(path + "/tmp")
+        _collect_into(spark, path, {"tmp": "jsonl"})
+    gone = removed_ids(snapshot(spark, before, "orders"), snapshot(spark, after, "orders"), keys=("id",))
+    return cancellations(gone).select(F.col("target_job_id").alias("id"), "cancel_id")
+
+
 def _collect_into(spark, path, subdirs: dict[str, str]) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -313,6 +313,69 @@ def route_errors(spark, sf_dir):
                       F.get_json_object(p, "$.line").cast("int").alias("l_linenumber"), "sink_id", "scope")
 
 
+# ── E1, E4–E7, P7, D-2 ───────────────────────────────────────────────────────
+
+EXPR_SPEC = PipelineSpec(
+    id="expressions",
+    payload_schema="name string, segment string, balance double, nation int, since string",
+    sinks=("rest",),
+    steps=(  # no depends_on: each step follows the one declared before it
+        MapStep(id="e", set=(
+            ("job.payload.cmp", "job.payload.balance >= 0 AND NOT (job.payload.nation IN (1, 2) OR job.payload.nation > 20)"),
+            ("job.payload.text", "concat(upper(substring(job.payload.name, 1, 4)), '-', trim(replace(job.payload.name, 'Customer', ' '))"
+                                 ", '-', CAST(length(job.payload.segment) AS STRING))"),
+            ("job.payload.has", "contains(job.payload.segment, 'IN') OR startswith(job.payload.segment, 'H')"
+                                " OR job.payload.segment RLIKE '^A.*E$'"),
+            ("job.payload.list", "array_join(transform(filter(sequence(1, 5), x -> x <> job.payload.nation % 5), x -> x * 2), '+')"),
+            ("job.payload.many", "size(split(job.payload.segment, 'I')) + CAST(exists(array(1, 2, 3), x -> x = job.payload.nation) AS INT)"),
+            ("job.payload.conv", "CAST(CAST(job.payload.balance AS BIGINT) AS STRING)"),
+            ("job.payload.day", "date_format(CAST(job.payload.since AS TIMESTAMP) + INTERVAL 36 HOURS, 'yyyy-MM-dd HH')"),
+            ("job.payload.segment", "lower(job.payload.segment)"))),
+        TransformStep(id="t", expr="concat(pipeline.id, ':', job.source, ':', job.payload.segment, ':', "
+                                   "CAST(steps.e.exit_code AS STRING))",
+                      routing=(Route("job.payload.segment = 'BUILDING' AND steps.t.exit_code = 0", ("upper",)),)),
+    ),
+)
+
+
+def _customer_jobs(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    st = F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"),
+                  F.col("c_nationkey").alias("nation"), F.lit("2024-02-28 23:30:00").alias("since"))
+    return envelope(c, "customers", F.to_json(st), F.col("c_custkey"), id_field=None, keep=["c_custkey"])
+
+
+@query("expressions", sql="""
+SELECT c_custkey, c_acctbal >= 0 AND NOT (c_nationkey IN (1, 2) OR c_nationkey > 20) AS cmp,
+  upper(substr(c_name, 1, 4)) || '-' || trim(replace(c_name, 'Customer', ' ')) || '-' || length(c_mktsegment) AS text,
+  contains(c_mktsegment, 'IN') OR starts_with(c_mktsegment, 'H') OR regexp_matches(c_mktsegment, '^A.*E$') AS has,
+  array_to_string(list_transform(list_filter([1, 2, 3, 4, 5], lambda x: x <> c_nationkey % 5), lambda x: x * 2), '+') AS list,
+  CAST(len(string_split(c_mktsegment, 'I')) + CASE WHEN c_nationkey IN (1, 2, 3) THEN 1 ELSE 0 END AS INTEGER) AS many,
+  CAST(CAST(trunc(c_acctbal) AS BIGINT) AS VARCHAR) AS conv, '2024-03-01 11' AS day,
+  'expressions:customers:' || lower(c_mktsegment) || ':0' AS said
+FROM customer
+""")
+def expressions(spark, sf_dir):
+    """Comparison and logic, strings, collections, conversions and time; the roots job, steps and pipeline."""
+    res = run_pipeline(_customer_jobs(spark, sf_dir), EXPR_SPEC)
+    get = lambda k: F.get_json_object("work_payload", f"$.{k}")
+    return res.select("c_custkey", get("cmp").cast("boolean").alias("cmp"), get("text").alias("text"),
+                      get("has").cast("boolean").alias("has"), get("list").alias("list"), get("many").cast("int").alias("many"),
+                      get("conv").alias("conv"), get("day").alias("day"), F.col("steps.t.stdout").alias("said"))
+
+
+@query("route_original", sql="""
+SELECT c_name AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'upper' ELSE 'rest' END AS sink_id,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 't' ELSE 'e,t' END AS steps
+FROM customer
+UNION ALL SELECT c_name, 'rest', 'e' FROM customer WHERE c_mktsegment = 'BUILDING'
+""")
+def route_original(spark, sf_dir):
+    """Rules and sinks see the job as it came, though a map step has changed the field the rule reads."""
+    d = deliveries(run_pipeline(_customer_jobs(spark, sf_dir), EXPR_SPEC), EXPR_SPEC)
+    return d.select(F.get_json_object("payload", "$.name").alias("name"), "sink_id", F.array_join("steps", ",").alias("steps"))
+
+
 # ── T3 / T4 ──────────────────────────────────────────────────────────────────
 
 OUT_SPEC = PipelineSpec(
