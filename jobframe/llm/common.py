@@ -14,7 +14,7 @@ BROADCAST_ROWS = 200_000
 
 
 #: Rows of an Arrow batch: a worker holds one batch of whole texts at a time.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

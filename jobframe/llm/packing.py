@@ -8,15 +8,12 @@ and equal lengths form a bucket from which batches of equal shape are drawn, so
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobframe.llm.common import binary_column
-
-#: Word entries that a Python worker keeps at most; a full cache starts anew, which never changes a result.
+#: Distinct words that a Python worker keeps at most; a full cache starts anew. It never changes a result.
 CACHE = 600_000
 
 
@@ -26,14 +23,16 @@ def piece_lengths(n: int, window: int) -> list[int]:
     return [window] * (n // window) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-_LETTERS_MARKS = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")  # no apostrophe: it may start a contraction
+#: A letter with marks after it: the tokenizer splits there. An apostrophe may start a contraction and stays.
+_LETTERS_MARKS = r"([a-z])([!-&(-/:-@\[-`{-~]+)"
 
 
 class WordEncoder:
-    """Ids of a text from the ids of its blank-separated words.
+    """Ids of texts from the ids of their blank-separated words.
 
     Right for tokenizers that lower-case, drop white space and split letters from marks before they merge; each
-    distinct word is encoded once. Ids come as little-endian unsigned 32-bit bytes."""
+    distinct word is encoded once. Words are split, lower-cased (A-Z) and numbered by Arrow, a word's ids lie in one
+    array for all words, and a batch's ids are one gather from it."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,69 +42,84 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.ends = np.array([x.endswith("</w>") for x in names])
-        self.known: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        import numpy as np
+
+        self.number: dict[str, int] = {"": 0}
+        self.ids, self.used = np.empty(1 << 16, dtype="<u4"), 0
+        self.start, self.length = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+
+    def _add(self, words: list[str], ids, lengths) -> None:
+        import numpy as np
 
-    def _one_by_one(self, words: list[bytes]) -> None:
+        n, m = len(self.number), len(words)
+        while n + m > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.number.update(zip(words, range(n, n + m), strict=True))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.length[n:n + m] = lengths
+        self.start[n:n + m] = self.used + np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        self.used += len(ids)
+
+    def _one_by_one(self, words: list[str]) -> None:
         import numpy as np
 
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, coded, strict=True):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self._add(words, np.array([i for ids in coded for i in ids], dtype="<u4"), np.array([len(c) for c in coded]))
 
-    def _letters(self, words: list[bytes]) -> None:
-        """Words of letters only: many at a time, told apart by the tokens that end a word."""
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters only are encoded many at a time and told apart by the tokens that end a word."""
         import numpy as np
 
-        parts = [words[at:at + 500] for at in range(0, len(words), 500)]
-        coded = self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False)
+        letters = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        parts = [letters[at:at + 500] for at in range(0, len(letters), 500)]
+        coded = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
         for part, e in zip(parts, coded, strict=True):
             ids = np.array(e.ids, dtype="<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) != len(part) or stops[-1] != 4 * len(ids):  # a letter that lower-cases to several tokens
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                self._add(part, ids, np.diff(stops, prepend=0))
+            else:  # a letter that lower-cases to several tokens
                 self._one_by_one(part)
-                continue
-            raw = ids.tobytes()
-            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
-
-    def learn(self, words: set[bytes]) -> None:
-        known, letters, rest, split = self.known, set(), [], []
-        for w in words:
-            if w.isalpha():  # ASCII letters: case does not matter
-                small = w.lower()
-                if small != w:
-                    split.append((w, small, b""))
-                if small not in known:
-                    letters.add(small)
-                continue
-            m = _LETTERS_MARKS.fullmatch(w)
-            if m and b"<|" not in w:
-                core, marks = m[1].lower(), m[2]
-                split.append((w, core, marks))
-                if core not in known:
-                    letters.add(core)
-                if marks not in known:
-                    rest.append(marks)
-            elif w.decode().isalpha():
-                letters.add(w)
-            else:
-                rest.append(w)
-        if letters:
-            self._letters(list(letters))
         if rest:
-            self._one_by_one(list(set(rest)))
-        for w, core, marks in split:
-            known[w] = known[core] + known[marks] if marks else known[core]
-
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [t.split() if t else [] for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = set().union(*split) - known.keys()
-        if new:
-            self.learn(new)
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            self._one_by_one(rest)
+
+    def __call__(self, texts) -> list[bytes]:
+        """Ids of each text of an Arrow string array, as little-endian unsigned 32-bit bytes; none for null."""
+        from itertools import repeat
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        own = pc.match_substring(texts, "<|")  # may hold a special token, which is matched before anything else
+        whole = {i: self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids
+                 for i in np.flatnonzero(own.to_numpy(zero_copy_only=False))}
+        plain = pc.replace_substring_regex(pc.ascii_lower(pc.if_else(own, "", texts)), _LETTERS_MARKS, r"\1 \2")
+        split = pc.ascii_split_whitespace(plain)
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.number) > CACHE:
+            self.forget()
+        numbers = np.fromiter(map(self.number.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            self._learn([distinct[i] for i in new])
+            numbers = np.fromiter(map(self.number.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        at = numbers[words.indices.to_numpy()]
+        lengths = self.length[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        pick = np.repeat(self.start[at] - ends[:-1], lengths) + np.arange(ends[-1])
+        ids = self.ids[pick]
+        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [np.array(whole[i], dtype="<u4").tobytes() if i in whole else ids[bounds[i]:bounds[i + 1]].tobytes()
+                for i in range(len(texts))]
 
 
 @lru_cache(maxsize=2)
@@ -143,7 +157,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 row, start, length, crc, total, ids = [], [], [], [], [], []
-                for d, raw in enumerate(encode(binary_column(b, "text"))):
+                for d, raw in enumerate(encode(b.column("text"))):
                     raw += end
                     n, s = len(raw) // 4, 0
                     for k in piece_lengths(n, window):

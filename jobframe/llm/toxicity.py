@@ -27,9 +27,9 @@ LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t",
 LOOK_COST, REPEAT_COST, MARK_COST = 2.5, 2.5, 3.0
 
 EDGE, OTHER, SIZE = 0, 27, 28
-CACHE = 150_000
+CACHE = 100_000
 #: Marks that a task counts before it passes the counts on.
-HELD_MARKS = 100_000
+HELD_MARKS = 50_000
 #: Word beginnings of these lengths are evidence beside whole words.
 STEMS = (4, 5, 6, 7)
 

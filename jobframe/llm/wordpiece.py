@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from jobframe.llm.common import binary_column
 
 MARK = "▁"
-CACHE = 300_000
+CACHE = 200_000
 
 
 class Automaton:
