@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from jobframe.functions.json import compact_json, scalar_as_string
 from jobframe.session import checkpoint_dir
 
-MAX_SOURCES = 12  # transition tables have 2^N entries
+MAX_SOURCES = 16  # transition tables have 2^N entries
 
 
 def correlation_value(payload: Column, key: str) -> Column:
@@ -109,38 +109,43 @@ def _compose_all(t: np.ndarray, k: np.ndarray):
     return t[0], k[0]
 
 
+#: Entries of a transition table held at a time (rows times states).
+TABLE_CELLS = 1 << 21
+
+
+def _segment_table(bits: np.ndarray, full: int, t: np.ndarray | None = None, k: np.ndarray | None = None):
+    """Transition table of a run of rows after the rows that (t, k) stands for; holds TABLE_CELLS entries at a time."""
+    if t is None:
+        t, k = np.arange(full + 1, dtype=np.int64), np.zeros(full + 1, dtype=np.int64)
+    step = max(1, TABLE_CELLS // (full + 1))
+    for at in range(0, len(bits), step):
+        t2, k2 = _compose_all(*_row_tables(bits[at:at + step], full))
+        k = k + k2[t]
+        t = t2[t]
+    return t, k
+
+
 def _summaries(n: int):
     full = (1 << n) - 1
 
-    def summarise(pid, key, bits):
-        if len(bits) == 0:
-            return (pid, key, list(range(full + 1)), [0] * (full + 1))
-        t, k = _row_tables(np.asarray(bits, dtype=np.int64), full)
-        st, ct = _compose_all(t, k)
-        return (pid, key, st.tolist(), ct.tolist())
-
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segs: list[list] = []  # [pid, key, [bit arrays]] of the first and the current segment
+        # tables of the first and of the open segment: no row is kept, whatever a key's length. A segment inside a
+        # batch is neither, and is passed over.
+        segs: list[list] = []  # [pid, key, t, k]
         for pdf in it:
             if pdf.empty:
                 continue
             keys = pdf["_key"].to_numpy()
-            pids = pdf["_pid"].to_numpy()
-            bvals = pdf["_bit"].to_numpy().astype(np.int64)
-            change = np.ones(len(pdf), dtype=bool)
-            change[1:] = keys[1:] != keys[:-1]
-            if segs:
-                change[0] = keys[0] != segs[-1][1]
-            starts = np.flatnonzero(change).tolist() + [len(pdf)]
-            if starts[0] != 0:  # continuation of the open segment
-                segs[-1][2].append(bvals[: starts[0]])
-            for a, b in zip(starts[:-1], starts[1:]):
-                if len(segs) >= 2:
-                    segs.pop()  # a middle segment never carries state across partitions
-                segs.append([int(pids[a]), keys[a], [bvals[a:b]]])
-        out = [summarise(p, k, np.concatenate(bl)) for p, k, bl in segs]
-        if out:
-            yield pd.DataFrame(out, columns=["_pid", "_key", "f", "c"])
+            pid = int(pdf["_pid"].iloc[0])
+            bits = pdf["_bit"].to_numpy().astype(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist() + [len(keys)]
+            for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+                if i == 0 and segs and segs[-1][1] == keys[a]:
+                    segs[-1][2:] = _segment_table(bits[a:b], full, *segs[-1][2:])
+                elif not segs or b == len(keys):
+                    segs = segs[:1] + [[pid, keys[a], *_segment_table(bits[a:b], full)]]
+        if segs:
+            yield pd.DataFrame([(p, k, f.tolist(), c.tolist()) for p, k, f, c in segs], columns=["_pid", "_key", "f", "c"])
 
     return run
 
@@ -164,9 +169,8 @@ def _replay(n: int):
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry_key, carry_state, carry_count = None, 0, 0
-        for pdf in it:
-            if pdf.empty:
-                continue
+        step = max(1, TABLE_CELLS // (full + 1))
+        for pdf in (p.iloc[at:at + step] for p in it for at in range(0, len(p), step)):
             m = len(pdf)
             keys = pdf["_key"].to_numpy()
             bits = pdf["_bit"].to_numpy().astype(np.int64)
@@ -353,18 +357,17 @@ def _fresh_tables(t: np.ndarray, bits: np.ndarray, n: int, limit: int):
     suffix_or = np.bitwise_or.accumulate(bits[::-1])[::-1]
     # next fresh start of a fresh start at i, vectorised; then one backward pass
     ns_arr = np.where((exp < m) & (exp <= comp), exp, np.where(comp < m, comp + 1, m + 1))
-    gm = [0] * (m + 1)
-    gt = [-1] * (m + 1)
-    gc = [0] * (m + 1)
-    ns_l, so_l, t_l = ns_arr.tolist(), suffix_or.tolist(), t.tolist()
-    for i in range(m - 1, -1, -1):
-        ns = ns_l[i]
-        if ns <= m:
-            gm[i], gt[i], gc[i] = gm[ns], gt[ns], 1 + gc[ns]
-        else:  # still open at the segment end
-            gc[i] = 1
-            gm[i], gt[i] = so_l[i], t_l[i]
-    return nxt, np.array(gm, dtype=np.int64), np.array(gt, dtype=np.int64), np.array(gc, dtype=np.int64), full
+    # the chain of fresh starts from each row, by pointer doubling: its length and its last start
+    jump, count, last = ns_arr, np.ones(m, dtype=np.int64), idx
+    while m and (jump < m).any():
+        on = jump < m
+        to = np.where(on, jump, 0)
+        count, last, jump = (np.where(on, count + count[to], count), np.where(on, last[to], last),
+                             np.where(on, jump[to], jump))
+    still = jump == m + 1  # open at the segment's end
+    gm, gt = np.where(still, suffix_or[last], 0), np.where(still, t[last], -1)
+    ext = lambda x, v: np.concatenate([x, [v]]).astype(np.int64)
+    return nxt, ext(gm, 0), ext(gt, -1), ext(count, 0), full
 
 
 def _summaries_t(n: int, limit: int):
@@ -388,37 +391,34 @@ def _summaries_t(n: int, limit: int):
             cont.append(int(max(nxt[s][0] for s in need)) if need and m else m)
         last = min(e_max, m)
         splits = {0, last} | {c + 1 for c in cont if c + 1 <= last}
-        starts, thr, om, ot, oc = [], [], [], [], []
-        prev = None
-        for i in range(0, last + 1):
-            out = (int(gm[i]), int(gt[i]), int(gc[i])) if i < m else (0, -1, 0)
-            if i in splits or out != prev:
-                starts.append(i)
-                thr.append(int(t[i - 1]) if i > 0 else -(1 << 62))
-                om.append(out[0])
-                ot.append(out[1])
-                oc.append(out[2])
-                prev = out
+        outs = np.stack([gm[:last + 1], gt[:last + 1], gc[:last + 1]], axis=1)
+        new = np.ones(last + 1, dtype=bool)
+        new[1:] = (outs[1:] != outs[:-1]).any(axis=1)
+        new[sorted(splits)] = True
+        at = np.flatnonzero(new)
+        starts, (om, ot, oc) = at.tolist(), outs[at].T.tolist()
+        thr = [int(t[i - 1]) if i > 0 else -(1 << 62) for i in starts]
         # outcome of a fresh start right after each completion row
         after = [(int(gm[c + 1]), int(gt[c + 1]), int(gc[c + 1])) if c + 1 < m else (0, -1, 0) for c in cont]
         return (pid, key, starts, thr, om, ot, oc, cont, [a[0] for a in after], [a[1] for a in after],
                 [a[2] for a in after], int(np.bitwise_or.reduce(bits)) if m else 0, m)
 
     def run(it):
-        segs = []  # (pid, key, t list, bits list) of the first and the current segment
+        segs: list[tuple] = []  # (pid, key, times, bits) of the first and of the open segment, as arrays
         for pdf in it:
             if pdf.empty:
                 continue
-            for pid, key, tt, b in zip(pdf["_pid"].tolist(), pdf["_key"].tolist(), pdf["_t"].tolist(),
-                                       pdf["_bit"].tolist()):
-                if segs and segs[-1][1] == key:
-                    segs[-1][2].append(tt)
-                    segs[-1][3].append(b)
-                else:
-                    if len(segs) >= 2:
-                        segs.pop()  # a middle segment never carries state across partitions
-                    segs.append((int(pid), key, [tt], [b]))
-        out = [summarise(p, k, np.array(tt, dtype=np.int64), np.array(b, dtype=np.int64)) for p, k, tt, b in segs]
+            keys = pdf["_key"].to_numpy()
+            pid = int(pdf["_pid"].iloc[0])
+            ts, bits = pdf["_t"].to_numpy().astype(np.int64), pdf["_bit"].to_numpy().astype(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist() + [len(keys)]
+            for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+                if i == 0 and segs and segs[-1][1] == keys[a]:
+                    segs[-1][2].append(ts[a:b])
+                    segs[-1][3].append(bits[a:b])
+                elif not segs or b == len(keys):
+                    segs = segs[:1] + [(pid, keys[a], [ts[a:b]], [bits[a:b]])]
+        out = [summarise(p, k, np.concatenate(tt), np.concatenate(b)) for p, k, tt, b in segs]
         if out:
             yield pd.DataFrame(out, columns=["_pid", "_key", "starts", "thr", "om", "ot", "oc", "cont",
                                              "am", "at", "ac", "orall", "m"])
@@ -445,7 +445,7 @@ def _compose_t(limit: int):
         pdf = pdf.sort_values("_pid")
         mask, t0, starts = 0, -1, 0
         rows = []
-        for _, row in pdf.iterrows():
+        for row in pdf.to_dict("records"):  # a row for each partition that the key spans
             rows.append((int(row["_pid"]), row["_key"], mask, t0, starts))
             mask, t0, starts = apply(row, mask, t0, starts)
         return pd.DataFrame(rows, columns=["_pid", "_key", "_entry_state", "_entry_t0", "_entry_count"])
@@ -453,131 +453,100 @@ def _compose_t(limit: int):
     return run
 
 
-def _replay_segment_loop(t, bits, full, limit, mask, t0, starts):
-    m = len(t)
-    rounds = [0] * m
-    kept = [False] * m
-    for i in range(m):
-        if mask and t[i] - t0 > limit:
-            mask = 0  # the open group expired: discarded
-        if not mask:
-            t0 = t[i]
-            starts += 1
-        rounds[i] = starts - 1
-        b = bits[i]
-        if mask & b:
-            continue
-        kept[i] = True
-        mask |= b
-        if mask == full:
-            mask = 0
-    return rounds, kept, mask, t0, starts
+def _first_later(t: np.ndarray, lo: np.ndarray, hi: np.ndarray, than: np.ndarray) -> np.ndarray:
+    """First index in [lo, hi) whose time is later than ``than``, else hi; t rises inside each range."""
+    lo, hi = lo.copy(), hi.copy()
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        later = (lo < hi) & (t[np.minimum(mid, len(t) - 1)] > than)
+        hi = np.where(later, mid, hi)
+        lo = np.where((lo < hi) & ~later, mid + 1, lo)
+    return lo
 
 
-def _replay_segment_vec(t: np.ndarray, bits: np.ndarray, n: int, limit: int, mask: int, t0: int, starts: int):
-    """Vectorised replay of one key segment from a known entry state.
+def _replay_batch(t: np.ndarray, bits: np.ndarray, seg_start: np.ndarray, n: int, limit: int, mask: np.ndarray,
+                  t0: np.ndarray, starts: np.ndarray):
+    """Replay of all key segments of a batch at once, each from its entry state.
 
-    Fresh starts form a chain i -> ns(i) (completion + 1 or expiry row); the
-    chain from the first fresh start is enumerated by doubling, then round
-    numbers are a cumulative count of starts and a row is kept when its source
-    has not occurred earlier in its group."""
-    m = len(t)
-    full = (1 << n) - 1
+    Fresh starts form a chain i -> ns(i) (completion + 1 or expiry row); the chains from the segments' first fresh
+    starts are enumerated by doubling, then round numbers are a cumulative count of starts and a row is kept when its
+    source has not occurred earlier in its group. Also returns the last segment's exit state."""
+    m, k = len(t), len(seg_start)
     idx = np.arange(m)
-    nxt = np.array([np.minimum.accumulate(np.where((bits & (1 << s)) != 0, idx, m)[::-1])[::-1]
-                    for s in range(n)])
+    seg_end = np.append(seg_start[1:], m)
+    seg = np.repeat(np.arange(k), seg_end - seg_start)
+    end = seg_end[seg]
+    nxt = []  # first index from here in the segment with each source, m if none
+    for s in range(n):
+        near = np.minimum.accumulate(np.where((bits & (1 << s)) != 0, idx, m)[::-1])[::-1]
+        nxt.append(np.where(near < end, near, m))
+    nxt = np.array(nxt)
     comp = nxt.max(axis=0)
-    exp = np.searchsorted(t, t + limit, side="right")
-    ns = np.where((exp < m) & (exp <= comp), exp, np.where(comp < m, comp + 1, m))
-    completed_last = False  # the entry group completes on the segment's last row
-    if mask == 0:
-        f1 = 0
-    else:
-        e = int(np.searchsorted(t, t0 + limit, side="right"))
-        need = [s for s in range(n) if not mask & (1 << s)]
-        c = int(max(nxt[s][0] for s in need)) if need else m
-        f1 = e if (e < m and e <= c) else (c + 1 if c < m else m)
-        completed_last = f1 == m and c == m - 1
+    exp = _first_later(t, idx, end, t + limit)
+    ns = np.where((exp < end) & (exp <= comp), exp, np.where(comp + 1 < end, comp + 1, m))
+    # the first fresh start of each segment
+    e = _first_later(t, seg_start, seg_end, t0 + limit)
+    need = np.array([(mask & (1 << s)) == 0 for s in range(n)])
+    c = np.where(need, nxt[:, seg_start], -1).max(axis=0)
+    first = np.where(mask == 0, seg_start, np.where((e < seg_end) & (e <= c), e, np.where(c + 1 < seg_end, c + 1, m)))
+    entry_done = (mask != 0) & (first == m) & (c == seg_end - 1)  # the entry group completes on the segment's last row
     is_start = np.zeros(m, dtype=bool)
-    if f1 < m:
-        jump = np.append(ns, m)
-        nodes = np.array([f1])
-        while True:  # nodes within depth < 2^k, then square the jump
-            step = jump[nodes]
-            step = step[step < m]
-            grown = np.union1d(nodes, step)
-            if len(step) == 0:
-                break
-            nodes = grown
-            jump = jump[jump]
-        is_start[nodes] = True
-    rounds = starts - 1 + np.cumsum(is_start)
+    nodes, jump = np.unique(first[first < m]), np.append(ns, m)
+    while len(nodes):  # nodes within depth < 2^k, then square the jump
+        step = jump[nodes]
+        step = step[step < m]
+        if not len(step):
+            break
+        nodes = np.union1d(nodes, step)
+        jump = jump[jump]
+    is_start[nodes] = True
+    before = np.concatenate([[0], np.cumsum(is_start)])
+    rounds = starts[seg] - 1 + before[1:] - before[seg_start][seg]
     last_start = np.maximum.accumulate(np.where(is_start, idx, -1))
+    in_group = last_start >= seg_start[seg]
     prev_same = np.full(m, -1)
     for s in range(n):
         on = (bits & (1 << s)) != 0
         last = np.maximum.accumulate(np.where(on, idx, -1))
-        prev = np.concatenate([[-1], last[:-1]])
-        prev_same = np.where(on, prev, prev_same)
-    in_group = last_start >= 0
-    kept = np.where(in_group, prev_same < last_start, ((bits & mask) == 0) & (prev_same < 0))
-    n_starts = int(is_start.sum())
-    if f1 >= m and completed_last:
-        end = (0, -1, starts)
-    elif f1 >= m:
-        end = (mask | int(np.bitwise_or.reduce(bits)) if m else mask, t0, starts)
+        prev_same = np.where(on, np.concatenate([[-1], last[:-1]]), prev_same)
+    kept = np.where(in_group, prev_same < last_start, ((bits & mask[seg]) == 0) & (prev_same < seg_start[seg]))
+    a = int(seg_start[-1])
+    begun = int(starts[-1] + is_start[a:].sum())
+    if entry_done[-1]:
+        out = (0, -1, begun)
+    elif first[-1] == m:
+        out = (int(mask[-1]) | int(np.bitwise_or.reduce(bits[a:])), int(t0[-1]), begun)
     else:
-        g = int(np.flatnonzero(is_start)[-1])
-        if comp[g] < m:  # the last group completed on the last row
-            end = (0, -1, starts + n_starts)
-        else:
-            end = (int(np.bitwise_or.reduce(bits[g:])), int(t[g]), starts + n_starts)
-    return rounds, kept, end[0], end[1], end[2]
+        g = int(last_start[-1])
+        open_ = comp[g] >= m
+        out = (int(np.bitwise_or.reduce(bits[g:])), int(t[g]), begun) if open_ else (0, -1, begun)
+    return rounds, kept, out
 
 
-VECTOR_MIN_ROWS = 64  # shorter key segments are replayed by a plain loop
+def _replay_segment_vec(t: np.ndarray, bits: np.ndarray, n: int, limit: int, mask: int, t0: int, starts: int):
+    """One segment's replay from a known entry state."""
+    one = lambda x: np.array([x], dtype=np.int64)
+    rounds, kept, out = _replay_batch(t, bits, one(0), n, limit, one(mask), one(t0), one(starts))
+    return rounds, kept, *out
 
 
 def _replay_t(n: int, limit: int):
-    full = (1 << n) - 1
-
     def run(it):
-        cur = None
-        mask, t0, starts = 0, -1, 0
+        cur, carry = None, (0, -1, 0)
         for pdf in it:
             if pdf.empty:
                 continue
             keys = pdf["_key"].to_numpy()
-            bits_a = pdf["_bit"].to_numpy().astype(np.int64)
-            ts_a = pdf["_t"].to_numpy().astype(np.int64)
-            has_entry = pdf["_entry_state"].notna().to_numpy()
-            es = pdf["_entry_state"].fillna(0).to_numpy().astype(np.int64)
-            et = pdf["_entry_t0"].fillna(-1).to_numpy().astype(np.int64)
-            ec = pdf["_entry_count"].fillna(0).to_numpy().astype(np.int64)
-            m = len(pdf)
-            change = np.ones(m, dtype=bool)
-            change[1:] = keys[1:] != keys[:-1]
-            change[0] = keys[0] != cur
-            bounds = np.flatnonzero(change).tolist()
-            if not bounds or bounds[0] != 0:
-                bounds = [0] + bounds
-            bounds.append(m)
-            rounds = np.empty(m, dtype=np.int64)
-            kept = np.empty(m, dtype=bool)
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                if keys[a] != cur:
-                    cur = keys[a]
-                    if has_entry[a]:
-                        mask, t0, starts = int(es[a]), int(et[a]), int(ec[a])
-                    else:
-                        mask, t0, starts = 0, -1, 0
-                if b - a >= VECTOR_MIN_ROWS:
-                    r, k, mask, t0, starts = _replay_segment_vec(ts_a[a:b], bits_a[a:b], n, limit, mask, t0, starts)
-                else:
-                    r, k, mask, t0, starts = _replay_segment_loop(ts_a[a:b].tolist(), bits_a[a:b].tolist(), full,
-                                                                  limit, mask, t0, starts)
-                rounds[a:b] = r
-                kept[a:b] = k
+            bits = pdf["_bit"].to_numpy().astype(np.int64)
+            ts = pdf["_t"].to_numpy().astype(np.int64)
+            seg_start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            state = [pdf[c].fillna(v).to_numpy().astype(np.int64)[seg_start] for c, v in
+                     (("_entry_state", 0), ("_entry_t0", -1), ("_entry_count", 0))]
+            if keys[0] == cur:  # the open segment goes on
+                for x, v in zip(state, carry):
+                    x[0] = v
+            rounds, kept, carry = _replay_batch(ts, bits, seg_start, n, limit, *state)
+            cur = keys[-1]
             yield pdf.drop(columns=["_entry_state", "_entry_t0", "_entry_count", "_t"]).assign(
                 round=rounds, kept=kept)
 

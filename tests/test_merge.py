@@ -154,11 +154,32 @@ def test_merge_for_pipeline_dispatch(spark):
     assert merge_for_pipeline(df, single)[0].count() == 5
 
 
+def _replay_segment_loop(t, bits, full, limit, mask, t0, starts):
+    m = len(t)
+    rounds = [0] * m
+    kept = [False] * m
+    for i in range(m):
+        if mask and t[i] - t0 > limit:
+            mask = 0  # the open group expired: discarded
+        if not mask:
+            t0 = t[i]
+            starts += 1
+        rounds[i] = starts - 1
+        b = bits[i]
+        if mask & b:
+            continue
+        kept[i] = True
+        mask |= b
+        if mask == full:
+            mask = 0
+    return rounds, kept, mask, t0, starts
+
+
 def test_vectorised_timeout_replay_equals_loop():
     """The numpy segment replay and the plain loop agree on random segments."""
     import numpy as np
 
-    from jobframe.operators.merge import _replay_segment_loop, _replay_segment_vec
+    from jobframe.operators.merge import _replay_batch, _replay_segment_vec
 
     rnd = random.Random(7)
     for _ in range(1500):
@@ -177,3 +198,22 @@ def test_vectorised_timeout_replay_equals_loop():
         assert (a[2], a[4]) == (int(b[2]), int(b[4]))
         if a[2]:
             assert a[3] == int(b[3])  # the open group's start time (unused when nothing is open)
+
+    # many segments at once, one of them open from the batch before
+    for _ in range(300):
+        n = rnd.choice([1, 2, 3])
+        full, limit = (1 << n) - 1, rnd.choice([1, 5, 20, 100])
+        parts = []
+        for _ in range(rnd.randint(1, 12)):
+            m = rnd.randint(1, 30)
+            t = np.cumsum([rnd.choice([0, 1, 2, 5, 30]) for _ in range(m)]).astype(np.int64) + 1000
+            mask = rnd.randrange(full) if rnd.random() < 0.4 else 0
+            parts.append((t, np.array([1 << rnd.randrange(n) for _ in range(m)], dtype=np.int64), mask,
+                          int(t[0]) - rnd.randint(0, 40) if mask else -1, rnd.randint(0, 5) + (1 if mask else 0)))
+        want = [_replay_segment_loop(t.tolist(), b.tolist(), full, limit, x, t0, c) for t, b, x, t0, c in parts]
+        seg_start = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
+        rounds, kept, out = _replay_batch(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]),
+                                          seg_start, n, limit, *(np.array(x, dtype=np.int64) for x in zip(*(p[2:] for p in parts))))
+        assert rounds.tolist() == [r for w in want for r in w[0]] and kept.tolist() == [k for w in want for k in w[1]]
+        mask, t0, starts = want[-1][2:]
+        assert (out[0], out[2]) == (mask, starts) and (not mask or out[1] == t0)
