@@ -47,6 +47,29 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+def free_name(columns, name: str) -> str:
+    """``name``, or a longer one that is not among ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system at a task's end: Python workers stay, and what one stage needed at its
+    peak would otherwise stay with them."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 #: Byte tables for ``bytes.translate``: A-Z lower-cased, bytes outside words turned into blanks.
 #: Letters, digits and every byte of a multi-byte character belong to words.
 _ALNUM = bytes(

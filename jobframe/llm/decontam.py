@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from jobframe.llm.common import alnum_words, binary_column
+from jobframe.llm.common import alnum_words, binary_column, free_name, give_back
 
 SAMPLE = 16
 
@@ -219,7 +219,9 @@ def _blocks(benchmark: DataFrame, block_chars: int):
         yield [(r[0], r[1].encode()) for r in part.toLocalIterator() if r[1]], k == n - 1
 
 
-FOUND = "_n_words bigint, _items array<string>, _spans array<struct<first:bigint,last:bigint>>"
+#: What a pass adds (the caller may rename them out of the way of the documents' own columns).
+FOUND = ("n_words", "items", "spans")
+FOUND_TYPES = ("bigint", "array<string>", "array<struct<first:bigint,last:bigint>>")
 
 
 def _merged(spans, earlier):
@@ -236,14 +238,14 @@ def _merged(spans, earlier):
     return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
-def _search(docs: DataFrame, items: list, window: int, shard_words: int, clean: bool) -> DataFrame:
+def _search(docs: DataFrame, items: list, window: int, shard_words: int, clean: bool, found_names) -> DataFrame:
     """One block's pass: adds (or merges into) the columns of FOUND; with ``clean`` cuts the spans instead."""
     held = docs.sparkSession.sparkContext.broadcast(phrase_table(items, window))  # bounded by block_chars
-    again = "_spans" in docs.columns
-    plain = [c for c in docs.columns if c not in ("_n_words", "_items", "_spans")]
-    schema = docs.select(*plain).schema
+    c_words, c_items, c_spans = found_names
+    again = c_spans in docs.columns
+    schema = docs.select(*[c for c in docs.columns if c not in found_names]).schema
     if not clean:
-        for f in _parse_datatype_string(FOUND):
+        for f in _parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in zip(found_names, FOUND_TYPES, strict=True))):
             schema = schema.add(f)
     names = schema.names
 
@@ -262,7 +264,7 @@ def _search(docs: DataFrame, items: list, window: int, shard_words: int, clean:
                     found[d].add(phrases[4][k])
             if again:
                 for d, (s, i) in enumerate(zip(*([x for b in kept for x in b.column(c).to_pylist()]
-                                                 for c in ("_spans", "_items")), strict=True)):
+                                                 for c in (c_spans, c_items)), strict=True)):
                     spans[d] = _merged(spans[d], s)
                     found[d] |= set(i)
             at = 0
@@ -278,9 +280,9 @@ def _search(docs: DataFrame, items: list, window: int, shard_words: int, clean:
                         n = pa.array([None if x is None else len(x) for x in new], pa.int64())
                         cols["n_chars"] = pc.if_else(hit, n.cast(cols["n_chars"].type), cols["n_chars"])
                 else:
-                    cols["_n_words"] = pa.array([len(words[d]) for d in part], pa.int64())
-                    cols["_items"] = pa.array([sorted(found[d]) for d in part], pa.list_(pa.string()))
-                    cols["_spans"] = pa.array(
+                    cols[c_words] = pa.array([len(words[d]) for d in part], pa.int64())
+                    cols[c_items] = pa.array([sorted(found[d]) for d in part], pa.list_(pa.string()))
+                    cols[c_spans] = pa.array(
                         [[{"first": s, "last": e - 1} for s, e in spans[d].tolist()] for d in part],
                         pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
@@ -299,11 +301,12 @@ def _search(docs: DataFrame, items: list, window: int, shard_words: int, clean:
                     kept, words, texts, count = [], [], [], 0
         if kept:
             yield from flush()
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 500_000,
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 250_000,
                   block_chars: int = 20_000_000) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit (words inside any occurrence of a ``window``-word phrase of an
     item; a shorter item is one phrase), items (sorted distinct ids, as strings, of the items found) and spans
@@ -314,15 +317,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard
     longer document is an index of its own); ``block_chars`` bounds the phrases held at a time."""
     df = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     for items, _ in _blocks(benchmark, block_chars):
-        df = _search(df, items, window, shard_words, False)
-    n_hit = F.aggregate("_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)
-    return df.select("doc_id", F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"),
-                     F.col("_items").alias("items"), F.col("_spans").alias("spans"))
+        df = _search(df, items, window, shard_words, False, FOUND)
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return df.select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 500_000,
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 250_000,
                   block_chars: int = 20_000_000) -> DataFrame:
     """``docs`` with the merged spans cut out of the texts (n_chars follows); same columns, same rows."""
+    names = tuple(free_name(docs.columns, n) for n in FOUND)
     for items, last in _blocks(benchmark, block_chars):
-        docs = _search(docs, items, window, shard_words, last)
+        docs = _search(docs, items, window, shard_words, last, names)
     return docs

@@ -45,32 +45,48 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""",
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
-def place_of(tag: str, attrs: str, inside: int) -> int:
-    """-1: surroundings, 1: main text, else what the outer container says."""
-    if tag in AWAY_TAGS or (tag == "header" and inside != 1):
+#: Names that take an article or main element out of the main text, as one of many or as a reader's comment.
+LESSER_NAMES = frozenset("ad ads advert comment comments promo promoted recommended related replies reply sponsored teaser "
+                         "widget".split())
+#: Away, but an article inside is main text: forms around whole pages, and names that only have such a part.
+SOFT = -0.6
+
+
+def names_of(attrs: str) -> tuple[set, set]:
+    """Whole class, id and role names, and their parts (at marks, digits and capitals)."""
+    whole, parts = set(), set()
+    for m in _NAMES.finditer(attrs):
+        for name in m[1].strip("\"'").split():
+            whole.add(name.lower())
+            parts |= {x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)}
+    return whole, parts
+
+
+def place_of(tag: str, attrs: str, inside: float) -> float:
+    """-1 (or SOFT): surroundings, 1: main text, else what the outer container says."""
+    if tag in ("html", "body"):
+        return inside
+    whole, parts = names_of(attrs) if attrs else (set(), set())
+    if tag in AWAY_TAGS or (tag == "header" and inside != 1) or (attrs and _HIDDEN.search(attrs)):
+        return min(inside, SOFT if tag == "form" else -1)
+    if tag in BODY_TAGS:
+        return -1 if inside == -1 and tag == "article" or (whole | parts) & LESSER_NAMES else 1
+    away = AWAY_NAMES - {"header"} if inside == 1 else AWAY_NAMES
+    if whole & away:
         return -1
-    if attrs:
-        if _HIDDEN.search(attrs):
-            return -1
-        names = set()
-        for m in _NAMES.finditer(attrs):
-            for whole in m[1].strip("\"'").lower().split():
-                names |= {whole, *re.split(r"[-_:]+", whole)}
-        if names & AWAY_NAMES:
-            return -1
-        if names & BODY_NAMES and not inside:
-            return 1
-    return 1 if tag in BODY_TAGS else inside
-
-
-def blocks(page: str) -> list[tuple[str, int, int, int]]:
+    if parts & away:
+        return min(inside, SOFT)
+    return 1 if (whole | parts) & BODY_NAMES and not inside else inside
+
+
+def blocks(page: str) -> list[tuple[str, int, int, float]]:
     """The page's non-empty text blocks in order: (text, words, words in links, place)."""
-    out: list[tuple[str, int, int, int]] = []
+    out: list[tuple[str, int, int, float]] = []
     words: list[str] = []  # pieces of the open block
     linked: list[str] = []
-    open_tags: list[tuple[str, int]] = []
+    open_tags: list[tuple[str, float]] = []
     anchor = False
-    place, at = 0, 0
+    place, at = 0.0, 0
 
     def close():
         if words:
@@ -115,7 +131,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
                             break
             elif not m["end"] and m["attrs"] and place_of(tag, m["attrs"], place) < 0:
                 open_tags.append((tag, place))
-                place = -1
+                place = place_of(tag, m["attrs"], place)
             elif m["end"] and open_tags and open_tags[-1][0] == tag:
                 place = open_tags.pop()[1]
     take(page[at:])

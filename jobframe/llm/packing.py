@@ -13,8 +13,10 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobframe.llm.common import give_back
+
 #: Distinct words that a Python worker keeps at most; a full cache starts anew. It never changes a result.
-CACHE = 600_000
+CACHE = 200_000
 
 
 def piece_lengths(n: int, window: int) -> list[int]:
@@ -177,6 +179,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
                     cols.append(pa.array(ids, pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        give_back()
 
     out = src.mapInArrow(run, schema)
     return out.withColumns({"bucket": F.log2("length").cast("int"), "sequence_id": F.monotonically_increasing_id(),

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobframe.llm.common import cut, maybe_broadcast
+from jobframe.llm.common import cut, give_back, maybe_broadcast
 from jobframe.llm.training import SAMPLE_ROWS, fit_logistic, labelled_sample
 
 _UPPER = bytes(range(0x41, 0x5B))
@@ -88,6 +88,7 @@ def evidence(model: QualityModel, text):
     def logit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([model.logit(t) for t in texts.cast(pa.binary()).to_pylist()], pa.float64())
+        give_back()
 
     return logit(text.cast("string"))
 

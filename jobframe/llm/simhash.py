@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobframe.llm.common import binary_column, blank_words, cut
+from jobframe.llm.common import binary_column, blank_words, cut, free_name, give_back
 from jobframe.llm.components import connected_components
 
 WIDTH = 4096 * 16
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in binary_column(b, "text")], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_hash"), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
+        give_back()
 
     kind = src.schema["doc_id"].dataType.simpleString()
     return src.mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint")
@@ -183,6 +184,7 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, blocks: int =
         F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("s"))
     # one key for both steps, so the texts are shuffled once
     key = lambda i, h: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), h.cast("string"))
-    best = best.select(key(F.col("s.doc_id"), F.col("s.text_hash")).alias("_own")).distinct()
-    d = docs.withColumn("_own", key(F.col("doc_id"), F.xxhash64("text")))
-    return d.join(best, "_own", "left_semi").dropDuplicates(["_own"]).drop("_own")
+    own = free_name(docs.columns, "_own")
+    best = best.select(key(F.col("s.doc_id"), F.col("s.text_hash")).alias(own)).distinct()
+    d = docs.withColumn(own, key(F.col("doc_id"), F.xxhash64("text")))
+    return d.join(best, own, "left_semi").dropDuplicates([own]).drop(own)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobframe.llm.common import cut
+from jobframe.llm.common import cut, give_back
 from jobframe.llm.training import SAMPLE_ROWS, fit_logistic, held_out, labelled_sample
 
 # Marks and digits that stand for letters.
@@ -27,9 +27,9 @@ LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t",
 LOOK_COST, REPEAT_COST, MARK_COST = 2.5, 2.5, 3.0
 
 EDGE, OTHER, SIZE = 0, 27, 28
-CACHE = 100_000
+CACHE = 60_000
 #: Marks that a task counts before it passes the counts on.
-HELD_MARKS = 50_000
+HELD_MARKS = 30_000
 #: Word beginnings of these lengths are evidence beside whole words.
 STEMS = (4, 5, 6, 7)
 
@@ -216,6 +216,7 @@ def learn_marks(sample: DataFrame, model: CharModel, least: float = 0.35, z: flo
                 if len(counts) > HELD_MARKS:
                     yield take()
         yield take()
+        give_back()
 
     found = (sample.mapInArrow(run, "mark string, clean bigint, toxic bigint").groupBy("mark")
              .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
@@ -295,6 +296,7 @@ def toxicity(model: ToxicityModel, text):
         restore = model.restorer()
         for texts in batches:
             yield pa.array([model.score(restore(t)) for t in texts.to_pylist()], pa.float64())
+        give_back()
 
     return score(held)
 

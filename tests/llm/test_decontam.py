@@ -41,11 +41,11 @@ def fixture():
     return docs + [t and t[:3000] for t in ODD] + ["aa " * 400], items
 
 
-@pytest.mark.parametrize("shard_words, block_chars", [(500_000, 20_000_000), (200, 20_000_000), (500_000, 150)])
+@pytest.mark.parametrize("shard_words, block_chars", [(250_000, 20_000_000), (200, 20_000_000), (250_000, 150)])
 def test_matches_brute_force(spark, shard_words, block_chars):
     docs, items = fixture()
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id bigint, text string, doc_id bigint")
-    df = documents(spark, docs, extra="item_id spans")
+    df = documents(spark, docs, extra="item_id spans items n_words")
     got = decontam.contamination(df, bench, 10, shard_words, block_chars).collect()
     assert len(got) == len(docs)
     for r in got:
@@ -70,6 +70,14 @@ def test_cutting_removes_the_spans_and_only_them(spark):
             assert rows[i]["n_chars"] == len(rows[i]["text"])
 
 
+def test_cutting_in_several_blocks(spark):
+    docs, items = fixture()
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    df = documents(spark, docs, extra="items spans n_words")
+    one, many = (sorted(map(tuple, decontam.decontaminate(df, bench, block_chars=n).collect()), key=str) for n in (10**6, 150))
+    assert one == many
+
+
 def test_empty_tables(spark):
     docs, items = fixture()
     bench = spark.createDataFrame(items, "item_id bigint, text string")

@@ -21,6 +21,10 @@ PAGES = [
     ('<article><h1>Unclosed</h1><p>a <script>never ends <p>b</p>', "Unclosed\na"),
     ('<article><p>quote <a href="x>y">link</a> 1 < 2 and 3 > 2</p></article>', "quote link 1 < 2 and 3 > 2"),
     ("<p hidden>" + LONG + "</p><article>é &#233;&#xe9; &nbsp; x</article>", "é éé x"),
+    ('<body class="home has-sidebar"><form id="aspnet"><div class="layout-sidebar"><article class="post"><div class="entry-header">'
+     '<h1>Head</h1></div><p>Body text.</p><div id="ad1">Buy.</div><div class="sideBar">Side.</div></article><div>Other words here.'
+     '</div></div></form><section id="comments"><article>Nice one.</article><article class="comment-body">Me too.</article></section>'
+     '<aside><article><p>' + LONG + '</p></article></aside>', "Head\nBody text."),
     ("", ""), (None, ""), ("   \n ", ""), ("<br><br>", ""),
 ]
 
