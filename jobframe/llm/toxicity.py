@@ -23,6 +23,10 @@ from jobframe.llm.training import SAMPLE_ROWS, fit_logistic, held_out, labelled_
 # Marks and digits that stand for letters.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a",
          "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "ø": "o", "¢": "c"}
+#: Letters of other scripts that look like Latin ones: in a word that also has Latin letters they may stand for those,
+#: or for themselves.
+ALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d",
+         "ɡ": "g", "ο": "o", "α": "a", "ε": "e", "ι": "i", "ν": "v", "υ": "u"}
 #: Costs (negative log probabilities) of the channel: a look-alike, a repeated letter, a mark put in between.
 LOOK_COST, REPEAT_COST, MARK_COST = 2.5, 2.5, 3.0
 
@@ -102,10 +106,13 @@ class CharModel:
         mark in between, or a letter that repeats the one before it. A word that is one plain path is itself. With
         ``apart`` the letters may be those of several words, and a blank may follow each."""
         steps = []
+        mixed = any("a" <= ch <= "z" for ch in word)
         for ch in word:
             if ch in LOOKS:
                 options = [(x, LOOK_COST) for x in LOOKS[ch]]
                 options.append(("", MARK_COST))
+            elif ch in ALIKE and mixed:
+                options = [(ch, 0.0), (ALIKE[ch], LOOK_COST)]
             elif ch.isalpha():
                 options = [(ch, 0.0)]
             else:
@@ -149,7 +156,7 @@ APART = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|+(€£¡¢])(?:[ \t._*~-]{1,3}(?:
 _BLANKS = re.compile(r"[ \t._*~-]+")
 _PLAIN_END = re.compile(r"(?:([^\w\s])\1+|[.,;:!?)\]}\"'*&%#|_~-])+$")
 _PLAIN_START = re.compile(r"^(?:([^\w\s])\1+|[(\[{\"'*&%#|_~-](?=\w))+")
-_REPEAT = re.compile(r"([^\W\d_])\1|[^\w]|\d|_")
+_REPEAT = re.compile(r"([^\W\d_])\1|[^\w]|\d|_|[" + "".join(ALIKE) + "]")
 
 
 def strip_marks(word: str) -> str:
