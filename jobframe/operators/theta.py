@@ -23,44 +23,54 @@ FOLDED = "key string, n long, grp long, complete boolean"
 
 
 def _fold(n_sources: int, limit: int):
-    """A piece's jobs in order -> the group of each kept job and whether it was completed."""
+    """Rows sorted by (key, piece, n) -> the group of each kept job and whether it was completed. Pieces follow each
+    other in one pass; only the open groups of one piece are held beside its kept numbers."""
 
-    def fold(key, rows):
+    def run(batches):
         import pandas as pd
 
-        rows = rows.sort_values("n")
-        live: list[dict] = []  # in creation order
-        kept: list[tuple] = []
-        done = set()
-        made = 0
-        for n, t, source, hits in zip(rows["n"], rows["t"], rows["bit"], rows["hits"]):
-            live = [g for g in live if t - g["t0"] <= limit]
-            found = {h["n"]: h["ok"] for h in hits} if hits is not None else {}
-            target = None
-            for g in live:
-                oks = [found[m] for m in g["members"] if m in found]
-                if oks:
-                    # members are asked in order of arrival: one that fails to evaluate drops the job
-                    target = "error" if oks[0] is None else g
-                    break
-            if target == "error":
-                continue
-            if target is None:
-                target = {"grp": made, "t0": t, "members": [], "sources": set()}
-                made += 1
-                live.append(target)
-            if source in target["sources"]:
-                continue
-            target["members"].append(n)
-            target["sources"].add(source)
-            kept.append((n, target["grp"]))
-            if len(target["sources"]) == n_sources:
-                done.add(target["grp"])
-                live.remove(target)
-        return pd.DataFrame([(key[0], n, key[1] * (1 << 32) + g, g in done) for n, g in kept],
-                            columns=["key", "n", "grp", "complete"])
-
-    return fold
+        piece, live, kept, done, made, out = None, [], [], set(), 0, []
+
+        def close():
+            if piece is not None:
+                out.extend((piece[0], n, piece[1] * (1 << 32) + g, g in done) for n, g in kept)
+
+        for rows in batches:
+            for key, part, n, t, source, hits in zip(*(rows[c].tolist() for c in ("key", "piece", "n", "t", "bit", "hits"))):
+                if piece != (key, part):
+                    close()
+                    piece, live, kept, done, made = (key, part), [], [], set(), 0
+                live = [g for g in live if t - g["t0"] <= limit]  # in creation order
+                found = {h["n"]: h["ok"] for h in hits} if hits is not None else {}
+                target = None
+                for g in live if found else ():
+                    oks = [found[m] for m in g["members"] if m in found]
+                    if oks:
+                        # members are asked in order of arrival: one that fails to evaluate drops the job
+                        target = "error" if oks[0] is None else g
+                        break
+                if target == "error":
+                    continue
+                if target is None:
+                    target = {"grp": made, "t0": t, "members": [], "sources": set()}
+                    made += 1
+                    live.append(target)
+                if source in target["sources"]:
+                    continue
+                target["members"].append(n)
+                target["sources"].add(source)
+                kept.append((n, target["grp"]))
+                if len(target["sources"]) == n_sources:
+                    done.add(target["grp"])
+                    live.remove(target)
+            if out:
+                yield pd.DataFrame(out, columns=["key", "n", "grp", "complete"])
+                out.clear()
+        close()
+        if out:
+            yield pd.DataFrame(out, columns=["key", "n", "grp", "complete"])
+
+    return run
 
 
 def theta_groups(jobs: DataFrame, sources: list[str], expr: str, timeout_secs: int, block: str | None = None,
@@ -98,7 +108,8 @@ def theta_groups(jobs: DataFrame, sources: list[str], expr: str, timeout_secs: i
     narrow = (seq.select("_key", "_piece", "_n", "_t", "_bit").join(hits, ["_key", "_n"], "left")
               .select(F.col("_key").alias("key"), F.col("_piece").alias("piece"), F.col("_n").alias("n"),
                       F.col("_t").alias("t"), F.col("_bit").alias("bit"), "hits"))
-    folded = narrow.groupBy("key", "piece").applyInPandas(_fold(len(sources), limit), FOLDED)
+    folded = (narrow.repartition("key", "piece").sortWithinPartitions("key", "piece", "n")
+              .mapInPandas(_fold(len(sources), limit), FOLDED))
     kept = seq.join(folded.withColumnsRenamed({"key": "_key", "n": "_n"}), ["_key", "_n"])
     member = F.struct(*[F.col(c) for c in order], "source", "id", "payload", "labels")
     groups = (kept.where("complete").groupBy(F.col("_key").alias("key"), F.col("grp").alias("round"))
