@@ -31,7 +31,7 @@ ALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х":
 LOOK_COST, REPEAT_COST, MARK_COST = 2.5, 2.5, 3.0
 
 EDGE, OTHER, SIZE = 0, 27, 28
-CACHE = 60_000
+CACHE = 150_000
 #: Marks that a task counts before it passes the counts on.
 HELD_MARKS = 30_000
 #: Word beginnings of these lengths are evidence beside whole words.
@@ -248,7 +248,10 @@ class ToxicityModel:
 
     def weight(self, word: str):
         """(weight, word) of a word with a mark, else None."""
-        found = [self.marks[m] for m in marks_of(word) if m in self.marks]
+        get, n = self.marks.get, len(word)
+        found = [w for k in STEMS if k <= n and (w := get(word[:k])) is not None]
+        if (w := get("=" + word)) is not None:
+            found.append(w)
         return (max(found), word) if found else None
 
     def restorer(self) -> Restorer:
