@@ -31,7 +31,7 @@ ALIKE = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х":
 LOOK_COST, REPEAT_COST, MARK_COST = 2.5, 2.5, 3.0
 
 EDGE, OTHER, SIZE = 0, 27, 28
-CACHE = 150_000
+CACHE = 250_000
 #: Marks that a task counts before it passes the counts on.
 HELD_MARKS = 30_000
 #: Word beginnings of these lengths are evidence beside whole words.
