@@ -100,21 +100,27 @@ def assign(vecs: DataFrame, pivots, is_query) -> DataFrame:
     return out.withColumn("is_query", is_query)
 
 
-def bounds(cells, groups, pivots, k: int):
+def bounds(cells, groups, pivots, k: int, ids=None):
     """What each query group needs of each data cell: a row x of cell j goes to group g if dist(x) >= need[g, j] and
-    norm(x) >= floor[g]. ``cells``: cell -> its k + 1 smallest distances; ``groups``: cell -> (largest distance,
-    largest norm) of its queries.
+    norm(x) >= floor[g]. ``cells``: cell -> the smallest distances of k + 1 ids; ``groups``: cell -> (largest distance,
+    largest norm) of its queries; ``ids``: cell -> the vec_ids of these distances (without it, all differ).
 
     For q = pivot g + s and x = pivot j + r: q.x <= pg.pj + |s| |pj| + |q| |r| and q.x >= pg.pj - |s| |pj| - |q| |r|.
-    The lower bounds of the nearest rows of all cells, k + 1 of them (one may be the query), hold the k-th score."""
+    The lower bounds of the nearest rows of all cells, of k + 1 ids (one may be the query's, none of whose rows is a
+    candidate), hold the k-th score."""
     import numpy as np
 
     inner = pivots @ pivots.T
     norm = np.sqrt((pivots**2).sum(axis=1))
+    cell = np.array([j for j, ds in cells.items() for _ in ds], dtype=np.int64)
+    dist = np.array([d for ds in cells.values() for d in ds])
+    own = np.arange(len(cell)) if ids is None else np.array([i for j in cells for i in ids[j]], dtype=np.int64)
     need, floor = {}, {}
     for g, (radius, top) in groups.items():
-        lows = sorted((inner[g, j] - radius * norm[j] - top * d for j, ds in cells.items() for d in ds), reverse=True)
-        least = lows[k] if len(lows) > k else -np.inf
+        lows = inner[g, cell] - radius * norm[cell] - top * dist
+        order = np.argsort(-lows, kind="stable")
+        best = np.sort(np.unique(own[order], return_index=True)[1])  # the place of each id's largest bound
+        least = lows[order[best[k]]] if len(best) > k else -np.inf
         least -= 1e-6 * (1 + abs(least))  # rounding
         high = {j: inner[g, j] + radius * norm[j] for j in cells}
         if top == 0:
@@ -174,8 +180,8 @@ def solve(k: int):
                 row = s[i % SCORED]
                 row[np.searchsorted(ids, own[i], "left"):np.searchsorted(ids, own[i], "right")] = least
                 at = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                at = at[row[at] > least]  # first: -least is least again
                 at = at[np.argsort(-row[at], kind="stable")][:k]
-                at = at[row[at] > least]
                 out["query_id"] += [own[i]] * len(at)
                 out["query_hash"] += [hashes[i]] * len(at)
                 out["vec_id"] += ids[at].tolist()
@@ -205,22 +211,25 @@ def top_k(table: DataFrame, is_query, k: int = 20, scale: float = 64.0, sample_r
     pivots = pick_pivots(matrix(sample), max(8, min(1024, int(n**0.5 / 2))))
     data = cut(assign(vecs, pivots, is_query))
 
-    # the k + 1 smallest distances of each cell: Spark keeps so many in each task before it shuffles
-    by_dist = Window.partitionBy("cell").orderBy("dist")
-    near = data.withColumn("place", F.row_number().over(by_dist)).where(F.col("place") <= k + 1)
-    cells, sizes, far = {}, {}, {}
-    for r in near.select("cell", "dist").collect():  # k + 1 rows for each pivot
+    # the k + 1 ids nearest to each pivot: Spark keeps so many in each task before it shuffles
+    by_dist = Window.partitionBy("cell").orderBy("dist", "vec_id")
+    near = (data.groupBy("cell", "vec_id").agg(F.min("dist").alias("dist"))
+            .withColumn("place", F.row_number().over(by_dist)).where(F.col("place") <= k + 1))
+    cells, ids, sizes, far = {}, {}, {}, {}
+    for r in near.select("cell", "vec_id", "dist").collect():  # k + 1 rows for each pivot
         cells.setdefault(r["cell"], []).append(r["dist"])
+        ids.setdefault(r["cell"], []).append(r["vec_id"])
     for r in data.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("d"), F.max("norm").alias("m")).collect():
         sizes[r["cell"]], far[r["cell"]] = r["n"], (r["d"], r["m"])
     groups, asked = {}, {}
-    for r in (data.where("is_query").groupBy("cell")
+    once = data.where("is_query").select("cell", "vec_id", F.xxhash64("v").alias("query_hash"), "dist", "norm")
+    for r in (once.dropDuplicates(["cell", "vec_id", "query_hash"]).groupBy("cell")
               .agg(F.max("dist").alias("d"), F.max("norm").alias("m"), F.count("*").alias("n")).collect()):
         groups[r["cell"]], asked[r["cell"]] = (r["d"], r["m"]), r["n"]
     if not groups:
         return spark.createDataFrame([], empty)
     wide = max(len(r) // 8 for r in sample)
-    need, floor = bounds(cells, groups, pivots[:, :wide], k)
+    need, floor = bounds(cells, groups, pivots[:, :wide], k, ids)
 
     # what each group of query cells needs of each data cell, and its numbers of query blocks and data parts
     member = merge_cells(asked, pivots, query_rows)
@@ -238,8 +247,10 @@ def top_k(table: DataFrame, is_query, k: int = 20, scale: float = 64.0, sample_r
     pairs = spark.createDataFrame(plan, "grp bigint, cell bigint, need double, floor double, blocks bigint, parts bigint")
     shapes = spark.createDataFrame(shape, "grp bigint, cell bigint, blocks bigint, parts bigint")
     steps = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-    sent = (data.join(F.broadcast(pairs), "cell").where("dist >= need and norm >= floor")
-            .select("grp", "blocks", F.pmod(F.xxhash64("vec_id", "v"), "parts").alias("part"), "vec_id", "v")
+    # copies of a row are dealt out too; the checkpoint's partitions, and so the numbers, stay as they are
+    sent = (data.withColumn("nth", F.monotonically_increasing_id())
+            .join(F.broadcast(pairs), "cell").where("dist >= need and norm >= floor")
+            .select("grp", "blocks", F.pmod(F.xxhash64("nth"), "parts").alias("part"), "vec_id", "v")
             .withColumn("block", steps("blocks")).drop("blocks"))
     ask = (data.where("is_query").withColumn("query_hash", F.xxhash64("v")).dropDuplicates(["vec_id", "query_hash"])
            .join(F.broadcast(shapes), "cell")

@@ -72,3 +72,31 @@ def test_bounds_prune_far_cells():
     centre = np.array([[100.0, 0.0], [0.0, 100.0]])
     need, floor = knn.bounds({0: [0.0] * 3, 1: [0.0] * 3}, {0: (1.0, 101.0)}, centre, 2)
     assert need[0][1] > 50 and need[0][0] < 1.0 and floor[0] > 0
+
+
+def test_repeats_of_a_query_id_hide_no_neighbours(spark):
+    r = np.random.RandomState(5)
+    near = [[float(np.float32(x)) for x in (3 + 0.001 * r.randn(), 0.001 * r.randn())] for _ in range(4)]
+    far = [[float(np.float32(x)) for x in (0.02 * r.rand(), 3 + 0.02 * r.rand())] for _ in range(40)]
+    rows = [(4, [3.0, 0.0], 0, 0, 0, 0)] * 30  # one query row, at a pivot
+    rows += [(4, [3.0, 0.1 * i], 0, 0, 0, 0) for i in range(1, 4)]  # other rows of its id
+    rows += [(101 + 4 * i, v, 0, 0, 0, 0) for i, v in enumerate(near)]
+    rows += [(202 + 4 * i, v, 0, 0, 0, 0) for i, v in enumerate(far)]
+    for how in ({}, {"sample_rows": 60, "query_rows": 3, "data_rows": 10}):
+        assert run(spark, rows, **how) == brute(rows, 5, 4)
+
+
+def test_bounds_count_each_id_once_over_all_cells():
+    centre = np.array([[100.0, 0.0], [0.0, 100.0]])
+    cells, ids = {0: [0.0, 0.0, 1.0], 1: [0.0, 1.0, 2.0]}, {0: [4, 5, 6], 1: [4, 7, 8]}
+    need, _ = knn.bounds(cells, {0: (0.0, 100.0)}, centre, 3, ids)
+    assert need[0][1] <= 0  # ids 4, 5, 6 and 7: the fourth bound is one of cell 1
+
+
+def test_own_rows_take_no_place_in_a_task():
+    import pyarrow as pa
+
+    v = np.array([2], dtype="<i8").tobytes()
+    ask = pa.table({"query_id": [4], "query_hash": [0], "query_v": [v]})
+    rows = pa.table({"vec_id": [4] * 30 + [5, 6], "v": [v] * 32})
+    assert knn.solve(5)(ask, rows)["vec_id"].to_pylist() == [5, 6]
