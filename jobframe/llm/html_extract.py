@@ -2,8 +2,9 @@
 
 A page is cut into flat text blocks. Each block is described by its words and link density, those of the blocks
 before and after it, and by the kind of container it stands in; a decision tree, grown from the small labelled
-table below, says whether it is main text. The tags are read by one pass of a pattern, so broken markup (unclosed
-or crossing tags, a page cut off anywhere) is no special case.
+table below, says whether it is main text. The tags are read by one pass of a pattern, so broken markup (crossing
+tags, a page cut off anywhere) is no special case. Of the elements that are dropped whole, only raw text without an
+end tag runs to the end of the page; of any other one without an end tag the start tag alone is dropped.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ BLOCK_TAGS = frozenset(
     "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav ol "
     "optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
 DROPPED = "script|style|noscript|template|svg|math|title|object|iframe|canvas|audio|video|textarea|select|button"
+#: Of these, the ones whose content is no markup: it runs to the next end tag, or else to the end of the page.
+RAW_TEXT = frozenset("script style title textarea noscript iframe".split())
 CONTAINERS = frozenset(
     "article aside blockquote body center details dialog div dl fieldset figure footer form header main menu nav ol "
     "search section table td tr ul li".split())
@@ -38,9 +41,12 @@ BODY_NAMES = frozenset("article articlebody content entry main post story text".
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<drop>{DROPPED})\b[^>]*+>.*?(?:</(?P=drop)\s*+>|\Z)"
+    rf"|<(?P<drop>{DROPPED})(?=[\s/>])(?:(?P<held>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>|[^>]*+>)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z!?][^>]*+(?:>|\Z)", re.S | re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW_TEXT}
+#: A value without quotes at the end of a tag: a slash there belongs to it.
+_BARE = re.compile(r"=\s*[^\s\"']+\Z")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
@@ -79,6 +85,31 @@ def place_of(tag: str, attrs: str, inside: float) -> float:
     return 1 if (whole | parts) & BODY_NAMES and not inside else inside
 
 
+def tags(page: str) -> list[list]:
+    """The page's tags and comments in order: [match, where it ends], for a dropped element the end of its end tag.
+
+    An element that ends in its start tag, or that is not raw text and has no end tag, is that tag alone."""
+    found: list[list] = []
+    opened: dict[str, list[int]] = {}
+    at = 0
+    while m := _TAG.search(page, at):
+        at = m.end()
+        if m["drop"]:
+            name, held = m["drop"].lower(), m["held"]
+            drawn = name == "title" and (opened.get("svg") or opened.get("math"))  # no raw text there
+            if held and held.endswith("/") and not _BARE.search(held):
+                pass
+            elif name in RAW_TEXT and not drawn:
+                end = _ENDS[name].search(page, at)
+                at = end.end() if end else len(page)
+            else:
+                opened.setdefault(name, []).append(len(found))
+        elif m["end"] and opened.get(m["name"].lower()):
+            found[opened[m["name"].lower()].pop()][1] = at
+        found.append([m, at])
+    return found
+
+
 def blocks(page: str) -> list[tuple[str, int, int, float]]:
     """The page's non-empty text blocks in order: (text, words, words in links, place)."""
     out: list[tuple[str, int, int, float]] = []
@@ -102,10 +133,12 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
         if anchor:
             linked.append(text)
 
-    for m in _TAG.finditer(page):
+    for m, end in tags(page):
+        if m.start() < at:  # inside a dropped element
+            continue
         if m.start() > at:
             take(page[at:m.start()])
-        at = m.end()
+        at = end
         name = m["name"]
         if name is None:
             if m["drop"] and m["drop"].lower() in BLOCK_TAGS:

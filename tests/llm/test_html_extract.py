@@ -69,3 +69,36 @@ def test_pages_of_the_table(spark):
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"], re.S)[1]
         parts = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>|<br>", " ", inner))
         assert r["text"].split("\n") == [x for x in (" ".join(html.unescape(p).split()) for p in parts) if x]
+
+
+NESTED = ["svg", "math", "object", "button", "select", "video", "audio", "canvas", "template"]
+CLOSED = [(f'<article><p>one <{n} class="i"/> two</p><p>three</p></article>', n) for n in hx.DROPPED.split("|")]
+
+
+@pytest.mark.parametrize("page, name", CLOSED)
+def test_element_that_ends_in_its_start_tag_takes_nothing_with_it(page, name):
+    assert hx.main_text(page, TREE).split() == ["one", "two", "three"]
+    assert hx.main_text(page.replace("three", f"three <{name}>gone</{name}>"), TREE).split() == ["one", "two", "three"]
+
+
+@pytest.mark.parametrize("name", NESTED)
+def test_unclosed_element_is_its_tag_alone(name):
+    page = f"<article><p>one</p><{name} a=b>x<p>two</p><p>three</p></article>"
+    assert hx.main_text(page, TREE).split() == ["one", "x", "two", "three"]
+    later = f"<article><p>one</p><{name}>x<p>two</p><{name}>gone</{name}><p>three</p></article>"
+    assert hx.main_text(later, TREE).split() == ["one", "x", "two", "three"]
+    inner = f"<article><p>one</p><{name}>x<{name}>y</{name}>z</{name}><p>three</p></article>"
+    assert hx.main_text(inner, TREE).split() == ["one", "three"]
+
+
+@pytest.mark.parametrize("name", sorted(hx.RAW_TEXT))
+def test_raw_text_runs_to_its_end_tag_or_the_page_end(name):
+    assert hx.main_text(f"<article><p>one</p><{name}>x <p>two</p>", TREE) == "one"
+    assert hx.main_text(f"<article><p>one</p><{name}>x <svg> y</{name}><p>two</p></article>", TREE) == "one\ntwo"
+    assert hx.main_text(f"<article><p>one</p><{name} src=/a/>x</{name}><p>two</p></article>", TREE) == "one\ntwo"
+
+
+def test_names_that_only_begin_like_a_dropped_element():
+    page = '<article><p>one</p><svg-icon n="x"></svg-icon><p>two</p><button-bar>b</button-bar><p>three</p></article>'
+    assert hx.main_text(page, TREE).split() == ["one", "two", "b", "three"]
+    assert hx.main_text("<article><svg><title>Icon</svg><p>two</p></article>", TREE) == "two"
