@@ -34,8 +34,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Power-of-two pieces of the remaining texts."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+    """Power-of-two pieces of the remaining texts with their token ids, in a folder for each length."""
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.bucketed(pieces, shared_folder(spark, "packing"))
 
 
 STAGES = [

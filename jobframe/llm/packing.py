@@ -145,7 +145,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    schema += ", ids array<bigint>" if keep_ids else ""
+    schema += ", ids array<int>" if keep_ids else ""
 
     def run(batches):
         import zlib
@@ -158,9 +158,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                row, start, length, crc, total, ids = [], [], [], [], [], []
-                for d, raw in enumerate(encode(b.column("text"))):
-                    raw += end
+                row, start, length, crc, total = [], [], [], [], []
+                raws = [raw + end for raw in encode(b.column("text"))]
+                for d, raw in enumerate(raws):
                     n, s = len(raw) // 4, 0
                     for k in piece_lengths(n, window):
                         piece = raw[4 * s:4 * (s + k)]
@@ -169,14 +169,14 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
                         length.append(k)
                         crc.append(zlib.crc32(piece))
                         total.append(n)
-                        if keep_ids:
-                            ids.append(np.frombuffer(piece, dtype="<u4").astype(np.int64))
                         s += k
                 cols = [b.column("doc_id").take(pa.array(row, pa.int64())),
                         *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-                if keep_ids:
-                    cols.append(pa.array(ids, pa.list_(pa.int64())))
+                if keep_ids:  # the pieces follow each other in the documents' ids
+                    offsets = np.concatenate([[0], np.cumsum(length, dtype=np.int64)]).astype(np.int32)
+                    ids = np.frombuffer(b"".join(raws), dtype="<i4")
+                    cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
         give_back()
@@ -189,3 +189,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int =
 def write_buckets(pieces: DataFrame, path: str) -> None:
     """Write the sequences with one folder for each length; a trainer reads a folder for batches of that shape."""
     pieces.write.partitionBy("bucket").parquet(path)
+
+
+def bucketed(pieces: DataFrame, path: str) -> DataFrame:
+    """The same sequences, written to ``path`` by :func:`write_buckets` and read again, so each file holds sequences of
+    one length; ``sequence_id`` is fixed by the write."""
+    write_buckets(pieces, path)
+    return pieces.sparkSession.read.schema(pieces.schema).parquet(path).select(*pieces.columns)

@@ -78,3 +78,16 @@ def test_packed_ids(spark, stages):
     assert sum(r["length"] for r in rows) == sum(map(len, ids.values()))
     key = lambda rs: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rs)
     assert key(E.queries()["pipeline"](spark, SF).collect()) == key(rows)
+
+
+def test_packed_rows_hold_their_ids_by_bucket(spark, stages):
+    before, after = stages[4]
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {r["doc_id"]: tok.encode(r["text"] or "", add_special_tokens=False).ids + [2] for r in before.collect()}
+    for r in after.collect():
+        assert r["ids"] == ids[r["doc_id"]][r["start"]:r["start"] + r["length"]] and r["length"] == 1 << r["bucket"]
+    out = E.queries()["pipeline"](spark, SF)
+    files = {f.split("/bucket=")[0] for f in out.inputFiles()}
+    assert len(files) == 1 and all("/bucket=" in f for f in out.inputFiles())
+    none = corpus_pipeline.packing_stage(spark, before.limit(0), SF)
+    assert none.count() == 0 and none.columns == after.columns
