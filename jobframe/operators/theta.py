@@ -7,7 +7,8 @@ The predicate is a SQL expression over ``a`` and ``b`` and is evaluated by Spark
 arrived at most one timeout before it, so pairs are found by a range join over time buckets of that width (a block
 is spread over its buckets), and only pairs that match, or fail to evaluate, are kept. A gap longer than the
 timeout ends every open group of a block, so blocks are cut there and their pieces are folded in parallel, over
-narrow rows (order number, time, source, matching numbers). Results depend on arrival order only.
+narrow rows (order number, time, source, matching numbers). Jobs are numbered and cut in range partitions, and a fold
+holds open groups only; one piece is one task. Results depend on arrival order only.
 """
 
 from __future__ import annotations
@@ -17,62 +18,81 @@ from pyspark.sql import functions as F
 
 from jobframe.operators.merge import sort_members
 from jobframe.operators.steps import lit
-from jobframe.session import lenient
+from jobframe.session import checkpoint_dir, lenient
 
 FOLDED = "key string, n long, grp long, complete boolean"
 
 
 def _fold(n_sources: int, limit: int):
     """Rows sorted by (key, piece, n) -> the group of each kept job and whether it was completed. Pieces follow each
-    other in one pass; only the open groups of one piece are held beside its kept numbers."""
+    other in one pass; only open groups are held: one is given out when it is complete or its time is over."""
 
     def run(batches):
         import pandas as pd
 
-        piece, live, kept, done, made, out = None, [], [], set(), 0, []
+        piece, live, owner, made, out = None, {}, {}, 0, []  # live: open groups in creation order
 
-        def close():
-            if piece is not None:
-                out.extend((piece[0], n, piece[1] * (1 << 32) + g, g in done) for n, g in kept)
+        def close(grp, complete):
+            for n in live.pop(grp)["members"]:
+                del owner[n]
+                out.append((piece[0], n, piece[1] * (1 << 32) + grp, complete))
 
         for rows in batches:
             for key, part, n, t, source, hits in zip(*(rows[c].tolist() for c in ("key", "piece", "n", "t", "bit", "hits"))):
                 if piece != (key, part):
-                    close()
-                    piece, live, kept, done, made = (key, part), [], [], set(), 0
-                live = [g for g in live if t - g["t0"] <= limit]  # in creation order
+                    for grp in list(live):
+                        close(grp, False)
+                    piece, made = (key, part), 0
+                while live and not t - live[first := next(iter(live))]["t0"] <= limit:
+                    close(first, False)
                 found = {h["n"]: h["ok"] for h in hits} if hits is not None else {}
-                target = None
-                for g in live if found else ():
-                    oks = [found[m] for m in g["members"] if m in found]
-                    if oks:
-                        # members are asked in order of arrival: one that fails to evaluate drops the job
-                        target = "error" if oks[0] is None else g
-                        break
-                if target == "error":
-                    continue
+                target = min((owner[m] for m in found if m in owner), default=None)
                 if target is None:
-                    target = {"grp": made, "t0": t, "members": [], "sources": set()}
-                    made += 1
-                    live.append(target)
-                if source in target["sources"]:
+                    target, made = made, made + 1
+                    live[target] = {"t0": t, "members": [], "sources": set()}
+                # members are asked in order of arrival: one that fails to evaluate drops the job
+                elif found[next(m for m in live[target]["members"] if m in found)] is None:
+                    continue
+                group = live[target]
+                if source in group["sources"]:
                     continue
-                target["members"].append(n)
-                target["sources"].add(source)
-                kept.append((n, target["grp"]))
-                if len(target["sources"]) == n_sources:
-                    done.add(target["grp"])
-                    live.remove(target)
+                group["members"].append(n)
+                group["sources"].add(source)
+                owner[n] = target
+                if len(group["sources"]) == n_sources:
+                    close(target, True)
             if out:
                 yield pd.DataFrame(out, columns=["key", "n", "grp", "complete"])
                 out.clear()
-        close()
+        for grp in list(live):
+            close(grp, False)
         if out:
             yield pd.DataFrame(out, columns=["key", "n", "grp", "complete"])
 
     return run
 
 
+def _numbered(base: DataFrame, limit: int, order: tuple[str, ...], parts: int) -> tuple[DataFrame, DataFrame]:
+    """(``base`` with _n, narrow rows with _piece): _n rises with arrival within a _key, and a _piece ends where no job
+    arrives for longer than ``limit``.
+
+    Rows lie in range partitions by key and arrival, so no task holds a whole key. Cuts are counted within a partition;
+    one summary row for each partition and key gives the cuts before it."""
+    checkpoint_dir(base.sparkSession)
+    rows = (base.repartitionByRange(parts, "_key", *order, "id").sortWithinPartitions("_key", *order, "id")
+            .withColumns({"_n": F.monotonically_increasing_id(), "_pid": F.spark_partition_id()})
+            .checkpoint(eager=True))
+    here, before = Window.partitionBy("_pid", "_key").orderBy("_n"), Window.partitionBy("_key").orderBy("_pid")
+    late = lambda gap: F.coalesce((gap > limit).cast("bigint"), F.lit(0).cast("bigint"))
+    own = (rows.select("_pid", "_key", "_n", "_t", "_bit").withColumn("_cut", late(F.col("_t") - F.lag("_t").over(here)))
+           .withColumn("_own", F.sum("_cut").over(here)))
+    ends = (own.groupBy("_pid", "_key").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.sum("_cut").alias("_cuts"))
+            .withColumn("_step", late(F.col("_first") - F.lag("_last").over(before)) + F.lag("_cuts", 1, 0).over(before))
+            .select("_pid", "_key", F.sum("_step").over(before).alias("_base")))
+    narrow = own.join(ends, ["_pid", "_key"]).select("_key", (F.col("_own") + F.col("_base")).alias("_piece"), "_n", "_t", "_bit")
+    return rows.drop("_pid"), narrow
+
+
 def theta_groups(jobs: DataFrame, sources: list[str], expr: str, timeout_secs: int, block: str | None = None,
                  payload_schema: str | None = None,
                  order: tuple[str, ...] = ("arrival_ts", "arrival_seq")) -> tuple[DataFrame, DataFrame]:
@@ -87,11 +107,8 @@ def theta_groups(jobs: DataFrame, sources: list[str], expr: str, timeout_secs: i
     base = jobs.where(F.col("source").isin(sources)).withColumn("_key", key)
     bit = F.array_position(F.array(*map(F.lit, sources)), F.col("source"))
     at = F.unix_micros(F.col(order[0]).cast("timestamp"))
-    w = Window.partitionBy("_key").orderBy(*order, "id")
-    seq = (base.where("_key IS NOT NULL").withColumn("_t", at).withColumn("_bit", bit)
-           .withColumn("_n", F.row_number().over(w).cast("bigint"))
-           .withColumn("_cut", F.coalesce((F.col("_t") - F.lag("_t").over(w) > limit).cast("bigint"), F.lit(0)))
-           .withColumn("_piece", F.sum("_cut").over(w)).drop("_cut"))
+    seq, narrow = _numbered(base.where("_key IS NOT NULL").withColumn("_t", at).withColumn("_bit", bit), limit, order,
+                            int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parsed = f"from_json(payload, {lit(payload_schema)})" if payload_schema else "try_parse_json(payload)"
     job = f"named_struct('id', id, 'source', source, 'payload', {parsed}, 'labels', labels, 'correlation_key', correlation_key)"
     bucket = F.floor(F.col("_t") / limit)
@@ -105,7 +122,7 @@ def theta_groups(jobs: DataFrame, sources: list[str], expr: str, timeout_secs: i
         pairs = near.selectExpr("_key", "_bn", "_an", f"CAST(({expr}) AS BOOLEAN) AS ok").where("ok IS NULL OR ok")
     hits = pairs.groupBy("_key", F.col("_bn").alias("_n")).agg(
         F.collect_list(F.struct(F.col("_an").alias("n"), "ok")).alias("hits"))
-    narrow = (seq.select("_key", "_piece", "_n", "_t", "_bit").join(hits, ["_key", "_n"], "left")
+    narrow = (narrow.join(hits, ["_key", "_n"], "left")
               .select(F.col("_key").alias("key"), F.col("_piece").alias("piece"), F.col("_n").alias("n"),
                       F.col("_t").alias("t"), F.col("_bit").alias("bit"), "hits"))
     folded = (narrow.repartition("key", "piece").sortWithinPartitions("key", "piece", "n")

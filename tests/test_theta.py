@@ -7,7 +7,7 @@ import random
 import pytest
 
 from jobframe.operators.merge import merge_for_pipeline
-from jobframe.operators.theta import theta_groups
+from jobframe.operators.theta import _fold, _numbered, theta_groups
 from jobframe.spec import MapStep, MergeSpec, PipelineSpec
 
 SCHEMA = ("id string, source string, payload string, correlation_key string, labels map<string,string>, "
@@ -86,3 +86,37 @@ def test_pipeline_without_a_block_key(spark):
 def test_nothing(spark):
     groups, rest = theta_groups(spark.createDataFrame([], SCHEMA), ["a", "b"], "true", 60)
     assert groups.count() == rest.count() == 0
+
+
+def test_one_block_is_numbered_and_cut_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    data = rows(4, n=800, keys=1)
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    base = df.withColumns({"_key": F.lit(""), "_bit": F.lit(1), "_t": F.unix_micros("arrival_ts")})
+    seq, narrow = _numbered(base, 60_000_000, ("arrival_ts", "arrival_seq"), 8)
+    sizes = [r["n"] for r in seq.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 4 and max(sizes) < 300
+    assert [r["id"] for r in seq.orderBy("_n").collect()] == [r[0] for r in data]
+    piece, want = 0, []
+    for k, r in enumerate(data):
+        piece += k > 0 and (r[5] - data[k - 1][5]).total_seconds() > 60
+        want.append(piece)
+    assert [r["_piece"] for r in narrow.orderBy("_n").collect()] == want and piece > 20
+
+
+def test_fold_gives_groups_out_as_they_end():
+    import pandas as pd
+
+    def batches(read):
+        for k in range(100):  # no gap of the time limit: one piece; odd jobs match the one before
+            read.append(k)
+            yield pd.DataFrame([("", 0, n, n, n % 2, [{"n": n - 1, "ok": True}] if n % 4 == 1 else None)
+                                for n in range(10 * k, 10 * k + 10)], columns=["key", "piece", "n", "t", "bit", "hits"])
+
+    read, got = [], []
+    for page in _fold(2, 20)(batches(read)):
+        got += page.itertuples(index=False)
+        assert len(got) >= 10 * len(read) - 30  # only open groups are held back
+    assert sorted(r.n for r in got) == list(range(1000))
+    assert all(r.complete == (r.n % 4 < 2) for r in got)
