@@ -13,23 +13,23 @@ from pyspark.sql import functions as F
 
 from jobframe.llm.common import cut
 
-LIMIT = 2**31
+#: Components are 64-bit integers.
+LIMIT = 2**63
 
 
 def quantize(values, scale: float):
-    """floor(scale * x) of a vector as int64; None if it is null or has null, non-finite or too large components."""
+    """floor(scale * x) of a vector as int64; None if it is null or has null or non-finite components or leaves int64."""
     import numpy as np
 
     if values is None or any(x is None for x in values):
         return None
     v = np.floor(scale * np.array(values, dtype=np.float64))
-    return v.astype(np.int64) if np.isfinite(v).all() and (np.abs(v) < LIMIT).all() else None
+    return v.astype(np.int64) if (v >= -LIMIT).all() and (v < LIMIT).all() else None
 
 
 def vectors(table: DataFrame, scale: float = 64.0) -> DataFrame:
     """(vec_id, v): rows that take part, v as little-endian 64-bit integers. Rows with a null id, or a vector that is
-    null or holds null, non-finite or (beyond 2**31 after scaling, where a score leaves 64 bits) huge components,
-    take no part."""
+    null or holds null or non-finite components, or ones that leave 64 bits after scaling, take no part."""
     src = table.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where("vec_id is not null")
 
     def run(batches):
@@ -55,6 +55,16 @@ def matrix(raw, width: int | None = None):
     return out
 
 
+def integers(raw, width: int, kind):
+    """Vectors as rows of a matrix of int64 or (``object``) Python integers, shorter ones padded with zeros."""
+    import numpy as np
+
+    out = np.zeros((len(raw), width), dtype=kind)
+    for k, r in enumerate(raw):
+        out[k, :len(r) // 8] = np.frombuffer(r, dtype="<i8").tolist()
+    return out
+
+
 def pick_pivots(sample, n: int, rounds: int = 6):
     """At most ``n`` centres of a bounded sample by Lloyd's rounds from evenly spread distinct rows."""
     import numpy as np
@@ -118,15 +128,17 @@ def bounds(cells, groups, pivots, k: int, ids=None):
     need, floor = {}, {}
     for g, (radius, top) in groups.items():
         lows = inner[g, cell] - radius * norm[cell] - top * dist
+        reach = np.abs(inner[g, cell]) + radius * norm[cell] + top * dist
+        lows[reach >= 2**62] = -np.inf  # such a score may leave 64 bits, and then it holds no place
         order = np.argsort(-lows, kind="stable")
         best = np.sort(np.unique(own[order], return_index=True)[1])  # the place of each id's largest bound
         least = lows[order[best[k]]] if len(best) > k else -np.inf
-        least -= 1e-6 * (1 + abs(least))  # rounding
+        least -= 1e-6 * (1 + abs(least)) + 1e-12 * reach[reach < 2**62].max(initial=0)  # rounding
         high = {j: inner[g, j] + radius * norm[j] for j in cells}
         if top == 0:
             need[g], floor[g] = dict.fromkeys(cells, -np.inf), -np.inf
         else:
-            need[g] = {j: (least - h) / top for j, h in high.items()}
+            need[g] = {j: (least - h - 1e-9 * abs(h)) / top for j, h in high.items()}
             floor[g] = least / top
     return need, floor
 
@@ -169,14 +181,18 @@ def solve(k: int):
             width = max(len(r) // 8 for r in (*raw_q, *raw_x))
             q, x = matrix(raw_q, width), matrix(raw_x, width)[order]
             own = queries["query_id"].to_numpy()
-            exact = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(width, 1) < 2**53
-            if not exact:
-                q, x = q.astype(np.int64), x.astype(np.int64)
+            top = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(width, 1)
+            if top >= 2**53:
+                kind = np.int64 if top < 2**62 else object
+                q, x = integers(raw_q, width, kind), integers(raw_x, width, kind)[order]
             least = np.iinfo(np.int64).min
             hashes = queries["query_hash"].to_numpy()
             for i in range(len(own)):
                 if i % SCORED == 0:
-                    s = (q[i:i + SCORED] @ x.T).astype(np.int64)
+                    s = q[i:i + SCORED] @ x.T
+                    if s.dtype == object:  # scores that leave 64 bits are dropped
+                        s = np.where((s > least) & (s < 2**63), s, least)
+                    s = s.astype(np.int64)
                 row = s[i % SCORED]
                 row[np.searchsorted(ids, own[i], "left"):np.searchsorted(ids, own[i], "right")] = least
                 at = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
@@ -197,7 +213,7 @@ def top_k(table: DataFrame, is_query, k: int = 20, scale: float = 64.0, sample_r
     k rows with the largest integer inner products of floor(scale * x), ties to the smaller vec_id; fewer if there
     are fewer. A query's own vec_id is no candidate of it.
 
-    Rows that take no part: see :func:`vectors`. Vectors of unequal lengths are compared as if padded with zeros. A
+    Rows that take no part: see :func:`vectors`. Scores that leave 64 bits are dropped. Vectors of unequal lengths are compared as if padded with zeros. A
     repeated query row counts once, a repeated candidate row each time. ``sample_rows`` bounds the sample that
     pivots are fit on; the result does not depend on it. A task holds at most about ``query_rows`` queries and
     ``data_rows`` rows, however large a group is."""

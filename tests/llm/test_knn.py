@@ -100,3 +100,17 @@ def test_own_rows_take_no_place_in_a_task():
     ask = pa.table({"query_id": [4], "query_hash": [0], "query_v": [v]})
     rows = pa.table({"vec_id": [4] * 30 + [5, 6], "v": [v] * 32})
     assert knn.solve(5)(ask, rows)["vec_id"].to_pylist() == [5, 6]
+
+
+def test_huge_components_take_part(spark):
+    r = random.Random(9)
+    vs = [[float(np.float32(r.choice([-1, 1]) * 10 ** r.uniform(0, top))) for _ in range(3)]
+          for top in [3] * 30 + [8] * 30 + [13] * 30]
+    rows = [(i, v, 0, 0, 0, 0) for i, v in enumerate(vs)]
+    q, want = [[int(np.floor(64 * x)) for x in v] for v in vs], []
+    for i in range(0, len(q), 4):
+        s = sorted((-sum(a * b for a, b in zip(q[i], x)), j) for j, x in enumerate(q) if j != i)
+        want += [(i, n + 1, j, -v) for n, (v, j) in enumerate([(v, j) for v, j in s if abs(v) < 2**63][:5])]
+    assert max(abs(x) for v in q for x in v) > 2**40
+    for how in ({}, {"query_rows": 5, "data_rows": 20}):
+        assert run(spark, rows, **how) == sorted(want)
