@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobframe.llm import decontam, html_extract, knn, licenses, packing, quality, simhash, toxicity, warc, wordpiece
+from jobframe.llm import bin_slack, decontam, html_extract, knn, licenses, packing, quality, simhash, toxicity, warc, wordpiece
 from jobframe.llm.common import read, shared_folder
 
 QUERIES: dict = {}
@@ -198,3 +198,8 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM d
 """
+
+
+@_query
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_slack.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
