@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 12))
+    assert sorted({int(n[2:].split("_")[0]) for n in queries.QUERIES}) == list(range(1, 14))
     assert set(queries.ORACLE) <= set(queries.QUERIES) <= set(E.queries()) and "pipeline" in E.queries()
 
 
