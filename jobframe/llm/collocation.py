@@ -2,8 +2,9 @@
 
 Each word position gives one row of lead-window columns: the word and the words after it, up to the longest phrase and
 padded with null where its piece ends. Only these longest windows are counted. A ROLLUP over the columns then sums them
-to all shorter phrases, since every occurrence of a phrase begins exactly one window. Windows are pre-counted in the
-tasks and meet by their first two words, so a tail too rare to matter is merged there and the ROLLUP sees few rows.
+to all shorter phrases, since every occurrence of a phrase begins exactly one window. Windows are counted slab by slab
+in the tasks, travel as one text for each first word, and meet there; windows that begin alike but are too rare to
+matter are merged into one, so the ROLLUP sees few rows.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from jobframe.llm.common import cut, give_back, maybe_broadcast
 
 #: Marks that end a piece.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
-#: Bytes of text that a task counts at once, and rows that it hands on at once.
-SLAB, ROWS = 8 << 20, 50_000
-#: Documents looked at to find pairs so common that their windows must be spread, and the share that makes one so.
-#: This decides only where rows are counted, never a count.
-SAMPLE_DOCS, HOT_SHARE, SPREAD = 4_000, 0.001, 64
+#: Bytes of text that a task counts at once, bytes of windows that it merges at once, and rows that it hands on at once.
+SLAB, MERGE, ROWS = 8 << 20, 4 << 20, 50_000
+#: Documents looked at to find words and pairs so common that their windows must be spread over tasks (those with more
+#: than a share of 1 / (COMMON * shuffle partitions)), and over how many. This decides only where windows are counted,
+#: never a count.
+SAMPLE_DOCS, COMMON, SPREAD = 4_000, 4, 64
 #: Stands for words whose phrase is below the limit; no word holds a blank.
 RARE = " "
 #: Salted groups that one group of the next level ranks.
@@ -28,8 +30,8 @@ FAN = 16
 _BYTES = bytes(0x2E if b in BREAKS else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-def _count_rows(cols, sizes):
-    """(first row, count) of each distinct row of code columns."""
+def _sums(cols, sizes, weights):
+    """(first row, row -> group, sum of weights) of the distinct rows of code columns."""
     import numpy as np
 
     key, span = np.zeros(len(cols[0]), dtype=np.int64), 1
@@ -38,8 +40,10 @@ def _count_rows(cols, sizes):
             _, key = np.unique(key, return_inverse=True)
             span = int(key.max()) + 1
         key, span = key * s + c, span * s
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
-    return first, n
+    _, first, group = np.unique(key, return_index=True, return_inverse=True)
+    sums = np.zeros(len(first), dtype=np.int64)
+    np.add.at(sums, group, weights)
+    return first, group, sums
 
 
 def _tokens(texts):
@@ -80,9 +84,9 @@ def _lead_columns(code, doc, stop: int, size: int):
     return cols, doc[here]
 
 
-def windows(docs: DataFrame, size: int) -> DataFrame:
-    """(lang, w1 .. w<size>, n): the padded longest windows, counted slab by slab."""
-    names = [f"w{i + 1}" for i in range(size)]
+def _scan(docs: DataFrame, size: int, hand_on, schema: str) -> DataFrame:
+    """``hand_on(languages, lang, words, columns, n)`` for the distinct windows of each slab of texts, ordered by
+    language and first word: dictionaries, codes into them and counts."""
     src = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                       F.col("text").cast("string").alias("text"))
 
@@ -93,65 +97,226 @@ def windows(docs: DataFrame, size: int) -> DataFrame:
         texts, langs = (pa.concat_arrays([b.column(c) for b in held]) for c in ("text", "lang"))
         code, doc, words, stop = _tokens(texts)
         cols, doc = _lead_columns(code, doc, stop, size)
-        if not len(doc):
-            return
-        langs = langs.dictionary_encode()
-        lang = langs.indices.to_numpy()[doc]
-        first, n = _count_rows([lang, *(c + 1 for c in cols)], [len(langs.dictionary), *[len(words) + 1] * size])
-        for at in range(0, len(first), ROWS):
-            some = first[at:at + ROWS]
-            out = [langs.dictionary.take(pa.array(lang[some])).cast(pa.string())]
-            out += [words.take(pa.array(c[some], mask=c[some] < 0)).cast(pa.string()) for c in cols]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(n[at:at + ROWS].astype(np.int64))], ["lang", *names, "n"])
+        if len(doc):
+            langs = langs.dictionary_encode()
+            lang = langs.indices.to_numpy()[doc].astype(np.int64)
+            sizes = [len(langs.dictionary), *[len(words) + 1] * size]
+            first, _, n = _sums([lang, *(c + 1 for c in cols)], sizes, np.ones(len(doc), dtype=np.int64))
+            yield from hand_on(langs.dictionary, lang[first], words, [c[first] for c in cols], n)
 
     def run(batches):
-        held, size = [], 0
+        held, bytes_ = [], 0
         for b in batches:
             held.append(b)
-            size += b.column("text").nbytes
-            if size >= SLAB:
+            bytes_ += b.column("text").nbytes
+            if bytes_ >= SLAB:
                 yield from count(held)
-                held, size = [], 0
+                held, bytes_ = [], 0
         if held:
             yield from count(held)
         give_back()
 
-    return src.mapInArrow(run, f"lang string, {', '.join(f'{c} string' for c in names)}, n bigint")
+    return src.mapInArrow(run, schema)
+
+
+def _take(words, code):
+    """Words of codes, null for -1."""
+    import pyarrow as pa
+
+    return words.take(pa.array(code, mask=code < 0)).cast(pa.string())
+
+
+def _common(docs: DataFrame) -> dict[tuple[str, str], set[str]]:
+    """(language, word) -> the words after it: those words and pairs that a sample of documents shows to be common."""
+    import pyarrow as pa
 
+    def pairs(languages, lang, words, cols, n):
+        yield pa.RecordBatch.from_arrays([_take(languages, lang), *(_take(words, c) for c in cols), pa.array(n)],
+                                         ["lang", "w1", "w2", "n"])
 
-def _hot_pairs(docs: DataFrame) -> list[str]:
-    """Pairs (lang, first and second word, space-joined) that a sample of documents shows to be very common."""
     rows = docs.count()
     sample = docs if rows <= SAMPLE_DOCS else docs.sample(SAMPLE_DOCS / rows, seed=1)
-    pairs = windows(sample, 2).groupBy(F.concat_ws(" ", "lang", "w1", "w2").alias("pair"),
-                                       F.col("w2").isNull().alias("end")).agg(F.sum("n").alias("n"))
-    total = pairs.agg(F.sum("n")).first()[0] or 0
-    found = pairs.where((F.col("n") >= HOT_SHARE * total) & ~F.col("end")).select("pair")
-    return [r["pair"] for r in found.collect()]  # no more than 1 / HOT_SHARE
+    found = _scan(sample, 2, pairs, "lang string, w1 string, w2 string, n bigint").rollup("lang", "w1", "w2").agg(
+        F.sum("n").alias("n"), F.grouping_id().alias("g"))
+    found = cut(found)
+    total = (found.where("g = 7").first() or {"n": 0})["n"] or 0
+    share = total / (COMMON * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    common: dict[tuple[str, str], set[str]] = {}
+    # for each language and word at most COMMON * partitions of each
+    for r in found.where((F.col("g") <= 1) & (F.col("n") > share)).collect():
+        pair = common.setdefault((r["lang"], r["w1"]), set())
+        if r["g"] == 0 and r["w2"] is not None:
+            pair.add(r["w2"])
+    return common
+
+
+_TRAVEL = "lang string, w1 string, part int, tails string"
+
+
+def _travelling(size: int, sent):
+    """One row for each language and first word of a slab: ``tails`` has a line for each window, the words after the
+    first and, if it is not 1, the count after a tab. Common words take ``SPREAD`` rows, by the second word; windows
+    of common pairs are spread by their third word too (``part`` above ``SPREAD``)."""
+
+    def parts(languages, lang, words, cols):
+        import zlib
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        part = np.zeros(len(lang), dtype=np.int64)
+        common = sent.value
+        if not common:
+            return part
+        place = {v: i for i, v in enumerate(languages.to_pylist())}
+        known = pc.index_in(pa.array(sorted({w for _, w in common} | {x for s in common.values() for x in s}), words.type),
+                            value_set=words)
+        code = dict(zip(sorted({w for _, w in common} | {x for s in common.values() for x in s}), known.to_pylist(), strict=True))
+        crc = np.array([zlib.crc32(w.as_buffer()) for w in words] + [0], dtype=np.int64)
+        starts = lang * (len(words) + 1) + cols[0]
+        for (g, w), nexts in common.items():
+            if g not in place or code[w] is None:
+                continue
+            key = place[g] * (len(words) + 1) + code[w]
+            lo, hi = np.searchsorted(starts, [key, key + 1])
+            part[lo:hi] = 1 + crc[cols[1][lo:hi]] % SPREAD
+            after = [code[x] for x in nexts if code[x] is not None]
+            if after and size > 2:
+                some = lo + np.flatnonzero(np.isin(cols[1][lo:hi], after))
+                part[some] = 1 + SPREAD + (crc[cols[1][some]] + crc[cols[2][some]]) % SPREAD
+        return part
+
+    def hand_on(languages, lang, words, cols, n):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        part = parts(languages, lang, words, cols)
+        if part.any():
+            order = np.lexsort((part, cols[0], lang))
+            lang, part, n, cols = lang[order], part[order], n[order], [c[order] for c in cols]
+        tail = pc.fill_null(_take(words, cols[1]), "")
+        for c in cols[2:]:
+            word = _take(words, c)
+            longer = pc.binary_join_element_wise(tail, pc.fill_null(word, ""), " ")
+            tail = pc.if_else(pc.is_valid(word), longer, tail)
+        many = pc.binary_join_element_wise(tail, pa.array(n).cast(pa.string()), "\t")
+        tail = pc.if_else(pa.array(n > 1), many, tail)
+        new = np.flatnonzero((np.diff(lang) != 0) | (np.diff(cols[0]) != 0) | (np.diff(part) != 0)) + 1
+        start = np.concatenate([[0], new])
+        ends = pa.array(np.concatenate([start, [len(lang)]]).astype(np.int32))
+        tails = pc.binary_join(pa.ListArray.from_arrays(ends, tail), "\n")
+        for at in range(0, len(start), ROWS):
+            s = start[at:at + ROWS]
+            yield pa.RecordBatch.from_arrays(
+                [_take(languages, lang[s]), _take(words, cols[0][s]), pa.array(part[s], pa.int32()), tails.slice(at, ROWS)],
+                ["lang", "w1", "part", "tails"])
+
+    return hand_on
+
+
+def _merge(size: int, least: int):
+    """Windows that begin with the same word, from all tasks, counted; those below ``least`` are merged with others
+    that begin alike, ``RARE`` standing for the word that makes them rare. The rows come ordered by first word."""
+
+    def settle(rows):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        group = rows["group"]
+        lines = pc.split_pattern(rows["tails"], "\n")
+        owner = np.repeat(np.arange(len(group)), np.diff(lines.offsets.to_numpy()))
+        line, n = lines.flatten(), np.ones(len(owner), dtype=np.int64)
+        counted = pc.match_substring(line, "\t").to_numpy(zero_copy_only=False)
+        if counted.any():
+            both = pc.split_pattern(line.filter(pa.array(counted)), "\t").flatten()
+            n[counted] = both.take(pa.array(np.arange(1, len(both), 2))).cast(pa.int64()).to_numpy()
+            line = pc.replace_with_mask(line, pa.array(counted), both.take(pa.array(np.arange(0, len(both), 2))))
+        words = pc.split_pattern(line, " ")
+        ends, flat = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+        code = flat.indices.to_numpy().astype(np.int64)
+        none = flat.dictionary.index(pa.scalar("", flat.dictionary.type)).as_py()
+        cols, width = [group[owner]], [int(group.max()) + 1]
+        for j in range(size - 1):
+            at = ends[:-1] + j
+            inside = at < ends[1:]
+            c = np.where(inside, code[np.minimum(at, len(code) - 1)], -1)
+            cols.append(np.where(c == none, -1, c) + 2 if none >= 0 else c + 2)  # 1: none, 0: rare
+            width.append(len(flat.dictionary) + 2)
+        first, _, n = _sums(cols, width, n)
+        cols = [c[first] for c in cols]
+        owner = owner[first]
+        split = rows["part"][owner] > SPREAD
+        rare = np.zeros(len(first), dtype=bool)
+        for j in range(1, size):  # the shortest beginning that is too rare
+            _, same, own = _sums(cols[:j + 1], width[:j + 1], n)
+            few = (own[same] < least) & (cols[j] > 1) & ~rare
+            if j == 1:
+                few &= ~split
+            cols[j] = np.where(rare, 1, np.where(few, 0, cols[j]))
+            rare |= few
+        first, _, n = _sums(cols, width, n)
+        owner = owner[first]
+        for at in range(0, len(first), ROWS):
+            some = slice(at, at + ROWS)
+            named = [flat.dictionary.take(pa.array(np.maximum(c[first[some]] - 2, 0), mask=c[first[some]] < 2)) for c in cols[1:]]
+            named = [pc.if_else(pa.array(c[first[some]] == 0), RARE, x.cast(pa.string())) for c, x in zip(cols[1:], named, strict=True)]
+            who = pa.array(owner[some])
+            yield pa.RecordBatch.from_arrays([rows["lang"].take(who), rows["w1"].take(who), *named, pa.array(n[some])],
+                                             ["lang", *(f"w{i + 1}" for i in range(size)), "n"])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def rows_of(batch):
+            cols = {c: batch.column(c).combine_chunks() if isinstance(batch.column(c), pa.ChunkedArray) else batch.column(c)
+                    for c in ("lang", "w1", "part", "tails")}
+            keys = [cols[c].dictionary_encode().indices.to_numpy() for c in ("lang", "w1")] + [cols["part"].to_numpy()]
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for k in keys:
+                new[1:] |= np.diff(k) != 0
+            return {**cols, "part": keys[2], "group": np.cumsum(new)}
+
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.column("tails").nbytes
+            if size < MERGE:
+                continue
+            table = pa.Table.from_batches(held)
+            group = rows_of(table)["group"]
+            whole = int(np.searchsorted(group, group[-1]))  # the last word may go on
+            if whole:
+                yield from settle(rows_of(table.slice(0, whole).combine_chunks()))
+            held = table.slice(whole).combine_chunks().to_batches()
+            size = 0 if whole else -table.nbytes  # a word of many rows waits for as many again
+        if held:
+            yield from settle(rows_of(pa.Table.from_batches(held).combine_chunks()))
+        give_back()
+
+    return run
+
+
+def windows(docs: DataFrame, size: int, least: int) -> DataFrame:
+    """(lang, w1 .. w<size>, n): the padded longest windows with their counts; where a beginning of one occurs less
+    than ``least`` times its last word is ``RARE`` and what follows null, for all windows with such a beginning at once.
+    A row may come more than once."""
+    names = [f"w{i + 1}" for i in range(size)]
+    sent = docs.sparkSession.sparkContext.broadcast(_common(docs))
+    rows = _scan(docs, size, _travelling(size, sent), _TRAVEL)
+    meet = ["lang", "w1", "part"]
+    return rows.repartition(*meet).sortWithinPartitions(*meet).mapInArrow(
+        _merge(size, least), f"lang string, {', '.join(f'{c} string' for c in names)}, n bigint")
 
 
 def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> DataFrame:
     """(lang, size, phrase, f): the words of each language in all (size 0, phrase null), and every phrase of up to
     ``max_words`` words that occurs at least ``min_count`` times within pieces, overlaps included."""
     words = [f"w{i + 1}" for i in range(max_words)]
-    hot = _hot_pairs(docs) if max_words > 2 else []
-    part = F.lit(0)
-    if hot:
-        is_hot = F.concat_ws(" ", "lang", "w1", "w2").isin(hot)
-        part = F.when(is_hot, F.pmod(F.xxhash64("w3"), F.lit(SPREAD)).cast("int") + 1).otherwise(part)
-    rows = windows(docs, max_words).withColumn("part", part)
-    meet = ["lang", "w1", "w2", "part"]
-    rows = rows.repartition(*meet).groupBy(*meet, *words[2:]).agg(F.sum("n").alias("n"))
-    for size in range(max_words, 1, -1):  # all windows that begin alike are in one task, but those spread on purpose
-        last, rest = words[size - 1], words[size:]
-        own = F.sum("n").over(Window.partitionBy(*meet, *words[2:size])) if size < max_words else F.col("n")
-        few = (own < min_count) & F.col(last).isNotNull()
-        if size == 2:
-            few &= F.col("part") == 0
-        rows = rows.withColumn("few", few)
-        rows = rows.withColumns({last: F.when(F.col("few"), RARE).otherwise(F.col(last)),
-                                 **{c: F.when(~F.col("few"), F.col(c)) for c in rest}})
-    summed = rows.rollup("lang", *words).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
+    summed = windows(docs, max_words, min_count).rollup("lang", *words).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
     size = F.lit(max_words) - F.bit_count("g")  # a bit for each column summed away
     summed = summed.where("lang is not null").select("lang", size.alias("size"), *words, "f")
     last = F.coalesce(*[F.when(F.col("size") == i + 1, F.coalesce(F.col(c), F.lit(RARE))) for i, c in enumerate(words)])

@@ -70,13 +70,15 @@ def test_against_brute_force_over_partitions(spark):
 def test_small_slabs_and_common_pairs(spark):
     rows = corpus(2, 60) + [(" ".join(f"hot pair w{i % 40}" for i in range(400)), "en")]
     df = table(spark, rows).repartition(3)
-    slab, share = collocation.SLAB, collocation.HOT_SHARE
+    before = collocation.SLAB, collocation.MERGE, collocation.COMMON
     try:
-        collocation.SLAB, collocation.HOT_SHARE = 2000, 0.01  # many slabs a task, some pairs spread
-        assert 0 < len(collocation._hot_pairs(df)) <= 100
+        collocation.SLAB, collocation.MERGE, collocation.COMMON = 2000, 300, 100  # many slabs a task, many merges
+        common = collocation._common(df)
+        assert "pair" in common["en", "hot"] and ("en", "pair") in common
         assert got(collocation.collocations(df, 3, 4)) == sorted(brute(rows, 3, 4))
+        assert got(collocation.collocations(df, 2, 4)) == sorted(brute(rows, 2, 4))
     finally:
-        collocation.SLAB, collocation.HOT_SHARE = slab, share
+        collocation.SLAB, collocation.MERGE, collocation.COMMON = before
 
 
 def test_phrase_counts_hold_every_frequent_phrase(spark):
@@ -102,9 +104,10 @@ def test_wide_codes_and_odd_tables(spark):
 
     rng = np.random.default_rng(0)
     cols = [rng.integers(0, 3, 500) for _ in range(4)]
-    first, n = collocation._count_rows(cols, [1 << 30] * 4)
+    first, group, n = collocation._sums(cols, [1 << 30] * 4, np.full(500, 2))
     want = Counter(zip(*cols))
-    assert {tuple(c[i] for c in cols): k for i, k in zip(first, n)} == dict(want)
+    assert {tuple(c[i] for c in cols): k for i, k in zip(first, n)} == {w: 2 * k for w, k in want.items()}
+    assert all(tuple(c[first[g]] for c in cols) == tuple(c[i] for c in cols) for i, g in enumerate(group))
     assert got(collocation.collocations(table(spark, []))) == []
     assert got(collocation.collocations(table(spark, [(None, None), ("", "en"), (" .,; ", "de")]))) == []
     with pytest.raises(ValueError):
