@@ -194,7 +194,7 @@ def file_roundtrip_jsonl(spark, sf_dir):
 
 @query("file_roundtrip_json_array", sql="""
 SELECT c_mktsegment AS segment, CAST(c_custkey AS VARCHAR) AS id,
-       '{"id":"' || CAST(c_custkey AS VARCHAR) || '","bal":' || CAST(c_acctbal AS VARCHAR) || ',"one":1.0,"big":1.0E300}' AS payload
+       '{"id":"' || CAST(c_custkey AS VARCHAR) || '","bal":' || CAST(c_acctbal AS VARCHAR) || ',"one":1.0,"big":1e300}' AS payload
 FROM customer
 """)
 def file_roundtrip_json_array(spark, sf_dir):

@@ -18,8 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobframe.functions.json import compact_json
+from jobframe.functions.json import VARIANT_BYTES, compact_json, string_field, valid_json
 from jobframe.operators.envelope import generated_id
+from jobframe.sources.ranges import csv_records, json_elements
 
 EXTENSIONS = ("json", "jsonl", "csv")
 
@@ -39,7 +40,7 @@ def read_jsonl(spark: SparkSession, path: str, source: str, glob: str | None = "
     """S1 → (jobs, rejects)."""
     df = _lines(spark, path, glob, recursive).withColumn("line", F.trim(F.col("value")))
     df = df.where(F.col("line") != "")
-    parsed = df.withColumn("_ok", F.try_parse_json(F.col("line")).isNotNull())
+    parsed = df.withColumn("_ok", valid_json(F.col("line")))
     good = parsed.where("_ok")
     bad = parsed.where(~F.col("_ok")).select("file", F.col("line").alias("record"),
                                              F.lit("unparsable JSON line").alias("reason"))
@@ -48,54 +49,24 @@ def read_jsonl(spark: SparkSession, path: str, source: str, glob: str | None = "
 
 def read_json_array(spark: SparkSession, path: str, source: str, glob: str | None = "*.json",
                     id_field: str | None = "id", recursive: bool = False) -> tuple[DataFrame, DataFrame]:
-    """S2 → (jobs, rejects). A file that is not a JSON array yields no jobs.
+    """S2 → (jobs, rejects). A file that is not a JSON array yields no jobs; an element that is not JSON is rejected
+    alone.
 
-    The array is parsed element by element into their texts (fields as written, a float stays a float); only single
-    elements are VARIANT values, so a file's size has no limit but that of one text value (2 GB)."""
-    r = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    whole = r.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("t"))
-    whole = whole.withColumn("texts", F.when(F.col("t").startswith("["), F.from_json("t", "array<string>")))
-    rejects = whole.where(F.col("texts").isNull()).select(
-        "file", F.lit(None).cast("string").alias("record"), F.lit("not a JSON array").alias("reason"))
-    values = F.from_json("t", "array<variant>")
-    elems = whole.where(F.col("texts").isNotNull()).select(
-        "file", F.posexplode(F.arrays_zip("texts", values.alias("values"))).alias("pos", "e"))
-    text = F.when(F.schema_of_variant(F.col("e.values")) == "STRING", F.to_json(F.col("e.values"))).otherwise(
-        F.coalesce(compact_json(F.col("e.texts")), F.lit("null")))
-    out = elems.select("file", F.col("pos").alias("ordinal"), text.alias("line"))
-    return _jobs(out, source, F.col("line"), id_field, ordinal=F.col("ordinal")), rejects
-
-
-def _csv_records(batches):
-    """Records of whole CSV files: (file, ordinal, payload) of those as wide as their file's header, else the record
-    and its fields."""
-    import csv
-    import io
-    import json
-
-    import pandas as pd
-
-    csv.field_size_limit(2**31 - 1)
-    text = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
-    for files in batches:
-        for file, value in zip(files["file"], files["value"]):
-            rows, head, n = [], None, 0
-            for record in csv.reader(io.StringIO(value, newline="")):
-                if not record:
-                    continue
-                if head is None:
-                    head = record
-                elif len(record) == len(head):
-                    rows.append((file, n, text(dict(zip(head, record))), None, None))
-                else:
-                    rows.append((file, n, None, ",".join(record), text(record)))
-                n += 1
-                if len(rows) >= 10_000:
-                    yield pd.DataFrame(rows, columns=["file", "ordinal", "line", "record", "fields"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["file", "ordinal", "line", "record", "fields"])
+    Files are read by byte ranges (``sources/ranges.py``), so one large file takes many tasks. Elements keep their
+    text (numbers and strings as written, without the white space between tokens); one may take up to 2 GB."""
+    from jobframe.session import ship_package
+
+    ship_package(spark)
+    elems, other = json_elements(spark, path, glob, recursive)
+    whole = other.select("file", F.lit(None).cast("string").alias("record"), F.lit("not a JSON array").alias("reason"))
+    elems = elems.withColumn("text", F.regexp_replace("text", r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
+    elems = elems.withColumn("_ok", valid_json(F.col("text")))
+    single = elems.where(~F.col("_ok")).select("file", F.col("text").alias("record"),
+                                               F.lit("unparsable JSON element").alias("reason"))
+    plain = F.col("text").startswith('"') & (F.octet_length("text") <= VARIANT_BYTES)
+    line = F.when(plain, F.to_json(F.try_parse_json("text"))).otherwise(compact_json(F.col("text")))
+    out = elems.where("_ok").select("file", "ordinal", line.alias("line"))
+    return _jobs(out, source, F.col("line"), id_field, ordinal=F.col("ordinal")), whole.unionByName(single)
 
 
 def read_csv(spark: SparkSession, path: str, source: str, glob: str | None = "*.csv",
@@ -103,29 +74,21 @@ def read_csv(spark: SparkSession, path: str, source: str, glob: str | None = "*.
     """S3 → (jobs, rejects): each file's first record is its header; every field is a string, an empty one "";
     of columns of one name the last holds; records of another width than their header are rejected.
 
-    Files may differ in their headers, and a record may hold line ends in quotes, so a file is read by one task (files
-    are read in parallel, in one scan). ``schema`` (DDL) only selects files with those columns."""
+    Files may differ in their headers, and a record may hold line ends in quotes. Files are read by byte ranges
+    (``sources/ranges.py``), so one large file takes many tasks. ``schema`` (DDL) only selects files with those columns."""
     from jobframe.session import ship_package
 
     ship_package(spark)
-    r = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    files = r.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
-    if schema is not None:
-        head = ",".join(x.strip().split()[0].strip("`") for x in schema.split(","))
-        files = files.where(F.regexp_extract("value", r"\A([^\r\n]*)", 1) == head)
-    rows = files.mapInPandas(_csv_records, "file string, ordinal bigint, line string, record string, fields string")
+    head = [x.strip().split()[0].strip("`") for x in schema.split(",")] if schema is not None else None
+    rows = csv_records(spark, path, glob, recursive, head)
     bad = rows.where("line IS NULL").select("file", "record", F.lit("wrong number of fields").alias("reason"), "fields")
     return _jobs(rows.where("line IS NOT NULL"), source, F.col("line"), id_field, ordinal=F.col("ordinal")), bad
 
 
 def _jobs(df: DataFrame, source: str, payload, id_field: str | None, ordinal=None) -> DataFrame:
-    from jobframe.functions.json import top_level_string
-
     ordn = ordinal if ordinal is not None else F.col("_mid")
     gen = generated_id(F.lit(source), F.col("file"), ordn, payload)
-    jid = F.coalesce(top_level_string(payload, id_field), gen) if id_field else gen
+    jid = F.coalesce(string_field(payload, id_field), gen) if id_field else gen
     return df.select(jid.alias("id"), F.lit(source).alias("source"), payload.alias("payload"),
                      F.lit(None).cast("string").alias("correlation_key"),
                      F.create_map().cast("map<string,string>").alias("labels"), "file")
