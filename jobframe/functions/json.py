@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Bytes of the largest text that is read as a VARIANT; beyond it (a VARIANT value holds 128 MiB) a text is parsed by
 #: the plain JSON reader.
 VARIANT_BYTES = 100 << 20
+#: Its options: a string of any length.
+_LARGE = {"maxStringLen": str(2**31 - 1)}
 
 
 def key_path(key: str) -> str:
@@ -34,7 +36,7 @@ def top_level_string(payload_text: Column, key: str) -> Column:
 
 def valid_json(text: Column) -> Column:
     """Whether a text is one JSON value, whatever its size."""
-    items = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    items = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _LARGE)
     return F.when(F.octet_length(text) <= VARIANT_BYTES, F.try_parse_json(text).isNotNull()).otherwise(
         F.coalesce(F.size(items) == 1, F.lit(False)))
 
@@ -42,7 +44,7 @@ def valid_json(text: Column) -> Column:
 def string_field(text: Column, key: str) -> Column:
     """P2 for texts of any size: the value of a top-level key only when it is a JSON string."""
     name = "`" + key.replace("`", "``") + "`"
-    v = F.from_json(text, f"struct<{name}: variant>")[key]
+    v = F.from_json(text, f"struct<{name}: variant>", _LARGE)[key]
     large = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
     return F.when(F.octet_length(text) <= VARIANT_BYTES, top_level_string(text, key)).otherwise(large)
 
