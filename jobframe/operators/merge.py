@@ -8,18 +8,16 @@
   "one open group per key, first job per source kept, later duplicates dropped
   while open, emit when every source is present" run as a *distributed prefix
   scan*: rows are range-partitioned by (key, arrival), so a hot key is spread
-  over many partitions; each partition summarises its boundary key segments as
-  a transition table over the 2^N source-set states; the tables are composed per
-  key (at most one row per partition a key spans, never per data row); a second
-  pass replays each partition from its now-known entry state. Every group then
-  has at most N members and is merged with an ordinary group-by.
+  over many partitions; each partition summarises its boundary key segments by
+  the first row of each of the N sources and the outcomes of fresh starts; the
+  summaries are composed per key (at most one row per partition a key spans, never
+  per data row); a second pass replays each partition from its now-known entry
+  state. Every group then has at most N members and is merged with a group-by.
 * ``merged_jobs``          J7/J8: merged payload / envelope of a complete group.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,9 +27,6 @@ from pyspark.sql import types as T
 from jobframe.functions.json import compact_json, scalar_as_string
 from jobframe.session import checkpoint_dir
 
-MAX_SOURCES = 16  # transition tables have 2^N entries
-
-
 def correlation_value(payload: Column, key: str) -> Column:
     """Top-level field; string/number/bool → string; else NULL."""
     return scalar_as_string(payload, key)
@@ -45,11 +40,8 @@ def merge_any(jobs: DataFrame, key: str | None = None) -> DataFrame:
     return jobs.withColumn("correlation_key", correlation_value(F.col("payload"), key))
 
 
-def _source_bit(sources: list[str]) -> Column:
-    b = F.lit(0)
-    for i, s in enumerate(reversed(sources)):
-        b = F.when(F.col("source") == s, F.lit(1 << (len(sources) - 1 - i))).otherwise(b)
-    return b
+def _source_number(sources: list[str]) -> Column:
+    return F.array_position(F.array(*[F.lit(s) for s in sources]), F.col("source")).cast("int") - 1
 
 
 def first_complete_groups(jobs: DataFrame, sources: list[str], key: str = "correlation_key",
@@ -83,174 +75,16 @@ def sort_members(arr: Column, order: tuple[str, ...]) -> Column:
 
 # ── exact rounds: distributed prefix scan ─────────────────────────────────────
 
-def _row_tables(bits: np.ndarray, full: int):
-    """Per-row transition table T[i, s] (state after row i when the state before
-    it is s) and completion flags K[i, s], for all 2^N states at once."""
-    states = np.arange(full + 1, dtype=np.int64)[None, :]
-    b = bits.astype(np.int64)[:, None]
-    has = (states & b) != 0
-    s2 = states | b
-    comp = (~has) & (s2 == full)
-    return np.where(has, states, np.where(comp, 0, s2)), comp.astype(np.int64)
-
-
-def _compose_all(t: np.ndarray, k: np.ndarray):
-    """Reduce row tables to one segment table (state map, completion counts) by
-    pairwise composition: log2(m) vectorised levels, no per-row Python."""
-    while len(t) > 1:
-        if len(t) % 2:
-            ident = np.arange(t.shape[1], dtype=np.int64)[None, :]
-            t = np.vstack([t, ident])
-            k = np.vstack([k, np.zeros((1, k.shape[1]), dtype=np.int64)])
-        first_t, second_t = t[0::2], t[1::2]
-        first_k, second_k = k[0::2], k[1::2]
-        k = first_k + np.take_along_axis(second_k, first_t, axis=1)
-        t = np.take_along_axis(second_t, first_t, axis=1)
-    return t[0], k[0]
-
-
-#: Entries of a transition table held at a time (rows times states).
-TABLE_CELLS = 1 << 21
-
-
-def _segment_table(bits: np.ndarray, full: int, t: np.ndarray | None = None, k: np.ndarray | None = None):
-    """Transition table of a run of rows after the rows that (t, k) stands for; holds TABLE_CELLS entries at a time."""
-    if t is None:
-        t, k = np.arange(full + 1, dtype=np.int64), np.zeros(full + 1, dtype=np.int64)
-    step = max(1, TABLE_CELLS // (full + 1))
-    for at in range(0, len(bits), step):
-        t2, k2 = _compose_all(*_row_tables(bits[at:at + step], full))
-        k = k + k2[t]
-        t = t2[t]
-    return t, k
-
-
-def _summaries(n: int):
-    full = (1 << n) - 1
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # tables of the first and of the open segment: no row is kept, whatever a key's length. A segment inside a
-        # batch is neither, and is passed over.
-        segs: list[list] = []  # [pid, key, t, k]
-        for pdf in it:
-            if pdf.empty:
-                continue
-            keys = pdf["_key"].to_numpy()
-            pid = int(pdf["_pid"].iloc[0])
-            bits = pdf["_bit"].to_numpy().astype(np.int64)
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist() + [len(keys)]
-            for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
-                if i == 0 and segs and segs[-1][1] == keys[a]:
-                    segs[-1][2:] = _segment_table(bits[a:b], full, *segs[-1][2:])
-                elif not segs or b == len(keys):
-                    segs = segs[:1] + [[pid, keys[a], *_segment_table(bits[a:b], full)]]
-        if segs:
-            yield pd.DataFrame([(p, k, f.tolist(), c.tolist()) for p, k, f, c in segs], columns=["_pid", "_key", "f", "c"])
-
-    return run
-
-
-def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("_pid")
-    state, count = 0, 0
-    rows = []
-    for pid, f, c in zip(pdf["_pid"], pdf["f"], pdf["c"]):
-        rows.append((int(pid), pdf["_key"].iloc[0], state, count))
-        count += int(c[state])
-        state = int(f[state])
-    return pd.DataFrame(rows, columns=["_pid", "_key", "_entry_state", "_entry_count"])
-
-
-def _replay(n: int):
-    """Per batch: states before every row by a prefix composition of the row
-    tables (Hillis-Steele doubling, segment starts act as constant maps to the
-    segment's entry state), then kept flags and round numbers vectorised."""
-    full = (1 << n) - 1
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry_key, carry_state, carry_count = None, 0, 0
-        step = max(1, TABLE_CELLS // (full + 1))
-        for pdf in (p.iloc[at:at + step] for p in it for at in range(0, len(p), step)):
-            m = len(pdf)
-            keys = pdf["_key"].to_numpy()
-            bits = pdf["_bit"].to_numpy().astype(np.int64)
-            es = pdf["_entry_state"].fillna(0).to_numpy().astype(np.int64)
-            ec = pdf["_entry_count"].fillna(0).to_numpy().astype(np.int64)
-            start = np.ones(m, dtype=bool)
-            start[1:] = keys[1:] != keys[:-1]
-            cont0 = keys[0] == carry_key
-            start[0] = not cont0
-            # state before each row: G_i maps the batch-entry state to the state before row i+1
-            t, kflag = _row_tables(bits, full)
-            entry = np.where(start, es, 0)
-            pre = np.where(start[:, None], entry[:, None], np.arange(full + 1, dtype=np.int64)[None, :])
-            g = np.take_along_axis(t, pre, axis=1)  # row function including the reset
-            d = 1
-            while d < m:
-                g_new = g.copy()
-                g_new[d:] = np.take_along_axis(g[d:], g[:-d], axis=1)
-                g = g_new
-                d *= 2
-            s_in = carry_state if cont0 else 0
-            after = g[:, s_in]
-            before = np.empty(m, dtype=np.int64)
-            before[0] = es[0] if start[0] else s_in
-            before[1:] = np.where(start[1:], es[1:], after[:-1])
-            kept = (before & bits) == 0
-            comp = kept & ((before | bits) == full)
-            # rounds: completions before the row within its segment, plus the segment's entry count
-            seg_id = np.cumsum(start) - 1
-            base = np.where(start, ec, 0)
-            if cont0:
-                base[0] = carry_count
-            seg_base = base[start] if start[0] else np.concatenate([[carry_count], base[start]])
-            cum = np.cumsum(comp) - comp
-            seg_first = np.flatnonzero(start)
-            if not start[0]:
-                seg_first = np.concatenate([[0], seg_first])
-            rounds = seg_base[seg_id + (0 if start[0] else 1)] + cum - cum[seg_first][seg_id + (0 if start[0] else 1)]
-            carry_key, carry_state = keys[-1], int(after[-1])
-            carry_count = int(rounds[-1] + comp[-1])
-            yield pdf.drop(columns=["_entry_state", "_entry_count"]).assign(round=rounds, kept=kept)
-
-    return run
-
-
 def assign_rounds(jobs: DataFrame, sources: list[str], key: str = "correlation_key",
                   order: tuple[str, ...] = ("arrival_ts", "arrival_seq"),
                   num_partitions: int | None = None) -> DataFrame:
-    """Label every job with its merge round and whether it was kept.
+    """Label every job with its merge round and whether it was kept, for any number of sources.
 
     ``round`` counts the groups completed before the job within its key; a kept
     job belongs to group (key, round). Jobs without a key or from other sources
     are not part of the merge.
     """
-    n = len(sources)
-    if not 1 <= n <= MAX_SOURCES:
-        raise ValueError(f"merge over {n} sources is not supported (1..{MAX_SOURCES})")
-    spark = jobs.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = (jobs.where(F.col(key).isNotNull() & F.col("source").isin(sources))
-            .withColumn("_key", F.col(key).cast("string"))
-            .withColumn("_bit", _source_bit(sources)))
-    ranged = (base.repartitionByRange(parts, "_key", *order)
-              .withColumn("_pid", F.spark_partition_id())
-              .sortWithinPartitions("_key", *order))
-    checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)  # both passes must see identical partitions
-
-    summ = ranged.select("_pid", "_key", "_bit").mapInPandas(
-        _summaries(n), "_pid int, _key string, f array<bigint>, c array<bigint>")
-    entries = summ.groupBy("_key").applyInPandas(
-        _compose, "_pid int, _key string, _entry_state bigint, _entry_count bigint")
-    # At most two rows per partition (its first and last key segment): bounded by
-    # the partition count, never by the number of rows, so it can be broadcast.
-    joined = ranged.join(F.broadcast(entries), ["_pid", "_key"], "left").sortWithinPartitions(
-        "_pid", "_key", *order)
-    schema = (joined.drop("_entry_state", "_entry_count").schema
-              .add("round", T.LongType()).add("kept", T.BooleanType()))
-    out = joined.mapInPandas(_replay(n), schema)
-    return out.drop("_bit", "_pid", "_key")
+    return _assign(jobs, sources, key, order, num_partitions, NEVER, F.lit(0).cast("bigint"))
 
 
 def rounds_groups(labelled: DataFrame, sources: list[str], key: str = "correlation_key",
@@ -332,123 +166,127 @@ def merged_jobs(groups: DataFrame, pipeline_id: str, key: str | None) -> DataFra
     return out.drop("_maps", "_corr", "_fw")
 
 
-# ── exact rounds with a time limit: the same scan, time-aware summaries ──────
+# ── exact rounds with or without a time limit: a prefix scan over partitions ──
 #
-# State of a key = (open source mask, first-arrival time t0, groups started).
-# A segment's effect on an entry state depends on t0 only through e = the first
-# row later than t0 + timeout, and t0 ≤ the segment's first time, so e never lies
-# beyond the first row later than (first time + timeout). A summary therefore
-# ships: the times of those rows, the completion row for every entry mask, and
-# the exit state of a fresh start at each index that can be reached. Fresh-start
-# exits are computed backwards in one pass (a fresh start at i ends at its
-# completion or expiry, after which the next fresh start is determined).
-
-def _fresh_tables(t: np.ndarray, bits: np.ndarray, n: int, limit: int):
+# State of a key = (sources of the open group, its first arrival t0, groups started).
+# What a segment does to it depends on the sources only through the first row of each
+# source (the last one missing completes the group) and on t0 only through e = the
+# first row later than t0 + timeout, which never lies beyond the first row later than
+# (first time + timeout). A summary therefore ships, for N sources, N places of first
+# rows with the outcome of a fresh start right after each, and the outcomes of fresh
+# starts at the rows up to e: N entries and the distinct outcomes, not 2^N states.
+# A fresh start at i ends at its completion or expiry, after which the next fresh start
+# is determined, so outcomes are the ends of chains found by pointer doubling.
+
+NEVER = 1 << 60  # a time limit that no group reaches
+
+
+def _first_and_last(sid: np.ndarray, n: int):
+    """Index of the first and of the last row of each source; m and -1 for none."""
+    first, last = np.full(n, len(sid)), np.full(n, -1)
+    idx = np.arange(len(sid))
+    first[sid[::-1]] = idx[::-1]
+    last[sid] = idx
+    return first, last
+
+
+def _completions(sid: np.ndarray, n: int, end: np.ndarray | None = None) -> np.ndarray:
+    """Row at which a group that starts at each row has every source (m if none before ``end``)."""
+    m = len(sid)
+    idx, out = np.arange(m), np.full(m, -1)
+    for s in range(n):
+        near = np.minimum.accumulate(np.where(sid == s, idx, m)[::-1])[::-1]
+        out = np.maximum(out, near if end is None else np.where(near < end, near, m))
+    return out
+
+
+def _summary(pid, key, t: np.ndarray, sid: np.ndarray, n: int, limit: int):
+    """What a boundary segment does to any state that may enter it (see above)."""
     m = len(t)
-    full = (1 << n) - 1
     idx = np.arange(m)
-    nxt = []
-    for s in range(n):
-        pos = np.where((bits & (1 << s)) != 0, idx, m)
-        nxt.append(np.minimum.accumulate(pos[::-1])[::-1])  # first index ≥ i with source s
-    nxt = np.array(nxt)                                      # n × m
-    comp = nxt.max(axis=0)                                   # completion row of a fresh start (m = none)
+    comp = _completions(sid, n)
     exp = np.searchsorted(t, t + limit, side="right")        # first row later than t_i + limit
-    suffix_or = np.bitwise_or.accumulate(bits[::-1])[::-1]
-    # next fresh start of a fresh start at i, vectorised; then one backward pass
-    ns_arr = np.where((exp < m) & (exp <= comp), exp, np.where(comp < m, comp + 1, m + 1))
-    # the chain of fresh starts from each row, by pointer doubling: its length and its last start
-    jump, count, last = ns_arr, np.ones(m, dtype=np.int64), idx
-    while m and (jump < m).any():
+    jump = np.where((exp < m) & (exp <= comp), exp, np.where(comp < m, comp + 1, m + 1))
+    count, last = np.ones(m, dtype=np.int64), idx            # chain from each row: its length and its last start
+    while (jump < m).any():
         on = jump < m
         to = np.where(on, jump, 0)
         count, last, jump = (np.where(on, count + count[to], count), np.where(on, last[to], last),
                              np.where(on, jump[to], jump))
-    still = jump == m + 1  # open at the segment's end
-    gm, gt = np.where(still, suffix_or[last], 0), np.where(still, t[last], -1)
-    ext = lambda x, v: np.concatenate([x, [v]]).astype(np.int64)
-    return nxt, ext(gm, 0), ext(gt, -1), ext(count, 0), full
-
-
-def _summaries_t(n: int, limit: int):
-    """Boundary-segment summaries for the time-limited scan.
-
-    For an open entry group (mask, t0) the segment's effect depends on t0 only
-    through e = the first row later than t0 + limit, and e never lies beyond the
-    first row later than (first time + limit). Indices up to there are grouped
-    into runs with the same fresh-start outcome (exit mask, exit t0, groups
-    started), split at every completion row + 1 so that "expiry before
-    completion" is constant inside a run. A summary is the run starts with their
-    time thresholds and outcomes, the completion row of every entry mask, and the
-    OR of all sources: its size is the number of distinct outcomes, not rows."""
-    def summarise(pid, key, t, bits):
-        m = len(t)
-        nxt, gm, gt, gc, full = _fresh_tables(t, bits, n, limit)
-        e_max = int(np.searchsorted(t, t[0] + limit, side="right")) if m else 0  # first row beyond
-        cont = []
-        for mask in range(full + 1):
-            need = [s for s in range(n) if not mask & (1 << s)]
-            cont.append(int(max(nxt[s][0] for s in need)) if need and m else m)
-        last = min(e_max, m)
-        splits = {0, last} | {c + 1 for c in cont if c + 1 <= last}
-        outs = np.stack([gm[:last + 1], gt[:last + 1], gc[:last + 1]], axis=1)
-        new = np.ones(last + 1, dtype=bool)
-        new[1:] = (outs[1:] != outs[:-1]).any(axis=1)
-        new[sorted(splits)] = True
-        at = np.flatnonzero(new)
-        starts, (om, ot, oc) = at.tolist(), outs[at].T.tolist()
-        thr = [int(t[i - 1]) if i > 0 else -(1 << 62) for i in starts]
-        # outcome of a fresh start right after each completion row
-        after = [(int(gm[c + 1]), int(gt[c + 1]), int(gc[c + 1])) if c + 1 < m else (0, -1, 0) for c in cont]
-        return (pid, key, starts, thr, om, ot, oc, cont, [a[0] for a in after], [a[1] for a in after],
-                [a[2] for a in after], int(np.bitwise_or.reduce(bits)) if m else 0, m)
-
+    still = jump == m + 1                                    # open at the segment's end
+    # outcome of a fresh start: its open group's first row and time (-1: none open), groups started; row m: nothing
+    opened = np.append(np.where(still, last, -1), -1)
+    time = np.append(np.where(still, t[last], -1), -1)
+    count = np.append(count, 0)
+    first, lasts = _first_and_last(sid, n)
+    reach = min(int(np.searchsorted(t, t[0] + limit, side="right")), m)
+    new = np.ones(reach + 1, dtype=bool)
+    outs = np.stack([opened, time, count], axis=1)
+    new[1:] = (outs[1:reach + 1] != outs[:reach]).any(axis=1)
+    new[[c + 1 for c in first.tolist() if c + 1 <= reach]] = True  # so "expiry before completion" is one answer in a run
+    at = np.flatnonzero(new)
+    thr = np.where(at > 0, t[np.maximum(at - 1, 0)], -NEVER)
+    after = np.minimum(first + 1, m)
+    return (pid, key, m, at.tolist(), thr.tolist(), *(x[at].tolist() for x in (opened, time, count)), first.tolist(),
+            lasts.tolist(), *(x[after].tolist() for x in (opened, time, count)))
+
+
+_SUMMARY = ("_pid int, _key string, m bigint, starts array<bigint>, thr array<bigint>, og array<bigint>, ot array<bigint>, "
+            "oc array<bigint>, first array<bigint>, last array<bigint>, ag array<bigint>, at array<bigint>, ac array<bigint>")
+
+
+def _summaries(n: int, limit: int):
     def run(it):
-        segs: list[tuple] = []  # (pid, key, times, bits) of the first and of the open segment, as arrays
+        segs: list[tuple] = []  # (pid, key, times, sources) of the first and of the open segment, as arrays
         for pdf in it:
             if pdf.empty:
                 continue
             keys = pdf["_key"].to_numpy()
             pid = int(pdf["_pid"].iloc[0])
-            ts, bits = pdf["_t"].to_numpy().astype(np.int64), pdf["_bit"].to_numpy().astype(np.int64)
+            ts, sid = pdf["_t"].to_numpy().astype(np.int64), pdf["_sid"].to_numpy().astype(np.int64)
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])).tolist() + [len(keys)]
             for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
                 if i == 0 and segs and segs[-1][1] == keys[a]:
                     segs[-1][2].append(ts[a:b])
-                    segs[-1][3].append(bits[a:b])
+                    segs[-1][3].append(sid[a:b])
                 elif not segs or b == len(keys):
-                    segs = segs[:1] + [(pid, keys[a], [ts[a:b]], [bits[a:b]])]
-        out = [summarise(p, k, np.concatenate(tt), np.concatenate(b)) for p, k, tt, b in segs]
+                    segs = segs[:1] + [(pid, keys[a], [ts[a:b]], [sid[a:b]])]
+        out = [_summary(p, k, np.concatenate(tt), np.concatenate(b), n, limit) for p, k, tt, b in segs]
         if out:
-            yield pd.DataFrame(out, columns=["_pid", "_key", "starts", "thr", "om", "ot", "oc", "cont",
-                                             "am", "at", "ac", "orall", "m"])
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _SUMMARY.split(", ")])
 
     return run
 
 
-def _compose_t(limit: int):
-    def apply(row, mask, t0, starts):
-        m = int(row["m"])
-        if mask == 0:  # fresh start at row 0: the outcome of the first run
-            return int(row["om"][0]), int(row["ot"][0]), starts + int(row["oc"][0])
-        c = int(row["cont"][mask])
-        # run holding e = first row later than t0 + limit
-        r = int(np.searchsorted(np.asarray(row["thr"], dtype=np.int64), t0 + limit, side="right")) - 1
-        e = int(row["starts"][r])
-        if e < m and e <= c:
-            return int(row["om"][r]), int(row["ot"][r]), starts + int(row["oc"][r])
-        if c < m:
-            return int(row["am"][mask]), int(row["at"][mask]), starts + int(row["ac"][mask])
-        return mask | int(row["orall"]), t0, starts
+def _after_segment(row, has: np.ndarray, t0: int, starts: int, limit: int):
+    """State after a segment (its summary), from the open group's sources (none: nothing open), t0 and groups started."""
+    m, first, last = int(row["m"]), np.asarray(row["first"]), np.asarray(row["last"])
+
+    def outcome(opened, time, count):
+        opened = int(opened)
+        return (last >= opened) & (opened >= 0), int(time), starts + int(count)
+
+    if not has.any():  # a fresh start at the first row
+        return outcome(row["og"][0], row["ot"][0], row["oc"][0])
+    lacking = np.flatnonzero(~has)
+    s = int(lacking[first[lacking].argmax()])
+    c = int(first[s])
+    r = int(np.searchsorted(np.asarray(row["thr"], dtype=np.int64), t0 + limit, side="right")) - 1
+    e = int(row["starts"][r])  # of a run of rows with one outcome
+    if e < m and e <= c:
+        return outcome(row["og"][r], row["ot"][r], row["oc"][r])
+    if c < m:
+        return outcome(row["ag"][s], row["at"][s], row["ac"][s])
+    return has | (last >= 0), t0, starts
 
+
+def _compose(n: int, limit: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pid")
-        mask, t0, starts = 0, -1, 0
-        rows = []
-        for row in pdf.to_dict("records"):  # a row for each partition that the key spans
-            rows.append((int(row["_pid"]), row["_key"], mask, t0, starts))
-            mask, t0, starts = apply(row, mask, t0, starts)
-        return pd.DataFrame(rows, columns=["_pid", "_key", "_entry_state", "_entry_t0", "_entry_count"])
+        has, t0, starts, rows = np.zeros(n, dtype=bool), -1, 0, []
+        for row in pdf.sort_values("_pid").to_dict("records"):  # a row for each partition that the key spans
+            rows.append((int(row["_pid"]), row["_key"], has.astype(np.uint8).tobytes(), t0, starts))
+            has, t0, starts = _after_segment(row, has, t0, starts, limit)
+        return pd.DataFrame(rows, columns=["_pid", "_key", "_entry_has", "_entry_t0", "_entry_count"])
 
     return run
 
@@ -464,9 +302,10 @@ def _first_later(t: np.ndarray, lo: np.ndarray, hi: np.ndarray, than: np.ndarray
     return lo
 
 
-def _replay_batch(t: np.ndarray, bits: np.ndarray, seg_start: np.ndarray, n: int, limit: int, mask: np.ndarray,
+def _replay_batch(t: np.ndarray, sid: np.ndarray, seg_start: np.ndarray, n: int, limit: int, has: np.ndarray,
                   t0: np.ndarray, starts: np.ndarray):
-    """Replay of all key segments of a batch at once, each from its entry state.
+    """Replay of all key segments of a batch at once, each from its entry state: ``has`` (segments, sources) says which
+    sources the open group has (none: nothing is open).
 
     Fresh starts form a chain i -> ns(i) (completion + 1 or expiry row); the chains from the segments' first fresh
     starts are enumerated by doubling, then round numbers are a cumulative count of starts and a row is kept when its
@@ -476,20 +315,23 @@ def _replay_batch(t: np.ndarray, bits: np.ndarray, seg_start: np.ndarray, n: int
     seg_end = np.append(seg_start[1:], m)
     seg = np.repeat(np.arange(k), seg_end - seg_start)
     end = seg_end[seg]
-    nxt = []  # first index from here in the segment with each source, m if none
+    comp, c = np.full(m, -1), np.full(k, -1)
+    prev_same = np.full(m, -1)
     for s in range(n):
-        near = np.minimum.accumulate(np.where((bits & (1 << s)) != 0, idx, m)[::-1])[::-1]
-        nxt.append(np.where(near < end, near, m))
-    nxt = np.array(nxt)
-    comp = nxt.max(axis=0)
+        on = sid == s
+        near = np.minimum.accumulate(np.where(on, idx, m)[::-1])[::-1]
+        near = np.where(near < end, near, m)  # first row from here in the segment with this source, m if none
+        comp = np.maximum(comp, near)
+        c = np.where(has[:, s], c, np.maximum(c, near[seg_start]))
+        last = np.maximum.accumulate(np.where(on, idx, -1))
+        prev_same = np.where(on, np.concatenate([[-1], last[:-1]]), prev_same)
     exp = _first_later(t, idx, end, t + limit)
     ns = np.where((exp < end) & (exp <= comp), exp, np.where(comp + 1 < end, comp + 1, m))
     # the first fresh start of each segment
+    open_ = has.any(axis=1)
     e = _first_later(t, seg_start, seg_end, t0 + limit)
-    need = np.array([(mask & (1 << s)) == 0 for s in range(n)])
-    c = np.where(need, nxt[:, seg_start], -1).max(axis=0)
-    first = np.where(mask == 0, seg_start, np.where((e < seg_end) & (e <= c), e, np.where(c + 1 < seg_end, c + 1, m)))
-    entry_done = (mask != 0) & (first == m) & (c == seg_end - 1)  # the entry group completes on the segment's last row
+    first = np.where(~open_, seg_start, np.where((e < seg_end) & (e <= c), e, np.where(c + 1 < seg_end, c + 1, m)))
+    entry_done = open_ & (first == m) & (c == seg_end - 1)  # the entry group completes on the segment's last row
     is_start = np.zeros(m, dtype=bool)
     nodes, jump = np.unique(first[first < m]), np.append(ns, m)
     while len(nodes):  # nodes within depth < 2^k, then square the jump
@@ -504,93 +346,87 @@ def _replay_batch(t: np.ndarray, bits: np.ndarray, seg_start: np.ndarray, n: int
     rounds = starts[seg] - 1 + before[1:] - before[seg_start][seg]
     last_start = np.maximum.accumulate(np.where(is_start, idx, -1))
     in_group = last_start >= seg_start[seg]
-    prev_same = np.full(m, -1)
-    for s in range(n):
-        on = (bits & (1 << s)) != 0
-        last = np.maximum.accumulate(np.where(on, idx, -1))
-        prev_same = np.where(on, np.concatenate([[-1], last[:-1]]), prev_same)
-    kept = np.where(in_group, prev_same < last_start, ((bits & mask[seg]) == 0) & (prev_same < seg_start[seg]))
+    kept = np.where(in_group, prev_same < last_start, ~has[seg, sid] & (prev_same < seg_start[seg]))
     a = int(seg_start[-1])
     begun = int(starts[-1] + is_start[a:].sum())
+    present = np.zeros(n, dtype=bool)
     if entry_done[-1]:
-        out = (0, -1, begun)
-    elif first[-1] == m:
-        out = (int(mask[-1]) | int(np.bitwise_or.reduce(bits[a:])), int(t0[-1]), begun)
-    else:
-        g = int(last_start[-1])
-        open_ = comp[g] >= m
-        out = (int(np.bitwise_or.reduce(bits[g:])), int(t[g]), begun) if open_ else (0, -1, begun)
-    return rounds, kept, out
-
-
-def _replay_segment_vec(t: np.ndarray, bits: np.ndarray, n: int, limit: int, mask: int, t0: int, starts: int):
-    """One segment's replay from a known entry state."""
-    one = lambda x: np.array([x], dtype=np.int64)
-    rounds, kept, out = _replay_batch(t, bits, one(0), n, limit, one(mask), one(t0), one(starts))
-    return rounds, kept, *out
-
-
-def _replay_t(n: int, limit: int):
+        return rounds, kept, (present, -1, begun)
+    if first[-1] == m:
+        present |= has[-1]
+        present[sid[a:]] = True
+        return rounds, kept, (present, int(t0[-1]), begun)
+    g = int(last_start[-1])
+    if comp[g] < m:
+        return rounds, kept, (present, -1, begun)
+    present[sid[g:]] = True
+    return rounds, kept, (present, int(t[g]), begun)
+
+
+def _replay(n: int, limit: int):
     def run(it):
-        cur, carry = None, (0, -1, 0)
+        cur, carry = None, None
         for pdf in it:
             if pdf.empty:
                 continue
             keys = pdf["_key"].to_numpy()
-            bits = pdf["_bit"].to_numpy().astype(np.int64)
+            sid = pdf["_sid"].to_numpy().astype(np.int64)
             ts = pdf["_t"].to_numpy().astype(np.int64)
             seg_start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            state = [pdf[c].fillna(v).to_numpy().astype(np.int64)[seg_start] for c, v in
-                     (("_entry_state", 0), ("_entry_t0", -1), ("_entry_count", 0))]
+            has = np.zeros((len(seg_start), n), dtype=bool)
+            for i, x in enumerate(pdf["_entry_has"].to_numpy()[seg_start]):
+                if isinstance(x, bytes | bytearray):
+                    has[i] = np.frombuffer(x, dtype=np.uint8) > 0
+            t0, starts = (pdf[c].fillna(v).to_numpy().astype(np.int64)[seg_start]
+                          for c, v in (("_entry_t0", -1), ("_entry_count", 0)))
             if keys[0] == cur:  # the open segment goes on
-                for x, v in zip(state, carry):
-                    x[0] = v
-            rounds, kept, carry = _replay_batch(ts, bits, seg_start, n, limit, *state)
+                has[0], t0[0], starts[0] = carry
+            rounds, kept, carry = _replay_batch(ts, sid, seg_start, n, limit, has, t0, starts)
             cur = keys[-1]
-            yield pdf.drop(columns=["_entry_state", "_entry_t0", "_entry_count", "_t"]).assign(
+            yield pdf.drop(columns=["_entry_has", "_entry_t0", "_entry_count", "_t", "_sid", "_pid", "_key"]).assign(
                 round=rounds, kept=kept)
 
     return run
 
 
-def assign_rounds_timeout(jobs: DataFrame, sources: list[str], timeout_secs: int, key: str = "correlation_key",
-                          order: tuple[str, ...] = ("arrival_ts", "arrival_seq"),
-                          num_partitions: int | None = None) -> DataFrame:
-    """Like ``assign_rounds`` with the group time limit (J6): a group lives
-    ``timeout_secs`` (at least 1) from its first job, inclusive; a job arriving
-    later finds it expired and opens a new group. ``round`` numbers the groups
-    started within the key; groups with fewer than N kept jobs never completed.
-
-    The per-partition summary of a boundary key has one entry per distinct
-    fresh-start outcome within one timeout of the partition's first row for that
-    key (plus one per entry mask), not one per row."""
+def _assign(jobs: DataFrame, sources: list[str], key: str, order: tuple[str, ...], num_partitions: int | None,
+            limit: int, time: Column) -> DataFrame:
     n = len(sources)
-    if not 1 <= n <= MAX_SOURCES:
-        raise ValueError(f"merge over {n} sources is not supported (1..{MAX_SOURCES})")
-    limit = int(max(timeout_secs, 1)) * 1_000_000
+    if not n:
+        raise ValueError("a merge needs a source")
     spark = jobs.sparkSession
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = (jobs.where(F.col(key).isNotNull() & F.col("source").isin(sources))
-            .withColumn("_key", F.col(key).cast("string"))
-            .withColumn("_bit", _source_bit(sources))
-            .withColumn("_t", F.unix_micros(F.col(order[0]).cast("timestamp"))))
+            .withColumn("_key", F.col(key).cast("string")).withColumn("_sid", _source_number(sources)).withColumn("_t", time))
     ranged = (base.repartitionByRange(parts, "_key", *order)
               .withColumn("_pid", F.spark_partition_id())
               .sortWithinPartitions("_key", *order))
     checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
-    summ = ranged.select("_pid", "_key", "_t", "_bit").mapInPandas(
-        _summaries_t(n, limit),
-        "_pid int, _key string, starts array<bigint>, thr array<bigint>, om array<bigint>, ot array<bigint>, "
-        "oc array<bigint>, cont array<bigint>, am array<bigint>, at array<bigint>, ac array<bigint>, "
-        "orall bigint, m bigint")
+    ranged = ranged.checkpoint(eager=True)  # both passes must see identical partitions
+    summ = ranged.select("_pid", "_key", "_t", "_sid").mapInPandas(_summaries(n, limit), _SUMMARY)
     entries = summ.groupBy("_key").applyInPandas(
-        _compose_t(limit), "_pid int, _key string, _entry_state bigint, _entry_t0 bigint, _entry_count bigint")
+        _compose(n, limit), "_pid int, _key string, _entry_has binary, _entry_t0 bigint, _entry_count bigint")
+    # At most two rows per partition (its first and last key segment): bounded by
+    # the partition count, never by the number of rows, so it can be broadcast.
     joined = ranged.join(F.broadcast(entries), ["_pid", "_key"], "left").sortWithinPartitions(
         "_pid", "_key", *order)
-    schema = (joined.drop("_entry_state", "_entry_t0", "_entry_count", "_t").schema
-              .add("round", T.LongType()).add("kept", T.BooleanType()))
-    return joined.mapInPandas(_replay_t(n, limit), schema).drop("_bit", "_pid", "_key")
+    schema = T.StructType([f for f in base.schema.fields if f.name not in ("_key", "_sid", "_t")])
+    return joined.mapInPandas(_replay(n, limit), schema.add("round", T.LongType()).add("kept", T.BooleanType()))
+
+
+def assign_rounds_timeout(jobs: DataFrame, sources: list[str], timeout_secs: int, key: str = "correlation_key",
+                          order: tuple[str, ...] = ("arrival_ts", "arrival_seq"),
+                          num_partitions: int | None = None) -> DataFrame:
+    """Like ``assign_rounds`` with the group time limit (J6): a group lives
+    ``timeout_secs`` (at least 1) from its first job, inclusive; a job arriving
+    later finds it expired and opens a new group. ``round`` numbers the groups
+    started within the key; groups with fewer than N kept jobs never completed.
+
+    The per-partition summary of a boundary key has one entry per distinct
+    fresh-start outcome within one timeout of the partition's first row for that
+    key (plus one per source), not one per row."""
+    time = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    return _assign(jobs, sources, key, order, num_partitions, int(max(timeout_secs, 1)) * 1_000_000, time)
 
 
 # ── spec-driven entry point ──────────────────────────────────────────────────

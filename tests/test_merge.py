@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from jobframe.operators.merge import assign_rounds, merged_jobs, rounds_groups
+from jobframe.operators.merge import assign_rounds, assign_rounds_timeout, merged_jobs, rounds_groups
 
 
 def brute(rows, sources):
@@ -175,11 +175,22 @@ def _replay_segment_loop(t, bits, full, limit, mask, t0, starts):
     return rounds, kept, mask, t0, starts
 
 
+def _sets(masks, n):
+    """Bit masks as rows of booleans, one for each source."""
+    import numpy as np
+
+    return np.array([[bool(x >> s & 1) for s in range(n)] for x in masks]).reshape(-1, n)
+
+
+def _mask(has):
+    return sum(1 << s for s, x in enumerate(has) if x)
+
+
 def test_vectorised_timeout_replay_equals_loop():
     """The numpy segment replay and the plain loop agree on random segments."""
     import numpy as np
 
-    from jobframe.operators.merge import _replay_batch, _replay_segment_vec
+    from jobframe.operators.merge import _replay_batch
 
     rnd = random.Random(7)
     for _ in range(1500):
@@ -193,11 +204,12 @@ def test_vectorised_timeout_replay_equals_loop():
         t0 = int(t[0]) - rnd.randint(0, 40) if mask else -1
         starts = rnd.randint(0, 5) + (1 if mask else 0)
         a = _replay_segment_loop(t.tolist(), bits.tolist(), full, limit, mask, t0, starts)
-        b = _replay_segment_vec(t, bits, n, limit, mask, t0, starts)
-        assert list(a[0]) == list(b[0]) and list(a[1]) == list(b[1])
-        assert (a[2], a[4]) == (int(b[2]), int(b[4]))
+        one = lambda x: np.array([x], dtype=np.int64)
+        rounds, kept, out = _replay_batch(t, np.log2(bits).astype(int), one(0), n, limit, _sets([mask], n), one(t0), one(starts))
+        assert list(a[0]) == list(rounds) and list(a[1]) == list(kept)
+        assert (a[2], a[4]) == (_mask(out[0]), out[2])
         if a[2]:
-            assert a[3] == int(b[3])  # the open group's start time (unused when nothing is open)
+            assert a[3] == out[1]  # the open group's start time (unused when nothing is open)
 
     # many segments at once, one of them open from the batch before
     for _ in range(300):
@@ -212,8 +224,50 @@ def test_vectorised_timeout_replay_equals_loop():
                           int(t[0]) - rnd.randint(0, 40) if mask else -1, rnd.randint(0, 5) + (1 if mask else 0)))
         want = [_replay_segment_loop(t.tolist(), b.tolist(), full, limit, x, t0, c) for t, b, x, t0, c in parts]
         seg_start = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
-        rounds, kept, out = _replay_batch(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]),
-                                          seg_start, n, limit, *(np.array(x, dtype=np.int64) for x in zip(*(p[2:] for p in parts))))
+        has, t0, starts = zip(*(p[2:] for p in parts))
+        sid = np.log2(np.concatenate([p[1] for p in parts])).astype(int)
+        rounds, kept, out = _replay_batch(np.concatenate([p[0] for p in parts]), sid, seg_start, n, limit, _sets(has, n),
+                                          np.array(t0), np.array(starts))
         assert rounds.tolist() == [r for w in want for r in w[0]] and kept.tolist() == [k for w in want for k in w[1]]
         mask, t0, starts = want[-1][2:]
-        assert (out[0], out[2]) == (mask, starts) and (not mask or out[1] == t0)
+        assert (_mask(out[0]), out[2]) == (mask, starts) and (not mask or out[1] == t0)
+
+
+def test_summaries_equal_the_loop():
+    """What a segment's summary does to a state is what its rows do, with and without a time limit."""
+    import numpy as np
+
+    from jobframe.operators import merge
+
+    rnd = random.Random(11)
+    names = [c.split()[0] for c in merge._SUMMARY.split(", ")]
+    for _ in range(1500):
+        n, m = rnd.choice([1, 2, 3, 5]), rnd.randint(1, 40)
+        t = np.cumsum([rnd.choice([0, 1, 2, 5, 30]) for _ in range(m)]).astype(np.int64) + 1000
+        sid = np.array([rnd.randrange(n) for _ in range(m)])
+        limit = rnd.choice([1, 5, 20, 100, merge.NEVER])
+        row = dict(zip(names, merge._summary(0, "k", t, sid, n, limit)))
+        for _ in range(6):
+            mask = rnd.randrange((1 << n) - 1) if rnd.random() < 0.8 else 0
+            t0 = int(t[0]) - rnd.randint(0, 40) if mask else -1
+            *_, want, want_t0, starts = _replay_segment_loop(t.tolist(), (1 << sid).tolist(), (1 << n) - 1, limit, mask, t0, 3)
+            has, got_t0, got = merge._after_segment(row, _sets([mask], n)[0], t0, 3, limit)
+            assert (_mask(has), got) == (want, starts) and (not want or got_t0 == want_t0)
+
+
+def test_forty_sources_with_a_hot_key(spark):
+    rnd = random.Random(4)
+    sources = [f"s{i}" for i in range(40)]
+    rows = [("hot" if rnd.random() < 0.7 else f"k{rnd.randint(0, 5)}", seq, rnd.choice(sources)) for seq in range(6000)]
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame(
+        [(k, s, src, f"id{s}", "{}", {}, base + dt.timedelta(seconds=s)) for k, s, src in rows],
+        "correlation_key string, arrival_seq long, source string, id string, payload string, "
+        "labels map<string,string>, arrival_ts timestamp")
+    got = {r.arrival_seq: (r["round"], r.kept)
+           for r in assign_rounds(df, sources, num_partitions=6).select("arrival_seq", "round", "kept").collect()}
+    want = brute(rows, sources)
+    assert got == want and max(r for r, _ in want.values()) > 5
+    timed = assign_rounds_timeout(df, sources, 400, num_partitions=6)
+    got = {r.arrival_seq: (r["round"], r.kept) for r in timed.select("arrival_seq", "round", "kept").collect()}
+    assert got == brute_timeout([(k, s, src, s) for k, s, src in rows], sources, 400)
