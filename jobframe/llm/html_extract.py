@@ -1,8 +1,8 @@
 """Main-text extraction from web pages by shallow text features.
 
 A page is cut into flat text blocks. Each block is described by its words and link density, those of the blocks
-before and after it, and by the kind of container it stands in; a decision tree, grown from the small labelled
-table below, says whether it is main text. The tags are read by one pass of a pattern, so broken markup (crossing
+before and after it, and by what tags and names say of its place (only tags and plain names are strong evidence); a
+decision tree, grown from the small labelled table below, says whether it is main text. The tags are read by one pass of a pattern, so broken markup (crossing
 tags, a page cut off anywhere) is no special case. Of the elements that are dropped whole, only raw text without an
 end tag runs to the end of the page; of any other one without an end tag the start tag alone is dropped.
 """
@@ -54,35 +54,53 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidd
 #: Names that take an article or main element out of the main text, as one of many or as a reader's comment.
 LESSER_NAMES = frozenset("ad ads advert comment comments promo promoted recommended related replies reply sponsored teaser "
                          "widget".split())
-#: Away, but an article inside is main text: forms around whole pages, and names that only have such a part.
-SOFT = -0.6
+#: Parts of a name that turn it into a statement about the page ("no-sidebar", "ad-free", "comments-open"): no evidence.
+STATEMENTS = frozenset("no not non has have with without free open closed off on enabled disabled hide show is".split())
+#: Parts of names of boxes that hold much else beside what they are called after ("header-wrap"): weak evidence.
+BOXES = frozenset("wrap wrapper container outer inner layout page".split())
+#: Kinds of place: surroundings, perhaps surroundings, unknown, named like main text, an article or main element.
+AWAY, PERHAPS, UNKNOWN, NAMED, BODY = -2.0, -1.0, 0.0, 1.0, 2.0
 
 
-def names_of(attrs: str) -> tuple[set, set]:
-    """Whole class, id and role names, and their parts (at marks, digits and capitals)."""
-    whole, parts = set(), set()
+def names_of(attrs: str) -> list[tuple[str, set]]:
+    """Class, id and role names, each with its parts (at marks, digits and capitals)."""
+    found = []
     for m in _NAMES.finditer(attrs):
         for name in m[1].strip("\"'").split():
-            whole.add(name.lower())
-            parts |= {x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)}
-    return whole, parts
+            found.append((name.lower(), {x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)}))
+    return found
+
+
+def evidence(attrs: str, inside: float) -> float:
+    """What an element's names say of its place: the strongest word for surroundings, else for main text."""
+    said = UNKNOWN
+    away = AWAY_NAMES - {"header"} if inside >= NAMED else AWAY_NAMES
+    for whole, parts in names_of(attrs) if attrs else ():
+        if whole in away:
+            return AWAY
+        if parts & STATEMENTS:
+            continue
+        if parts & away:
+            said = min(said, PERHAPS if parts & BOXES or parts & BODY_NAMES else AWAY)
+        elif parts & BODY_NAMES and said == UNKNOWN:
+            said = NAMED
+    return said
 
 
 def place_of(tag: str, attrs: str, inside: float) -> float:
-    """-1 (or SOFT): surroundings, 1: main text, else what the outer container says."""
+    """The kind of place inside an element, from its tag and names and the kind that it stands in."""
     if tag in ("html", "body"):
         return inside
-    whole, parts = names_of(attrs) if attrs else (set(), set())
-    if tag in AWAY_TAGS or (tag == "header" and inside != 1) or (attrs and _HIDDEN.search(attrs)):
-        return min(inside, SOFT if tag == "form" else -1)
+    if tag in AWAY_TAGS or (tag == "header" and inside < NAMED) or (attrs and _HIDDEN.search(attrs)):
+        return min(inside, PERHAPS if tag == "form" else AWAY)
     if tag in BODY_TAGS:
-        return -1 if inside == -1 and tag == "article" or (whole | parts) & LESSER_NAMES else 1
-    away = AWAY_NAMES - {"header"} if inside == 1 else AWAY_NAMES
-    if whole & away:
-        return -1
-    if parts & away:
-        return min(inside, SOFT)
-    return 1 if (whole | parts) & BODY_NAMES and not inside else inside
+        lesser = any(whole in LESSER_NAMES or (parts & LESSER_NAMES and not parts & STATEMENTS)
+                     for whole, parts in (names_of(attrs) if attrs else ()))
+        return AWAY if lesser or (inside == AWAY and tag == "article") else BODY
+    said = evidence(attrs, inside)
+    if said < UNKNOWN:
+        return min(said, inside)
+    return NAMED if said == NAMED and inside in (PERHAPS, UNKNOWN) else inside
 
 
 def tags(page: str) -> list[list]:
@@ -162,7 +180,7 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
                             place = open_tags[k][1]
                             del open_tags[k:]
                             break
-            elif not m["end"] and m["attrs"] and place_of(tag, m["attrs"], place) < 0:
+            elif not m["end"] and m["attrs"] and place_of(tag, m["attrs"], place) < min(place, 0):
                 open_tags.append((tag, place))
                 place = place_of(tag, m["attrs"], place)
             elif m["end"] and open_tags and open_tags[-1][0] == tag:
@@ -174,30 +192,66 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
 
 FEATURES = ("place", "words", "links", "prev_words", "prev_links", "next_words", "next_links")
 
-#: The labelled table: a block's features (place; words and link density of the block, of the one before and of the
-#: one after; 0 beyond the page's ends) and whether it is main text. Fixed values, written for this operator.
+#: The labelled table: a block's features (kind of place; words and link density of the block, of the one before and
+#: of the one after; 0 beyond the page's ends) and whether it is main text. Fixed values, written for this operator.
 LABELLED = """
 place words links prev_words prev_links next_words next_links main
+2 9 0.0 1 1.0 60 0.0 1
+2 60 0.0 9 0.0 45 0.0 1
+2 3 0.0 60 0.0 45 0.0 1
+2 45 0.1 3 0.0 80 0.0 1
+2 1 0.0 30 0.0 12 0.0 1
+2 12 0.5 40 0.0 30 0.0 1
+2 80 0.0 45 0.1 12 0.0 1
+2 6 1.0 50 0.0 40 0.0 1
+2 2 0.0 1 1.0 8 0.0 1
+2 120 0.0 2 0.0 0 0.0 1
+2 2 0.0 4 0.0 8 0.0 1
+2 2 0.0 0 0.0 2 0.0 1
+2 3 0.0 2 0.0 0 0.0 1
+2 8 0.0 2 0.0 3 0.0 1
+2 5 0.0 5 0.0 5 0.0 1
+2 20 0.3 2 0.0 1 1.0 1
+2 1 0.0 3 0.0 1 0.0 1
+2 15 0.0 15 0.0 0 0.0 1
+2 40 0.0 0 0.0 1 1.0 1
+2 3 0.0 30 0.0 2 0.0 1
+1 2 0.0 0 0.0 3 0.0 1
+1 3 0.0 2 0.0 0 0.0 1
+1 8 0.0 2 0.0 3 0.0 1
+1 20 0.0 3 0.0 1 1.0 1
+-2 45 0.0 45 0.0 45 0.0 0
+-2 42 0.0 42 0.0 0 0.0 0
+-2 42 0.0 0 0.0 42 0.0 0
+-2 90 0.0 60 0.0 90 0.0 0
+-2 6 0.0 6 0.0 6 0.0 0
+-2 8 0.0 7 0.0 6 0.0 0
+-2 45 0.0 20 0.0 60 0.0 0
+-2 50 0.0 60 0.0 45 0.0 0
+-2 70 0.0 45 0.0 1 1.0 0
+-2 20 0.0 45 0.0 45 0.0 0
+-2 12 0.0 60 0.0 30 0.0 0
+-2 60 0.1 3 0.0 60 0.0 0
+2 4 1.0 60 0.0 0 0.0 0
+2 3 1.0 60 0.0 4 1.0 0
+2 4 1.0 3 1.0 4 1.0 0
+2 5 1.0 4 1.0 0 0.0 0
+2 6 1.0 4 1.0 30 0.0 0
+2 7 0.9 40 0.0 6 1.0 0
 1 9 0.0 1 1.0 60 0.0 1
 1 60 0.0 9 0.0 45 0.0 1
 1 3 0.0 60 0.0 45 0.0 1
 1 45 0.1 3 0.0 80 0.0 1
-1 1 0.0 30 0.0 12 0.0 1
 1 12 0.5 40 0.0 30 0.0 1
-1 80 0.0 45 0.1 12 0.0 1
 1 6 1.0 50 0.0 40 0.0 1
 1 2 0.0 1 1.0 8 0.0 1
 1 120 0.0 2 0.0 0 0.0 1
--1 1 1.0 0 0.0 1 1.0 0
--1 1 1.0 1 1.0 8 0.0 0
--1 8 0.0 1 1.0 10 0.0 0
--1 25 0.0 80 0.0 0 0.0 0
--1 40 0.1 60 0.0 30 0.0 0
--1 60 0.0 45 0.0 70 0.0 0
--1 3 0.0 25 0.0 2 0.0 0
--1 12 0.3 90 0.0 0 0.0 0
--1 5 0.0 2 0.0 6 0.0 0
--1 150 0.0 90 0.0 20 0.0 0
+1 5 0.0 6 0.0 4 0.0 1
+1 4 1.0 60 0.0 0 0.0 0
+1 3 1.0 60 0.0 4 1.0 0
+1 4 1.0 3 1.0 4 1.0 0
+1 5 1.0 4 1.0 0 0.0 0
+1 8 0.9 5 1.0 30 0.0 0
 0 1 1.0 0 0.0 1 1.0 0
 0 2 1.0 1 1.0 2 1.0 0
 0 3 1.0 2 1.0 9 0.0 0
@@ -231,6 +285,51 @@ place words links prev_words prev_links next_words next_links main
 0 20 0.0 35 0.0 28 0.0 1
 0 12 0.0 28 0.0 33 0.0 1
 0 70 0.2 12 0.0 2 1.0 1
+0 6 0.0 6 0.0 6 0.0 1
+0 5 0.0 0 0.0 6 0.0 1
+0 6 0.0 0 0.0 6 0.0 1
+0 8 0.0 0 0.0 8 0.0 1
+0 7 0.0 6 0.0 0 0.0 1
+0 6 0.0 7 0.0 5 0.0 1
+0 8 0.0 7 0.0 6 0.0 1
+-1 60 0.0 45 0.0 70 0.0 1
+-1 45 0.0 60 0.0 40 0.0 1
+-1 80 0.0 50 0.0 30 0.1 1
+-1 40 0.1 60 0.0 45 0.0 1
+-1 35 0.0 40 0.0 35 0.0 1
+-1 90 0.0 9 0.0 60 0.0 1
+-1 45 0.0 45 0.0 0 0.0 1
+-1 35 0.0 60 0.0 4 0.0 1
+-1 45 0.0 0 0.0 45 0.0 1
+-1 60 0.0 90 0.0 0 0.0 1
+-1 9 0.0 1 1.0 90 0.0 1
+-1 20 0.0 3 0.0 3 0.0 0
+-1 30 0.0 2 0.0 4 0.0 0
+-1 60 0.0 2 0.0 3 0.0 0
+-1 25 0.0 8 0.0 0 0.0 0
+-1 12 0.0 0 0.0 3 0.0 0
+-1 9 0.0 3 0.0 5 0.0 0
+-1 3 0.0 25 0.0 2 0.0 0
+-1 2 0.0 0 0.0 45 0.0 0
+-1 2 0.0 45 0.0 45 0.0 0
+-1 3 0.0 60 0.0 40 0.0 0
+-1 2 0.0 30 0.0 12 0.0 0
+-1 4 0.0 12 0.0 80 0.0 0
+-1 2 0.0 1 1.0 6 0.0 0
+-1 1 1.0 0 0.0 1 1.0 0
+-1 5 0.8 3 1.0 6 0.9 0
+-1 40 0.6 30 0.5 20 0.8 0
+-1 12 0.3 90 0.0 0 0.0 0
+-2 1 1.0 0 0.0 1 1.0 0
+-2 1 1.0 1 1.0 8 0.0 0
+-2 8 0.0 1 1.0 10 0.0 0
+-2 25 0.0 80 0.0 0 0.0 0
+-2 40 0.1 60 0.0 30 0.0 0
+-2 60 0.0 45 0.0 70 0.0 0
+-2 3 0.0 25 0.0 2 0.0 0
+-2 12 0.3 90 0.0 0 0.0 0
+-2 5 0.0 2 0.0 6 0.0 0
+-2 150 0.0 90 0.0 20 0.0 0
 """
 
 

@@ -102,3 +102,116 @@ def test_names_that_only_begin_like_a_dropped_element():
     page = '<article><p>one</p><svg-icon n="x"></svg-icon><p>two</p><button-bar>b</button-bar><p>three</p></article>'
     assert hx.main_text(page, TREE).split() == ["one", "two", "b", "three"]
     assert hx.main_text("<article><svg><title>Icon</svg><p>two</p></article>", TREE) == "two"
+
+
+LONGS = [LONG * 2 + f"Number {k}." for k in range(4)]
+RUN = "".join(f"<p>{x}</p>" for x in LONGS)
+MISLEADING = [
+    '<div id="page" class="no-sidebar"><div class="entry-content">{}</div></div>',
+    '<div class="container has-sidebar">{}</div>',
+    '<div class="article-body ad-free">{}</div>',
+    '<article class="post comments-open">{}</article>',
+    '<div id="header-wrap"><div id="content">{}</div></div>',
+    '<div id="header-wrap">{}</div>',
+    '<form><div class="sidebar-layout">{}</div></form>',
+    '<div class="with-footer without-menu">{}</div>',
+]
+
+
+@pytest.mark.parametrize("page", MISLEADING)
+def test_names_alone_take_no_article(page):
+    assert hx.main_text("<body>" + page.format(RUN) + "</body>", TREE) == "\n".join(LONGS)
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="cookie-notice">{}</div>', '<div class="sidebar">{}</div>', '<section id="comments">{}</section>',
+    '<div class="comment-list">{}</div>', "<footer>{}</footer>", "<nav>{}</nav>", "<aside>{}</aside>",
+    '<div class="site-footer">{}</div>', '<div class="ad">{}</div>'])
+def test_surroundings_stay_out_even_if_long(page):
+    body = "<article><h1>Head</h1><p>" + LONG + "</p></article>"
+    assert hx.main_text("<body>" + body + page.format(RUN) + "</body>", TREE) == "Head\n" + LONG.strip()
+
+
+def test_densities_and_neighbours_decide():
+    lines = [f"Six words stand here in line{k}." for k in range(6)]
+    assert hx.main_text("".join(f"<p>{x}</p>" for x in lines), TREE) == "\n".join(lines)
+    links = "".join(f'<li><a href="{k}">Read next: {k}</a></li>' for k in range(3))
+    assert hx.main_text(f"<article>{RUN}<ul>{links}</ul></article>", TREE) == "\n".join(LONGS)
+    thread = "".join(f"<p>Reader {k}</p><p>{x}</p>" for k, x in enumerate(LONGS))  # the same texts between short lines
+    assert hx.main_text(f'<div class="comments-wrapper">{thread}</div>', TREE) == ""
+    x, y = hx.labelled_rows()
+    used = set()
+
+    def walk(tree):
+        if not isinstance(tree, int):
+            used.add(hx.FEATURES[tree[0]])
+            walk(tree[2])
+            walk(tree[3])
+
+    walk(TREE)
+    assert {"place", "words", "links"} <= used and used & {"prev_words", "prev_links"} and used & {"next_words", "next_links"}
+    assert all({r[0] for r, b in zip(x, y) if b == side} >= {-1, 0, 1, 2} for side in (0, 1))
+
+
+def slow_blocks(page):
+    """Blocks by a parser of whole events: (text, words, words in links), for pages whose tags are closed."""
+    from html.parser import HTMLParser
+
+    out, text, link, state = [], [], [], {"drop": 0, "a": False}
+
+    def close():
+        words = "".join(text).split()
+        if words:
+            out.append((" ".join(words), len(words), len(" ".join(link).split())))
+        text.clear()
+        link.clear()
+
+    class Parser(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag in hx.DROPPED.split("|"):
+                if tag in hx.BLOCK_TAGS and not state["drop"]:
+                    close()
+                state["drop"] += 1
+            elif not state["drop"]:
+                if tag in hx.BLOCK_TAGS:
+                    close()
+                    state["a"] = False
+                elif tag == "a":
+                    state["a"] = True
+                elif tag == "br":
+                    text.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in hx.DROPPED.split("|"):
+                state["drop"] -= 1
+            elif not state["drop"]:
+                if tag in hx.BLOCK_TAGS:
+                    close()
+                    state["a"] = False
+                elif tag == "a":
+                    state["a"] = False
+
+        def handle_data(self, data):
+            if not state["drop"]:
+                text.append(data)
+                if state["a"]:
+                    link.append(data)
+
+    parser = Parser(convert_charrefs=True)
+    parser.feed(page)
+    parser.close()
+    close()
+    return out
+
+
+def test_blocks_and_features_against_a_slow_version(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect() if r["html"]]
+    pages += ["<body>" + p.format(RUN) + "</body>" for p in MISLEADING]
+    same = 0
+    for page in pages:
+        want = slow_blocks(page)
+        got = [b[:3] for b in hx.blocks(page)]
+        if page.count("<script") == page.count("</script") and page.rstrip().endswith("</html>") or "LONG" in page:
+            assert got == want
+        same += got == want
+    assert same >= 0.9 * len(pages)
