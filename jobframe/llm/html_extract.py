@@ -290,6 +290,9 @@ place words links prev_words prev_links next_words next_links main
 0 6 0.0 0 0.0 6 0.0 1
 0 8 0.0 0 0.0 8 0.0 1
 0 7 0.0 6 0.0 0 0.0 1
+0 6 0.0 6 0.0 0 0.0 1
+0 6 0.0 8 0.0 0 0.0 1
+0 9 0.0 12 0.0 0 0.0 1
 0 6 0.0 7 0.0 5 0.0 1
 0 8 0.0 7 0.0 6 0.0 1
 -1 60 0.0 45 0.0 70 0.0 1
@@ -306,6 +309,9 @@ place words links prev_words prev_links next_words next_links main
 -1 20 0.0 3 0.0 3 0.0 0
 -1 30 0.0 2 0.0 4 0.0 0
 -1 60 0.0 2 0.0 3 0.0 0
+-1 42 0.0 2 0.0 2 0.0 0
+-1 80 0.0 3 0.0 2 0.0 0
+-1 42 0.0 2 0.0 0 0.0 0
 -1 25 0.0 8 0.0 0 0.0 0
 -1 12 0.0 0 0.0 3 0.0 0
 -1 9 0.0 3 0.0 5 0.0 0
