@@ -13,7 +13,7 @@ from jobframe.plans.catalog import query, table
 from jobframe.session import checkpoint_dir
 from jobframe.sources.files import read_csv, read_directory, read_json_array, read_jsonl, snapshot
 from jobframe.sources.tables import claim_pending
-from jobframe.sources.ticks import Schedule, ticks
+from jobframe.sources.ticks import ticks
 
 # ── ST1–ST4 ──────────────────────────────────────────────────────────────────
 
@@ -125,7 +125,7 @@ def claim_pending_values(spark, sf_dir):
 
 # ── S10 ──────────────────────────────────────────────────────────────────────
 
-SCHED = Schedule(minutes=(0,), hours=tuple(range(9, 18)), weekdays=(1, 2, 3, 4, 5), tz="America/New_York")
+SCHED = "0 0 9-17 ? * Mon-Fri"
 
 
 @query("tick_spine", sql="""
@@ -146,7 +146,7 @@ def tick_spine(spark, sf_dir):
                F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("hi")).first()
     start_s = -(-b["lo"] // 1_000_000)
     end_s = b["hi"] // 1_000_000
-    t = ticks(spark, start_s, end_s, SCHED)
+    t = ticks(spark, start_s, end_s, SCHED, tz="America/New_York")
     per_hour = ev.groupBy(F.date_trunc("hour", F.col("ts")).alias("h")).agg(F.count("*").alias("n"))
     j = t.join(per_hour, t.tick_ts.cast("timestamp_ntz") == per_hour.h, "left")
     return j.select(F.date_format("tick_ts", "yyyy-MM-dd HH:mm:ss").alias("tick"),
