@@ -58,8 +58,13 @@ def sink_context(results: DataFrame, spec: PipelineSpec) -> DataFrame:
 
 
 def delivery_array(spec: PipelineSpec, enabled_sinks: set[str] | None = None) -> str:
-    """SQL text of the delivery array over a sink-context row."""
+    """SQL text of the delivery array over a sink-context row; messages to sinks that are not enabled are not built (K7)."""
     elems: list[str] = []
+
+    def message(sink: str, fire: str, *parts) -> None:
+        if enabled_sinks is None or sink in enabled_sinks:
+            elems.append(f"CASE WHEN {fire} THEN {_elem(sink, *parts)} END")
+
     present = {s.id: f"(_steps_raw.{ident(s.id)} IS NOT NULL)" for s in spec.steps}
     handled: dict[str, str] = {s.id: "false" for s in spec.steps}
 
@@ -75,7 +80,7 @@ def delivery_array(spec: PipelineSpec, enabled_sinks: set[str] | None = None) ->
             hit = f"coalesce(CASE WHEN {present[s.id]} THEN ({rule.condition}) END, false)"
             hits.append(hit)
             for sink in rule.sinks:
-                elems.append(f"CASE WHEN {hit} THEN {_elem(sink, 'route', s.id, step_status(s.id), 'array(' + lit(s.id) + ')')} END")
+                message(sink, hit, "route", s.id, step_status(s.id), f"array({lit(s.id)})")
         handled[s.id] = "(" + " OR ".join(hits) + ")"
     # K2: step sinks for steps not handled by routing
     for s in spec.steps:
@@ -83,32 +88,27 @@ def delivery_array(spec: PipelineSpec, enabled_sinks: set[str] | None = None) ->
             continue
         fire = f"({present[s.id]} AND NOT {handled[s.id]})"
         for sink in s.sinks:
-            elems.append(f"CASE WHEN {fire} THEN {_elem(sink, 'step', s.id, step_status(s.id), 'array(' + lit(s.id) + ')')} END")
+            message(sink, fire, "step", s.id, step_status(s.id), f"array({lit(s.id)})")
         handled[s.id] = f"({handled[s.id]} OR {present[s.id]})"
     # K3: one pipeline message with the remaining steps, only if some remain
     remaining = ("filter(array(" + ", ".join(
         f"CASE WHEN {present[s.id]} AND NOT {handled[s.id]} THEN {lit(s.id)} END" for s in spec.steps)
         + "), x -> x IS NOT NULL)")
     for sink in spec.sinks:
-        elems.append(f"CASE WHEN size({remaining}) > 0 THEN {_elem(sink, 'pipeline', None, 'status', remaining)} END")
+        message(sink, f"size({remaining}) > 0", "pipeline", None, "status", remaining)
     # K4: pipeline dead letter carries the full result, in addition to K1–K3
     all_steps = ("filter(array(" + ", ".join(f"CASE WHEN {present[s.id]} THEN {lit(s.id)} END" for s in spec.steps)
                  + "), x -> x IS NOT NULL)")
     if spec.failure.action == "dead_letter" and spec.failure.sink:
-        elems.append(f"CASE WHEN status = 'failure' THEN "
-                     f"{_elem(spec.failure.sink, 'dead_letter', None, 'status', all_steps)} END")
+        message(spec.failure.sink, "status = 'failure'", "dead_letter", None, "status", all_steps)
     # K5: step dead letters for failed steps with that action
     for s in spec.steps:
         if s.failure.action == "dead_letter" and s.failure.sink:
             fire = f"(status = 'failure' AND {present[s.id]} AND _steps_raw.{ident(s.id)}.exit_code <> 0)"
-            elems.append(f"CASE WHEN {fire} THEN {_elem(s.failure.sink, 'step_dead_letter', s.id, step_status(s.id), 'array(' + lit(s.id) + ')')} END")
+            message(s.failure.sink, fire, "step_dead_letter", s.id, step_status(s.id), f"array({lit(s.id)})")
     if not elems:
         return f"CAST(array() AS ARRAY<{ELEM_TYPE}>)"
-    arr = f"filter(array({', '.join(elems)}), e -> e IS NOT NULL)"
-    if enabled_sinks is not None:  # K7: disabled or unknown sinks are skipped silently
-        allowed = ", ".join(lit(x) for x in sorted(enabled_sinks)) or "CAST(NULL AS STRING)"
-        arr = f"filter({arr}, e -> e.sink_id IN ({allowed}))"
-    return arr
+    return f"filter(array({', '.join(elems)}), e -> e IS NOT NULL)"
 
 
 def deliveries(results: DataFrame, spec: PipelineSpec, enabled_sinks: set[str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ an executor loss rewrites the same rows instead of adding new ones.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping
 
@@ -69,9 +70,9 @@ def result_json(deliveries: DataFrame, occurred_at: Column | str) -> Column:
     """K6, K9: the result message as compact JSON (absent options omitted), with the message's duration and time. The
     job's payload is put in as written, so its numbers keep their form; text that is no JSON becomes a string."""
     step_names = [f.name for f in deliveries.schema["step_results"].dataType.fields]
-    steps_map = F.map_from_arrays(
-        F.col("steps"),
-        F.transform("steps", lambda s: _pick(step_names, s)))
+    each = [F.when(F.array_contains("steps", name), F.concat(
+        F.lit(json.dumps(name, ensure_ascii=False) + ":"), F.to_json(F.col("step_results")[name]))) for name in step_names]
+    steps = F.concat(F.lit("{"), F.concat_ws(",", *each), F.lit("}"))  # in the order of the pipeline
     p = F.col("payload")
     payload = F.when(F.try_parse_json(p).isNotNull(), compact_json(p)).otherwise(F.coalesce(_text(p), F.lit("null")))
     labels = F.when(F.size("labels") > 0, F.concat(F.lit(',"labels":'), F.to_json("labels"))).otherwise("")
@@ -81,7 +82,7 @@ def result_json(deliveries: DataFrame, occurred_at: Column | str) -> Column:
         F.lit('{"pipeline_id":'), _text(F.col("pipeline_id")), F.lit(',"job":{"id":'), _text(F.col("job_id")),
         F.lit(',"source":'), _text(F.col("source")), F.lit(',"payload":'), payload, corr, labels,
         F.lit('},"status":'), _text(F.col("status")), F.lit(',"duration_ms":'), F.col("duration_ms").cast("string"),
-        F.lit(',"steps":'), F.to_json(steps_map), F.lit(',"occurred_at":'), _text(ts), F.lit("}"))
+        F.lit(',"steps":'), steps, F.lit(',"occurred_at":'), _text(ts), F.lit("}"))
 
 
 def _text(c: Column) -> Column:
@@ -90,14 +91,6 @@ def _text(c: Column) -> Column:
     return F.when(c.isNotNull(), F.substr(j, F.lit(2), F.length(j) - 2))
 
 
-def _pick(step_names: list[str], s: Column) -> Column:
-    out = None
-    for name in step_names:
-        v = F.col("step_results")[name]
-        out = F.when(s == name, v) if out is None else out.when(s == name, v)
-    return out
-
-
 def write_lines(deliveries: DataFrame, path: str, line: Column, path_key: Column | None = None,
                 mode: str = "append") -> None:
     """K9 writer: one text line per delivery, partitioned by sink (and a rendered

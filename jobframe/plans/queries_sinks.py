@@ -37,9 +37,9 @@ DISPATCH_SPEC = PipelineSpec(
 ENABLED = {"ok_sink", "audit", "big_sink", "tag_sink", "all_sink", "dlq", "step_dlq"}
 
 
-def dispatch_deliveries(spark, sf_dir):
+def dispatch_deliveries(spark, sf_dir, enabled=None):
     res = run_pipeline(order_jobs(spark, sf_dir), DISPATCH_SPEC)
-    return deliveries(res, DISPATCH_SPEC, ENABLED)
+    return deliveries(res, DISPATCH_SPEC, ENABLED if enabled is None else enabled)
 
 
 DELIVERIES_SQL = """
@@ -132,7 +132,7 @@ WITH p AS (
 
 
 def _messages(spark, sf_dir, *sinks):
-    d = dispatch_deliveries(spark, sf_dir).where(F.col("sink_id").isin(*sinks))
+    d = dispatch_deliveries(spark, sf_dir, set(sinks))
     return d.withColumn("o_orderkey", F.get_json_object("payload", "$.order").cast("bigint"))
 
 
