@@ -13,8 +13,12 @@ holds open groups only; one piece is one task. Results depend on arrival order o
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobframe.operators.merge import sort_members
 from jobframe.operators.steps import lit
@@ -93,6 +97,61 @@ def _numbered(base: DataFrame, limit: int, order: tuple[str, ...], parts: int) -
     return rows.drop("_pid"), narrow
 
 
+#: Expressions that two sides of an equality may be made of to become join keys: plain values of one job.
+_PLAIN = ("UnresolvedAttribute", "UnresolvedExtractValue", "Cast", "Literal", "Add", "Subtract", "Multiply")
+
+
+def equal_sides(spark, expr: str) -> list[tuple[str, str]]:
+    """(side of ``a``, side of ``b``) as SQL texts of the equalities that ``expr`` is a conjunction of, by Spark's parser."""
+    found: list[tuple[str, str]] = []
+
+    def roots(node) -> set:
+        kind = node.getClass().getSimpleName()
+        if kind not in _PLAIN:
+            return {None}
+        if kind == "UnresolvedAttribute":
+            return {node.nameParts().head()}
+        children = node.children()
+        return set().union(*(roots(children.apply(i)) for i in range(children.size())))
+
+    def walk(node) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "And":
+            walk(node.left())
+            walk(node.right())
+        elif kind == "EqualTo":
+            sides = {frozenset(roots(x)): x.sql() for x in (node.left(), node.right())}
+            if set(sides) == {frozenset("a"), frozenset("b")}:
+                found.append((sides[frozenset("a")], sides[frozenset("b")]))
+
+    walk(spark._jsparkSession.sessionState().sqlParser().parseExpression(expr))
+    return found
+
+
+def _near(left: DataFrame, right: DataFrame, expr: str) -> DataFrame:
+    """Pairs of a bucket that ``expr`` may be true or NULL for.
+
+    Equalities of the expression are join keys. It is NULL, not false, only where they hold or one of their sides is
+    NULL, so rows with such a side are paired with the whole bucket, and all others by their keys alone."""
+    right = right.withColumnsRenamed({"_key": "_rkey", "_bucket": "_rbucket"})
+    same = (F.col("_key") == F.col("_rkey")) & (F.col("_bucket") == F.col("_rbucket"))
+    spark = left.sparkSession
+    with lenient(spark):
+        sides = equal_sides(spark, expr)
+        keyed_left = left.selectExpr("*", *[f"{x} AS _l{i}" for i, (x, _) in enumerate(sides)])
+        keyed_right = right.selectExpr("*", *[f"{x} AS _r{i}" for i, (_, x) in enumerate(sides)])
+    plain = lambda df, c: isinstance(df.schema[c].dataType, T.AtomicType | T.NumericType) and not isinstance(
+        df.schema[c].dataType, T.VariantType | T.NullType)
+    keys = [i for i in range(len(sides)) if plain(keyed_left, f"_l{i}") and plain(keyed_right, f"_r{i}")]
+    if not keys:
+        return left.join(right, same).drop("_rkey", "_rbucket")
+    lacks = lambda p: reduce(or_, [F.col(f"{p}{i}").isNull() for i in keys])
+    equal = reduce(and_, [F.expr(f"_l{i} = _r{i}") for i in keys])
+    parts = [keyed_left.join(keyed_right, same & equal), keyed_left.where(lacks("_l")).join(keyed_right, same),
+             keyed_left.where(~lacks("_l")).join(keyed_right.where(lacks("_r")), same)]
+    return reduce(DataFrame.unionByName, parts).select(*left.columns, "_bn", "_bt", "b")
+
+
 def theta_groups(jobs: DataFrame, sources: list[str], expr: str, timeout_secs: int, block: str | None = None,
                  payload_schema: str | None = None,
                  order: tuple[str, ...] = ("arrival_ts", "arrival_seq")) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +160,8 @@ def theta_groups(jobs: DataFrame, sources: list[str], expr: str, timeout_secs: i
 
     ``expr`` sees ``a`` (a member) and ``b`` (the arriving job) with id, source, payload (parsed with
     ``payload_schema`` if given, else VARIANT), labels and correlation_key. ``block`` names a column whose equality is
-    part of the expression; without it all jobs form one block, whose pairs are still found bucket by bucket."""
+    part of the expression; without it all jobs form one block, whose pairs are still found bucket by bucket, and within
+    a bucket by the equalities that the expression is a conjunction of."""
     limit = max(int(timeout_secs), 1) * 1_000_000
     key = F.col(block).cast("string") if block else F.lit("")
     base = jobs.where(F.col("source").isin(sources)).withColumn("_key", key)
@@ -116,7 +176,7 @@ def theta_groups(jobs: DataFrame, sources: list[str], expr: str, timeout_secs: i
                       F.col("_t").alias("_at"), F.expr(job).alias("a"))
     right = seq.select("_key", bucket.alias("_bucket"), F.col("_n").alias("_bn"), F.col("_t").alias("_bt"),
                        F.expr(job).alias("b"))
-    near = left.join(right, ["_key", "_bucket"]).where(
+    near = _near(left, right, expr).where(
         (F.col("_an") < F.col("_bn")) & (F.col("_bt") - F.col("_at") <= limit))
     with lenient(jobs.sparkSession):  # an expression that fails on a pair is NULL
         pairs = near.selectExpr("_key", "_bn", "_an", f"CAST(({expr}) AS BOOLEAN) AS ok").where("ok IS NULL OR ok")

@@ -376,17 +376,39 @@ def merge_theta(spark, sf_dir):
     return groups.select("key", F.array_join(F.transform("members", lambda m: m["id"]), ",").alias("member_ids"))
 
 
-@query("merge_theta_rejects", sql="""
-WITH a AS (
-  SELECT 'ev-' || CAST(event_id AS VARCHAR) AS id, event_type AS source FROM events WHERE event_type IN ('click', 'purchase'))
-SELECT id, source, CASE WHEN source = 'click' THEN 'merge group never got all sources' END AS reason FROM a WHERE source = 'click'
+REJECTS_TIMEOUT = 1800
+_RLIVE = _LIVE.replace(str(_TL), str(REJECTS_TIMEOUT * 1_000_000))
+_RIDX = _IDX.replace(str(_TL), str(REJECTS_TIMEOUT * 1_000_000))
+
+
+@query("merge_theta_rejects", sql=f"""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_type AS src, 'ev-' || CAST(event_id AS VARCHAR) AS id, value, epoch_us(ts) AS t,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events WHERE event_type IN ('click', 'purchase')
+), w(user_id, rn, groups, opened, emitted) AS (
+  SELECT user_id, rn, [{{'src': src, 'id': id, 'v': value, 't0': t}}], id, CAST(NULL AS VARCHAR) FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn,
+    CASE WHEN {_RIDX} IS NULL THEN {_RLIVE} || [{{'src': e.src, 'id': e.id, 'v': e.value, 't0': e.t}}]
+         WHEN {_RLIVE}[{_RIDX}].src = e.src THEN {_RLIVE}
+         ELSE list_filter({_RLIVE}, lambda g, i: i != {_RIDX}) END,
+    CASE WHEN {_RIDX} IS NULL THEN e.id END,
+    CASE WHEN {_RIDX} IS NOT NULL AND {_RLIVE}[{_RIDX}].src <> e.src THEN {_RLIVE}[{_RIDX}].id || ',' || e.id END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1
+), done AS (SELECT string_split(emitted, ',') AS ids FROM w WHERE emitted IS NOT NULL)
+SELECT id, src AS source, 'merge group never got all sources' AS reason
+FROM e WHERE id IN (SELECT opened FROM w WHERE opened IS NOT NULL) AND id NOT IN (SELECT unnest(ids) FROM done)
+UNION ALL
+SELECT sha256(array_to_string(ids, ',')), 'merge:p_theta', 'merged' FROM done
 """)
 def merge_theta_rejects(spark, sf_dir):
-    """An expression that is false for every pair: each click opens a group that never gets its purchase (purchases
-    open their own); those jobs come back as rejects."""
+    """A spec's expression over all sources: jobs whose group got no second source in time come back as rejects, the
+    others as merged jobs; the equality in the expression is a join key."""
     jobs = event_source_jobs(spark, sf_dir).where(F.col("source").isin(*THETA_SOURCES))
-    spec = PipelineSpec(id="p_theta", steps=_NOOP, sources=tuple(THETA_SOURCES), payload_schema="user_id bigint, value double",
-                        merge=MergeSpec("all", correlation_expr="a.payload.user_id = b.payload.user_id AND a.payload.value < -1",
-                                        timeout_secs=60))
+    spec = PipelineSpec(
+        id="p_theta", steps=_NOOP, sources=tuple(THETA_SOURCES), payload_schema="user_id bigint, value double",
+        merge=MergeSpec("all", correlation_expr="a.payload.user_id = b.payload.user_id AND a.payload.value >= b.payload.value",
+                        timeout_secs=REJECTS_TIMEOUT))
     merged, rejects = merge_for_pipeline(jobs, spec)
-    return rejects.unionByName(merged.select("id", "source", F.lit("merged").alias("reason"))).where("source = 'click'")
+    return rejects.unionByName(merged.select("id", "source", F.lit("merged").alias("reason")))

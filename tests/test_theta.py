@@ -7,7 +7,7 @@ import random
 import pytest
 
 from jobframe.operators.merge import merge_for_pipeline
-from jobframe.operators.theta import _fold, _numbered, theta_groups
+from jobframe.operators.theta import _fold, _numbered, equal_sides, theta_groups
 from jobframe.spec import MapStep, MergeSpec, PipelineSpec
 
 SCHEMA = ("id string, source string, payload string, correlation_key string, labels map<string,string>, "
@@ -120,3 +120,29 @@ def test_fold_gives_groups_out_as_they_end():
         assert len(got) >= 10 * len(read) - 30  # only open groups are held back
     assert sorted(r.n for r in got) == list(range(1000))
     assert all(r.complete == (r.n % 4 < 2) for r in got)
+
+
+def test_equalities_of_an_expression(spark):
+    assert equal_sides(spark, "a.payload.x = b.payload.y AND (a.payload.z > 1 AND b.id = a.correlation_key)") == [
+        ("a.payload.x", "b.payload.y"), ("a.correlation_key", "b.id")]
+    for other in ("a.id = a.source", "a.id = 'x'", "a.id = b.id OR a.source = b.source", "a.id <=> b.id", "a.id = rand()",
+                  "NOT (a.id = b.id)", "a.id = concat(a.id, b.id)"):
+        assert equal_sides(spark, other) == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equalities_with_nulls_are_join_keys(spark, seed):
+    """Sides that are NULL still meet the whole bucket: a pair that fails to evaluate drops the job."""
+    data = rows(seed, n=160)
+    df = spark.createDataFrame(data, SCHEMA)
+
+    def match(m, b):
+        same = None if m.get("v") is None or b.get("v") is None else m["v"] == b["v"]
+        return False if same is False else same
+
+    groups, rest = theta_groups(df, ["a", "b"], "a.payload.v = b.payload.v AND a.id <> b.id", 60, payload_schema="v int")
+    plan = groups._jdf.queryExecution().optimizedPlan().toString()
+    assert "_l0" in plan
+    got = sorted(",".join(m["id"] for m in r["members"]) for r in groups.collect())
+    want, left = plain([(*r[:3], "one", *r[4:]) for r in data], ["a", "b"], match, 60)
+    assert got == sorted(ids for _, ids in want) and sorted(r["id"] for r in rest.collect()) == left
