@@ -226,21 +226,21 @@ WITH pieces AS (
            'ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?' || chr(10) || chr(11) || chr(12) || chr(13),
            'abcdefghijklmnopqrstuvwxyz.........'), '.')) AS piece
   FROM documents),
-words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
 grams AS (
   SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
   FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k)),
-f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+f AS MATERIALIZED (SELECT lang, k, phrase, lang || chr(9) || phrase AS key, count(*) AS f FROM grams GROUP BY ALL),
 total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
-cuts AS (
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS MATERIALIZED (
   SELECT c.lang, c.phrase, a, j, l.f AS l, r.f AS r,
          CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
   FROM (SELECT *, unnest(range(1, k)) AS j FROM c) AS c
-  JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ')
-  JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:c.k], ' ')),
-best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
-inside AS (
+  JOIN f AS l ON l.key = c.lang || chr(9) || array_to_string(c.w[1:j], ' ')
+  JOIN f AS r ON r.key = c.lang || chr(9) || array_to_string(c.w[j + 1:c.k], ' ')),
+best AS MATERIALIZED (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS MATERIALIZED (
   SELECT lang, phrase, max(a) AS most
   FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3)
   GROUP BY ALL)
