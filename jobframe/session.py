@@ -20,7 +20,7 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # Broadcast only under an explicit, checked bound (see jobframe.functions.sizing).
+    # Spark broadcasts what its statistics show to be smaller than this; operators broadcast only what a parameter bounds.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     # A compiled pipeline level is one wide projection. Generated methods above the
     # JVM's 8000-bytecode JIT limit would run interpreted; at this limit Spark splits
